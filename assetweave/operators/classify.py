@@ -4,29 +4,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assetweave import rules
+from assetweave.functions import text
+from assetweave.functions.arrays import explode_computed
 from assetweave.functions.text import contains_any, strip
 from assetweave.operators.substring import substring_pairs
 
 
-def _cascade(low: Column, table, whole_word: bool) -> Column | None:
-    out = None
+def _quoted(term: str) -> str:
+    return "'" + term.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _cascade(low: str, table, whole_word: bool, otherwise: str) -> Column:
+    """First label whose terms occur in the lower-case column `low`, as one SQL CASE."""
+    branches = []
     for label, terms in table:
         if whole_word:
-            hit = low.rlike(r"(?U)\b(?:" + "|".join(terms) + r")\b")
+            hit = f"rlike({low}, {_quoted(r'(?U)\b(?:' + '|'.join(terms) + r')\b')})"
         else:
-            hit = contains_any(low, terms)
-        out = F.when(hit, F.lit(label)) if out is None else out.when(hit, F.lit(label))
-    return out
-
-
-def vendor_label(low_vendor: Column, table=rules.VENDOR_RULES) -> Column:
-    """Label by vendor name in lower case, null when no vendor rule hits."""
-    return _cascade(low_vendor, table, False)
+            hit = " OR ".join(f"contains({low}, {_quoted(t)})" for t in terms)
+        branches.append(f"WHEN {hit} THEN {_quoted(label)}")
+    return F.expr(f"CASE {' '.join(branches)} ELSE {otherwise} END")
 
 
-def classify_vendor(df: DataFrame, vendor: str, out: str = "label") -> DataFrame:
-    return df.withColumn("_vendor", F.lower(vendor)).withColumn(out, vendor_label(F.col("_vendor"))) \
-        .drop("_vendor")
+def classify_vendor(df: DataFrame, vendor: str, out: str = "label", table=rules.VENDOR_RULES) -> DataFrame:
+    """Label by vendor name, null when no vendor rule hits."""
+    return df.withColumn("_vendor", F.lower(vendor)) \
+        .withColumn(out, _cascade("_vendor", table, False, "NULL")).drop("_vendor")
 
 
 def classify(df: DataFrame, description: str, vendor: str | None = None, out: str = "label",
@@ -37,11 +40,10 @@ def classify(df: DataFrame, description: str, vendor: str | None = None, out: st
     Signals match as raw substrings unless `whole_word` is set. One projection, no Python.
     """
     low = df.withColumn("_low", F.lower(F.col(description)))  # lower-case long texts once
-    by_text = _cascade(F.col("_low"), signals, whole_word).otherwise(rules.UNKNOWN)
-    label = by_text
+    label = _cascade("_low", signals, whole_word, _quoted(rules.UNKNOWN))
     if vendor:
-        low = low.withColumn("_vendor", vendor_label(F.lower(F.col(vendor)), vendors))
-        label = F.coalesce(F.col("_vendor"), by_text)
+        low = low.withColumn("_vendor", F.lower(F.col(vendor)))
+        label = F.coalesce(_cascade("_vendor", vendors, False, "NULL"), label)
     empty = F.col(description).isNull() | (F.col(description) == "")
     return low.withColumn(out, F.when(empty, rules.UNKNOWN).otherwise(label)).drop("_low", "_vendor")
 
@@ -54,13 +56,12 @@ def classify_by_dictionary(df: DataFrame, key: str, description: str, dictionary
     meet the dictionary once; a multi-word term is looked up by its longest word and
     verified on the description, so the texts are never compared with every term.
     """
-    from assetweave.functions import text
     terms = dictionary.filter(F.col("category").isin("hw", "sw")) \
         .select("category", "keyword", F.array_sort(F.transform(
             text.words(F.col("keyword")), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))
         ).alias("runs")).withColumn("needle", F.try_element_at("runs", F.lit(1))["w"])
     low = df.select(key, F.lower(F.col(description)).alias("_low"))
-    hay = low.select(key, F.explode(F.array_distinct(text.words(F.col("_low")))).alias("hay"))
+    hay = explode_computed(low, F.array_distinct(text.words(F.col("_low"))), "hay", key)
     pairs = substring_pairs(terms.select("needle").dropna().distinct(), hay.select("hay").distinct())
     # single-word terms are decided by the word alone: collapse to one flag per word
     single = terms.filter(F.col("needle") == F.col("keyword")).join(pairs, "needle") \

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from assetweave import rules
 from assetweave.functions import text
+from assetweave.functions.arrays import explode_computed
 
 
 def _category(label):
@@ -21,12 +22,13 @@ def _category(label):
 
 def learn_candidates(labelled: DataFrame, description: str, label: str, dictionary: DataFrame) -> DataFrame:
     """(category, keyword, sightings, weight) of tokens the label's dictionary lacks."""
-    # the context is a property of the whole description: settle it below the explode
+    # the context is a property of the whole description: settle it below the explode;
+    # a filter on the label would be pushed down and repeat the rule cascade, so rows
+    # without a category get no tokens instead
     tokens = (labelled.withColumn("category", _category(F.col(label)))
-              .filter(F.col("category").isNotNull())
               .select("category", text.technical_context(F.lower(description)).alias("technical"),
-                      text.learning_tokens(F.col(description)).alias("tokens"))
-              .select("category", "technical", F.explode("tokens").alias("keyword")))
+                      F.when(F.col("category").isNotNull(), text.learning_tokens(F.col(description))).alias("tokens")))
+    tokens = explode_computed(tokens, F.col("tokens"), "keyword", "category", "technical")
     counts = tokens.groupBy("category", "keyword").agg(
         F.count("*").alias("sightings"), F.count_if("technical").alias("technical"))
     plain = text.keyword_weight(F.col("keyword"), F.lit(False))

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from assetweave import rules
 from assetweave.functions import names, text
+from assetweave.functions.arrays import explode_computed
 from assetweave.functions.similarity import ratio_bound, sequence_ratio
 from assetweave.operators.substring import substring_pairs
 
@@ -110,7 +111,7 @@ def _longest_run(keyword: Column) -> Column:
 
 
 def _document_words(docs: DataFrame, by: list[str]) -> DataFrame:
-    return docs.select("doc_id", *by, F.explode(F.array_distinct(text.words("_text"))).alias("hay"))
+    return explode_computed(docs, F.array_distinct(text.words("_text")), "hay", "doc_id", *by)
 
 
 def candidate_pairs(items: DataFrame, docs: DataFrame, by: list[str]) -> DataFrame:
@@ -119,7 +120,7 @@ def candidate_pairs(items: DataFrame, docs: DataFrame, by: list[str]) -> DataFra
     `items` carries item_id, `_keywords`, `_need` (>= 1) and the `by` columns; `docs`
     carries doc_id, `_text` in lower case and the `by` columns.
     """
-    terms = items.select("item_id", *by, "_need", F.explode("_keywords").alias("kw")) \
+    terms = explode_computed(items, F.col("_keywords"), "kw", "item_id", *by, "_need") \
         .withColumn("block", _longest_run(F.col("kw")))
     hay = _document_words(docs, by)
     vocabulary = hay.groupBy("hay").agg(F.count("*").alias("n"))

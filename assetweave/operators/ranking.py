@@ -72,7 +72,7 @@ def number_matches(matches: DataFrame, *order: Column | str) -> DataFrame:
     """`PDF i/total: name (Score: s%)` per match."""
     return number_rows(matches, *order).withColumn("result", F.concat(
         F.lit("PDF "), F.col("number"), F.lit("/"), F.col("total"), F.lit(": "), F.col("file_name"),
-        F.lit(" (Score: "), F.format_number("score", "0.0"), F.lit("%)")))
+        F.lit(" (Score: "), F.call_function("format_number", "score", F.lit("0.0")), F.lit("%)")))
 
 
 def sort_matches(matches: DataFrame, *ties: str) -> DataFrame:

@@ -123,7 +123,8 @@ def filter_stats(docs: DataFrame, kept: DataFrame) -> DataFrame:
 def run_history(runs: DataFrame, k: int = 5) -> DataFrame:
     """The k latest runs, newest first, with the duration in whole minutes."""
     return (runs.orderBy(F.desc("run")).limit(k)
-            .select("run", "time", "file", F.concat(F.floor(F.col("seconds") / 60), F.lit("m")).alias("duration"), "status"))
+            .select("run", "time", "file", F.coalesce(F.concat(F.floor(F.col("seconds") / 60), F.lit("m")), F.lit("-")).alias("duration"),
+                    "status"))
 
 
 def progress(items: DataFrame, results: DataFrame) -> DataFrame:

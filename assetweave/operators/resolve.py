@@ -5,8 +5,10 @@ from pyspark.sql import functions as F
 
 from assetweave import rules
 from assetweave.functions import names, text, urls
+from assetweave.functions.arrays import explode_computed
 from assetweave.functions.similarity import ratio_bound, sequence_ratio
 from assetweave.operators.substring import substring_pairs
+from assetweave.session import cut_lineage
 
 
 def _key(c: str) -> Column:
@@ -106,17 +108,20 @@ def resolve_entities(suppliers: DataFrame, targets: DataFrame,
     suppliers(name), targets(target); blank values never match. Targets are ordered by
     text. Every stage is an equi-join on distinct names and only keeps each name's
     smallest target, so popular words and fragments are aggregated before they meet.
+    Distinct names and the hits of each stage are materialised, as later stages reuse them.
     """
-    todo = suppliers.filter(text.strip(F.col("name")) != "").select("name").distinct() \
-        .withColumn("low", F.lower("name"))
-    goal = targets.filter(text.strip(F.col("target")) != "").select("target").distinct() \
-        .withColumn("tlow", F.lower("target"))
+    todo = cut_lineage(suppliers.filter(text.strip(F.col("name")) != "").select("name").distinct()
+                       .withColumn("low", F.lower("name")))
+    goal = cut_lineage(targets.filter(text.strip(F.col("target")) != "").select("target").distinct()
+                       .withColumn("tlow", F.lower("target")))
     stages = {"exact": _exact, "containment": _containment, "words": _word_overlap, "cleaned": _cleaned}
     found = None
-    for strategy in strategies:
+    for i, strategy in enumerate(strategies):
         hits = stages[strategy](todo, goal).withColumn("strategy", F.lit(strategy))
+        if i + 1 < len(strategies):  # the next stage starts from what is left, not from this plan
+            hits = cut_lineage(hits)
+            todo = todo.join(hits.select("name"), "name", "left_anti")
         found = hits if found is None else found.unionByName(hits)
-        todo = todo.join(hits.select("name"), "name", "left_anti")
     return found
 
 
@@ -141,14 +146,14 @@ def _word_overlap(todo: DataFrame, goal: DataFrame) -> DataFrame:
     mine = todo.select("low", F.array_sort(F.array_distinct(text.split_words(F.col("low")))).alias("ws")) \
         .distinct().withColumn("need", F.greatest(F.lit(1), F.ceil(F.size("ws") * 0.5).cast("int")))
     theirs = goal.select("target", F.array_distinct(text.split_words(F.col("tlow"))).alias("tws"))
-    by_word = theirs.select("target", "tws", F.explode("tws").alias("w"))
+    by_word = explode_computed(theirs, F.col("tws"), "w", "target", "tws")
     # one common word is enough: the smallest target of each word decides
     first = by_word.groupBy("w").agg(F.min("target").alias("target"), F.count("*").alias("n"))
-    single = mine.filter("need = 1").select("low", F.explode("ws").alias("w")).join(first, "w") \
+    single = explode_computed(mine.filter("need = 1"), F.col("ws"), "w", "low").join(first, "w") \
         .groupBy("low").agg(F.min("target").alias("target"))
     # more are needed: meet on the rarest words only, then check the whole word sets
     several = mine.filter("need > 1")
-    ranked = (several.select("low", "need", F.size("ws").alias("k"), F.explode("ws").alias("w"))
+    ranked = (explode_computed(several, F.col("ws"), "w", "low", "need", F.size("ws").alias("k"))
               .join(first.select("w", "n"), "w", "left")
               .groupBy("low", "need", "k").agg(F.array_sort(F.collect_list(
                   F.struct(F.coalesce("n", F.lit(0)).alias("n"), "w"))).alias("r"))
@@ -184,13 +189,13 @@ def suggest_similar(suppliers: DataFrame, targets: DataFrame, cutoff: float = 0.
         return df.filter(F.length(c) > 0).select(c, low.alias(c + "_low"), seen.alias(c + "_bag")).distinct()
 
     mine, theirs = bag(suppliers, "name"), bag(targets, "target")
-    order = (mine.select(F.explode("name_bag").alias("e")).unionAll(theirs.select(F.explode("target_bag").alias("e")))
+    order = (explode_computed(mine, F.col("name_bag"), "e").unionAll(explode_computed(theirs, F.col("target_bag"), "e"))
              .groupBy("e").agg(F.count("*").alias("n")))
 
     def prefix(df: DataFrame, c: str) -> DataFrame:
         n = F.size(c + "_bag")
         keep = n - F.ceil(n * cutoff / (2 - cutoff) - 1e-9).cast("int") + 1
-        ranked = (df.select(c, n.alias(c + "_n"), keep.alias("keep"), F.explode(c + "_bag").alias("e")).join(order, "e")
+        ranked = (explode_computed(df, F.col(c + "_bag"), "e", c, n.alias(c + "_n"), keep.alias("keep")).join(order, "e")
                   .groupBy(c, c + "_n", "keep").agg(F.array_sort(F.collect_list(F.struct("n", "e"))).alias("r")))
         return ranked.select(c, c + "_n", F.explode(F.slice("r", 1, F.col("keep"))).alias("p")) \
             .select(c, c + "_n", F.col("p.e").alias("e"))

@@ -8,6 +8,8 @@ it are verified inside the join.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assetweave.functions.arrays import explode_computed
+
 GRAM_SIZES = (1, 2, 3, 5)
 
 
@@ -38,12 +40,12 @@ def substring_pairs(needles: DataFrame, haystacks: DataFrame) -> DataFrame:
     size = _lookup_size(F.col("needle"))
     by_size = F.array_distinct(F.coalesce(*[
         F.when(size == k, grams(F.col("needle"), k)) for k in GRAM_SIZES]))
-    own = needles.filter(F.length("needle") > 0).select("needle", F.explode(by_size).alias("gram"))
+    own = explode_computed(needles.filter(F.length("needle") > 0), by_size, "gram", "needle")
     shared = own.groupBy("gram").agg(F.count("*").alias("n"))
     lookup = (own.join(shared, "gram").groupBy("needle")
               .agg(F.min(F.struct("n", "gram")).alias("best"))
               .select("needle", F.col("best.gram").alias("gram")))
-    hay_grams = spread(haystacks, "hay").select("hay", F.explode(F.array_distinct(F.concat(
-        *[grams(F.col("hay"), k) for k in GRAM_SIZES]))).alias("gram"))
+    hay_grams = explode_computed(spread(haystacks, "hay"), F.array_distinct(F.concat(
+        *[grams(F.col("hay"), k) for k in GRAM_SIZES])), "gram", "hay")
     return (hay_grams.join(lookup, "gram").filter(F.contains("hay", F.col("needle")))
             .select("needle", "hay"))

@@ -4,12 +4,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assetweave.functions import text, urls
+from assetweave.functions.arrays import explode_computed
 from assetweave.session import cut_lineage
 
 
 def sitemaps_from_robots(robots: DataFrame) -> DataFrame:
     """(base, pos, sitemap) of the sitemap lines in robots(base, text)."""
-    lines = robots.select("base", F.posexplode(F.split("text", r"\r\n|\r|\n")).alias("pos", "line")) \
+    lines = explode_computed(robots, F.split("text", r"\r\n|\r|\n"), "line", "base", position="pos") \
         .withColumn("line", text.strip(F.col("line"))) \
         .filter(F.lower("line").startswith("sitemap:"))
     target = text.strip(F.regexp_replace("line", r"^[^:]*:", ""))
@@ -19,7 +20,7 @@ def sitemaps_from_robots(robots: DataFrame) -> DataFrame:
 def sitemap_locs(sitemaps: DataFrame, suffix: str = ".pdf") -> DataFrame:
     """(sitemap, pos, url, kind) of the <loc> values in sitemaps(sitemap, xml)."""
     locs = F.regexp_extract_all("xml", F.lit(r"(?s)<loc\b[^>]*>(.*?)</loc>"), F.lit(1))
-    return (sitemaps.select("sitemap", F.posexplode(locs).alias("pos", "raw"))
+    return (explode_computed(sitemaps, locs, "raw", "sitemap", position="pos")
             .select("sitemap", "pos", _decode(text.strip(F.col("raw"))).alias("url"))
             .withColumn("kind", F.when(urls.is_document(F.col("url"), suffix), "document").otherwise("page")))
 
@@ -41,7 +42,7 @@ def extract_links(pages: DataFrame, suffix: str = ".pdf") -> DataFrame:
     Everything happens inside the row; a link list is never longer than its page.
     """
     found = F.regexp_extract_all(F.regexp_replace("html", _INVISIBLE, ""), F.lit(_HREF), F.lit(1))
-    links = pages.select("page_id", F.col("url").alias("src"), F.posexplode(found).alias("pos", "raw")) \
+    links = explode_computed(pages, found, "raw", "page_id", F.col("url").alias("src"), position="pos") \
         .withColumn("href", text.strip(_decode(F.regexp_replace("raw", r"""^["']|["']$""", "")))) \
         .filter((F.col("href") != "") & ~F.col("href").rlike(r"^(?:#|mailto:|tel:)")) \
         .withColumn("dst", urls.resolve_url(F.col("src"), F.col("href"))) \
@@ -81,7 +82,7 @@ def reachable(links: DataFrame, seeds: DataFrame, max_depth: int = 2, per_page:
                  .filter(urls.valid_url(F.col("url")))
                  .join(visited.select("site", "url"), ["site", "url"], "left_anti"))
         if per_page is not None:
-            window = Window.partitionBy("site", "src").orderBy("pos")
+            window = Window.partitionBy("site", "src").orderBy("pos", "url")
             steps = steps.withColumn("place", F.row_number().over(window)).filter(F.col("place") <= per_page)
         fresh = (steps.groupBy("site", "url").agg(F.min(F.struct("src", "pos")).alias("via"))
                  .select("site", "url", F.lit(depth).alias("depth"), F.col("via.src").alias("parent"),

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from assetweave import rules
 from assetweave.functions import text
+from assetweave.functions.arrays import explode_computed
 from assetweave.operators import classify, learning
 from assetweave.plans.catalog.registry import WORD, SPACE, any_of, in_list, query, role, table, trimmed
 
@@ -163,8 +164,8 @@ def learn_candidates(spark, sf_dir):
 def keyword_weights(spark, sf_dir):
     seen = purchased(spark, sf_dir).select(
         text.technical_context(F.lower("description")).alias("technical"),
-        text.learning_tokens(F.col("description")).alias("tokens")).select(
-        "technical", F.explode("tokens").alias("keyword")).distinct()
+        text.learning_tokens(F.col("description")).alias("tokens"))
+    seen = explode_computed(seen, F.col("tokens"), "keyword", "technical").distinct()
     return seen.withColumn("weight", F.round(text.keyword_weight(F.col("keyword"), F.col("technical")), 6))
 
 
@@ -179,7 +180,7 @@ _REASON = rf"""CASE WHEN length(keyword) < 3 THEN 'Too short' WHEN keyword IN {i
 @query(f"""WITH v AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '{WORD}')) AS keyword FROM documents)
  SELECT keyword, {_REASON} AS reason, {_REASON} IN ('Technical term', 'Valid keyword') AS valid FROM v""")
 def validate_keywords(spark, sf_dir):
-    seen = table(spark, sf_dir, "documents").select(F.explode(text.words(F.lower("text"))).alias("keyword")).distinct()
+    seen = explode_computed(table(spark, sf_dir, "documents"), text.words(F.lower("text")), "keyword").distinct()
     return seen.withColumn("v", text.keyword_verdict(F.col("keyword"))).select("keyword", "v.reason", "v.valid")
 
 

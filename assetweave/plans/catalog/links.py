@@ -1 +1,199 @@
-"""To come."""
+"""Linking items to documents, and what is reported about the links."""
+
+from pyspark.sql import functions as F
+
+from assetweave.operators import filters, linking, ranking, reports
+from assetweave.plans.catalog.documents import CAPPED, FULL, PRIORITIZED, _NORMAL, prioritized
+from assetweave.plans.catalog.registry import ITEMS_SQL, LIBRARY_SQL, items, library, query, table
+
+MIN_COVERAGE = 0.6
+
+
+def plain_items(spark, sf_dir):
+    return items(spark, sf_dir).drop("category")
+
+
+PLAIN_ITEMS_SQL = ITEMS_SQL.replace("SELECT", "SELECT * REPLACE ('' AS category) FROM (SELECT", 1)[:-1] + "))"
+COVERED = f"""kw AS (SELECT item_id, supplier, description, {CAPPED} AS kw FROM items), hit AS (SELECT item_id, doc_id,
+ CAST(len([k FOR k IN kw IF contains(lower(text), k)]) AS INTEGER) AS hits, CAST(len(kw) AS INTEGER) AS n_keywords FROM kw, library),
+ links AS (SELECT *, hits::DOUBLE / n_keywords AS coverage FROM hit WHERE hits >= ceil({MIN_COVERAGE} * n_keywords - 1e-9))"""
+
+
+def covered(spark, sf_dir):
+    docs = library(spark, sf_dir).select("doc_id", "text")
+    return linking.coverage_links(plain_items(spark, sf_dir), docs, MIN_COVERAGE)
+
+
+@query(f"""WITH {PLAIN_ITEMS_SQL}, {LIBRARY_SQL}, {COVERED} SELECT item_id, doc_id, hits, n_keywords, round(coverage, 6) AS coverage FROM links""")
+def coverage_links(spark, sf_dir):
+    return covered(spark, sf_dir).withColumn("coverage", F.round("coverage", 6))
+
+
+@query(f"""WITH {PLAIN_ITEMS_SQL}, {LIBRARY_SQL}, {COVERED}, r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY coverage DESC, doc_id) AS k,
+ count(*) OVER (PARTITION BY item_id) AS n_docs FROM links) SELECT item_id, doc_id, round(coverage, 6) AS coverage, n_docs FROM r WHERE k = 1""")
+def best_document(spark, sf_dir):
+    """Flagship: keywords, exact blocking, coverage, best document per item."""
+    return linking.best_link(covered(spark, sf_dir)).withColumn("coverage", F.round("coverage", 6))
+
+
+@query(f"""WITH {ITEMS_SQL}, {LIBRARY_SQL}, kw AS (SELECT item_id, {FULL} AS kw FROM items), hit AS (SELECT item_id, doc_id,
+ CAST(len([k FOR k IN kw IF contains(lower(text), k)]) AS INTEGER) AS hits, CAST(len(kw) AS INTEGER) AS n_keywords FROM kw, library)
+ SELECT item_id, doc_id, hits, n_keywords FROM hit WHERE hits >= ceil(0.5 * n_keywords - 1e-9)""")
+def coverage_links_full(spark, sf_dir):
+    return linking.coverage_links(items(spark, sf_dir), library(spark, sf_dir), 0.5, "full") \
+        .select("item_id", "doc_id", "hits", "n_keywords")
+
+
+# The similarity ratio has no SQL form: these are checked against brute force in the tests.
+
+def _rounded(links):
+    return links.select("item_id", "doc_id", "hits", F.round("ratio", 6).alias("ratio"), F.round("score", 6).alias("score"))
+
+
+@query()
+def link_by_supplier(spark, sf_dir):
+    return _rounded(linking.link(plain_items(spark, sf_dir), library(spark, sf_dir), 40))
+
+
+@query()
+def link_prioritized(spark, sf_dir):
+    chosen = prioritized(spark, sf_dir).select("doc_id")
+    docs = library(spark, sf_dir).join(chosen, "doc_id", "left_semi")
+    return _rounded(linking.link(plain_items(spark, sf_dir), docs, 30))
+
+
+@query()
+def link_all_documents(spark, sf_dir):
+    return _rounded(linking.link(plain_items(spark, sf_dir), library(spark, sf_dir), 60, by=None))
+
+
+@query()
+def link_boosted(spark, sf_dir):
+    return _rounded(linking.link(plain_items(spark, sf_dir), library(spark, sf_dir), 60, linking.BOOSTED, by=None))
+
+
+@query()
+def link_master_folders(spark, sf_dir):
+    listed = table(spark, sf_dir, "documents").filter("lang = 'en'").select(F.col("source").alias("supplier")).distinct()
+    docs = library(spark, sf_dir).join(listed, "supplier", "left_semi")
+    return _rounded(linking.link(plain_items(spark, sf_dir), docs, 60, linking.PLAIN_LONG, by=None))
+
+
+@query()
+def link_four_signal(spark, sf_dir):
+    return _rounded(linking.link(plain_items(spark, sf_dir), library(spark, sf_dir), 85, linking.FOUR_SIGNAL, by=None))
+
+
+@query()
+def link_even(spark, sf_dir):
+    return _rounded(linking.link(plain_items(spark, sf_dir), library(spark, sf_dir), 55, linking.EVEN, by=None))
+
+
+# --- reports, on the coverage links scored in percent ---------------------------------------------
+
+MATCHES = f"""{PLAIN_ITEMS_SQL}, {LIBRARY_SQL}, {COVERED}, matches AS (SELECT item_id, doc_id, library.supplier, file_name,
+ round(coverage * 100, 6) AS score, text FROM links JOIN library USING (doc_id))"""
+
+
+def matches(spark, sf_dir, *extra):
+    docs = library(spark, sf_dir).select("doc_id", "supplier", "file_name", *extra)
+    return covered(spark, sf_dir).select("item_id", "doc_id", F.round(F.col("coverage") * 100, 6).alias("score")).join(docs, "doc_id")
+
+
+SUMMARY = """summary AS (SELECT count(*) AS items, count(n) AS with_match, count(*) - count(n) AS without_match,
+ CAST(coalesce(sum(n), 0) AS BIGINT) AS matches, coalesce(sum(n), 0)::DOUBLE / count(*) AS avg_per_item, count(n) * 100.0::DOUBLE / count(*) AS match_rate
+ FROM items LEFT JOIN (SELECT item_id, count(*) AS n FROM matches GROUP BY item_id) USING (item_id))"""
+
+
+@query(f"""WITH {MATCHES}, {SUMMARY} SELECT items, with_match, without_match, matches, round(avg_per_item, 6) AS avg_per_item,
+ round(match_rate, 6) AS match_rate FROM summary""")
+def match_summary(spark, sf_dir):
+    out = reports.match_summary(plain_items(spark, sf_dir), matches(spark, sf_dir))
+    return out.withColumn("avg_per_item", F.round("avg_per_item", 6)).withColumn("match_rate", F.round("match_rate", 6))
+
+
+@query(f"""WITH {MATCHES} SELECT supplier, count(*) AS matches, round(avg(score), 4) AS avg_score, max(score) AS max_score,
+ min(score) AS min_score FROM matches GROUP BY supplier""")
+def vendor_match_stats(spark, sf_dir):
+    return reports.vendor_match_stats(matches(spark, sf_dir)).withColumn("avg_score", F.round("avg_score", 4))
+
+
+@query(f"""WITH {MATCHES}, b AS (SELECT unnest(['90-100', '80-89', '70-79', '60-69', '<60']) AS bucket), c AS (SELECT CASE WHEN score >= 90
+ THEN '90-100' WHEN score >= 80 THEN '80-89' WHEN score >= 70 THEN '70-79' WHEN score >= 60 THEN '60-69' ELSE '<60' END AS bucket,
+ count(*) AS n FROM matches GROUP BY 1) SELECT bucket, coalesce(n, 0) AS matches FROM b LEFT JOIN c USING (bucket)""")
+def score_histogram(spark, sf_dir):
+    return reports.score_histogram(matches(spark, sf_dir))
+
+
+@query(f"""WITH {MATCHES} SELECT round(coalesce(avg(score), 0), 4) AS average_score, coalesce(max(score), 0) AS highest_score,
+ coalesce(min(score), 0) AS lowest_score FROM matches""")
+def score_range(spark, sf_dir):
+    return reports.score_range(matches(spark, sf_dir)).withColumn("average_score", F.round("average_score", 4))
+
+
+@query(f"""WITH {MATCHES}, {SUMMARY}, a AS (SELECT coalesce(avg(score), 0) AS average FROM matches)
+ SELECT 'low_match_rate' AS code FROM summary WHERE match_rate < 50 UNION ALL
+ SELECT 'low_average_score' FROM a WHERE average < 70 UNION ALL
+ SELECT 'few_matches_per_item' FROM summary WHERE items > 100 AND avg_per_item < 1""")
+def recommendations(spark, sf_dir):
+    found = matches(spark, sf_dir)
+    return reports.recommendations(reports.match_summary(plain_items(spark, sf_dir), found), reports.score_range(found)).select("code")
+
+
+@query(f"""WITH {MATCHES} SELECT item_id, CASE WHEN matches.item_id IS NULL THEN 'No matches' ELSE matches.supplier END AS supplier,
+ coalesce(file_name, '') AS file_name, coalesce(round_even(score, 1), 0)::DOUBLE AS score,
+ coalesce(CASE WHEN length(text) > 200 THEN left(text, 200) || '...' ELSE text END, '') AS text_preview FROM items LEFT JOIN matches USING (item_id)"""
+       .replace("matches.item_id IS NULL", "matches.doc_id IS NULL"))
+def match_detail(spark, sf_dir):
+    detail = reports.match_detail(plain_items(spark, sf_dir), matches(spark, sf_dir, "text"))
+    return ranking.sort_matches(detail, "item_id", "file_name").drop("description")
+
+
+@query(f"""WITH {MATCHES}, k AS (SELECT item_id, {_NORMAL} AS file_key, score, file_name, doc_id FROM matches),
+ r AS (SELECT *, row_number() OVER (PARTITION BY item_id, file_key ORDER BY score DESC, file_name, doc_id) AS n FROM k)
+ SELECT item_id, file_key, score, file_name, doc_id FROM r WHERE n = 1""")
+def dedup_matches(spark, sf_dir):
+    found = matches(spark, sf_dir).select("item_id", "doc_id", "score", "file_name")
+    return ranking.dedup_matches(found).select("item_id", "file_key", "score", "file_name", "doc_id")
+
+
+@query(f"""WITH {MATCHES}, n AS (SELECT *, row_number() OVER (ORDER BY score DESC, item_id, doc_id) AS number, count(*) OVER () AS total FROM matches)
+ SELECT item_id, doc_id, number, 'PDF ' || number || '/' || total || ': ' || file_name || ' (Score: ' || printf('%.1f', score) || '%)' AS result FROM n""")
+def number_matches(spark, sf_dir):
+    found = matches(spark, sf_dir)
+    return ranking.number_matches(found, F.desc("score"), "item_id", "doc_id").select("item_id", "doc_id", "number", "result")
+
+
+@query(f"""WITH {PLAIN_ITEMS_SQL}, {LIBRARY_SQL}, {COVERED} SELECT item_id, doc_id, hits FROM links WHERE coverage >= 0.9""")
+def threshold_links(spark, sf_dir):
+    return filters.at_least(covered(spark, sf_dir), 0.9, "coverage").select("item_id", "doc_id", "hits")
+
+
+TYPED = """typed AS (SELECT *, CASE item_id % 4 WHEN 0 THEN 'Software' WHEN 1 THEN 'Non-Instrument' WHEN 2 THEN 'Instrument' ELSE '' END AS item_type FROM items)"""
+PER = """per AS (SELECT f.supplier, (SELECT count(*) FROM typed i WHERE i.supplier = f.supplier) AS items,
+ (SELECT count(*) FROM typed i WHERE i.supplier = f.supplier AND item_type NOT IN ('Software', 'Non-Instrument')) AS kept,
+ (SELECT count(*) FROM matches m JOIN typed i USING (item_id) WHERE i.supplier = f.supplier AND m.supplier = f.supplier
+  AND item_type NOT IN ('Software', 'Non-Instrument')) AS matches FROM (SELECT DISTINCT supplier FROM library) f)"""
+
+
+def per_supplier(spark, sf_dir):
+    typed = plain_items(spark, sf_dir).withColumn("item_type", F.expr(
+        "CASE item_id % 4 WHEN 0 THEN 'Software' WHEN 1 THEN 'Non-Instrument' WHEN 2 THEN 'Instrument' ELSE '' END"))
+    kept = filters.exclude_types(typed, "item_type")
+    found = matches(spark, sf_dir).join(kept.select("item_id", "supplier"), ["item_id", "supplier"], "left_semi")
+    folders = table(spark, sf_dir, "documents").select(F.col("source").alias("supplier"))
+    return reports.supplier_run_stats(folders, typed, kept, found)
+
+
+@query(f"""WITH {MATCHES}, {TYPED}, {PER} SELECT supplier, items, kept, items - kept AS skipped, matches FROM per""")
+def supplier_run_stats(spark, sf_dir):
+    return per_supplier(spark, sf_dir)
+
+
+@query(f"""WITH {MATCHES}, {TYPED}, {PER} SELECT count(*) AS suppliers, count(*) FILTER (WHERE matches > 0) AS suppliers_with_matches,
+ CAST(sum(kept) AS BIGINT) AS items_kept, CAST(sum(items - kept) AS BIGINT) AS items_skipped, CAST(sum(matches) AS BIGINT) AS matches,
+ round(100.0 * count(*) FILTER (WHERE matches > 0) / count(*), 6) AS supplier_match_rate,
+ round(coalesce(100.0 * sum(matches) / nullif(sum(kept), 0), 0), 6) AS item_match_rate FROM per""")
+def run_totals(spark, sf_dir):
+    out = reports.run_totals(per_supplier(spark, sf_dir))
+    return out.withColumn("supplier_match_rate", F.round("supplier_match_rate", 6)).withColumn("item_match_rate", F.round("item_match_rate", 6))
