@@ -101,9 +101,13 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(f"SELECT {ITEM_COLUMNS} FROM {{benchmark}}", benchmark=table(spark, sf_dir, "benchmark"))
 
 
+def bind(spark: SparkSession, select: str, **frames: DataFrame) -> DataFrame:
+    """SQL text over named DataFrames, batch or streaming."""
+    for name in frames:
+        select = re.sub(rf"\b(FROM|JOIN)\s+{name}\b", rf"\1 {{{name}}}", select)
+    return spark.sql(select, **frames)
+
+
 def role(spark: SparkSession, sf_dir: str, select: str, *tables: str) -> DataFrame:
-    """A role table from SQL text over the supplied tables, which Spark takes as arguments."""
-    text = select
-    for name in tables:
-        text = re.sub(rf"\b(FROM|JOIN)\s+{name}\b", rf"\1 {{{name}}}", text)
-    return spark.sql(text, **{name: table(spark, sf_dir, name) for name in tables})
+    """A role table from SQL text over the supplied tables."""
+    return bind(spark, select, **{name: table(spark, sf_dir, name) for name in tables})

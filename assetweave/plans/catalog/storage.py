@@ -1 +1,109 @@
-"""To come."""
+"""Sources and sinks: each query writes what Spark derives from the tables and reads it back."""
+
+from pyspark.sql import functions as F
+
+from assetweave.functions.arrays import explode_computed
+from assetweave.operators import reports
+from assetweave.plans.catalog.labels import CANDIDATES, LABELLED, dictionary, labelled, learn_candidates
+from assetweave.plans.catalog.links import MATCHES, SUMMARY, matches, plain_items
+from assetweave.plans.catalog.registry import query, table, trimmed
+from assetweave.plans.catalog.suppliers import MASTER, master
+from assetweave.session import shared_folder
+from assetweave.sources import readers, writers
+
+SHEET_ROWS = 1000
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS code, p_name AS description, p_brand AS supplier FROM part")
+def read_items(spark, sf_dir):
+    """Part sheets of a thousand rows each, with a title line above the header."""
+    lines = table(spark, sf_dir, "part").select(
+        F.floor(F.col("p_partkey") / SHEET_ROWS).alias("sheet"),
+        F.struct("p_partkey", F.concat_ws(",", F.col("p_partkey"), "p_name", "p_brand").alias("line")).alias("l"))
+    sheets = lines.groupBy("sheet").agg(F.array_sort(F.collect_list("l")).alias("ls")).select("sheet", F.concat(
+        F.lit("Exported parts,,\ncode,description,supplier\n"), F.array_join(F.col("ls.line"), "\n")).alias("value"))
+    path = shared_folder(spark, "sheets")
+    sheets.write.partitionBy("sheet").text(path)
+    return readers.read_items(spark, f"{path}/*", "csv")
+
+
+@query(f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS value FROM documents)
+ SELECT doc_id, lower({trimmed('value')}) AS keyword FROM l WHERE {trimmed('value')} <> '' AND NOT starts_with({trimmed('value')}, '#')""")
+def parse_dictionary(spark, sf_dir):
+    lines = explode_computed(table(spark, sf_dir, "documents"), F.split("text", "\n"), "value", "doc_id")
+    return readers.parse_dictionary(lines).select("doc_id", "keyword")
+
+
+@query("SELECT source AS supplier, count(*) AS n, sum(n_chars)::BIGINT AS chars, true AS found FROM documents GROUP BY source")
+def scan_library(spark, sf_dir):
+    """Folder per supplier; the scan lists files only, never their contents."""
+    docs, path = table(spark, sf_dir, "documents"), shared_folder(spark, "library")
+    docs.select(F.regexp_replace("text", r"[\r\n]", " ").alias("value"), F.col("source").alias("folder")) \
+        .write.partitionBy("folder").text(path)
+    files = readers.scan_library(spark, path, "*.txt").withColumn("supplier", F.regexp_replace("supplier", "^folder=", ""))
+    seen = files.groupBy("supplier").agg((F.sum("size_bytes") > 0).alias("found"))
+    return docs.groupBy(F.col("source").alias("supplier")).agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars")) \
+        .join(seen, "supplier", "left")
+
+
+@query(f"WITH {LABELLED} SELECT label AS TYPE, doc_id, source || '_labeled' AS source FROM l JOIN documents USING (doc_id)")
+def write_labeled(spark, sf_dir):
+    rows = labelled(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id") \
+        .select("doc_id", "label", "source")
+    path = shared_folder(spark, "labeled")
+    writers.write_labeled(rows, "label", "source", path)
+    return spark.read.parquet(path).select("TYPE", "doc_id", "source")
+
+
+@query(f"""WITH {MASTER}, n AS (SELECT 'NEW#' || upper(c_mktsegment) AS supplier, arg_min('https://' || c_name, c_custkey) AS website FROM customer GROUP BY 1)
+ SELECT supplier, website FROM master UNION ALL SELECT supplier, website FROM n""")
+def append_absent(spark, sf_dir):
+    path = shared_folder(spark, "master")
+    known = master(spark, sf_dir)
+    known.write.parquet(path)
+    rows = table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("NEW#"), F.upper("c_mktsegment")).alias("supplier"), F.concat(F.lit("https://"), "c_name").alias("website"), "c_custkey")
+    writers.append_absent(rows.unionByName(known.withColumn("c_custkey", F.lit(-1).cast("long"))), path, "supplier", "c_custkey")
+    return spark.read.parquet(path)
+
+
+@query(f"WITH {CANDIDATES} SELECT category, keyword, round(weight, 6) AS weight FROM c")
+def learning_log(spark, sf_dir):
+    path = shared_folder(spark, "learning")
+    writers.save_learning(learn_candidates(spark, sf_dir), path, {"min_occurrences": 5, "confidence_threshold": 0.7}, "2024-01-01T00:00:00")
+    return writers.load_learning(spark, path)
+
+
+@query("SELECT user_id, max(event_id) AS last_event FROM events GROUP BY user_id")
+def state_table(spark, sf_dir):
+    """Two versions; readers see the newest finished one."""
+    events, path = table(spark, sf_dir, "events"), shared_folder(spark, "state")
+    writers.write_version(events.groupBy("user_id").agg(F.min("event_id").alias("last_event")), path, 1)
+    writers.write_version(events.groupBy("user_id").agg(F.max("event_id").alias("last_event")), path, 2)
+    return writers.read_latest(spark, path)
+
+
+@query("""SELECT category, keyword, 20240101 AS snapshot_ts FROM (SELECT DISTINCT category, keyword FROM (
+  SELECT CASE WHEN p_partkey % 2 = 0 THEN 'hw' ELSE 'ni' END AS category, lower(p_type) AS keyword FROM part
+  UNION ALL SELECT 'hw', lower(p_name) FROM part UNION ALL SELECT 'sw', lower(substring(text, 1, 14)) FROM benchmark
+  UNION ALL SELECT 'ni', lower(source) FROM documents))""")
+def snapshot(spark, sf_dir):
+    path = shared_folder(spark, "snapshots")
+    writers.snapshot(dictionary(spark, sf_dir), path, "20240101")
+    return spark.read.parquet(path)
+
+
+@query(f"""WITH {MATCHES}, {SUMMARY} SELECT items, matches, round(match_rate, 6) AS match_rate, (SELECT count(*) FROM items LEFT JOIN matches
+ USING (item_id)) AS detail_rows, (SELECT count(DISTINCT supplier) FROM matches) AS vendors FROM summary""")
+def match_report(spark, sf_dir):
+    """Detail and vendor tables and a JSON summary, read back and counted."""
+    found, wanted = matches(spark, sf_dir, "text").persist(), plain_items(spark, sf_dir)
+    path = shared_folder(spark, "report")
+    writers.write_match_report(reports.match_detail(wanted, found), reports.match_summary(wanted, found),
+                               reports.vendor_match_stats(found), path)
+    found.unpersist()
+    detail = spark.read.parquet(f"{path}/detail").agg(F.count("*").alias("detail_rows"), F.lit(1).alias("_one"))
+    vendors = spark.read.parquet(f"{path}/vendors").agg(F.count("*").alias("vendors"), F.lit(1).alias("_one"))
+    summary = spark.read.schema("items long, matches long, match_rate double").json(f"{path}/summary")
+    return summary.withColumn("match_rate", F.round("match_rate", 6)).withColumn("_one", F.lit(1)) \
+        .join(detail, "_one").join(vendors, "_one").drop("_one")

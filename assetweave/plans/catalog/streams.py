@@ -1 +1,73 @@
-"""To come."""
+"""Streaming jobs over the supplied tables as arriving files, run to the end of the input.
+
+The checking SQL is the batch answer over the whole table.
+"""
+
+from pyspark.sql import functions as F
+
+from assetweave.plans.catalog.labels import CANDIDATES, LABELLED, PURCHASED, dictionary
+from assetweave.plans.catalog.registry import bind, query
+from assetweave.session import shared_folder
+from assetweave.sources import writers
+from assetweave.streaming import jobs
+
+
+def _stream(spark, sf_dir, name):
+    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+    return jobs.watch_folder(spark, f"{sf_dir}/{name}.parquet*", schema)
+
+
+def _purchased(spark, sf_dir):
+    return bind(spark, PURCHASED, documents=_stream(spark, sf_dir, "documents"))
+
+
+def _finish(query_):
+    query_.awaitTermination()
+    if query_.exception():
+        raise query_.exception()
+
+
+@query(f"WITH {LABELLED} SELECT doc_id, label FROM l")
+def label_stream(spark, sf_dir):
+    out, mark = shared_folder(spark, "stream"), shared_folder(spark, "marks")
+    labelled = jobs.label_stream(_purchased(spark, sf_dir), "description", "vendor").select("doc_id", "label")
+    _finish(jobs.to_folder(labelled, out, mark, once=True))
+    return spark.read.schema("doc_id long, label string").parquet(out)
+
+
+@query(f"WITH {CANDIDATES} SELECT category, keyword, sightings, round(weight, 6) AS weight FROM c")
+def learn_stream(spark, sf_dir):
+    out, mark = shared_folder(spark, "stream"), shared_folder(spark, "marks")
+    labelled = jobs.label_stream(_purchased(spark, sf_dir), "description", "vendor")
+    _finish(jobs.to_versions(jobs.learned_counts(labelled, "description", "label", dictionary(spark, sf_dir)), out, mark, once=True))
+    return writers.read_latest(spark, out).withColumn("weight", F.round("weight", 6))
+
+
+@query("SELECT user_id, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS last_seen FROM events GROUP BY user_id")
+def last_seen_stream(spark, sf_dir):
+    out, mark = shared_folder(spark, "stream"), shared_folder(spark, "marks")
+    _finish(jobs.to_versions(jobs.last_seen(_stream(spark, sf_dir, "events"), "user_id", "ts"), out, mark, once=True))
+    return writers.read_latest(spark, out).withColumn("last_seen", F.date_format("last_seen", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
+@query("""SELECT user_id || '/' || event_type AS path, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS mtime FROM events GROUP BY ALL""")
+def modified_files_stream(spark, sf_dir):
+    out, mark = shared_folder(spark, "stream"), shared_folder(spark, "marks")
+    changes = _stream(spark, sf_dir, "events").select(
+        F.concat_ws("/", F.col("user_id"), "event_type").alias("path"), F.date_trunc("hour", "ts").cast("timestamp").alias("mtime"))
+    _finish(jobs.to_folder(jobs.modified_files(changes, "path", "mtime"), out, mark, once=True))
+    return spark.read.schema("path string, mtime timestamp").parquet(out).withColumn("mtime", F.date_format("mtime", "yyyy-MM-dd HH:mm"))
+
+
+@query("SELECT 0::BIGINT AS run, max(o_orderpriority) AS file, 'success' AS status, count(*) AS n_rows FROM orders")
+def run_log_stream(spark, sf_dir):
+    """One micro-batch per file; the handler stores the batch, the log gets a row."""
+    out, log, mark = (shared_folder(spark, x) for x in ("stream", "runs", "marks"))
+
+    def store(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    orders = _stream(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("file"))
+    _finish(jobs.with_run_log(orders, store, log, mark, once=True))
+    stored = spark.read.parquet(out).groupBy(F.col("batch").cast("long").alias("run")).agg(F.count("*").alias("n_rows"))
+    return spark.read.parquet(log).select("run", "file", "status").join(stored, "run")
