@@ -23,7 +23,8 @@ def _make_ratio():
             out.append(matcher.ratio())
         return pd.Series(out, dtype="float64")
 
-    return F.pandas_udf(ratio, "double")
+    # declared non-deterministic so that filters on the score do not run it a second time
+    return F.pandas_udf(ratio, "double").asNondeterministic()
 
 
 def sequence_ratio(a: Column, b: Column) -> Column:

@@ -23,6 +23,7 @@ from assetweave.functions import names, text
 from assetweave.functions.arrays import explode_computed
 from assetweave.functions.similarity import ratio_bound, sequence_ratio
 from assetweave.operators.substring import substring_pairs
+from assetweave.session import cut_lineage, task_count
 
 
 # --- scores -------------------------------------------------------------------------------
@@ -124,11 +125,11 @@ def candidate_pairs(items: DataFrame, docs: DataFrame, by: list[str]) -> DataFra
         .withColumn("block", _longest_run(F.col("kw")))
     hay = _document_words(docs, by)
     vocabulary = hay.groupBy("hay").agg(F.count("*").alias("n"))
-    pairs = substring_pairs(terms.select(F.col("block").alias("needle")).dropna().distinct(),
-                            vocabulary.select("hay"))
+    # which word holds which keyword: a vocabulary-sized table that is used twice
+    pairs = cut_lineage(substring_pairs(
+        terms.select(F.col("block").alias("needle")).dropna().distinct(), vocabulary), "words")
     # any fixed order of the keywords is exact; rare ones first keeps the candidates few
-    weights = (pairs.join(vocabulary, "hay").groupBy("needle").agg(F.sum("n").alias("weight"))
-               .select(F.col("needle").alias("block"), "weight"))
+    weights = pairs.groupBy(F.col("needle").alias("block")).agg(F.sum("n").alias("weight"))
     ranked = (terms.join(weights, "block", "left")
               .groupBy("item_id", *by, "_need").agg(
                   F.array_sort(F.collect_list(F.when(F.col("block").isNotNull(), F.struct(
@@ -141,14 +142,15 @@ def candidate_pairs(items: DataFrame, docs: DataFrame, by: list[str]) -> DataFra
                  .select("item_id", *by, F.explode(F.slice("ks", 1, F.greatest(
                      F.col("take"), F.lit(0)).cast("int"))).alias("k"))
                  .select("item_id", *by, F.col("k.block").alias("needle")).distinct())
-    postings = (hay.join(pairs.join(looked_up.select("needle").distinct(), "needle", "left_semi"),
+    postings = (hay.join(pairs.select("needle", "hay").join(looked_up.select("needle").distinct(), "needle", "left_semi"),
                          "hay").select("doc_id", *by, "needle").distinct())
     found = looked_up.join(postings, [*by, "needle"]).select("item_id", "doc_id").distinct()
-    if not by:
-        return found
-    anything = prefix.filter(still < 1).select("item_id", *by)
-    return found.unionByName(anything.join(docs.select("doc_id", *by), by)
-                             .select("item_id", "doc_id"))
+    if by:
+        anything = prefix.filter(still < 1).select("item_id", *by)
+        found = found.unionByName(anything.join(docs.select("doc_id", *by), by).select("item_id", "doc_id"))
+    # pairs are a few bytes each but costly to verify, so their number of tasks is set here;
+    # the hash of both ids also spreads a document that many items may match
+    return found.repartition(task_count(items.sparkSession), F.xxhash64("item_id", "doc_id"))
 
 
 # --- links --------------------------------------------------------------------------------
@@ -191,7 +193,8 @@ def link(items: DataFrame, docs: DataFrame, threshold: float = rules.LINK_THRESH
     if not by:
         _require_blockable(score, threshold)
     pairs = candidate_pairs(left, right, keys)
-    joined = pairs.join(right.drop(*keys), "doc_id").join(left.drop(*keys), "item_id") \
+    # the texts come last: each moves once, to the pairs, and no pair carries one through a shuffle
+    joined = pairs.join(left.drop(*keys), "item_id").join(right.drop(*keys), "doc_id") \
         .withColumn("hits", text.keyword_hits(F.col("_keywords"), F.col("_text"))) \
         .filter(F.col("hits") >= F.col("_need")) \
         .withColumn("coverage", F.col("hits") / F.size("_keywords"))
@@ -226,7 +229,7 @@ def coverage_links(items: DataFrame, docs: DataFrame, min_coverage: float,
         .withColumn("_need", F.ceil(min_coverage * F.size("_keywords") - 1e-9).cast("int"))
     right = docs.select("doc_id", F.lower("text").alias("_text"))
     pairs = candidate_pairs(left, right, [])
-    return (pairs.join(right, "doc_id").join(left.select("item_id", "_keywords", "_need"), "item_id")
+    return (pairs.join(left.select("item_id", "_keywords", "_need"), "item_id").join(right, "doc_id")
             .withColumn("hits", text.keyword_hits(F.col("_keywords"), F.col("_text")))
             .filter(F.col("hits") >= F.col("_need"))
             .select("item_id", "doc_id", "hits", F.size("_keywords").alias("n_keywords"),

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assetweave.functions.arrays import explode_computed
+from assetweave.session import task_count
 
 GRAM_SIZES = (1, 2, 3, 5)
 
@@ -25,27 +26,23 @@ def _lookup_size(c: Column) -> Column:
     return out
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Keep small but expensive inputs on all cores; the rows here are distinct keys."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, key)
-
-
 def substring_pairs(needles: DataFrame, haystacks: DataFrame) -> DataFrame:
-    """(needle, hay) for every distinct non-empty needle contained in a distinct hay.
+    """(needle, hay, ...) for every distinct non-empty needle contained in a distinct hay.
 
-    Both inputs have one column, `needle` and `hay`, and are expected to be vocabularies:
-    distinct words or names, not the rows they came from.
+    `needles` has the column `needle`; `haystacks` has `hay` and may carry more columns.
+    Both are expected to be vocabularies: distinct words or names, not the rows they came
+    from.
     """
     size = _lookup_size(F.col("needle"))
     by_size = F.array_distinct(F.coalesce(*[
         F.when(size == k, grams(F.col("needle"), k)) for k in GRAM_SIZES]))
     own = explode_computed(needles.filter(F.length("needle") > 0), by_size, "gram", "needle")
-    shared = own.groupBy("gram").agg(F.count("*").alias("n"))
+    shared = own.groupBy("gram").agg(F.count("*").alias("n_needles"))
     lookup = (own.join(shared, "gram").groupBy("needle")
-              .agg(F.min(F.struct("n", "gram")).alias("best"))
+              .agg(F.min(F.struct("n_needles", "gram")).alias("best"))
               .select("needle", F.col("best.gram").alias("gram")))
-    hay_grams = explode_computed(spread(haystacks, "hay"), F.array_distinct(F.concat(
-        *[grams(F.col("hay"), k) for k in GRAM_SIZES])), "gram", "hay")
+    spread = haystacks.repartition(task_count(haystacks.sparkSession), "hay")
+    hay_grams = explode_computed(spread, F.array_distinct(F.concat(
+        *[grams(F.col("hay"), k) for k in GRAM_SIZES])), "gram", *haystacks.columns)
     return (hay_grams.join(lookup, "gram").filter(F.contains("hay", F.col("needle")))
-            .select("needle", "hay"))
+            .select("needle", *haystacks.columns))

@@ -33,9 +33,17 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/assetweave/{label}-{uuid4().hex[:12]}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise reliably, so that a lost executor costs a re-read and not a re-run."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(shared_folder(df.sparkSession, "checkpoint"))
-    return df.checkpoint()
+def cut_lineage(df: DataFrame, label: str = "stage") -> DataFrame:
+    """Write an intermediate table to the shared folder and go on from there.
+
+    A lost executor then costs a re-read and not a re-run, and the planner knows the real
+    size of the table when it chooses joins.
+    """
+    path = shared_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def task_count(spark: SparkSession) -> int:
+    """Tasks for small but expensive inputs, which size-based coalescing would starve."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
