@@ -9,6 +9,7 @@ from assetweave import rules
 
 SPACE = r"[\s\p{Z}\x1c-\x1f\x85]"  # the characters a Python str.strip() removes
 WORD = r"[\p{L}\p{N}_]+"
+PIECE = WORD + r"|[^\p{L}\p{N}_\s\p{Z}\x1c-\x1f\x85]+"  # words and runs of other visible characters
 
 
 def strip(c: Column) -> Column:

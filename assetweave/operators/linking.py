@@ -6,8 +6,8 @@ Scoring every pair is quadratic, so candidates come from an exact prefix filter:
 1. An item can only reach the threshold if at least `need` of its `n` keywords hit, where
    `need` follows from the largest value the other parts of the score can take.
 2. Then at least one of its `n - need + 1` rarest keywords hits.
-3. A keyword made of word characters hits exactly when one document word contains it, so
-   hits are found on the distinct words of the library, joined on (supplier, keyword).
+3. A keyword can only hit where one word of the document contains the keyword's longest
+   word, so hits are looked up on the distinct words of the library.
 
 Nothing is capped or sampled; pairs that survive are verified on the whole text, pruned
 once more with a native upper bound, and only then sent to the similarity function.
@@ -65,8 +65,26 @@ class Score:
             return F.lit((threshold / 1.3 - rest) / self.keyword_weight)
         return (threshold - self.slack(low_description)) / self.keyword_weight
 
-    def total(self, description: Column, low_description: Column, low_text: Column,
-              share: Column, file_name: Column, ratio: Column) -> Column:
+    def floor(self) -> float:
+        """Above this threshold every match has at least one keyword hit, whatever the pair."""
+        if self.kind == "four_signal":
+            return 1.3 * (100 - self.keyword_weight)
+        return (self.ratio_weight + (25 if self.kind == "named" else 0) + (15 if self.name_boost else 0))
+
+    def without_hits(self, low_description: Column, file_name: Column, ratio: Column) -> Column:
+        """Most a pair without any keyword hit can score, given a bound of its ratio."""
+        if self.kind == "four_signal":
+            return 1.3 * (ratio * self.ratio_weight + 30.0)
+        return self._combined(low_description, F.lit(""), F.lit(0.0), file_name, ratio)
+
+    def total(self, low_description: Column, low_text: Column, share: Column, file_name: Column,
+              ratio: Column) -> Column:
+        score = self._combined(low_description, low_text, share, file_name, ratio)
+        return F.when(F.length(text.strip(low_text)) < self.min_text, 0.0).otherwise(score) \
+            if self.min_text else score
+
+    def _combined(self, low_description: Column, low_text: Column, share: Column, file_name: Column,
+                  ratio: Column) -> Column:
         name = F.lower(file_name)
         if self.kind == "named":
             said = text.words(low_description)
@@ -90,8 +108,7 @@ class Score:
             for label, points in rules.PRIORITY_BOOST.items():
                 boost = F.when(category == label, points).otherwise(boost)
             score = F.least(score + boost, F.lit(100.0))
-        return F.when(F.length(text.strip(low_text)) < self.min_text, 0.0).otherwise(score) \
-            if self.min_text else score
+        return score
 
 
 NAMED = Score("named", 60, 25, sample=2000, min_text=rules.MIN_TEXT_CHARS)
@@ -104,53 +121,63 @@ EVEN = Score("plain", 50, 50, sample=None, keywords="strict")
 
 # --- candidates -------------------------------------------------------------------------
 
-def _longest_run(keyword: Column) -> Column:
-    """The part of a keyword that must lie inside one document word; null if there is none."""
+def _block(keyword: Column) -> Column:
+    """The part of a keyword that must lie inside one piece of the text.
+
+    Keywords hold no blanks, so without any word character the whole keyword is one run.
+    """
     runs = F.array_sort(F.transform(text.words(keyword), lambda w: F.struct(
         (-F.length(w)).alias("n"), w.alias("w"))))
-    return F.try_element_at(runs, F.lit(1))["w"]
+    return F.coalesce(F.try_element_at(runs, F.lit(1))["w"], keyword)
 
 
-def _document_words(docs: DataFrame, by: list[str]) -> DataFrame:
-    return explode_computed(docs, F.array_distinct(text.words("_text")), "hay", "doc_id", *by)
+def _document_pieces(docs: DataFrame, by: list[str]) -> DataFrame:
+    pieces = F.regexp_extract_all("_text", F.lit(text.PIECE), F.lit(0))
+    return explode_computed(docs, F.array_distinct(pieces), "hay", "doc_id", *by)
 
 
 def candidate_pairs(items: DataFrame, docs: DataFrame, by: list[str]) -> DataFrame:
     """(item_id, doc_id) pairs that can have at least `_need` keyword hits.
 
-    `items` carries item_id, `_keywords`, `_need` (>= 1) and the `by` columns; `docs`
-    carries doc_id, `_text` in lower case and the `by` columns.
+    `items` carries item_id, `_keywords`, `_need` and the `by` columns; `docs` carries
+    doc_id, `_text` in lower case and the `by` columns. A need below 1 counts as 1.
     """
     terms = explode_computed(items, F.col("_keywords"), "kw", "item_id", *by, "_need") \
-        .withColumn("block", _longest_run(F.col("kw")))
-    hay = _document_words(docs, by)
+        .withColumn("block", _block(F.col("kw")))
+    hay = _document_pieces(docs, by)
     vocabulary = hay.groupBy("hay").agg(F.count("*").alias("n"))
     # which word holds which keyword: a vocabulary-sized table that is used twice
     pairs = cut_lineage(substring_pairs(
-        terms.select(F.col("block").alias("needle")).dropna().distinct(), vocabulary), "words")
+        terms.select(F.col("block").alias("needle")).distinct(), vocabulary), "words")
     # any fixed order of the keywords is exact; rare ones first keeps the candidates few
     weights = pairs.groupBy(F.col("needle").alias("block")).agg(F.sum("n").alias("weight"))
     ranked = (terms.join(weights, "block", "left")
-              .groupBy("item_id", *by, "_need").agg(
-                  F.array_sort(F.collect_list(F.when(F.col("block").isNotNull(), F.struct(
-                      F.coalesce("weight", F.lit(0)).alias("weight"), "kw", "block")))).alias("ks"),
-                  F.count_if(F.col("block").isNull()).alias("unblocked")))
-    # keywords without word characters may always hit, so they lower the number needed
-    still = F.col("_need") - F.col("unblocked")
-    prefix = ranked.withColumn("take", F.size("ks") - still + 1)
-    looked_up = (prefix.filter(still >= 1)
-                 .select("item_id", *by, F.explode(F.slice("ks", 1, F.greatest(
-                     F.col("take"), F.lit(0)).cast("int"))).alias("k"))
+              .groupBy("item_id", *by, "_need").agg(F.array_sort(F.collect_list(F.struct(
+                  F.coalesce("weight", F.lit(0)).alias("weight"), "kw", "block"))).alias("ks")))
+    prefix = F.slice("ks", 1, F.size("ks") - F.greatest(F.col("_need"), F.lit(1)) + 1)
+    looked_up = (ranked.select("item_id", *by, F.explode(prefix).alias("k"))
                  .select("item_id", *by, F.col("k.block").alias("needle")).distinct())
     postings = (hay.join(pairs.select("needle", "hay").join(looked_up.select("needle").distinct(), "needle", "left_semi"),
                          "hay").select("doc_id", *by, "needle").distinct())
-    found = looked_up.join(postings, [*by, "needle"]).select("item_id", "doc_id").distinct()
-    if by:
-        anything = prefix.filter(still < 1).select("item_id", *by)
-        found = found.unionByName(anything.join(docs.select("doc_id", *by), by).select("item_id", "doc_id"))
-    # pairs are a few bytes each but costly to verify, so their number of tasks is set here;
-    # the hash of both ids also spreads a document that many items may match
-    return found.repartition(task_count(items.sparkSession), F.xxhash64("item_id", "doc_id"))
+    return looked_up.join(postings, [*by, "needle"]).select("item_id", "doc_id").distinct()
+
+
+def _without_hits(items: DataFrame, docs: DataFrame, score: Score, threshold: float, by: list[str]) -> DataFrame:
+    """Pairs of a low threshold that could match on length and name alone."""
+    open_ = items.filter(F.col("_need") < 1).select("item_id", "_low", *by)
+    sized = docs.select("doc_id", "file_name", F.length(score.ratio_text(F.col("_text"))).alias("_n"), *by)
+    mine = F.length("_low")
+    ratio = F.coalesce(F.try_divide(2.0 * F.least(mine, F.col("_n")), (mine + F.col("_n")).cast("double")), F.lit(1.0))
+    possible = score.without_hits(F.col("_low"), F.col("file_name"), ratio) >= threshold - 1e-9
+    return open_.join(sized, by).filter(possible).select("item_id", "doc_id")
+
+
+def _spread(pairs: DataFrame) -> DataFrame:
+    """Pairs are a few bytes each but costly to verify, so their number of tasks is set here.
+
+    The hash of both ids also spreads a document that many items may match.
+    """
+    return pairs.repartition(task_count(pairs.sparkSession), F.xxhash64("item_id", "doc_id"))
 
 
 # --- links --------------------------------------------------------------------------------
@@ -178,28 +205,30 @@ def link(items: DataFrame, docs: DataFrame, threshold: float = rules.LINK_THRESH
     """
     if threshold <= 0:
         raise ValueError("threshold must be positive")
+    if not by and threshold <= score.floor():
+        raise ValueError(f"threshold must exceed {score.floor()} when no join column is given: below "
+                         "it pairs without any common keyword could match")
     keys = ["_by"] if by else []
     left = _prepared_items(items, score, threshold)
-    # the bare expression F.lower(text) is kept lazy: unused columns never leave the scan
     right = docs.withColumn("_text", F.lower("text")).filter(F.length("_text") > 0)
     if by:
         left = left.withColumn("_by", F.lower(text.strip(F.col(by)))).filter("_by is not null")
         right = right.withColumn("_by", F.lower(text.strip(F.col(by))))
         right = right.join(left.select("_by").distinct(), "_by", "left_semi")
-    left = left.select("item_id", "description", "_low", "_keywords", "_need", *keys)
+    left = left.select("item_id", "_low", "_keywords", "_need", *keys)
     right = right.select("doc_id", "file_name", "_text", *keys)
     if score.min_text:
         right = right.filter(F.length(text.strip(F.col("_text"))) >= score.min_text)
-    if not by:
-        _require_blockable(score, threshold)
     pairs = candidate_pairs(left, right, keys)
+    if threshold <= score.floor():
+        pairs = pairs.unionByName(_without_hits(left, right, score, threshold, keys)).distinct()
     # the texts come last: each moves once, to the pairs, and no pair carries one through a shuffle
-    joined = pairs.join(left.drop(*keys), "item_id").join(right.drop(*keys), "doc_id") \
+    joined = _spread(pairs).join(left.drop(*keys), "item_id").join(right.drop(*keys), "doc_id") \
         .withColumn("hits", text.keyword_hits(F.col("_keywords"), F.col("_text"))) \
         .filter(F.col("hits") >= F.col("_need")) \
         .withColumn("coverage", F.col("hits") / F.size("_keywords"))
     sample = score.ratio_text(F.col("_text"))
-    parts = [F.col(c) for c in ("description", "_low", "_text", "coverage", "file_name")]
+    parts = [F.col(c) for c in ("_low", "_text", "coverage", "file_name")]
     bound = score.total(*parts, ratio_bound(F.col("_low"), sample))
     return (joined.filter(bound >= threshold - 1e-9)
             .withColumn("ratio", sequence_ratio(F.col("_low"), sample))
@@ -208,16 +237,6 @@ def link(items: DataFrame, docs: DataFrame, threshold: float = rules.LINK_THRESH
             .select("item_id", "doc_id", "hits", "coverage", "ratio", "score"))
 
 
-def _require_blockable(score: Score, threshold: float) -> None:
-    """Without a join column, a threshold in reach of zero keyword hits means all pairs."""
-    floor = (1.3 * (100 - score.keyword_weight) if score.kind == "four_signal" else
-             score.ratio_weight + (25 if score.kind == "named" else 0)
-             + (15 if score.name_boost else 0))
-    if threshold <= floor:
-        raise ValueError(f"threshold must exceed {floor} when no join column is given: below it "
-                         "pairs without any common keyword could match")
-
-
 def coverage_links(items: DataFrame, docs: DataFrame, min_coverage: float,
                    variant: str = "capped") -> DataFrame:
     """(item_id, doc_id, hits, n_keywords, coverage) with at least `min_coverage`, all docs."""
@@ -229,7 +248,7 @@ def coverage_links(items: DataFrame, docs: DataFrame, min_coverage: float,
         .withColumn("_need", F.ceil(min_coverage * F.size("_keywords") - 1e-9).cast("int"))
     right = docs.select("doc_id", F.lower("text").alias("_text"))
     pairs = candidate_pairs(left, right, [])
-    return (pairs.join(left.select("item_id", "_keywords", "_need"), "item_id").join(right, "doc_id")
+    return (_spread(pairs).join(left.select("item_id", "_keywords", "_need"), "item_id").join(right, "doc_id")
             .withColumn("hits", text.keyword_hits(F.col("_keywords"), F.col("_text")))
             .filter(F.col("hits") >= F.col("_need"))
             .select("item_id", "doc_id", "hits", F.size("_keywords").alias("n_keywords"),
