@@ -27,6 +27,23 @@ def split_words(c: Column) -> Column:
     return F.filter(F.split(c, f"{SPACE}+"), lambda w: w != "")
 
 
+def pieces(c: Column) -> Column:
+    """Words and runs of other visible characters, in order."""
+    return F.regexp_extract_all(c, F.lit(PIECE), F.lit(0))
+
+
+def lookup_piece(term: Column) -> Column:
+    """The longest word of a term, or its longest other run when it has no word.
+
+    Wherever the term occurs in a text, one piece of that text contains this one.
+    """
+    def longest(runs: Column) -> Column:
+        keyed = F.transform(runs, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))
+        return F.try_element_at(F.array_sort(keyed), F.lit(1))["w"]
+
+    return F.coalesce(longest(words(term)), longest(pieces(term)))
+
+
 def contains_any(c: Column, terms: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(c, F.lit(t)) for t in terms])
 

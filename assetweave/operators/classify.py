@@ -8,6 +8,7 @@ from assetweave.functions import text
 from assetweave.functions.arrays import explode_computed
 from assetweave.functions.text import contains_any, strip
 from assetweave.operators.substring import substring_pairs
+from assetweave.session import cut_lineage
 
 
 def _quoted(term: str) -> str:
@@ -57,12 +58,10 @@ def classify_by_dictionary(df: DataFrame, key: str, description: str, dictionary
     verified on the description, so the texts are never compared with every term.
     """
     terms = dictionary.filter(F.col("category").isin("hw", "sw")) \
-        .select("category", "keyword", F.array_sort(F.transform(
-            text.words(F.col("keyword")), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))
-        ).alias("runs")).withColumn("needle", F.try_element_at("runs", F.lit(1))["w"])
+        .select("category", "keyword", text.lookup_piece(F.col("keyword")).alias("needle"))
     low = df.select(key, F.lower(F.col(description)).alias("_low"))
-    hay = explode_computed(low, F.array_distinct(text.words(F.col("_low"))), "hay", key)
-    pairs = substring_pairs(terms.select("needle").dropna().distinct(), hay.select("hay").distinct())
+    hay = explode_computed(low, F.array_distinct(text.pieces(F.col("_low"))), "hay", key)
+    pairs = cut_lineage(substring_pairs(terms.select("needle").dropna().distinct(), hay.select("hay").distinct()), "words")
     # single-word terms are decided by the word alone: collapse to one flag per word
     single = terms.filter(F.col("needle") == F.col("keyword")).join(pairs, "needle") \
         .groupBy("hay").agg(F.bool_or(F.col("category") == "hw").alias("hw"),

@@ -121,19 +121,8 @@ EVEN = Score("plain", 50, 50, sample=None, keywords="strict")
 
 # --- candidates -------------------------------------------------------------------------
 
-def _block(keyword: Column) -> Column:
-    """The part of a keyword that must lie inside one piece of the text.
-
-    Keywords hold no blanks, so without any word character the whole keyword is one run.
-    """
-    runs = F.array_sort(F.transform(text.words(keyword), lambda w: F.struct(
-        (-F.length(w)).alias("n"), w.alias("w"))))
-    return F.coalesce(F.try_element_at(runs, F.lit(1))["w"], keyword)
-
-
 def _document_pieces(docs: DataFrame, by: list[str]) -> DataFrame:
-    pieces = F.regexp_extract_all("_text", F.lit(text.PIECE), F.lit(0))
-    return explode_computed(docs, F.array_distinct(pieces), "hay", "doc_id", *by)
+    return explode_computed(docs, F.array_distinct(text.pieces(F.col("_text"))), "hay", "doc_id", *by)
 
 
 def candidate_pairs(items: DataFrame, docs: DataFrame, by: list[str]) -> DataFrame:
@@ -143,7 +132,7 @@ def candidate_pairs(items: DataFrame, docs: DataFrame, by: list[str]) -> DataFra
     doc_id, `_text` in lower case and the `by` columns. A need below 1 counts as 1.
     """
     terms = explode_computed(items, F.col("_keywords"), "kw", "item_id", *by, "_need") \
-        .withColumn("block", _block(F.col("kw")))
+        .withColumn("block", text.lookup_piece(F.col("kw")))
     hay = _document_pieces(docs, by)
     vocabulary = hay.groupBy("hay").agg(F.count("*").alias("n"))
     # which word holds which keyword: a vocabulary-sized table that is used twice

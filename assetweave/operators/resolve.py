@@ -1,6 +1,6 @@
 """Supplier resolution: known names, entity matching, URL confidence, routing."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assetweave import rules
@@ -188,7 +188,7 @@ def suggest_similar(suppliers: DataFrame, targets: DataFrame, cutoff: float = 0.
         seen = F.transform(chars, lambda x, i: F.concat(x, (i - F.array_position(chars, x) + 1).cast("string")))
         return df.filter(F.length(c) > 0).select(c, low.alias(c + "_low"), seen.alias(c + "_bag")).distinct()
 
-    mine, theirs = bag(suppliers, "name"), bag(targets, "target")
+    mine, theirs = cut_lineage(bag(suppliers, "name")), cut_lineage(bag(targets, "target"))
     order = (explode_computed(mine, F.col("name_bag"), "e").unionAll(explode_computed(theirs, F.col("target_bag"), "e"))
              .groupBy("e").agg(F.count("*").alias("n")))
 
@@ -207,7 +207,6 @@ def suggest_similar(suppliers: DataFrame, targets: DataFrame, cutoff: float = 0.
               .filter((dice >= cutoff - 1e-9) & (ratio_bound(F.col("name_low"), F.col("target_low")) >= cutoff - 1e-9))
               .withColumn("ratio", sequence_ratio(F.col("name_low"), F.col("target_low")))
               .filter(F.col("ratio") >= cutoff))
-    from pyspark.sql import Window
     window = Window.partitionBy("name").orderBy(F.desc("ratio"), "target")
     return scored.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k) \
         .select("name", "rank", "target", "ratio")
