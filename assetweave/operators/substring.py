@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assetweave.functions.arrays import explode_computed
-from assetweave.session import task_count
+from assetweave.session import cut_lineage, task_count
 
 GRAM_SIZES = (1, 2, 3, 5)
 
@@ -38,9 +38,10 @@ def substring_pairs(needles: DataFrame, haystacks: DataFrame) -> DataFrame:
         F.when(size == k, grams(F.col("needle"), k)) for k in GRAM_SIZES]))
     own = explode_computed(needles.filter(F.length("needle") > 0), by_size, "gram", "needle")
     shared = own.groupBy("gram").agg(F.count("*").alias("n_needles"))
-    lookup = (own.join(shared, "gram").groupBy("needle")
-              .agg(F.min(F.struct("n_needles", "gram")).alias("best"))
-              .select("needle", F.col("best.gram").alias("gram")))
+    # written out, so that its real size decides whether the grams of the haystacks move
+    lookup = cut_lineage(own.join(shared, "gram").groupBy("needle")
+                         .agg(F.min(F.struct("n_needles", "gram")).alias("best"))
+                         .select("needle", F.col("best.gram").alias("gram")), "grams")
     spread = haystacks.repartition(task_count(haystacks.sparkSession), "hay")
     hay_grams = explode_computed(spread, F.array_distinct(F.concat(
         *[grams(F.col("hay"), k) for k in GRAM_SIZES])), "gram", *haystacks.columns)

@@ -84,8 +84,8 @@ LEGACY = """SELECT DISTINCT category, keyword FROM (
   SELECT 'hw' AS category, lower(p_type) AS keyword FROM part
   UNION ALL SELECT 'hw', split_part(lower(p_name), ' ', 1) FROM part
   UNION ALL SELECT 'sw', split_part(lower(p_name), ' ', 2) FROM part
-  UNION ALL SELECT 'hw', lower(substring(text, 1, 9)) FROM benchmark WHERE item_id % 2 = 0
-  UNION ALL SELECT 'sw', lower(substring(text, 3, 12)) FROM benchmark WHERE item_id % 2 = 1)"""
+  UNION ALL SELECT CASE WHEN item_id % 2 = 0 THEN 'hw' ELSE 'sw' END, CASE WHEN item_id % 2 = 0 THEN
+    lower(substring(text, 1, 9)) ELSE lower(substring(text, 3, 12)) END FROM benchmark)"""
 
 
 @query(f"""WITH d AS ({LEGACY}) SELECT doc_id, CASE

@@ -98,6 +98,16 @@ def coalesce_roles(spark, sf_dir):
     return columns.coalesce_roles(role(spark, sf_dir, SHEET, "part"), "p_partkey")
 
 
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'nan' ELSE p_name END AS description,
+ CASE WHEN p_partkey % 7 = 0 THEN '' ELSE p_brand END AS supplier FROM part""")
+def resolve_roles(spark, sf_dir):
+    """Columns found by name: the substring rule and the ordered candidates agree on this sheet."""
+    sheet = role(spark, sf_dir, SHEET, "part")
+    found = columns.resolve_by_candidates(sheet)
+    return sheet.select("p_partkey", F.col(f"`{columns.resolve_by_substring(sheet, 'description')}`").alias("description"),
+                        F.col(f"`{found['supplier']}`").alias("supplier"))
+
+
 @query("SELECT l_discount, l_returnflag, count(*) AS n FROM lineitem GROUP BY ALL")
 def drop_by_position(spark, sf_dir):
     order = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount",

@@ -79,7 +79,7 @@ def attach_master_folded(spark, sf_dir):
 
 
 @query(f"""WITH r AS ({MASTER_ROWS}), m AS (SELECT upper({trimmed('name')}) AS supplier, max(coalesce(CASE WHEN pos % 20 < 10
- THEN '' ELSE website END, '')) AS website FROM r WHERE pos % 3 = 0 OR pos % 20 < 10 GROUP BY 1), m2 AS (SELECT supplier,
+ THEN '' ELSE website END, '')) AS website FROM r GROUP BY 1), m2 AS (SELECT supplier,
  CASE WHEN supplier LIKE '%5' THEN '' ELSE website END AS website FROM m), {_BOUGHT_KEYED},
  f AS (SELECT supplier, min(item_code) AS item_code FROM items GROUP BY supplier),
  g AS (SELECT f.supplier, f.item_code, min(description) AS description FROM f JOIN items USING (supplier, item_code) GROUP BY ALL)
@@ -88,7 +88,7 @@ def attach_master_folded(spark, sf_dir):
  WHERE m2.supplier IS NULL OR {trimmed('website')} = ''""")
 def missing_suppliers(spark, sf_dir):
     listed = spark.sql(f"""WITH m AS (SELECT upper(trim(name)) AS supplier, max(coalesce(CASE WHEN pos % 20 < 10 THEN ''
-        ELSE website END, '')) AS website FROM {{r}} WHERE pos % 3 = 0 OR pos % 20 < 10 GROUP BY 1)
+        ELSE website END, '')) AS website FROM {{r}} GROUP BY 1)
         SELECT supplier, CASE WHEN supplier LIKE '%5' THEN '' ELSE website END AS website FROM m""",
                        r=master_rows(spark, sf_dir))
     items = keyed(spark, sf_dir).withColumn("place", F.struct("item_code", "description"))
@@ -110,7 +110,7 @@ def append_if_absent(spark, sf_dir):
     return resolve.append_if_absent(master(spark, sf_dir), rows, "supplier", "pos")
 
 
-ALIASES = "SELECT s_name AS supplier, 'DIR ' || n_name AS folder FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 3 = 0"
+ALIASES = "SELECT s_name AS supplier, 'DIR ' || n_name AS folder FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal > 5000"
 
 
 @query(f"""WITH b AS ({BOUGHT}), a AS ({ALIASES}) SELECT coalesce(folder, b.supplier) AS folder, count(*) AS n
@@ -128,9 +128,8 @@ NAMES = """SELECT DISTINCT CASE c_custkey % 9 WHEN 0 THEN upper(c_name) WHEN 1 T
   WHEN 6 THEN 'Unrelated ' || CAST(c_custkey AS VARCHAR(20)) WHEN 7 THEN 'The Plant ' || CAST(c_custkey AS VARCHAR(20)) || ' Corp'
   ELSE c_name END AS name FROM customer """
 TARGETS = """SELECT DISTINCT target FROM (
-  SELECT c_name AS target FROM customer WHERE c_custkey % 2 = 0
+  SELECT CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE 'Plant ' || CAST(c_custkey AS VARCHAR(20)) || ' Ltd' END AS target FROM customer
   UNION ALL SELECT c_mktsegment || ' Trading ' || CAST(c_nationkey AS VARCHAR(9)) FROM customer
-  UNION ALL SELECT 'Plant ' || CAST(c_custkey AS VARCHAR(20)) || ' Ltd' FROM customer WHERE c_custkey % 4 = 3
   UNION ALL SELECT n_name FROM nation)"""
 _CLEAN = "regexp_replace(trim(regexp_replace(lower({0}), '( inc| corp| ltd| llc| co| company| limited)$', '')), '^the ', '')"
 
@@ -151,10 +150,9 @@ def resolve_entities(spark, sf_dir):
 @query()
 def suggest_similar(spark, sf_dir):
     def vocabulary(name, column, out):
-        words = explode_computed(table(spark, sf_dir, name), text.words(F.lower(column)), out)
-        return words.filter(F.length(out) >= 10).distinct()
+        return explode_computed(table(spark, sf_dir, name), text.words(F.lower(column)), out).distinct()
     return resolve.suggest_similar(vocabulary("benchmark", "text", "name"), vocabulary("conversations", "text", "target"),
-                                   cutoff=0.75, k=3)
+                                   cutoff=0.85, k=3)
 
 
 # --- URL confidence ------------------------------------------------------------------------------
