@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from assetweave.operators import filters, linking, ranking, reports
-from assetweave.plans.catalog.documents import CAPPED, FULL, PRIORITIZED, _NORMAL, prioritized
+from assetweave.plans.catalog.documents import CAPPED, FULL, _NORMAL, prioritized
 from assetweave.plans.catalog.registry import ITEMS_SQL, LIBRARY_SQL, items, library, query, table
 
 MIN_COVERAGE = 0.6

@@ -1,7 +1,6 @@
 import os
 
 import pytest
-from pyspark.sql import functions as F
 
 from assetweave.plans import batch
 from assetweave.sources import readers, writers
