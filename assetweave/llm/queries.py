@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assetweave.llm import chat, decontaminate
+from assetweave.llm import chat, decontaminate, embedding, html, language, line_dedup, minhash, packing, quality, warc
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
@@ -32,6 +32,57 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+@query()
+def op1_language_id(spark, sf_dir):
+    """Language of every document, learned from labelled documents that aren't held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = language.learn(language.training_rows(docs), tokenizer_file("piece_bpe_32k.model"))
+    return language.predict(docs.withColumn("held_out", language.held_out()), model, "doc_id", "held_out")
+
+
+LINE_DEDUP_SQL = r"""
+WITH l AS (SELECT doc_id, unnest(range(1, len(p) + 1)) AS pos, unnest(p) AS line
+   FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)),
+ f AS (SELECT doc_id, pos, trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS x FROM l),
+ n AS (SELECT doc_id, pos, x, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i FROM f WHERE x <> ''),
+ w AS (SELECT * FROM (SELECT doc_id, i, x || chr(10) || lead(x, 1) OVER o || chr(10) || lead(x, 2) OVER o AS win
+   FROM n WINDOW o AS (PARTITION BY doc_id ORDER BY i)) WHERE win IS NOT NULL),
+ r AS (SELECT *, first_value(doc_id) OVER o AS d1, first_value(i) OVER o AS i1 FROM w
+   WINDOW o AS (PARTITION BY win ORDER BY doc_id, i)),
+ s AS (SELECT doc_id, CASE WHEN doc_id = d1 THEN greatest(i, i1 + 3) ELSE i END AS a, i + 2 AS b FROM r
+   WHERE NOT (doc_id = d1 AND i = i1)),
+ g AS (SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS i FROM s WHERE a <= b),
+ k AS (SELECT n.doc_id, n.pos FROM n JOIN g USING (doc_id, i)),
+ t AS (SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.pos) AS text FROM l ANTI JOIN k USING (doc_id, pos) GROUP BY l.doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(t.text, '') END AS text,
+ coalesce((SELECT count(*) FROM n WHERE n.doc_id = d.doc_id), 0) AS n_lines,
+ coalesce((SELECT count(*) FROM k WHERE k.doc_id = d.doc_id), 0) AS n_removed
+FROM documents d LEFT JOIN t USING (doc_id)"""
+
+
+@query(LINE_DEDUP_SQL)
+def op2_line_dedup(spark, sf_dir):
+    """Documents without passages of three lines and more that occurred before."""
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "text", F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"))
+
+
+def packed_digests(docs: DataFrame) -> DataFrame:
+    pieces = packing.pack(docs, tokenizer_file("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query()
+def op3_packing(spark, sf_dir):
+    """All documents packed into sequences of 1024 tokens with lexical neighbours."""
+    return packed_digests(table(spark, sf_dir, "documents"))
+
+
 DECONTAMINATE_SQL = r"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
    'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
@@ -89,3 +140,56 @@ def op10_chat(spark, sf_dir):
         F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), ""), 256)
         .alias("turns_sha256"), F.length(lost).cast("long").alias("loss_chars"), F.sha2(lost, 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+@query()
+def op5_quality(spark, sf_dir):
+    """Quality score of every document from two views that have taught each other."""
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
+
+
+@query()
+def op6_html(spark, sf_dir):
+    """Main text of every page."""
+    return html.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+EMBEDDING_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+   AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+ p AS MATERIALIZED (SELECT a.vec_id AS u, b.vec_id AS w FROM v a, v b
+   WHERE a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+ r AS (SELECT vec_id AS s, vec_id AS t FROM embeddings UNION SELECT r.s, p.w FROM r JOIN p ON r.t = p.u),
+ c AS (SELECT s AS vec_id, min(t) AS component_id FROM r GROUP BY s)
+SELECT c.vec_id, (SELECT count(*) FROM p WHERE p.u = c.vec_id) AS n_links, component_id, c.vec_id = component_id AS kept FROM c"""
+
+
+@query(EMBEDDING_SQL)
+def op7_embedding_dedup(spark, sf_dir):
+    """Links and components of near vectors."""
+    return embedding.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
+WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+ h AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS s FROM p),
+ d AS (SELECT *, list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + (
+   (CAST('0x' || substr(s, CAST(1 + 5 * (i // 4) AS INT), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31) AS INT), 1)), 'string_agg', '')
+   AS payload_digest, max(page_id) OVER (PARTITION BY s) AS first FROM h)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+ CASE WHEN page_id <> first THEN first END AS refers_to FROM d"""
+
+
+@query(WARC_SQL)
+def op8_warc(spark, sf_dir):
+    """Pages written to Zstandard WARC archives and read back."""
+    return warc.round_trip(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query()
+def op9_minhash(spark, sf_dir):
+    """Class of near-duplicates of every document."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "kept")
