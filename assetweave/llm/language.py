@@ -13,6 +13,7 @@ everything is scored. Texts that are null or hold no letter are `und` with score
 holds a letter. Equal scores go to the language first in order. The score is the language's share of the probability.
 """
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,13 +26,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assetweave.llm.common import schema
-from assetweave.session import cut_lineage
+from assetweave.session import cut_lineage, task_count
 
-PER_LANGUAGE = 2000
-ROUNDS = 4
+PER_LANGUAGE = 1000
+ROUNDS = 3
 UNKNOWN = 1e-7
 LONGEST = 48  # letters of a word that is scored with others at once; longer ones go singly
 CACHE = 300_000
+GROUP = 1_000_000  # characters whose new words are scored together
 LETTERS = regex.compile(r"\p{L}+")
 UNDETERMINED = "und"
 
@@ -47,18 +49,24 @@ class Pieces:
         held = sorted({p for p in told if p == p.lower() and all(c == "▁" or c.isalpha() for c in p) and "▁" not in p[1:]})
         self.number = {p: i for i, p in enumerate(held)}
         self.longest = max(map(len, held))
+        # also the beginnings of pieces, so that a search can end where no piece goes on
+        self._known = {p[:k]: -1 for p in held for k in range(1, len(p))} | self.number
 
     def lattice(self, words: list[str]) -> np.ndarray:
         """Piece numbers [word, begin, length - 1] of words of one length; -1 where there is none, -2 for an unknown letter."""
         n, k = len(words[0]), min(self.longest, len(words[0]))
-        out, get = np.full((len(words), n, k), -1, np.int32), self.number.get
-        for w, word in enumerate(words):
+        flat, get, base = array("i", [-1]) * (len(words) * n * k), self._known.get, 0
+        for word in words:
             for i in range(n):
-                row = [get(word[i:i + j], -1) for j in range(1, min(k, n - i) + 1)]
-                if row[0] < 0:
-                    row[0] = -2
-                out[w, i, :len(row)] = row
-        return out
+                for j in range(1, min(k, n - i) + 1):
+                    found = get(word[i:i + j])
+                    if found is None:
+                        break
+                    flat[base + j - 1] = found
+                if flat[base] < 0:
+                    flat[base] = -2
+                base += k
+        return np.frombuffer(flat, np.int32).reshape(len(words), n, k)
 
 
 _PIECES: dict[str, Pieces] = {}
@@ -140,38 +148,56 @@ class Scorer:
         self._score = np.zeros((1024, len(self.model.languages)))
         self._letters = np.zeros(1024, bool)
 
-    def _words(self, words: list[str]) -> dict[str, np.ndarray]:
-        out = {}
+    def _words(self, words: list[str]) -> np.ndarray:
+        """Log-probabilities [word, language]."""
+        out, number = np.zeros((len(words), len(self.model.languages))), {w: i for i, w in enumerate(words)}
         for n, group in by_length(words).items():
             step = max(1, 200_000 // (n * min(n, self.pieces.longest)))
             for i in range(0, len(group), step):
                 part = group[i:i + step]
-                _, scale = forward(self.pieces.lattice(part), self.model.probability)
-                out.update(zip(part, scale[:, n], strict=True))
+                out[[number[w] for w in part]] = forward(self.pieces.lattice(part), self.model.probability)[1][:, n]
         return out
 
     def _add(self, chunks: list[str]) -> None:
         runs = [["▁" + r for r in LETTERS.findall(c)] for c in chunks]
-        scores = self._words(sorted({r for x in runs for r in x}))
+        words = sorted({r for x in runs for r in x})
+        number = {w: i for i, w in enumerate(words)}
         first = len(self._code)
         while first + len(chunks) > len(self._score):
             self._score, self._letters = (np.concatenate([a, np.zeros_like(a)]) for a in (self._score, self._letters))
-        for i, x in enumerate(runs, first):
-            self._letters[i] = bool(x)
-            self._score[i] = sum(scores[r] for r in x) if x else 0
+        self._score[first:first + len(chunks)] = 0
+        self._letters[first:first + len(chunks)] = [bool(x) for x in runs]
+        owner = np.repeat(np.arange(first, first + len(chunks)), [len(x) for x in runs])
+        if words:
+            np.add.at(self._score, owner, self._words(words)[[number[r] for x in runs for r in x]])
         self._code.update(zip(chunks, range(first, first + len(chunks)), strict=True))
 
-    def score(self, text: str | None) -> np.ndarray | None:
-        """Log-probability per language, None without letters."""
-        chunks = (text or "").lower().split()
+    def learn_chunks(self, texts: list[str | None]) -> None:
+        """Scores the chunks of some texts that aren't known yet, together."""
         if len(self._code) > CACHE:
             self._clear()
-        new = set(chunks).difference(self._code)
+        new = {c for t in texts for c in (t or "").lower().split()}.difference(self._code)
         if new:
             self._add(sorted(new))
+
+    def score(self, text: str | None) -> np.ndarray | None:
+        """Log-probability per language, None without letters. The text's chunks must be known."""
+        chunks = (text or "").lower().split()
         codes = np.fromiter(map(self._code.__getitem__, chunks), np.int32, len(chunks))
         return self._score[codes].sum(axis=0) if self._letters[codes].any() else None
 
+    def scores(self, texts: list[str | None]) -> Iterator[np.ndarray | None]:
+        """One after the other, learned in groups of bounded size."""
+        begin = 0
+        while begin < len(texts):
+            end, size = begin, 0
+            while end < len(texts) and size < GROUP:
+                size += len(texts[end] or "")
+                end += 1
+            self.learn_chunks(texts[begin:end])
+            yield from map(self.score, texts[begin:end])
+            begin = end
+
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[str, Counter] = {}
@@ -220,6 +246,7 @@ def learn(labelled: DataFrame, vocabulary: str, per_language: int = PER_LANGUAGE
         .filter(F.col("_rank") <= per_language)
     words = cut_lineage(few.select("lang", "text").mapInArrow(_word_counts, schema("lang string, word string, n long"))
                         .groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
+    words = words.repartition(task_count(labelled.sparkSession), "lang", "word")  # bounded, few bytes and much to compute
     start = np.full((size, len(languages)), 1.0 / size)
     model = _with_rows(languages, start, vocabulary)
     for _ in range(rounds):
@@ -253,8 +280,8 @@ def _predict(model: Model, kept: bool):
             names, shares = [], []
             texts = batch.column(0).field("text") if kept else batch.column(batch.num_columns - 1)
             carried = batch.columns[:1] if kept else batch.columns[:-1]
-            for text in texts:
-                logs = scorer.score(text.as_py()) if model.languages else None
+            texts = texts.to_pylist()
+            for logs in scorer.scores(texts) if model.languages else [None] * len(texts):
                 if logs is None:
                     names.append(UNDETERMINED), shares.append(0.0)
                     continue
