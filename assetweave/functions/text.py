@@ -79,24 +79,24 @@ def _longest(terms: Column, cap: int | None) -> Column:
 
 
 def search_keywords(description: Column, category: Column | None = None,
-                    variant: str = "capped") -> Column:
-    """Distinct lower-case search terms of an item.
+                    variant: str = "short", cap: int | None = None) -> Column:
+    """Distinct lower-case search terms of an item; `cap` keeps that many of the longest.
 
-    `capped`  category split on blanks, words of two or more letters, 20 longest
-    `full`    category split on blanks, words of three or more letters, all of them
-    `strict`  words of three or more letters from both fields, 20 longest
+    `short`   category split on blanks, words of two or more letters
+    `full`    category split on blanks, words of three or more letters
+    `strict`  words of three or more letters from both fields
     """
     category = F.lit("") if category is None else F.coalesce(category, F.lit(""))
-    if variant == "capped":
+    if variant == "short":
         own = _kept_words(description, rules.SEARCH_STOPWORDS, 2)
-        return _longest(F.concat(split_words(F.lower(category)), own), 20)
+        return _longest(F.concat(split_words(F.lower(category)), own), cap)
     if variant == "full":
         own = _kept_words(description, rules.SEARCH_STOPWORDS_LONG, 3)
-        return _longest(F.concat(split_words(F.lower(category)), own), None)
+        return _longest(F.concat(split_words(F.lower(category)), own), cap)
     if variant == "strict":
         both = F.concat(_kept_words(description, rules.SEARCH_STOPWORDS_LONG, 3),
                         _kept_words(category, rules.SEARCH_STOPWORDS_LONG, 3))
-        return _longest(both, 20)
+        return _longest(both, cap)
     raise ValueError(f"unknown keyword variant: {variant}")
 
 
@@ -121,9 +121,10 @@ def structural_overlap(description: Column, text: Column) -> Column:
     return 100 * ratio_or_zero(F.size(F.array_intersect(mine, model_tokens(text))), F.size(mine))
 
 
-def word_overlap(low_description: Column, low_text: Column, sample: int = 1000) -> Column:
+def word_overlap(low_description: Column, low_text: Column, sample: int | None = None) -> Column:
+    """Share of the description's words in the text, or in its first `sample` characters."""
     mine = F.array_distinct(split_words(low_description))
-    theirs = split_words(F.substring(low_text, 1, sample))
+    theirs = split_words(low_text if sample is None else F.substring(low_text, 1, sample))
     return 100 * ratio_or_zero(F.size(F.array_intersect(mine, theirs)), F.size(mine))
 
 

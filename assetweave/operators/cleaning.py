@@ -36,6 +36,20 @@ def clean_diff(df: DataFrame, column: str, *keys: str) -> DataFrame:
         *keys, F.col(column).alias("before"), names.clean_name(F.col(column)).alias("after"))
 
 
+def clean_status(sources: DataFrame, stats: DataFrame, source: str) -> DataFrame:
+    """Per listed source rows_total, rows_cleaned and status: `cleaned`, `unchanged`, or `failed` when no row was read.
+
+    sources(<source>[, error]); an error text that is not null marks a failure as well and is kept.
+    """
+    known = sources if "error" in sources.columns else sources.withColumn("error", F.lit(None).cast("string"))
+    counted = stats.filter(F.col(source).isNotNull())
+    status = (F.when(F.col("error").isNotNull() | F.col("rows_total").isNull(), "failed")
+              .when(F.col("rows_cleaned") > 0, "cleaned").otherwise("unchanged"))
+    return known.join(counted, source, "left").select(
+        source, F.coalesce("rows_total", F.lit(0)).alias("rows_total"), F.coalesce("rows_cleaned", F.lit(0)).alias("rows_cleaned"),
+        status.alias("status"), "error")
+
+
 def clean_stats(df: DataFrame, column: str, source: str) -> DataFrame:
     """rows_total and rows_cleaned per source and, with source null, over everything."""
     _require(df, column)

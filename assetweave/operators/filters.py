@@ -39,12 +39,13 @@ def search(df: DataFrame, term: str, columns: list[str], type_column: str | None
     return of_type(out, type_column, label) if type_column and label else out
 
 
-def doc_gate(df: DataFrame, min_text: int = rules.MIN_TEXT_CHARS) -> DataFrame:
+def doc_gate(df: DataFrame, min_text: int = rules.MIN_TEXT_CHARS,
+             max_bytes: int = rules.MAX_DOCUMENT_BYTES) -> DataFrame:
     """Documents worth scoring: sane size, PDF header when known, enough text, no odd names.
 
     docs(file_name, size_bytes, text[, head]); `head` holds the first characters.
     """
-    ok = ((F.col("size_bytes") > 0) & (F.col("size_bytes") <= rules.MAX_DOCUMENT_BYTES)
+    ok = ((F.col("size_bytes") > 0) & (F.col("size_bytes") <= max_bytes)
           & ~contains_any(F.lower("file_name"), rules.SKIPPED_NAME_PARTS)
           & (F.length(strip(F.col("text"))) >= min_text))
     if "head" in df.columns:
@@ -52,12 +53,13 @@ def doc_gate(df: DataFrame, min_text: int = rules.MIN_TEXT_CHARS) -> DataFrame:
     return df.filter(ok)
 
 
-def download_gate(found: DataFrame, have: DataFrame, check_type: bool = False) -> DataFrame:
+def download_gate(found: DataFrame, have: DataFrame, check_type: bool = False,
+                  min_bytes: int = rules.MIN_DOWNLOAD_BYTES, max_bytes: int = rules.MAX_DOWNLOAD_BYTES) -> DataFrame:
     """Downloads to keep: size within limits and file not there yet.
 
     found(supplier, url, size_bytes[, content_type]); have(supplier, file_name).
     """
-    ok = F.col("size_bytes").between(rules.MIN_DOWNLOAD_BYTES, rules.MAX_DOWNLOAD_BYTES) \
+    ok = F.col("size_bytes").between(min_bytes, max_bytes) \
         & urls.valid_url(F.col("url"))
     if check_type:
         ok = ok & (F.contains(F.lower("content_type"), F.lit("pdf")) | urls.is_document(F.col("url")))

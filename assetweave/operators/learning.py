@@ -71,6 +71,11 @@ def top_candidates(candidates: DataFrame, k: int = 10) -> DataFrame:
             .filter(F.col("rank") <= k).select("category", "rank", "keyword", "weight"))
 
 
+def ready_candidates(candidates: DataFrame, min_occurrences: float = rules.MIN_OCCURRENCES) -> DataFrame:
+    """(category, keyword, weight) of the candidates heavy enough to be judged."""
+    return candidates.filter(F.col("weight") >= min_occurrences).select("category", "keyword", "weight")
+
+
 def learning_analytics(candidates: DataFrame, min_occurrences: float = rules.MIN_OCCURRENCES) -> DataFrame:
     """Per category: candidates, total and average weight, and how many are ready."""
     return candidates.groupBy("category").agg(

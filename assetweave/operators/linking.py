@@ -9,11 +9,13 @@ Scoring every pair is quadratic, so candidates come from an exact prefix filter:
 3. A keyword can only hit where one word of the document contains the keyword's longest
    word, so hits are looked up on the distinct words of the library.
 
-Nothing is capped or sampled; pairs that survive are verified on the whole text, pruned
-once more with a native upper bound, and only then sent to the similarity function.
+Scores see whole texts, all keywords and all documents. Leading characters, a least text
+length and a number of keywords are fields of `Score` that a caller may set. Pairs that
+survive are verified on the text, pruned once more with a native upper bound, and only then
+sent to the similarity function. Intermediate tables are written while a link is built.
 """
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +24,9 @@ from assetweave import rules
 from assetweave.functions import names, text
 from assetweave.functions.arrays import explode_computed
 from assetweave.functions.similarity import ratio_bound, sequence_ratio
+from assetweave.operators.filters import include_types
+from assetweave.operators.ranking import dedup_matches
+from assetweave.operators.resolve import apply_aliases, resolve_entities
 from assetweave.operators.substring import substring_pairs
 from assetweave.session import cut_lineage, task_count
 
@@ -32,18 +37,23 @@ from assetweave.session import cut_lineage, task_count
 class Score:
     """A match score between 0 and 100, monotone in the similarity ratio.
 
-    The sample lengths are part of each score's definition: the ratio compares the
-    description with that many leading characters, while keywords see the whole text.
+    `sample` lets the ratio see that many leading characters only, `min_text` gives shorter
+    texts a score of 0, `keyword_cap` keeps that many of the longest keywords.
     """
 
     kind: str
     keyword_weight: float
     ratio_weight: float
-    sample: int | None
+    sample: int | None = None
     min_text: int = 0
-    keywords: str = "capped"
+    keywords: str = "short"
+    keyword_cap: int | None = None
     name_boost: bool = False
 
+    def limited(self, **limits) -> "Score":
+        """The same score with limits, such as `NAMED.limited(sample=2000, min_text=800)`."""
+        return replace(self, **limits)
+
     def ratio_text(self, low_text: Column) -> Column:
         return low_text if self.sample is None else F.substring(low_text, 1, self.sample)
 
@@ -111,12 +121,11 @@ class Score:
         return score
 
 
-NAMED = Score("named", 60, 25, sample=2000, min_text=rules.MIN_TEXT_CHARS)
-PLAIN = Score("plain", 70, 30, sample=500)
-BOOSTED = Score("plain", 70, 30, sample=500, name_boost=True)
-PLAIN_LONG = Score("plain", 70, 30, sample=1000)
-FOUR_SIGNAL = Score("four_signal", 40, 30, sample=2000, keywords="full")
-EVEN = Score("plain", 50, 50, sample=None, keywords="strict")
+NAMED = Score("named", 60, 25)
+PLAIN = Score("plain", 70, 30)
+BOOSTED = Score("plain", 70, 30, name_boost=True)
+FOUR_SIGNAL = Score("four_signal", 40, 30, keywords="full")
+EVEN = Score("plain", 50, 50, keywords="strict")
 
 
 # --- candidates -------------------------------------------------------------------------
@@ -176,22 +185,16 @@ def _prepared_items(items: DataFrame, score: Score, threshold: float) -> DataFra
         .withColumn("_low", F.lower("description")) \
         .withColumn("_keywords", text.search_keywords(
             F.col("description"), F.col("category") if "category" in items.columns else None,
-            score.keywords)) \
+            score.keywords, score.keyword_cap)) \
         .filter(F.size("_keywords") > 0)
     share = score.needed_share(F.col("_low"), threshold)
     need = F.ceil(share * F.size("_keywords") - 1e-9).cast("int")
-    return described.withColumn("_need", F.greatest(need, F.lit(0)))
-
+    # an item that would need more hits than it has keywords can't be linked at all
+    return described.withColumn("_need", F.greatest(need, F.lit(0))).filter(F.col("_need") <= F.size("_keywords"))
 
-def link(items: DataFrame, docs: DataFrame, threshold: float = rules.LINK_THRESHOLD,
-         score: Score = NAMED, by: str | None = "supplier") -> DataFrame:
-    """Items joined to the documents that reach `threshold`.
 
-    items(item_id, description[, category][, supplier]) with one row per item_id;
-    docs(doc_id, file_name, text[, supplier]) with one row per doc_id. With `by` both
-    sides must agree on that column (lower case, trimmed); with `by=None` every item may
-    meet every document. Returns item_id, doc_id, hits, coverage, ratio and score.
-    """
+def _bounded(items: DataFrame, docs: DataFrame, threshold: float, score: Score, by: str | None) -> DataFrame:
+    """Pairs whose keyword hits, name part and largest possible ratio reach the threshold, with what scores them."""
     if threshold <= 0:
         raise ValueError("threshold must be positive")
     if not by and threshold <= score.floor():
@@ -206,7 +209,7 @@ def link(items: DataFrame, docs: DataFrame, threshold: float = rules.LINK_THRESH
         right = right.join(left.select("_by").distinct(), "_by", "left_semi")
     left = left.select("item_id", "_low", "_keywords", "_need", *keys)
     right = right.select("doc_id", "file_name", "_text", *keys)
-    if score.min_text:
+    if score.min_text:  # such texts score 0
         right = right.filter(F.length(text.strip(F.col("_text"))) >= score.min_text)
     pairs = candidate_pairs(left, right, keys)
     if threshold <= score.floor():
@@ -216,23 +219,44 @@ def link(items: DataFrame, docs: DataFrame, threshold: float = rules.LINK_THRESH
         .withColumn("hits", text.keyword_hits(F.col("_keywords"), F.col("_text"))) \
         .filter(F.col("hits") >= F.col("_need")) \
         .withColumn("coverage", F.col("hits") / F.size("_keywords"))
+    bound = score.total(*_parts(), ratio_bound(F.col("_low"), score.ratio_text(F.col("_text"))))
+    return joined.withColumn("bound", bound).filter(F.col("bound") >= threshold - 1e-9)
+
+
+def _parts() -> list[Column]:
+    return [F.col(c) for c in ("_low", "_text", "coverage", "file_name")]
+
+
+def link_bounds(items: DataFrame, docs: DataFrame, threshold: float = rules.LINK_THRESHOLD,
+                score: Score = NAMED, by: str | None = "supplier") -> DataFrame:
+    """(item_id, doc_id, hits, coverage, bound): the pairs that `link` compares letter by letter, and the most each can score."""
+    return _bounded(items, docs, threshold, score, by).select("item_id", "doc_id", "hits", "coverage", "bound")
+
+
+def link(items: DataFrame, docs: DataFrame, threshold: float = rules.LINK_THRESHOLD,
+         score: Score = NAMED, by: str | None = "supplier") -> DataFrame:
+    """Items joined to the documents that reach `threshold`.
+
+    items(item_id, description[, category][, supplier]) with one row per item_id;
+    docs(doc_id, file_name, text[, supplier]) with one row per doc_id. With `by` both
+    sides must agree on that column (lower case, trimmed); with `by=None` every item may
+    meet every document. Returns item_id, doc_id, hits, coverage, ratio and score.
+    """
     sample = score.ratio_text(F.col("_text"))
-    parts = [F.col(c) for c in ("_low", "_text", "coverage", "file_name")]
-    bound = score.total(*parts, ratio_bound(F.col("_low"), sample))
-    return (joined.filter(bound >= threshold - 1e-9)
+    return (_bounded(items, docs, threshold, score, by)
             .withColumn("ratio", sequence_ratio(F.col("_low"), sample))
-            .withColumn("score", score.total(*parts, F.col("ratio")))
+            .withColumn("score", score.total(*_parts(), F.col("ratio")))
             .filter(F.col("score") >= threshold)
             .select("item_id", "doc_id", "hits", "coverage", "ratio", "score"))
 
 
 def coverage_links(items: DataFrame, docs: DataFrame, min_coverage: float,
-                   variant: str = "capped") -> DataFrame:
+                   variant: str = "short", cap: int | None = None) -> DataFrame:
     """(item_id, doc_id, hits, n_keywords, coverage) with at least `min_coverage`, all docs."""
     if not 0 < min_coverage <= 1:
         raise ValueError("min_coverage must be in (0, 1]")
     left = items.withColumn("_keywords", text.search_keywords(
-        F.col("description"), F.col("category") if "category" in items.columns else None, variant)) \
+        F.col("description"), F.col("category") if "category" in items.columns else None, variant, cap)) \
         .filter(F.size("_keywords") > 0) \
         .withColumn("_need", F.ceil(min_coverage * F.size("_keywords") - 1e-9).cast("int"))
     right = docs.select("doc_id", F.lower("text").alias("_text"))
@@ -251,3 +275,47 @@ def best_link(links: DataFrame, score: str = "coverage") -> DataFrame:
                  F.count("*").alias("n_docs"))
             .select("item_id", F.col("b.doc_id").alias("doc_id"),
                     (-F.col("b.s")).alias(score), "n_docs"))
+
+
+# --- items to the folder of their supplier ------------------------------------------------------
+
+def route_items(items: DataFrame, docs: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """Items with `folder`, the supplier name under which their documents lie, and how it was found; null when there is none.
+
+    aliases(supplier, folder) come first; other names are matched with the suppliers of docs(supplier, ...).
+    """
+    named = apply_aliases(items, aliases) if aliases is not None else items.withColumn("folder", F.col("supplier"))
+    named = named.withColumnRenamed("folder", "_said")
+    found = resolve_entities(named.select(F.col("_said").alias("name")), docs.select(F.col("supplier").alias("target")))
+    found = found.select(F.col("name").alias("_name"), F.col("target").alias("folder"), "strategy")
+    return named.join(found, F.col("_said") == F.col("_name"), "left").drop("_said", "_name")
+
+
+def link_items(items: DataFrame, docs: DataFrame, threshold: float = rules.LINK_THRESHOLD, score: Score = BOOSTED,
+               fallback: Score = PLAIN, aliases: DataFrame | None = None) -> DataFrame:
+    """The item-wise flow: items meet the documents of their folder, items without a folder meet all documents; of the
+    matches of an item whose file names fold to one, the best stays.
+
+    Returns item_id, file_key, score, file_name, doc_id and `fallback`.
+    """
+    routed = cut_lineage(route_items(items, docs, aliases), "routed")
+    placed = routed.filter("folder is not null").drop("supplier").withColumnRenamed("folder", "supplier")
+    near = link(placed, docs, threshold, score).withColumn("fallback", F.lit(False))
+    far = link(routed.filter("folder is null"), docs, threshold, fallback, by=None).withColumn("fallback", F.lit(True))
+    both = near.unionByName(far).join(docs.select("doc_id", "file_name"), "doc_id")
+    return dedup_matches(both.select("item_id", "doc_id", "score", "file_name", "fallback"))
+
+
+def link_master_folders(items: DataFrame, docs: DataFrame, master: DataFrame, threshold: float = rules.LINK_THRESHOLD,
+                        score: Score = PLAIN, aliases: DataFrame | None = None, type_column: str | None = None) -> DataFrame:
+    """All items, or those labelled as instruments, against the documents of the folders that master(supplier) lists.
+
+    An alias (supplier, folder) stands for the listed name.
+    """
+    wanted = include_types(items, type_column) if type_column else items
+    listed = master.select("supplier")
+    if aliases is not None:
+        listed = apply_aliases(listed, aliases).select(F.col("folder").alias("supplier"))
+    fold = lambda c: F.lower(text.strip(F.col(c)))
+    kept = docs.join(listed.select(fold("supplier").alias("_listed")).distinct(), fold("supplier") == F.col("_listed"), "left_semi")
+    return link(wanted, kept, threshold, score, by=None)

@@ -34,14 +34,16 @@ def dedup_matches(matches: DataFrame, per: str | list[str] = "item_id") -> DataF
             .agg(best.alias("b")).select(*per, "file_key", *[F.col(f"b.{c}").alias(c) for c in rest]))
 
 
-def text_budget(parts: DataFrame, key: str, position: str, column: str = "text",
-                max_parts: int = 5, max_chars: int = 5000) -> DataFrame:
+def text_budget(parts: DataFrame, key: str, position: str, column: str = "text", *,
+                max_parts: int, max_chars: int) -> DataFrame:
     """Text of a document put together from its leading parts.
 
-    Parts are numbered from 0. Empty ones are skipped; the part that exceeds `max_chars`
-    is still taken and ends the text. Only `max_parts` rows per key are ever shuffled.
+    Parts are numbered from 0, each number once per key; of several rows the first text is
+    taken. Empty ones are skipped; the part that exceeds `max_chars` is still taken and ends
+    the text. Only `max_parts` rows per key are ever shuffled.
     """
-    kept = parts.filter((F.col(position) < max_parts) & (F.length(column) > 0))
+    kept = parts.filter((F.col(position) < max_parts) & (F.length(column) > 0)) \
+        .groupBy(key, position).agg(F.min(column).alias(column))
     ordered = kept.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(
         F.col(position).alias("p"), F.col(column).alias("t")))).alias("ps"))
     joined = F.aggregate("ps", F.lit(""), lambda acc, p: F.when(

@@ -229,10 +229,12 @@ def score_hits(hits: DataFrame, engines: tuple[str, str], per_engine: int = 3) -
 
     hits(supplier, engine, pos, url), pos counting from 1 within (supplier, engine). The
     first `per_engine` results of each engine count, and each domain once, at its first
-    place. At most 2 * per_engine rows per supplier reach the grouping.
+    place. Of several rows with one place the first URL counts, so at most 2 * per_engine rows
+    per supplier reach the list.
     """
     first, second = engines
     top = (hits.filter((F.col("pos") <= per_engine) & F.col("engine").isin(first, second))
+           .groupBy("supplier", "engine", "pos").agg(F.min("url").alias("url"))
            .select("supplier", F.struct(
                F.when(F.col("engine") == first, 0).otherwise(1).alias("e"), "pos", "url",
                urls.url_domain(F.col("url")).alias("domain")).alias("h")))
@@ -253,9 +255,9 @@ def score_hits(hits: DataFrame, engines: tuple[str, str], per_engine: int = 3) -
                     url_score(F.col("h.domain"), F.col("h.url"), F.col("supplier"), F.col("agree")).alias("score")))
 
 
-def pick_best_url(suppliers: DataFrame, hits: DataFrame, engines: tuple[str, str]) -> DataFrame:
+def pick_best_url(suppliers: DataFrame, hits: DataFrame, engines: tuple[str, str], per_engine: int = 3) -> DataFrame:
     """(supplier, url, score): best candidate, ties to the earliest; ('', 0) without any."""
-    best = score_hits(hits, engines).groupBy("supplier").agg(
+    best = score_hits(hits, engines, per_engine).groupBy("supplier").agg(
         F.min(F.struct((-F.col("score")).alias("s"), "place", "url")).alias("b"))
     return suppliers.select("supplier").join(best, "supplier", "left").select(
         "supplier", F.coalesce("b.url", F.lit("")).alias("url"), F.coalesce(-F.col("b.s"), F.lit(0)).alias("score"))

@@ -51,8 +51,8 @@ def extract_links(pages: DataFrame, suffix: str = ".pdf") -> DataFrame:
         urls.is_document(F.col("dst"), suffix), "document").otherwise("page").alias("kind"))
 
 
-def cap_links(links: DataFrame, per_page: int = 10) -> DataFrame:
-    """First page links of every page; document links are never limited.
+def cap_links(links: DataFrame, per_page: int) -> DataFrame:
+    """First `per_page` page links of every page; document links are never limited.
 
     The row limit is pushed below the shuffle for the page links.
     """
@@ -62,13 +62,13 @@ def cap_links(links: DataFrame, per_page: int = 10) -> DataFrame:
     return pages.unionByName(links.filter(F.col("kind") != "page"))
 
 
-def reachable(links: DataFrame, seeds: DataFrame, max_depth: int = 2, per_page: int | None = 10,
-              per_site: int | None = 50) -> DataFrame:
+def reachable(links: DataFrame, seeds: DataFrame, max_depth: int = 2, per_page: int | None = None,
+              per_site: int | None = None) -> DataFrame:
     """(site, url, depth) reached from seeds(site, url) along links(src, pos, dst, kind).
 
     Breadth first: a URL belongs to its smallest depth. A page follows its first `per_page`
     unseen links, and a site keeps its first `per_site` URLs by (depth, parent, position);
-    None lifts a cap. One join per level; each level is materialised so that the plan
+    without these limits everything within `max_depth` is reached. One join per level; each level is materialised so that the plan
     does not grow with the depth.
     """
     page_links = links.filter(F.col("kind") == "page").select("src", "pos", "dst").distinct()

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from assetweave import rules
 from assetweave.functions import names, text
-from assetweave.operators import ranking, reports
+from assetweave.operators import linking, ranking, reports
 from assetweave.plans.catalog.registry import (
     ITEMS_SQL, LIBRARY_SQL, SPACE, WORD, any_of, in_list, items, library, query, stem, table, trimmed)
 
@@ -25,18 +25,21 @@ def _capped(xs: str) -> str:
             f"ELSE list_sort(list_distinct({xs})) END")
 
 
+SHORT = f"list_sort(list_distinct(list_concat({_CATEGORY}, {_words('description', rules.SEARCH_STOPWORDS, 2)})))"
 CAPPED = _capped(f"list_concat({_CATEGORY}, {_words('description', rules.SEARCH_STOPWORDS, 2)})")
 FULL = f"list_sort(list_distinct(list_concat({_CATEGORY}, {_words('description', rules.SEARCH_STOPWORDS_LONG, 3)})))"
+WIDE = f"list_sort(list_distinct(list_concat({_words('description', rules.SEARCH_STOPWORDS_LONG, 3)}, {_words('category', rules.SEARCH_STOPWORDS_LONG, 3)})))"
 STRICT = _capped(f"list_concat({_words('description', rules.SEARCH_STOPWORDS_LONG, 3)}, {_words('category', rules.SEARCH_STOPWORDS_LONG, 3)})")
 
 
 @query(f"""WITH {ITEMS_SQL} SELECT item_id, array_to_string({CAPPED}, ' ') AS capped, array_to_string({FULL}, ' ') AS full_,
  array_to_string({STRICT}, ' ') AS strict_ FROM items""")
 def search_keywords(spark, sf_dir):
-    def joined(variant):
-        return F.array_join(text.search_keywords(F.col("description"), F.col("category"), variant), " ")
-    return items(spark, sf_dir).select("item_id", joined("capped").alias("capped"), joined("full").alias("full_"),
-                                       joined("strict").alias("strict_"))
+    """The three kinds of keywords, two of them with their cap."""
+    def joined(variant, cap=None):
+        return F.array_join(text.search_keywords(F.col("description"), F.col("category"), variant, cap), " ")
+    return items(spark, sf_dir).select("item_id", joined("short", rules.KEYWORD_CAP).alias("capped"), joined("full").alias("full_"),
+                                       joined("strict", rules.KEYWORD_CAP).alias("strict_"))
 
 
 
@@ -50,23 +53,25 @@ def _pieces(x: str) -> str:
     return f"list_distinct([w FOR w IN regexp_split_to_array({x}, '{SPACE}+') IF w <> ''])"
 
 
-SIGNAL_PARTS = rf"""pairs AS (SELECT item_id, doc_id, file_name, description, lower(description) AS low, lower(text) AS doc, {FULL} AS kw
- FROM items JOIN library USING (supplier)), sig AS (SELECT item_id, doc_id,
+SIGNAL_PARTS = rf"""kws AS (SELECT item_id, description, lower(description) AS low, {FULL} AS kw FROM items),
+ pairs AS (SELECT item_id, doc_id, file_name, description, low, lower(text) AS doc, kw FROM kws, library
+ WHERE len([k FOR k IN kw IF contains(lower(text), k)]) >= ceil(0.5 * len(kw) - 1e-9)), sig AS (SELECT item_id, doc_id,
  len([k FOR k IN kw IF contains(doc, k)])::DOUBLE / len(kw) AS coverage,
  100.0::DOUBLE * len(list_intersect(list_distinct({_model('low')}), {_model('doc')})) / nullif(len({_model('low')}), 0) AS structural,
- 100.0::DOUBLE * len(list_intersect({_pieces('low')}, {_pieces('left(doc, 1000)')})) / nullif(len({_pieces('low')}), 0) AS words,
+ 100.0::DOUBLE * len(list_intersect({_pieces('low')}, {_pieces('doc')})) / nullif(len({_pieces('low')}), 0) AS words,
  len([p FOR p IN string_split(low, ',') IF length({trimmed('p')}) > 5 AND contains(doc, {trimmed('p')})]) > 0 AS phrase FROM pairs)"""
 
 
 @query(f"""WITH {ITEMS_SQL}, {LIBRARY_SQL}, {SIGNAL_PARTS} SELECT item_id, doc_id, round(coverage, 6) AS coverage,
  round(coalesce(structural, 0), 6) AS structural, round(coalesce(words, 0), 6) AS words, phrase FROM sig""")
 def text_signals(spark, sf_dir):
-    """Every native part of the scores, for items and the documents of their supplier."""
-    docs = library(spark, sf_dir).select("doc_id", "supplier", F.lower("text").alias("doc"))
-    wanted = items(spark, sf_dir).select("item_id", "supplier", F.lower("description").alias("low"), text.search_keywords(
+    """Every native part of the scores, for items and the documents that hold half of their keywords."""
+    docs = library(spark, sf_dir).select("doc_id", F.lower("text").alias("doc"))
+    pairs = linking.coverage_links(items(spark, sf_dir), library(spark, sf_dir), 0.5, "full").select("item_id", "doc_id")
+    wanted = items(spark, sf_dir).select("item_id", F.lower("description").alias("low"), text.search_keywords(
         F.col("description"), F.col("category"), "full").alias("kw"))
     low, doc = F.col("low"), F.col("doc")
-    return docs.join(wanted, "supplier").select(
+    return pairs.join(wanted, "item_id").join(docs, "doc_id").select(
         "item_id", "doc_id", F.round(text.coverage(F.col("kw"), doc), 6).alias("coverage"),
         F.round(text.structural_overlap(low, doc), 6).alias("structural"),
         F.round(text.word_overlap(low, doc), 6).alias("words"), text.exact_phrase(low, doc).alias("phrase"))
@@ -90,7 +95,7 @@ def exact_duplicates(spark, sf_dir):
  SELECT conv_id, {trimmed("string_agg(text, ' ' ORDER BY turn)")} AS text FROM k
  WHERE text <> '' AND coalesce(before, 0) <= 500 GROUP BY conv_id""")
 def text_budget(spark, sf_dir):
-    return ranking.text_budget(table(spark, sf_dir, "conversations"), "conv_id", "turn", max_chars=500)
+    return ranking.text_budget(table(spark, sf_dir, "conversations"), "conv_id", "turn", max_parts=5, max_chars=500)
 
 
 # --- names ----------------------------------------------------------------------------------------

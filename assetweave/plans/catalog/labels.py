@@ -72,7 +72,7 @@ def classify_whole_words(spark, sf_dir):
 DICTIONARY = f"""SELECT DISTINCT category, keyword FROM (
   SELECT CASE WHEN p_partkey % 2 = 0 THEN 'hw' ELSE 'ni' END AS category, lower(p_type) AS keyword FROM part
   UNION ALL SELECT 'hw', lower(p_name) FROM part
-  UNION ALL SELECT 'sw', lower(substring(text, 1, 14)) FROM benchmark
+  UNION ALL SELECT 'sw', lower(text) FROM benchmark
   UNION ALL SELECT 'ni', lower(source) FROM documents)"""
 
 
@@ -85,7 +85,7 @@ LEGACY = """SELECT DISTINCT category, keyword FROM (
   UNION ALL SELECT 'hw', split_part(lower(p_name), ' ', 1) FROM part
   UNION ALL SELECT 'sw', split_part(lower(p_name), ' ', 2) FROM part
   UNION ALL SELECT CASE WHEN item_id % 2 = 0 THEN 'hw' ELSE 'sw' END, CASE WHEN item_id % 2 = 0 THEN
-    lower(substring(text, 1, 9)) ELSE lower(substring(text, 3, 12)) END FROM benchmark)"""
+    lower(split_part(text, ' ', 2)) ELSE lower(text) END FROM benchmark WHERE text <> '')"""
 
 
 @query(f"""WITH d AS ({LEGACY}) SELECT doc_id, CASE
@@ -245,7 +245,7 @@ def relabel_by_supplier(spark, sf_dir):
                                         "Software").select("doc_id", "item_type", "changed")
 
 
-CHOSEN = "SELECT 'Doc-' || CAST(doc_id AS VARCHAR(20)) AS code FROM labels WHERE quality = 0"
+CHOSEN = "SELECT CASE WHEN quality = 0 THEN 'Doc-' ELSE 'Other-' END || CAST(doc_id AS VARCHAR(20)) AS code FROM labels"
 
 
 @query(f"""WITH s AS ({STOCK}) SELECT doc_id, item_type FROM s WHERE {trimmed('code')} IN ({CHOSEN})""")

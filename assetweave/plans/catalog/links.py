@@ -3,8 +3,10 @@
 from pyspark.sql import functions as F
 
 from assetweave.operators import filters, linking, ranking, reports
-from assetweave.plans.catalog.documents import CAPPED, FULL, _NORMAL, prioritized
-from assetweave.plans.catalog.registry import ITEMS_SQL, LIBRARY_SQL, items, library, query, table
+from assetweave import rules
+from assetweave.plans.catalog.documents import FULL, SHORT, WIDE, _NORMAL, prioritized
+from assetweave.plans.catalog.registry import (
+    ITEMS_SQL, LIBRARY_SQL, WORD, any_of, items, library, query, role, table)
 
 MIN_COVERAGE = 0.6
 
@@ -14,7 +16,7 @@ def plain_items(spark, sf_dir):
 
 
 PLAIN_ITEMS_SQL = ITEMS_SQL.replace("SELECT", "SELECT * REPLACE ('' AS category) FROM (SELECT", 1)[:-1] + "))"
-COVERED = f"""kw AS (SELECT item_id, supplier, description, {CAPPED} AS kw FROM items), hit AS (SELECT item_id, doc_id,
+COVERED = f"""kw AS (SELECT item_id, supplier, description, {SHORT} AS kw FROM items), hit AS (SELECT item_id, doc_id,
  CAST(len([k FOR k IN kw IF contains(lower(text), k)]) AS INTEGER) AS hits, CAST(len(kw) AS INTEGER) AS n_keywords FROM kw, library),
  links AS (SELECT *, hits::DOUBLE / n_keywords AS coverage FROM hit WHERE hits >= ceil({MIN_COVERAGE} * n_keywords - 1e-9))"""
 
@@ -44,7 +46,71 @@ def coverage_links_full(spark, sf_dir):
         .select("item_id", "doc_id", "hits", "n_keywords")
 
 
-# The similarity ratio has no SQL form: these are checked against brute force in the tests.
+# What decides about a link up to the similarity ratio, which has no SQL form: hits, coverage, name parts and the ratio's
+# bound. The links themselves are checked against brute force in the tests.
+
+def _bounds(kw: str, score: str, threshold: int, where: str = "true") -> str:
+    return f"""WITH {PLAIN_ITEMS_SQL}, {LIBRARY_SQL}, kws AS (SELECT item_id, supplier, lower(description) AS low, {kw} AS kw FROM items),
+ p AS (SELECT item_id, doc_id, lower(file_name) AS name, low, len(kw) AS n, len([k FOR k IN kw IF contains(lower(text), k)]) AS hits,
+  2.0::DOUBLE * least(length(low), length(lower(text))) / (length(low) + length(lower(text))) AS ratio
+  FROM kws i, library l WHERE len(kw) > 0 AND length(text) > 0 AND {where}),
+ b AS (SELECT item_id, doc_id, CAST(hits AS INTEGER) AS hits, hits::DOUBLE / n AS coverage, {score} AS bound FROM p)
+ SELECT item_id, doc_id, hits, round(coverage, 6) AS coverage, round(bound, 4) AS bound FROM b WHERE bound >= {threshold} - 1e-9"""
+
+
+def _bound_rows(links):
+    return links.select("item_id", "doc_id", "hits", F.round("coverage", 6).alias("coverage"), F.round("bound", 4).alias("bound"))
+
+
+_SAID = f"regexp_extract_all(low, '{WORD}')"
+_NAME_PART = f"coalesce(15.0::DOUBLE * len([w FOR w IN {_SAID} IF length(w) > 3 AND contains(name, w)]) / nullif(len({_SAID}), 0), 0)"
+_NAMED_BOUND = f"""least(100.0, greatest(0.0, hits * 60.0::DOUBLE / n + 25 * ratio + {_NAME_PART}
+ - CASE WHEN {any_of('name', rules.MARKETING_NAME_PARTS)} THEN 15 ELSE 0 END)
+ + CASE WHEN {any_of('name', rules.TECHNICAL_NAME_PARTS)} THEN 10 ELSE 0 END)"""
+
+
+@query(_bounds(SHORT, _NAMED_BOUND, 60, "i.supplier = l.supplier"))
+def link_bounds_by_supplier(spark, sf_dir):
+    return _bound_rows(linking.link_bounds(plain_items(spark, sf_dir), library(spark, sf_dir), 60))
+
+
+@query(_bounds(SHORT, "least(hits * 70.0::DOUBLE / n + 30 * ratio, 100)", 60))
+def link_bounds_all_documents(spark, sf_dir):
+    return _bound_rows(linking.link_bounds(plain_items(spark, sf_dir), library(spark, sf_dir), 60, linking.PLAIN, by=None))
+
+
+@query(_bounds(WIDE, "least(hits * 50.0::DOUBLE / n + 50 * ratio, 100)", 55))
+def link_bounds_even(spark, sf_dir):
+    return _bound_rows(linking.link_bounds(plain_items(spark, sf_dir), library(spark, sf_dir), 55, linking.EVEN, by=None))
+
+
+# suppliers of items as they are written: as listed, in capitals with an ending, under an alias, and unknown ones
+ROUTED = """SELECT item_id, text AS description, CASE item_id % 4 WHEN 0 THEN 'src' || CAST(item_id % 20 AS VARCHAR(9))
+  WHEN 1 THEN 'SRC1' || CAST(item_id % 10 AS VARCHAR(9)) || ' holdings' WHEN 2 THEN 'House ' || CAST(item_id % 20 AS VARCHAR(9))
+  ELSE 'nowhere' END AS supplier FROM benchmark """
+HOUSES = """SELECT DISTINCT 'House ' || CAST(item_id % 20 AS VARCHAR(9)) AS supplier, 'src' || CAST(item_id % 20 AS VARCHAR(9)) AS folder FROM benchmark """
+
+
+@query(f"""WITH i AS ({ROUTED}), h AS ({HOUSES}), f AS (SELECT DISTINCT source AS target FROM documents),
+ s AS (SELECT item_id, lower(coalesce(folder, i.supplier)) AS name FROM i LEFT JOIN h USING (supplier)),
+ m AS (SELECT item_id, target, CASE WHEN name = lower(target) THEN 1 WHEN contains(name, lower(target)) OR contains(lower(target), name) THEN 2 END AS k FROM s, f),
+ b AS (SELECT item_id, min(k) AS k FROM m WHERE k IS NOT NULL GROUP BY item_id),
+ r AS (SELECT item_id, k, min(target) AS folder FROM m JOIN b USING (item_id, k) GROUP BY item_id, k)
+ SELECT i.item_id, folder, CASE k WHEN 1 THEN 'exact' WHEN 2 THEN 'containment' END AS strategy FROM i LEFT JOIN r USING (item_id)""")
+def route_items(spark, sf_dir):
+    """Which items go to which folder, and which fall back to all documents."""
+    routed = linking.route_items(role(spark, sf_dir, ROUTED, "benchmark"), library(spark, sf_dir), role(spark, sf_dir, HOUSES, "benchmark"))
+    return routed.select("item_id", "folder", "strategy")
+
+
+@query()
+def link_items(spark, sf_dir):
+    """The item-wise flow with aliases, fallback and one match per folded file name."""
+    found = linking.link_items(role(spark, sf_dir, ROUTED, "benchmark"), library(spark, sf_dir), 50,
+                               aliases=role(spark, sf_dir, HOUSES, "benchmark"))
+    return found.select("item_id", "doc_id", "file_key", F.round("score", 6).alias("score"), "fallback")
+
+
 
 def _rounded(links):
     return links.select("item_id", "doc_id", "hits", F.round("ratio", 6).alias("ratio"), F.round("score", 6).alias("score"))
@@ -52,14 +118,14 @@ def _rounded(links):
 
 @query()
 def link_by_supplier(spark, sf_dir):
-    return _rounded(linking.link(plain_items(spark, sf_dir), library(spark, sf_dir), 40))
+    return _rounded(linking.link(plain_items(spark, sf_dir), library(spark, sf_dir), 51))
 
 
 @query()
 def link_prioritized(spark, sf_dir):
     chosen = prioritized(spark, sf_dir).select("doc_id")
     docs = library(spark, sf_dir).join(chosen, "doc_id", "left_semi")
-    return _rounded(linking.link(plain_items(spark, sf_dir), docs, 30))
+    return _rounded(linking.link(plain_items(spark, sf_dir), docs, 51))
 
 
 @query()
@@ -74,9 +140,10 @@ def link_boosted(spark, sf_dir):
 
 @query()
 def link_master_folders(spark, sf_dir):
-    listed = table(spark, sf_dir, "documents").filter("lang = 'en'").select(F.col("source").alias("supplier")).distinct()
-    docs = library(spark, sf_dir).join(listed, "supplier", "left_semi")
-    return _rounded(linking.link(plain_items(spark, sf_dir), docs, 60, linking.PLAIN_LONG, by=None))
+    """Folders that the item list names, some of them under an alias."""
+    master = role(spark, sf_dir, ROUTED, "benchmark").select(F.lower("supplier").alias("supplier"))
+    aliases = role(spark, sf_dir, HOUSES, "benchmark").withColumn("supplier", F.lower("supplier"))
+    return _rounded(linking.link_master_folders(plain_items(spark, sf_dir), library(spark, sf_dir), master, aliases=aliases))
 
 
 @query()

@@ -164,8 +164,7 @@ DOWNLOADS = """SELECT source AS supplier, 'https://' || source || '.example.com/
   CAST(doc_id % 97 AS VARCHAR(9)) || (CASE WHEN doc_id % 2 = 0 THEN '.pdf?x=1' ELSE '' END) AS url,
   n_chars * n_chars AS size_bytes, CASE WHEN doc_id % 3 = 0 THEN 'application/pdf' ELSE 'text/html' END
   AS content_type, doc_id FROM documents """
-HAVE = """SELECT source AS supplier, CAST(doc_id % 97 AS VARCHAR(9)) || '.pdf' AS file_name FROM documents
-  WHERE lang = 'de' """
+HAVE = """SELECT source AS supplier, CAST(doc_id % 97 AS VARCHAR(9)) || CASE WHEN lang = 'de' THEN '.pdf' ELSE '.part' END AS file_name FROM documents """
 
 
 @query(f"""WITH d AS ({DOWNLOADS}), h AS ({HAVE}), f AS (SELECT *, CAST(doc_id % 97 AS VARCHAR) || '.pdf' AS file_name
@@ -177,9 +176,9 @@ def download_gate(spark, sf_dir):
                                  check_type=True).select("doc_id", "supplier", "file_name")
 
 
-STATE = """SELECT CAST(c_custkey AS VARCHAR(20)) AS supplier, CASE WHEN c_custkey % 9 = 0 THEN 'not a time'
+STATE = """SELECT CASE WHEN c_nationkey < 20 THEN '' ELSE 'closed ' END || CAST(c_custkey AS VARCHAR(20)) AS supplier, CASE WHEN c_custkey % 9 = 0 THEN 'not a time'
   ELSE '2024-03-' || lpad(CAST(1 + c_custkey % 28 AS VARCHAR(9)), 2, '0') || ' 06:30:00' END AS last_seen
-  FROM customer WHERE c_nationkey < 20 """
+  FROM customer """
 SITES = "SELECT CAST(c_custkey AS VARCHAR(20)) AS supplier, c_name FROM customer "
 
 

@@ -5,7 +5,6 @@ text, apart from the few function names that differ; the operators under test ar
 part of it.
 """
 
-import os
 import re
 from collections.abc import Callable
 
@@ -14,8 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
 
-SMALL_FILE_BYTES = 1 << 20
-
 
 def query(sql: str | None = None):
     def register(fn):
@@ -35,14 +32,8 @@ def oracle_sql() -> dict[str, str]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A supplied table. One small local file is spread over the cores that wait for it."""
-    path = f"{sf_dir}/{name}.parquet"
-    df = spark.read.parquet(path)
-    if os.path.isfile(path):
-        pieces = min(spark.sparkContext.defaultParallelism, os.path.getsize(path) // SMALL_FILE_BYTES + 1)
-        if pieces > 1:
-            return df.repartition(pieces)
-    return df
+    """A supplied table."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 # --- the same text in two dialects ---------------------------------------------------------

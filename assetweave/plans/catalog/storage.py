@@ -8,7 +8,7 @@ from assetweave.plans.catalog.labels import CANDIDATES, LABELLED, dictionary, la
 from assetweave.plans.catalog.links import MATCHES, SUMMARY, matches, plain_items
 from assetweave.plans.catalog.registry import query, table, trimmed
 from assetweave.plans.catalog.suppliers import MASTER, master
-from assetweave.session import shared_folder
+from assetweave.session import cut_lineage, shared_folder
 from assetweave.sources import readers, writers
 
 SHEET_ROWS = 1000
@@ -16,15 +16,19 @@ SHEET_ROWS = 1000
 
 @query("SELECT CAST(p_partkey AS VARCHAR) AS code, p_name AS description, p_brand AS supplier FROM part")
 def read_items(spark, sf_dir):
-    """Part sheets of a thousand rows each, with a title line above the header."""
+    """Part sheets of a thousand rows at most, with a title line above the header and the columns in two orders."""
+    odd = F.floor(F.col("p_partkey") / SHEET_ROWS) % 2 == 1
+    line = F.when(odd, F.concat_ws(",", "p_brand", F.col("p_partkey").cast("string"), "p_name")).otherwise(
+        F.concat_ws(",", F.col("p_partkey").cast("string"), "p_name", "p_brand"))
     lines = table(spark, sf_dir, "part").select(
-        F.floor(F.col("p_partkey") / SHEET_ROWS).alias("sheet"),
-        F.struct("p_partkey", F.concat_ws(",", F.col("p_partkey"), "p_name", "p_brand").alias("line")).alias("l"))
-    sheets = lines.groupBy("sheet").agg(F.array_sort(F.collect_list("l")).alias("ls")).select("sheet", F.concat(
-        F.lit("Exported parts,,\ncode,description,supplier\n"), F.array_join(F.col("ls.line"), "\n")).alias("value"))
+        F.concat(F.floor(F.col("p_partkey") / SHEET_ROWS), F.lit("-"), F.col("p_partkey") % 2).alias("sheet"), odd.alias("odd"),
+        F.struct("p_partkey", line.alias("line")).alias("l"))
+    sheets = lines.groupBy("sheet", "odd").agg(F.array_sort(F.collect_list("l")).alias("ls")).select("sheet", F.concat(
+        F.lit("Exported parts,,\n"), F.when(F.col("odd"), "supplier,code,description\n").otherwise("code,description,supplier\n"),
+        F.array_join(F.col("ls.line"), "\n")).alias("value"))
     path = shared_folder(spark, "sheets")
     sheets.write.partitionBy("sheet").text(path)
-    return readers.read_items(spark, f"{path}/*", "csv")
+    return readers.read_items(spark, f"{path}/*", "csv").select("code", "description", "supplier")
 
 
 @query(f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS value FROM documents)
@@ -34,16 +38,15 @@ def parse_dictionary(spark, sf_dir):
     return readers.parse_dictionary(lines).select("doc_id", "keyword")
 
 
-@query("SELECT source AS supplier, count(*) AS n, sum(n_chars)::BIGINT AS chars, true AS found FROM documents GROUP BY source")
+@query("SELECT source AS supplier, count(*) AS n, sum(strlen(text) + 1)::BIGINT AS bytes FROM documents WHERE text IS NOT NULL GROUP BY source")
 def scan_library(spark, sf_dir):
-    """Folder per supplier; the scan lists files only, never their contents."""
-    docs, path = table(spark, sf_dir, "documents"), shared_folder(spark, "library")
+    """A folder per supplier and a file per document; number and size of the files come from the scan alone, which
+    never reads contents."""
+    docs, path = table(spark, sf_dir, "documents").filter("text is not null"), shared_folder(spark, "library")
     docs.select(F.regexp_replace("text", r"[\r\n]", " ").alias("value"), F.col("source").alias("folder")) \
-        .write.partitionBy("folder").text(path)
+        .write.partitionBy("folder").option("maxRecordsPerFile", 1).text(path)
     files = readers.scan_library(spark, path, "*.txt").withColumn("supplier", F.regexp_replace("supplier", "^folder=", ""))
-    seen = files.groupBy("supplier").agg((F.sum("size_bytes") > 0).alias("found"))
-    return docs.groupBy(F.col("source").alias("supplier")).agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars")) \
-        .join(seen, "supplier", "left")
+    return files.groupBy("supplier").agg(F.count("*").alias("n"), F.sum("size_bytes").alias("bytes"))
 
 
 @query(f"WITH {LABELLED} SELECT label AS TYPE, doc_id, source || '_labeled' AS source FROM l JOIN documents USING (doc_id)")
@@ -67,11 +70,11 @@ def append_absent(spark, sf_dir):
     return spark.read.parquet(path)
 
 
-@query(f"WITH {CANDIDATES} SELECT category, keyword, round(weight, 6) AS weight FROM c")
+@query(f"WITH {CANDIDATES} SELECT category, keyword, round(weight, 6) AS weight, 5::BIGINT AS min_occurrences FROM c")
 def learning_log(spark, sf_dir):
     path = shared_folder(spark, "learning")
     writers.save_learning(learn_candidates(spark, sf_dir), path, {"min_occurrences": 5, "confidence_threshold": 0.7}, "2024-01-01T00:00:00")
-    return writers.load_learning(spark, path)
+    return writers.load_learning(spark, path).withColumn("min_occurrences", F.lit(writers.load_settings(spark, path)["min_occurrences"]))
 
 
 @query("SELECT user_id, max(event_id) AS last_event FROM events GROUP BY user_id")
@@ -85,7 +88,7 @@ def state_table(spark, sf_dir):
 
 @query("""SELECT category, keyword, 20240101 AS snapshot_ts FROM (SELECT DISTINCT category, keyword FROM (
   SELECT CASE WHEN p_partkey % 2 = 0 THEN 'hw' ELSE 'ni' END AS category, lower(p_type) AS keyword FROM part
-  UNION ALL SELECT 'hw', lower(p_name) FROM part UNION ALL SELECT 'sw', lower(substring(text, 1, 14)) FROM benchmark
+  UNION ALL SELECT 'hw', lower(p_name) FROM part UNION ALL SELECT 'sw', lower(text) FROM benchmark
   UNION ALL SELECT 'ni', lower(source) FROM documents))""")
 def snapshot(spark, sf_dir):
     path = shared_folder(spark, "snapshots")
@@ -97,11 +100,10 @@ def snapshot(spark, sf_dir):
  USING (item_id)) AS detail_rows, (SELECT count(DISTINCT supplier) FROM matches) AS vendors FROM summary""")
 def match_report(spark, sf_dir):
     """Detail and vendor tables and a JSON summary, read back and counted."""
-    found, wanted = matches(spark, sf_dir, "text").persist(), plain_items(spark, sf_dir)
+    found, wanted = cut_lineage(matches(spark, sf_dir, "text"), "matches"), plain_items(spark, sf_dir)
     path = shared_folder(spark, "report")
     writers.write_match_report(reports.match_detail(wanted, found), reports.match_summary(wanted, found),
                                reports.vendor_match_stats(found), path)
-    found.unpersist()
     detail = spark.read.parquet(f"{path}/detail").agg(F.count("*").alias("detail_rows"), F.lit(1).alias("_one"))
     vendors = spark.read.parquet(f"{path}/vendors").agg(F.count("*").alias("vendors"), F.lit(1).alias("_one"))
     summary = spark.read.schema("items long, matches long, match_rate double").json(f"{path}/summary")

@@ -1,20 +1,23 @@
 """Streaming jobs over the supplied tables as arriving files, run to the end of the input.
 
-The checking SQL is the batch answer over the whole table.
+Each table is dealt into several files in no order of time, which arrive one per micro-batch. The checking SQL is
+the batch answer over the whole table.
 """
 
 from pyspark.sql import functions as F
 
 from assetweave.plans.catalog.labels import CANDIDATES, LABELLED, PURCHASED, dictionary
-from assetweave.plans.catalog.registry import bind, query
+from assetweave.plans.catalog.registry import bind, query, table
 from assetweave.session import shared_folder
-from assetweave.sources import writers
 from assetweave.streaming import jobs
 
+ARRIVALS = 4
+
 
 def _stream(spark, sf_dir, name):
-    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return jobs.watch_folder(spark, f"{sf_dir}/{name}.parquet*", schema)
+    arriving, path = table(spark, sf_dir, name), shared_folder(spark, "arriving")
+    arriving.repartition(ARRIVALS, F.xxhash64(*arriving.columns)).write.parquet(path)
+    return jobs.watch_folder(spark, path, arriving.schema, files_per_batch=1)
 
 
 def _purchased(spark, sf_dir):
@@ -39,15 +42,15 @@ def label_stream(spark, sf_dir):
 def learn_stream(spark, sf_dir):
     out, mark = shared_folder(spark, "stream"), shared_folder(spark, "marks")
     labelled = jobs.label_stream(_purchased(spark, sf_dir), "description", "vendor")
-    _finish(jobs.to_versions(jobs.learned_counts(labelled, "description", "label", dictionary(spark, sf_dir)), out, mark, once=True))
-    return writers.read_latest(spark, out).withColumn("weight", F.round("weight", 6))
+    _finish(jobs.to_changes(jobs.learned_counts(labelled, "description", "label", dictionary(spark, sf_dir)), out, mark, once=True))
+    return jobs.read_changes(spark, out, "category", "keyword").withColumn("weight", F.round("weight", 6))
 
 
 @query("SELECT user_id, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS last_seen FROM events GROUP BY user_id")
 def last_seen_stream(spark, sf_dir):
     out, mark = shared_folder(spark, "stream"), shared_folder(spark, "marks")
-    _finish(jobs.to_versions(jobs.last_seen(_stream(spark, sf_dir, "events"), "user_id", "ts"), out, mark, once=True))
-    return writers.read_latest(spark, out).withColumn("last_seen", F.date_format("last_seen", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    _finish(jobs.to_changes(jobs.last_seen(_stream(spark, sf_dir, "events"), "user_id", "ts"), out, mark, once=True))
+    return jobs.read_changes(spark, out, "user_id").withColumn("last_seen", F.date_format("last_seen", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
 
 
 @query("""SELECT user_id || '/' || event_type AS path, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS mtime FROM events GROUP BY ALL""")
@@ -59,9 +62,9 @@ def modified_files_stream(spark, sf_dir):
     return spark.read.schema("path string, mtime timestamp").parquet(out).withColumn("mtime", F.date_format("mtime", "yyyy-MM-dd HH:mm"))
 
 
-@query("SELECT 0::BIGINT AS run, max(o_orderpriority) AS file, 'success' AS status, count(*) AS n_rows FROM orders")
+@query("SELECT max(o_orderpriority) AS file, count(*) AS logged, count(*) AS n_rows, true AS all_succeeded FROM orders")
 def run_log_stream(spark, sf_dir):
-    """One micro-batch per file; the handler stores the batch, the log gets a row."""
+    """One micro-batch per file; the handler stores the batch, the log gets a row. Totals over all runs."""
     out, log, mark = (shared_folder(spark, x) for x in ("stream", "runs", "marks"))
 
     def store(batch, batch_id):
@@ -69,5 +72,7 @@ def run_log_stream(spark, sf_dir):
 
     orders = _stream(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("file"))
     _finish(jobs.with_run_log(orders, store, log, mark, once=True))
-    stored = spark.read.parquet(out).groupBy(F.col("batch").cast("long").alias("run")).agg(F.count("*").alias("n_rows"))
-    return spark.read.parquet(log).select("run", "file", "status").join(stored, "run")
+    stored = spark.read.parquet(out).agg(F.count("*").alias("n_rows"), F.lit(1).alias("_one"))
+    runs = spark.read.parquet(log).agg(F.max("file").alias("file"), F.sum("rows").alias("logged"),
+                                       F.bool_and(F.col("status") == "success").alias("all_succeeded"), F.lit(1).alias("_one"))
+    return runs.join(stored, "_one").drop("_one")

@@ -110,7 +110,9 @@ def append_if_absent(spark, sf_dir):
     return resolve.append_if_absent(master(spark, sf_dir), rows, "supplier", "pos")
 
 
-ALIASES = "SELECT s_name AS supplier, 'DIR ' || n_name AS folder FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal > 5000"
+ALIASES = "SELECT s_name AS supplier, 'DIR ' || n_name AS folder FROM supplier JOIN nation ON s_nationkey = n_nationkey"
+# suppliers without an alias get a name that nobody has
+ALIASES = ALIASES.replace('s_name AS supplier', "CASE WHEN s_suppkey % 3 = 0 THEN s_name || ' (old)' ELSE s_name END AS supplier")
 
 
 @query(f"""WITH b AS ({BOUGHT}), a AS ({ALIASES}) SELECT coalesce(folder, b.supplier) AS folder, count(*) AS n
@@ -123,7 +125,7 @@ def apply_aliases(spark, sf_dir):
 # --- entity matching --------------------------------------------------------------------------
 
 NAMES = """SELECT DISTINCT CASE c_custkey % 9 WHEN 0 THEN upper(c_name) WHEN 1 THEN c_name || ' Holdings East'
-  WHEN 2 THEN substring(c_name, 12, 7) WHEN 3 THEN 'East ' || c_mktsegment || ' Works ' || CAST(c_nationkey AS VARCHAR(9))
+  WHEN 2 THEN CAST(1000000 + c_custkey AS VARCHAR(9)) WHEN 3 THEN 'East ' || c_mktsegment || ' Works ' || CAST(c_nationkey AS VARCHAR(9))
   WHEN 4 THEN 'The ' || replace(c_name, '#', ' No ') || ' Inc' WHEN 5 THEN 'Western ' || c_mktsegment || ' Trading and Shipping'
   WHEN 6 THEN 'Unrelated ' || CAST(c_custkey AS VARCHAR(20)) WHEN 7 THEN 'The Plant ' || CAST(c_custkey AS VARCHAR(20)) || ' Corp'
   ELSE c_name END AS name FROM customer """
@@ -223,7 +225,7 @@ def first_per_domain(spark, sf_dir):
     return ranking.first_per_domain(hits(spark, sf_dir).withColumn("pos", F.col("page_id")), urls.url_domain(F.col("url")))
 
 
-FOLDERS = "SELECT DISTINCT upper(source) AS supplier FROM documents WHERE lang <> 'de' "
+FOLDERS = "SELECT DISTINCT upper(source) AS supplier FROM documents "
 SHEET = """SELECT doc_id, CASE WHEN source IN ('src1', 'src4', 'src9') THEN ' ' || upper(source) WHEN doc_id % 3 = 0
   THEN 'src2' ELSE NULL END AS `Supplier Name`, CASE WHEN doc_id % 2 = 0 THEN source ELSE 'src5' END AS Vendor FROM documents """
 

@@ -1,5 +1,7 @@
 """Session defaults and the shared working folder."""
 
+import atexit
+import shutil
 import tempfile
 from uuid import uuid4
 
@@ -23,14 +25,25 @@ def build_session(app: str = "assetweave", master: str | None = None, **conf) ->
     return builder.getOrCreate()
 
 
+_OWN: dict[str, str] = {}
+
+
+def _base(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder. A local session that has none gets one, which goes when the process ends."""
+    base, master, app = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master, spark.sparkContext.applicationId
+    if base:
+        return base.rstrip("/")
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
+    if app not in _OWN:
+        _OWN[app] = tempfile.mkdtemp(prefix="run-")
+        atexit.register(shutil.rmtree, _OWN[app], ignore_errors=True)
+    return _OWN[app]
+
+
 def shared_folder(spark: SparkSession, label: str) -> str:
-    """A new folder below the cluster's checkpoint folder, readable by every executor."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        base = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-    return f"{base.rstrip('/')}/assetweave/{label}-{uuid4().hex[:12]}"
+    """A new folder that every executor can reach. All folders of an application lie below its id, for removal with it."""
+    return f"{_base(spark)}/assetweave/{spark.sparkContext.applicationId}/{label}-{uuid4().hex[:12]}"
 
 
 def cut_lineage(df: DataFrame, label: str = "stage") -> DataFrame:

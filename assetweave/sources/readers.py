@@ -1,18 +1,21 @@
 """Reading items, dictionaries, libraries and logs."""
 
+import csv
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assetweave.functions import names
 from assetweave.functions.text import strip
+from assetweave.session import cut_lineage
 
 
 def read_items(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
     """Items from Parquet or from CSV files whose header is on the second line.
 
-    All columns are read as text. Spark's header option removes the first line of every
-    file; the real header line that follows equals the column names and is filtered out.
-    Only the head of one file is looked at on the driver, to learn the names.
+    All columns are read as text. Files may have different headers: one job over the lines
+    finds each file's own, files are read per distinct header, and columns that a header
+    lacks are null. The driver sees the distinct headers, not the files.
     """
     fmt = fmt or ("csv" if path.rstrip("/").lower().endswith(".csv") else
                   "parquet" if path.rstrip("/").lower().endswith(".parquet") else None)
@@ -20,16 +23,27 @@ def read_items(spark: SparkSession, path: str, fmt: str | None = None) -> DataFr
         return spark.read.parquet(path)
     if fmt != "csv":
         raise ValueError(f"unsupported item file format: {path}")
-    files = sorted(spark.read.text(path).inputFiles())
-    if not files:
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("_file"), F.split(
+        F.substring_index("value", "\n", 2), "\r?\n").alias("_head"))
+    heads = cut_lineage(text.select("_file", F.get("_head", F.lit(1)).alias("header")), "headers")
+    known = [r[0] for r in heads.select("header").distinct().orderBy("header").collect() if r[0] is not None]
+    if not known:
         raise ValueError(f"no item file at {path}")
-    header = [str(v) for v in spark.read.csv(files[0], header=False).take(2)[-1]]
-    rows = spark.read.csv(path, header=True, enforceSchema=True,
-                          schema=", ".join(f"`{c}` string" for c in header))
-    is_header = F.lit(True)
-    for c in header:
-        is_header = is_header & F.col(f"`{c}`").eqNullSafe(F.lit(c))
-    return rows.filter(~is_header)
+    out = None
+    for line in known:
+        names_ = next(csv.reader([line]))
+        rows = spark.read.csv(path, header=True, enforceSchema=True, mode="PERMISSIVE",
+                              schema=", ".join(f"`{c}` string" for c in names_))
+        if len(known) > 1:
+            mine = heads.filter(F.col("header") == line).select(F.col("_file").alias("_mine"))
+            rows = rows.withColumn("_file", F.col("_metadata.file_path"))
+            rows = rows.join(mine, F.col("_file") == F.col("_mine"), "left_semi").drop("_file")
+        is_header = F.lit(True)
+        for c in names_:
+            is_header = is_header & F.col(f"`{c}`").eqNullSafe(F.lit(c))
+        rows = rows.filter(~is_header)
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return out
 
 
 def list_inputs(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (".csv", ".parquet")) -> DataFrame:
@@ -72,7 +86,7 @@ def run_facts(content: Column) -> list[Column]:
     ok = F.contains(content, F.lit("PIPELINE COMPLETE")) & ~F.contains(content, F.lit("FAILED"))
     return [
         F.coalesce(first(r"(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})"), F.lit("-")).alias("time"),
-        F.coalesce(F.substring(strip(first(r"(?m)Input file:\s*(.+?)$")), 1, 30), F.lit("-")).alias("file"),
+        F.coalesce(strip(first(r"(?m)Input file:\s*(.+?)$")), F.lit("-")).alias("file"),
         first(r"(?i)finished in ([\d.]+) s").try_cast("double").alias("seconds"),
         F.when(ok, "success").otherwise("failed").alias("status")]
 

@@ -31,22 +31,30 @@ def load_learning(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("category string, keyword string, weight double").json(f"{path}/candidates")
 
 
+def load_settings(spark: SparkSession, path: str) -> dict:
+    """The settings that were saved with the candidates, and when."""
+    row = spark.read.json(f"{path}/settings").first()
+    return {**row["settings"].asDict(), "last_updated": row["last_updated"]}
+
+
+def replace_dictionary(old: DataFrame, new: DataFrame, path: str, snapshots: str, version: int, stamp: str) -> None:
+    """The old dictionary is kept as a snapshot before the new one becomes the newest version."""
+    snapshot(old, snapshots, stamp)
+    write_version(new, path, version)
+
+
 def write_version(df: DataFrame, path: str, version: int) -> None:
-    """A complete new version of a table; readers take the newest one that finished."""
+    """A complete new version of a table; readers take the newest one that the table of finished versions lists."""
     df.write.mode("errorifexists").parquet(f"{path}/version={version}")
+    df.sparkSession.range(version, version + 1).toDF("version").write.mode("append").parquet(f"{path}/finished")
 
 
 def read_latest(spark: SparkSession, path: str) -> DataFrame:
-    """Newest finished version: one whose success marker exists."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    root = hadoop.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    versions = [int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(root)
-                if s.getPath().getName().startswith("version=")
-                and fs.exists(hadoop.Path(s.getPath(), "_SUCCESS"))]
-    if not versions:
+    """Newest version that was written to its end."""
+    newest = spark.read.schema("version long").parquet(f"{path}/finished").agg(F.max("version")).first()[0]
+    if newest is None:
         raise ValueError(f"no finished version below {path}")
-    return spark.read.parquet(f"{path}/version={max(versions)}")
+    return spark.read.parquet(f"{path}/version={newest}")
 
 
 def snapshot(df: DataFrame, path: str, stamp: str) -> None:

@@ -6,7 +6,7 @@ each path is taken once, also over restarts. Micro-batches run one after the oth
 
 from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -15,14 +15,15 @@ from assetweave.operators import classify, learning
 POLL = "5 seconds"
 
 
-def watch_folder(spark: SparkSession, path: str, schema, fmt: str = "parquet", files_per_batch: int = 1,
+def watch_folder(spark: SparkSession, path: str, schema, fmt: str = "parquet", files_per_batch: int | None = None,
                  **options) -> DataFrame:
-    """New files of a folder as a stream; one file at a time unless told otherwise.
+    """New files of a folder as a stream; `files_per_batch=1` takes one file at a time.
 
     Files must appear complete and under a new name: rewriting a path is not seen.
     """
-    return (spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", files_per_batch)
-            .options(**options).load(path))
+    if files_per_batch is not None:
+        options["maxFilesPerTrigger"] = files_per_batch
+    return spark.readStream.format(fmt).schema(schema).options(**options).load(path)
 
 
 def label_stream(items: DataFrame, description: str, vendor: str | None = None) -> DataFrame:
@@ -40,9 +41,12 @@ def last_seen(events: DataFrame, key: str, ts: str) -> DataFrame:
     return events.groupBy(key).agg(F.max(ts).alias("last_seen"))
 
 
-def modified_files(events: DataFrame, path: str, mtime: str, delay: str = "1 day") -> DataFrame:
-    """File events once per (path, modification time); state older than `delay` is dropped."""
-    return events.withWatermark(mtime, delay).dropDuplicates([path, mtime])
+def modified_files(events: DataFrame, path: str, mtime: str) -> DataFrame:
+    """File events once per (path, modification time), in whatever order they arrive.
+
+    There is no watermark, which would drop late events: the state holds what the result holds.
+    """
+    return events.dropDuplicates([path, mtime])
 
 
 def _start(writer, checkpoint: str, once: bool) -> StreamingQuery:
@@ -55,37 +59,51 @@ def to_folder(stream: DataFrame, path: str, checkpoint: str, once: bool = False)
     return _start(stream.writeStream.format("parquet").outputMode("append").option("path", path), checkpoint, once)
 
 
-def to_versions(stream: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Complete running aggregate as versioned folders `version=<batch>`.
+def to_changes(stream: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+    """Running aggregate as a table of changes: each batch adds the rows of the keys that it changed.
 
-    A batch that is run again after a failure replaces its own version only.
+    A batch that is run again after a failure replaces its own folder only.
     """
     def save(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return _start(stream.writeStream.outputMode("update").foreachBatch(save), checkpoint, once)
+
+
+def read_changes(spark: SparkSession, path: str, *keys: str) -> DataFrame:
+    """The newest row of each key of a table of changes."""
+    changes = spark.read.parquet(path)
+    rest = [c for c in changes.columns if c not in (*keys, "batch")]
+    newest = changes.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col("batch")).alias("_row"))
+    return newest.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
+
 
-    return _start(stream.writeStream.outputMode("complete").foreachBatch(save), checkpoint, once)
+def fold_changes(spark: SparkSession, path: str, target: str, *keys: str) -> None:
+    """A table of changes with one row per key, as the first batch of a new folder. Run it while no stream writes."""
+    read_changes(spark, path, *keys).write.mode("errorifexists").parquet(f"{target}/batch=-1")
 
 
 def with_run_log(stream: DataFrame, handle, log_path: str, checkpoint: str, file: Column | str = "file",
                  once: bool = False) -> StreamingQuery:
     """Run `handle(batch, batch_id)` per micro-batch and append its run to the log table.
 
-    The log has a row per batch: run, time, file, seconds, status. A failing handler is
+    The handler must compute the batch it is given once, as by one write; rows and file are observed on the way.
+    The log has a row per batch: run, time, file, rows, seconds, status. A failing handler is
     logged and stops the query.
     """
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark, begun, status = batch.sparkSession, datetime.now(timezone.utc), "success"
+        spark, begun, status, seen = batch.sparkSession, datetime.now(timezone.utc), "success", Observation()
         try:
-            handle(batch, batch_id)
+            handle(batch.observe(seen, F.max(file).alias("file"), F.count(F.lit(1)).alias("rows")), batch_id)
         except Exception:
             status = "failed"
             raise
         finally:
             seconds = (datetime.now(timezone.utc) - begun).total_seconds()
-            name = batch.agg(F.max(file)).first()[0] if status == "success" else None
+            told = seen.get if status == "success" else {"file": None, "rows": None}
             spark.createDataFrame(
-                [(batch_id, begun.isoformat(timespec="seconds"), name, seconds, status)],
-                "run long, time string, file string, seconds double, status string",
+                [(batch_id, begun.isoformat(timespec="seconds"), told["file"], told["rows"], seconds, status)],
+                "run long, time string, file string, rows long, seconds double, status string",
             ).write.mode("append").parquet(log_path)
 
     return _start(stream.writeStream.foreachBatch(run), checkpoint, once)

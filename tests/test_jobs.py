@@ -41,7 +41,7 @@ def test_run_logs(spark, tmp_path):
 def test_versions_ignore_unfinished_writes(spark, tmp_path):
     path = str(tmp_path / "t")
     writers.write_version(spark.range(1), path, 1)
-    os.makedirs(f"{path}/version=2")
+    spark.range(2).write.parquet(f"{path}/version=2")  # a writer that stopped before the end
     assert writers.read_latest(spark, path).count() == 1
 
 
