@@ -4,7 +4,8 @@ Rows are identified by content: two 64-bit hashes of (doc_id, text). Rows that a
 decision, and null ids are ordinary values.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,3 +53,30 @@ def connected(nodes: DataFrame, edges: DataFrame, label: str = "components") ->
 
 def schema(text: str) -> T.StructType:
     return T.StructType.fromDDL(text)
+
+
+_REACHED: dict[str, bool] = {}
+
+
+def reach_workers(spark: SparkSession) -> None:
+    """Python workers that can't import this package get its functions by value.
+
+    Workers find it where it is installed, shipped with --py-files or on PYTHONPATH; that is the better way, as they then
+    keep their caches from task to task. A local session started elsewhere has neither.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _REACHED:
+        return
+
+    def probe(batches):
+        import importlib.util
+
+        import pyarrow
+        found = importlib.util.find_spec("assetweave") is not None
+        for batch in batches:
+            yield pyarrow.RecordBatch.from_arrays([pyarrow.array([found] * batch.num_rows)], ["found"])
+    probe.__module__ = "__main__"
+    _REACHED[app] = spark.range(1, numPartitions=1).mapInArrow(probe, "found boolean").first()[0]
+    if not _REACHED[app]:
+        import assetweave
+        cloudpickle.register_pickle_by_value(assetweave)

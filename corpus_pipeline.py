@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assetweave.llm import decontaminate, language, line_dedup, minhash
+from assetweave.llm.common import reach_workers
 from assetweave.llm.queries import packed_digests, table, tokenizer_file
 from assetweave.session import cut_lineage
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, or in which no language reaches half of the probability, go."""
+    reach_workers(spark)
     return language.drop_rejected(docs, tokenizer_file("piece_bpe_32k.model"))
 
 
@@ -27,6 +29,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates stays."""
+    reach_workers(spark)
     return minhash.drop_near_duplicates(docs)
 
 
@@ -37,6 +40,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences."""
+    reach_workers(spark)
     return packed_digests(docs)
 
 
