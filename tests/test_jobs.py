@@ -78,3 +78,69 @@ def test_whole_flow(spark):
     assert got["summary"].first().with_match == 1
     with pytest.raises(ValueError):
         batch.run(None, batch.Settings(stages=("other",)))
+
+
+def test_sheets_with_headers_of_their_own(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Export,,\ncode,description,supplier\nc1,d1,s1\n")
+    (tmp_path / "b.csv").write_text("Export,,\nsupplier,code,description\ns2,c2,\"d, 2\"\n")
+    (tmp_path / "c.csv").write_text("Export,,\ncode,vendor\nc3,v3\n")
+    (tmp_path / "d.csv").write_text("Export,,\ncode,description,supplier\nc4,d4,s4\n")
+    got = {r.code: (r.description, r.supplier, r.vendor) for r in readers.read_items(spark, str(tmp_path), "csv").collect()}
+    assert got == {"c1": ("d1", "s1", None), "c2": ("d, 2", "s2", None), "c3": (None, None, "v3"), "c4": ("d4", "s4", None)}
+
+
+def test_late_events_are_not_lost(spark, tmp_path):
+    source, out, mark = (str(tmp_path / x) for x in ("in", "out", "mark"))
+    schema = "path string, mtime timestamp"
+    for day in ("2024-05-09", "2024-01-01", "2024-03-01", "2024-01-01"):
+        df = spark.sql(f"select 'p' || (id % 5) path, timestamp'{day} 10:00:00' mtime from range(10)")
+        df.coalesce(1).write.mode("append").parquet(source)
+    changes = jobs.modified_files(jobs.watch_folder(spark, source, schema, files_per_batch=1), "path", "mtime")
+    jobs.to_folder(changes, out, mark, once=True).awaitTermination()
+    assert spark.read.parquet(out).count() == 15
+
+
+def test_changes_grow_with_changed_keys_only(spark, tmp_path):
+    source, out, mark = (str(tmp_path / x) for x in ("in", "out", "mark"))
+    schema = "key long, ts timestamp"
+    def add(keys, stamp):
+        spark.createDataFrame([(k,) for k in keys], "key long").selectExpr("key", f"timestamp'{stamp}' ts").coalesce(1).write.mode("append").parquet(source)
+        jobs.to_changes(jobs.last_seen(jobs.watch_folder(spark, source, schema), "key", "ts"), out, mark, once=True).awaitTermination()
+    add(range(20), "2024-01-02 00:00:00")
+    add([3, 30], "2024-01-03 00:00:00")
+    add([4], "2023-01-01 00:00:00")  # an older time changes nothing that counts
+    assert spark.read.parquet(out).count() <= 23
+    got = {r.key: str(r.last_seen)[:10] for r in jobs.read_changes(spark, out, "key").collect()}
+    assert got == {**{k: "2024-01-02" for k in range(20)}, 3: "2024-01-03", 30: "2024-01-03"}
+    jobs.fold_changes(spark, out, str(tmp_path / "folded"), "key")
+    assert spark.read.parquet(str(tmp_path / "folded")).count() == 21
+
+
+def test_settings_and_snapshot_before_a_new_dictionary(spark, tmp_path):
+    path = str(tmp_path / "learning")
+    candidates = spark.createDataFrame([("hw", "pump", 6.0)], "category string, keyword string, weight double")
+    writers.save_learning(candidates, path, {"min_occurrences": 7, "confidence": 0.5}, "2024-01-01")
+    assert writers.load_settings(spark, path) == {"min_occurrences": 7, "confidence": 0.5, "last_updated": "2024-01-01"}
+    old, new = candidates.select("category", "keyword"), spark.createDataFrame([("hw", "pump"), ("hw", "valve")], "category string, keyword string")
+    writers.replace_dictionary(old, new, str(tmp_path / "d"), str(tmp_path / "s"), 1, "20240101")
+    assert writers.read_latest(spark, str(tmp_path / "d")).count() == 2
+    assert spark.read.parquet(str(tmp_path / "s")).count() == 1
+
+
+def test_harvest_is_part_of_the_flow(spark):
+    text = "Axio imager microscope operating instructions"
+    pages = spark.createDataFrame([(1, "https://newlabs.com/", "<a href='/a.pdf'>a</a><a href='/p'>p</a>"), (2, "https://newlabs.com/p", "<a href='/b.pdf'>b</a>")],
+                                  "page_id int, url string, html string")
+    got = batch.run(batch.Inputs(
+        items=spark.createDataFrame([(1, "C1", "Axio imager", "New Labs")], "item_id int, item_code string, description string, supplier string"),
+        master=spark.createDataFrame([("NEW LABS", "https://newlabs.com/")], "supplier string, website string"),
+        dictionary=spark.createDataFrame([("hw", "pump")], "category string, keyword string"),
+        docs=spark.createDataFrame([(1, "New Labs", "imager.pdf", text)], "doc_id int, supplier string, file_name string, text string"),
+        pages=pages, state=spark.createDataFrame([("NEW LABS", "2024-01-01T00:00:00")], "supplier string, last_seen string"),
+        found=spark.createDataFrame([("NEW LABS", "https://newlabs.com/a.pdf", 5000), ("NEW LABS", "https://newlabs.com/b.pdf", 5)],
+                                    "supplier string, url string, size_bytes long")),
+        batch.Settings(item_wise=True))
+    assert got["due"].count() == 1
+    assert sorted(r.url for r in got["found"].collect()) == ["https://newlabs.com/a.pdf", "https://newlabs.com/b.pdf"]
+    assert [r.file_name for r in got["downloads"].collect()] == ["a.pdf"]
+    assert [(r.item_id, r.doc_id) for r in got["links_scored"].collect()] == [(1, 1)]

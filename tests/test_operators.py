@@ -137,7 +137,7 @@ def _score(rule, description, doc, file_name, keywords):
     ratio = SequenceMatcher(None, low, body if rule.sample is None else body[:rule.sample]).ratio()
     if rule.kind == "named":
         import re
-        if len(doc.strip()) < 800:
+        if len(doc.strip()) < rule.min_text:
             return 0.0
         said = re.findall(r"\w+", low)
         score = cov * 60 + ratio * 25 + sum(len(w) > 3 and w in name for w in said) / len(said) * 15
@@ -151,14 +151,15 @@ def _score(rule, description, doc, file_name, keywords):
     import re
     mine = re.findall(r"\b[A-Z0-9]{3,}\b", low.upper())
     structure = len(set(mine) & set(re.findall(r"\b[A-Z0-9]{3,}\b", body.upper()))) / len(mine) * 100 if mine else 0
-    over = len(set(low.split()) & set(body[:1000].split())) / len(set(low.split())) * 100
+    over = len(set(low.split()) & set(body.split())) / len(set(low.split())) * 100
     score = cov * 40 + ratio * 30 + structure * 0.2 + over * 0.1
     return min(100, score * (1.3 if any(len(p.strip()) > 5 and p.strip() in body for p in low.split(",")) else 1))
 
 
 @pytest.mark.parametrize("rule, threshold, by", [
     (linking.NAMED, 20, "supplier"), (linking.NAMED, 55, None), (linking.PLAIN, 35, None), (linking.BOOSTED, 50, None),
-    (linking.FOUR_SIGNAL, 80, None), (linking.FOUR_SIGNAL, 30, "supplier"), (linking.EVEN, 55, None), (linking.PLAIN, 5, "supplier")])
+    (linking.FOUR_SIGNAL, 80, None), (linking.FOUR_SIGNAL, 30, "supplier"), (linking.EVEN, 55, None), (linking.PLAIN, 5, "supplier"),
+    (linking.NAMED.limited(sample=2000, min_text=800), 20, "supplier"), (linking.PLAIN.limited(sample=30, keyword_cap=3), 40, None)])
 def test_link_equals_brute_force(spark, rule, threshold, by):
     rng = random.Random(11)
     vocabulary = ["microscope", "scope", "pump", "valve", "flow", "cell", "x200", "abc", "led", "optics", "stage", "é-lens", "&&"]
@@ -169,7 +170,7 @@ def test_link_equals_brute_force(spark, rule, threshold, by):
             for d in range(30)]
     left = spark.createDataFrame(items, "item_id int, description string, category string, supplier string")
     right = spark.createDataFrame(docs, "doc_id int, text string, file_name string, supplier string")
-    kws = {r.item_id: r.k for r in left.select("item_id", text.search_keywords(F.col("description"), F.col("category"), rule.keywords).alias("k")).collect()}
+    kws = {r.item_id: r.k for r in left.select("item_id", text.search_keywords(F.col("description"), F.col("category"), rule.keywords, rule.keyword_cap).alias("k")).collect()}
     expected = {}
     for i, description, _, supplier in items:
         for d, body, name, folder in docs:
@@ -220,9 +221,9 @@ def test_reachable(spark):
                                   + [("http://a/0", 0, "http://a/", "page"), ("http://a/0", 1, "http://a/deep", "page"), ("http://a/deep", 0, "http://a/deeper", "page")],
                                   "src string, pos int, dst string, kind string")
     seeds = spark.createDataFrame([("a", "http://a/")], "site string, url string")
-    got = {r.url: r.depth for r in web.reachable(edges, seeds).collect()}
+    got = {r.url: r.depth for r in web.reachable(edges, seeds, per_page=10, per_site=50).collect()}
     assert got == {"http://a/": 0, **{f"http://a/{i}": 1 for i in range(10)}, "http://a/deep": 2}
-    assert web.reachable(edges, seeds, max_depth=3, per_page=None).count() == 18
+    assert web.reachable(edges, seeds, max_depth=3).count() == 18 and web.reachable(edges, seeds).count() == 17
     assert web.reachable(edges, seeds, per_site=4).count() == 4
 
 
@@ -241,3 +242,51 @@ def test_due_for_rescan(spark):
     state = spark.createDataFrame([("old", "2024-01-01T00:00:00"), ("fresh", "2024-01-09T00:00:01.5"), ("odd", "?")], "supplier string, last_seen string")
     due = filters.due_for_rescan(sites, state, F.lit("2024-01-16 00:00:00").cast("timestamp"))
     assert rows(due) == [("new",), ("odd",), ("old",)]
+
+
+def test_link_with_a_threshold_that_no_item_can_reach(spark):
+    items = spark.createDataFrame([(1, "pump valve", "s"), (2, "flow cell led", "s")], "item_id int, description string, supplier string")
+    docs = spark.createDataFrame([(1, "f.pdf", "pump valve " * 90, "s")], "doc_id int, file_name string, text string, supplier string")
+    assert linking.link(items, docs, 99).count() == 0
+
+
+ITEMS = "item_id int, description string, supplier string"
+DOCS = "doc_id int, file_name string, text string, supplier string"
+
+
+def flow_fixture(spark):
+    body = "zeiss axio imager microscope with stage and optics"
+    docs = [(1, "Manual_v1.pdf", body, "Zeiss"), (2, "Manual_v2.pdf", body + " more", "Zeiss"), (3, "guide.pdf", "olympus cx23 microscope manual", "Olympus")]
+    items = [(1, "Axio imager microscope", "ZEISS"), (2, "axio imager stage", "Zeiss Group Ltd"), (3, "cx23 microscope", "nobody at all"),
+             (4, "axio imager optics", "House brand"), (5, "unknown thing", "nobody at all")]
+    return spark.createDataFrame(items, ITEMS), spark.createDataFrame(docs, DOCS), spark.createDataFrame(
+        [("House brand", "zeiss")], "supplier string, folder string")
+
+
+def test_items_are_routed_and_fall_back(spark):
+    items, docs, aliases = flow_fixture(spark)
+    routed = {r.item_id: (r.folder, r.strategy) for r in linking.route_items(items, docs, aliases).collect()}
+    assert routed == {1: ("Zeiss", "exact"), 2: ("Zeiss", "containment"), 3: (None, None), 4: ("Zeiss", "exact"), 5: (None, None)}
+    got = {(r.item_id, r.file_key): (r.doc_id, r.fallback) for r in linking.link_items(items, docs, 60, aliases=aliases).collect()}
+    # one of the two manuals stays; the item without a folder finds its document among all
+    assert set(got) == {(1, "manual"), (2, "manual"), (3, "guide"), (4, "manual")}
+    assert got[3, "guide"] == (3, True) and not got[1, "manual"][1]
+
+
+def test_master_folders(spark):
+    items, docs, _ = flow_fixture(spark)
+    typed = items.withColumn("kind", F.when(F.col("item_id") == 3, "Instrument").otherwise("Software"))
+    master = spark.createDataFrame([(" OLYMPUS ",), ("House brand",)], "supplier string")
+    aliases = spark.createDataFrame([("House brand", "zeiss")], "supplier string, folder string")
+    assert {r.doc_id for r in linking.link_master_folders(items, docs, master, 60).collect()} == {3}
+    assert {r.doc_id for r in linking.link_master_folders(items, docs, master, 60, aliases=aliases).collect()} == {1, 2, 3}
+    assert {r.item_id for r in linking.link_master_folders(typed, docs, master, 60, type_column="kind").collect()} == {3}
+
+
+def test_clean_status_and_ready_keywords(spark):
+    df = spark.createDataFrame([("a", "***X***"), ("b", "Y")], "src string, name string")
+    sources = spark.createDataFrame([("a", None), ("b", None), ("c", "unreadable"), ("d", None)], "src string, error string")
+    got = {r.src: (r.rows_total, r.status) for r in cleaning.clean_status(sources, cleaning.clean_stats(df, "name", "src"), "src").collect()}
+    assert got == {"a": (1, "cleaned"), "b": (1, "unchanged"), "c": (0, "failed"), "d": (0, "failed")}
+    candidates = spark.createDataFrame([("hw", "pump", 6.0), ("hw", "valve", 4.0)], "category string, keyword string, weight double")
+    assert rows(learning.ready_candidates(candidates)) == [("hw", "pump", 6.0)]

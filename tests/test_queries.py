@@ -1,18 +1,15 @@
-"""Registered queries against their SQL. QUERIES=all runs every one of them."""
+"""Every registered query against its SQL; QUERIES=name,name runs some of them."""
 
 import os
 
 import pytest
 
 import __spark_entry__ as entry
+from assetweave.plans import catalog
 from compare import compare, connect
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-SOME = ["clean_names", "clean_stats", "coalesce_roles", "doc_gate", "due_for_rescan", "classify_items", "classify_by_dictionary",
-        "learning_tokens", "promote_keywords", "relabel", "missing_suppliers", "resolve_entities", "pick_best_url",
-        "items_by_supplier", "text_signals", "text_budget", "prioritize_documents", "best_document", "number_matches",
-        "extract_links", "reachable_pages", "run_history", "read_items", "append_absent", "last_seen_stream", "modified_files_stream"]
-NAMES = list(entry.queries()) if os.environ.get("QUERIES") == "all" else SOME
+NAMES = [n for n in catalog.queries() if n in os.environ.get("QUERIES", n).split(",")]
 
 
 @pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
