@@ -212,7 +212,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, size: int =
     return keyed.drop("text").join(named, (F.col(TEXT[0]) == F.col(f"_{TEXT[0]}")) & (F.col(TEXT[1]) == F.col(f"_{TEXT[1]}")), "left") \
         .select("doc_id", *TEXT, F.when(F.col("_chosen").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
                 F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-                F.coalesce(F.col("_chosen") & F.col("doc_id").eqNullSafe(F.col("_first")), F.lit(True)).alias("kept"))
+                F.when(F.col("_chosen").isNull(), True).otherwise(F.col("_chosen") & F.col("doc_id").eqNullSafe(F.col("_first"))).alias("kept"))
 
 
 def _linked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, idf: np.ndarray, size: int, similarity: float) -> DataFrame:
