@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assetweave.llm.common import connected, schema
+from assetweave.llm.common import connected, schema, sorted_groups
 from assetweave.session import cut_lineage
 
 COSINE = 0.9
@@ -97,8 +97,9 @@ def leaves_of(x: np.ndarray, tree: Tree, number: int, margin: float) -> tuple[np
     return np.concatenate(rows_out), np.concatenate(leaf_out)
 
 
-def _unit(column: pa.Array) -> np.ndarray:
-    x = np.array(column.to_pylist(), np.float64)
+def _unit(column: pa.ListArray) -> np.ndarray:
+    """Unit vectors in double precision; all of one length, none of them zero."""
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
     x /= np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
@@ -120,7 +121,7 @@ def _route(trees: list[Tree], margin: float):
     return run
 
 
-def _links_of(node: np.ndarray, x: np.ndarray, copies: np.ndarray, leaves: list, leaf: int, side: np.ndarray, cosine: float):
+def _links_of(node: np.ndarray, x: np.ndarray, copies: np.ndarray, leaves: pa.ListArray, leaf: int, side: np.ndarray, cosine: float):
     """(node, counted links, root) of those vectors of a leaf, or of two of its blocks, that have links there."""
     near = x @ x.T >= cosine
     np.fill_diagonal(near, False)
@@ -138,8 +139,8 @@ def _links_of(node: np.ndarray, x: np.ndarray, copies: np.ndarray, leaves: list,
             break
         root = low
     sooner: dict[int, list[int]] = {}
-    for i, h in enumerate(held):
-        for one in leaves[h]:
+    for i, mine in enumerate(leaves.take(pa.array(held)).to_pylist()):
+        for one in mine:
             if one < leaf:
                 sooner.setdefault(one, []).append(i)
     for rows in sooner.values():
@@ -149,31 +150,12 @@ def _links_of(node: np.ndarray, x: np.ndarray, copies: np.ndarray, leaves: list,
 
 
 def _compare(cosine: float):
-    """Rows come sorted by group; a group may go on in the next batch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def done(parts: list[pa.RecordBatch]):
-            t = pa.Table.from_batches(parts)
-            found = _links_of(t["node"].to_numpy(), _unit(t["vector"].combine_chunks()), t["copies"].to_numpy(), t["leaves"].to_pylist(),
-                              t["leaf"][0].as_py(), t["side"].to_numpy(), cosine) if t.num_rows > 1 else None
-            return found and pa.RecordBatch.from_arrays([pa.array(a, pa.int64()) for a in found], ["node", "links", "root"])
-        last = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key = np.stack([batch.column(i).to_numpy() for i in range(3)])
-            cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                now = tuple(key[:, a].tolist())
-                if held and now != last:
-                    if (out := done(held)) is not None:
-                        yield out
-                    held = []
-                last = now
-                held.append(batch.slice(a, b - a))
-        if held and (out := done(held)) is not None:
-            yield out
+        for t in sorted_groups(batches, 3):
+            if t.num_rows > 1 and (found := _links_of(
+                    t["node"].to_numpy(), _unit(t["vector"].combine_chunks()), t["copies"].to_numpy(), t["leaves"].combine_chunks(),
+                    t["leaf"][0].as_py(), t["side"].to_numpy(), cosine)):
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()) for a in found], ["node", "links", "root"])
     return run
 
 

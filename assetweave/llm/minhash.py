@@ -5,10 +5,11 @@ document frequency of its words. Word frequencies are counted over all documents
 what each task holds is bounded. The frequency only moves a weight between 1 and 1 + `damping`: a word changed in a copy
 is rare by nature, and undamped weights would push true copies below the threshold.
 
-Signatures have `bands` x `rows` samples. Within a band's bucket every member is compared with one member that the band
-picks, which is linear in the bucket. Links found so give components; then, in buckets that still hold several
-components, each member outside the bucket's largest component is compared with all members of other components. So no
-candidate link between different components is left out, and no group's pairs are all written. Each comparison is
+Signatures have `bands` x `rows` samples. Within a band's bucket every member is first compared with one of them, the
+one that shares most buckets with others, which is mostly the original of the copies. Links found so give components. Then,
+in buckets that still hold several components, each member outside the bucket's largest one is compared with all members of
+other components, in groups of two blocks that hold their shingles in arrays; for each such member and component one
+link is kept. So no link between different components is left out, and no group's pairs are all written. Each comparison is
 the weighted Jaccard similarity of whole texts.
 
 Texts without words (null and empty ones too) link with nothing. Rows with equal text are one node; its document is the
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assetweave.llm.common import connected, schema
+from assetweave.llm.common import connected, schema, sorted_groups
 from assetweave.llm.words import word_hashes
 from assetweave.session import cut_lineage
 
@@ -30,6 +31,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 10, 3
 FEATURES = 1 << 18
 DAMPING = 0.25
+BLOCK = 500  # texts on each side of a group that is compared at once
 TEXT = ["_text_a", "_text_b"]
 
 
@@ -64,15 +66,22 @@ def shingles(text: str, idf: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarra
         mark = (mark ^ words[k:k + n]) * np.uint64(0xBF58476D1CE4E5B9)
         mark ^= mark >> np.uint64(29)
         weight += rare[k:k + n]
-    mark, first, tf = np.unique(mark, return_index=True, return_counts=True)
-    return mark, (1 + np.log(tf)) * weight[first] / size
+    order = np.argsort(mark)
+    mark, weight = mark[order], weight[order] / size
+    new = np.append(True, mark[1:] != mark[:-1])
+    if new.all():
+        return mark, weight
+    first = np.flatnonzero(new)
+    return mark[first], (1 + np.log(np.diff(np.append(first, n)))) * weight[first]
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    low = np.minimum(a[1][i], b[1][j]).sum()
-    total = a[1].sum() + b[1].sum() - low
-    return float(low / total) if total > 0 else 0.0
+    if not len(a[0]) or not len(b[0]):
+        return 0.0
+    at = np.minimum(np.searchsorted(a[0], b[0]), len(a[0]) - 1)
+    same = a[0][at] == b[0]
+    low = np.minimum(a[1][at[same]], b[1][same]).sum()
+    return float(low / (a[1].sum() + b[1].sum() - low))
 
 
 class Sampler:
@@ -149,27 +158,61 @@ def _sign(idf: np.ndarray, size: int, bands: int, rows: int):
 
 
 def _verify(idf: np.ndarray, size: int, similarity: float):
+    """Pairs sorted by their hub, whose shingles are kept."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, kept = None, None
         for batch in batches:
-            u, v, near = [], [], []
+            u, v = [], []
             for a, b, x, y in zip(*(batch.column(k) for k in range(4)), strict=True):
                 if a.as_py() != last:
                     last, kept = a.as_py(), shingles(x.as_py(), idf, size)
-                if (s := weighted_jaccard(kept, shingles(y.as_py(), idf, size))) >= similarity:
-                    u.append(last), v.append(b.as_py()), near.append(s)
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(near, pa.float64())],
-                                             ["u", "v", "similarity"])
+                if weighted_jaccard(kept, shingles(y.as_py(), idf, size)) >= similarity:
+                    u.append(last), v.append(b.as_py())
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
     return run
 
 
+def _cross(idf: np.ndarray, size: int, similarity: float):
+    """Links between components within groups of two blocks: for each open member one link to each other component."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in sorted_groups(batches, 4):
+            node, component, opened, member = (t[c].to_numpy() for c in ("node", "component", "opened", "member"))
+            rows = np.flatnonzero(opened == 1)
+            others = np.flatnonzero(member == 1)
+            if len(rows) and len(others):
+                u, v = _cross_links(rows, others, component, [shingles(x.as_py(), idf, size) for x in t["text"]], similarity)
+                yield pa.RecordBatch.from_arrays([pa.array(node[u], pa.int64()), pa.array(node[v], pa.int64())], ["u", "v"])
+    return run
+
+
+def _cross_links(rows: np.ndarray, others: np.ndarray, component: np.ndarray, sets: list, similarity: float):
+    """Each of `rows` against all `others` of other components at once."""
+    marks, local = np.unique(np.concatenate([s[0] for s in sets]), return_inverse=True)
+    begin = np.append(0, np.cumsum([len(s[0]) for s in sets]))
+    total = np.array([s[1].sum() for s in sets])
+    mine = [local[begin[o]:begin[o + 1]] for o in others]
+    flat, weight = np.concatenate(mine), np.concatenate([sets[o][1] for o in others])
+    cuts = np.append(0, np.cumsum([len(m) for m in mine]))[:-1]
+    dense, u, v = np.zeros(len(marks)), [], []
+    for r in rows:
+        at = local[begin[r]:begin[r + 1]]
+        dense[at] = sets[r][1]
+        low = np.add.reduceat(np.minimum(dense[flat], weight), cuts)
+        dense[at] = 0
+        near = np.flatnonzero((low >= similarity * (total[others] + total[r] - low)) & (component[others] != component[r]))
+        _, first = np.unique(component[others[near]], return_index=True)
+        u += [r] * len(first)
+        v += others[near[first]].tolist()
+    return np.array(u, np.int64), np.array(v, np.int64)
+
+
 def _text_key():
     return [F.xxhash64(F.lit(5), F.col("text")).alias(TEXT[0]), F.xxhash64(F.col("text"), F.lit(3)).alias(TEXT[1])]
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE, bands: int = BANDS,
                     rows: int = ROWS, damping: float = DAMPING) -> DataFrame:
-    """A row per document: doc_id, the text's key, class_id, n_links (verified links of its text), kept."""
+    """A row per document: doc_id, the text's key, class_id, kept."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
     idf = inverse_frequencies(docs, damping)
     keyed = docs.select("doc_id", *_text_key(), "text")
@@ -180,53 +223,69 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, size: int =
                                                   F.first("weight").alias("weight")).select(
         F.monotonically_increasing_id().alias("node"), "*"), "signatures")
     buckets = nodes.select("node", "weight", F.posexplode("keys").alias("band", "key"))
-    shared = buckets.groupBy("band", "key").agg(
-        F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node", "band"), "node", "weight")).alias("hub")).filter("n > 1")
-    members = cut_lineage(buckets.join(shared, ["band", "key"]).select("band", "key", "node", "weight", "hub"), "buckets")
+    shared = buckets.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
+    members = cut_lineage(buckets.join(shared, ["band", "key"]), "buckets")
+    texts = _texts(docs, nodes, members.select("node").distinct())
     # totals differ by the share of the smaller one at most
     apart = lambda a, b: F.least(a, b) >= F.greatest(a, b) * (similarity - 1e-9)
-    stars = cut_lineage(members.filter((F.col("node") != F.col("hub.node")) & apart(F.col("weight"), F.col("hub.weight")))
-                        .select(F.least("node", "hub.node").alias("u"), F.greatest("node", "hub.node").alias("v")).distinct(), "stars")
-    links = _linked(docs, nodes, stars, idf, size, similarity)
+    central = members.groupBy("node").agg(F.sum("n").alias("met"))
+    hubs = members.join(central, "node").groupBy("band", "key").agg(
+        F.max(F.struct("met", -F.col("node"), "weight")).alias("h")).select("band", "key", (-F.col("h.col2")).alias("hub"), F.col("h.weight").alias("hub_weight"))
+    stars = members.join(hubs, ["band", "key"]).filter((F.col("node") != F.col("hub")) & apart(F.col("weight"), F.col("hub_weight"))) \
+        .select("hub", "node").distinct()
+    links = _star_links(stars, texts, idf, size, similarity)
     first = cut_lineage(connected(members.select("node").distinct(), links), "first_classes")
-    named = members.select("band", "key", "node", "weight").join(first, "node")
-    sizes = named.groupBy("band", "key", "component").count()
-    mixed = sizes.groupBy("band", "key").agg(F.count("*").alias("parts"), F.max(F.struct("count", "component")).alias("main")) \
-        .filter("parts > 1").select("band", "key", F.col("main.component").alias("main"))
-    open_ = cut_lineage(named.join(mixed, ["band", "key"]), "mixed_buckets")
-    rest = open_.filter("component <> main").select("band", "key", F.col("node").alias("x"), F.col("component").alias("cx"),
-                                                    F.col("weight").alias("wx"))
-    more = open_.join(rest, ["band", "key"]).filter((F.col("component") != F.col("cx")) & apart(F.col("weight"), F.col("wx"))) \
-        .select(F.least("node", "x").alias("u"), F.greatest("node", "x").alias("v")).distinct().join(stars, ["u", "v"], "left_anti")
-    more = cut_lineage(more, "cross_pairs")
-    if not more.isEmpty():
-        links = links.union(_linked(docs, nodes, more, idf, size, similarity))
+    links = links.union(_open_links(members, first, texts, idf, size, similarity))
     classes = connected(nodes.select("node"), links)
-    degree = links.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    named = cut_lineage(nodes.select("node", "doc_id", *TEXT).join(classes, "node").join(degree, "node", "left"), "classes")
+    named = cut_lineage(nodes.select("node", "doc_id", *TEXT).join(classes, "node"), "classes")
     best = named.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.min(F.struct(
         F.col("doc_id").isNull(), "doc_id", "node"))["node"].alias("chosen"))
     named = named.join(best, "component").select(
-        *[F.col(c).alias(f"_{c}") for c in TEXT], F.col("doc_id").alias("_first"), "class_id", "n_links",
+        *[F.col(c).alias(f"_{c}") for c in TEXT], F.col("doc_id").alias("_first"), "class_id",
         (F.col("node") == F.col("chosen")).alias("_chosen"))
     return keyed.drop("text").join(named, (F.col(TEXT[0]) == F.col(f"_{TEXT[0]}")) & (F.col(TEXT[1]) == F.col(f"_{TEXT[1]}")), "left") \
         .select("doc_id", *TEXT, F.when(F.col("_chosen").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-                F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
                 F.when(F.col("_chosen").isNull(), True).otherwise(F.col("_chosen") & F.col("doc_id").eqNullSafe(F.col("_first"))).alias("kept"))
 
 
-def _linked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, idf: np.ndarray, size: int, similarity: float) -> DataFrame:
-    """The pairs of nodes (u, v) whose whole texts are similar enough, as a written table."""
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes, "node").select(
-        "node", F.col("doc_id").alias("_id"), *[F.col(c).alias(f"_{c}") for c in TEXT])
+def _texts(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, text) of the nodes that share a bucket, as a written table."""
+    known = wanted.join(nodes, "node").select("node", F.col("doc_id").alias("_id"), *[F.col(c).alias(f"_{c}") for c in TEXT])
     a, b = _text_key()
-    texts = docs.select("doc_id", "text").join(
-        wanted, (a == F.col("_" + TEXT[0])) & (b == F.col("_" + TEXT[1])) & F.col("doc_id").eqNullSafe(F.col("_id"))) \
-        .select("node", "text").dropDuplicates(["node"])
-    texts = cut_lineage(texts, "candidate_texts")
-    left, right = (texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in "uv")
-    both = pairs.join(left, "u").join(right, "v").select("u", "v", "text_u", "text_v")
-    return cut_lineage(both.mapInArrow(_verify(idf, size, similarity), schema("u long, v long, similarity double")), "links")
+    return cut_lineage(docs.select("doc_id", "text").join(
+        known, (a == F.col("_" + TEXT[0])) & (b == F.col("_" + TEXT[1])) & F.col("doc_id").eqNullSafe(F.col("_id")))
+        .select("node", "text").dropDuplicates(["node"]), "candidate_texts")
+
+
+def _star_links(stars: DataFrame, texts: DataFrame, idf: np.ndarray, size: int, similarity: float) -> DataFrame:
+    """Pairs (u, v) of a hub and a member whose texts are similar enough, as a written table."""
+    left, right = (texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in ("hub", "node"))
+    both = stars.join(right, "node").join(left, "hub").select("hub", "node", "text_hub", "text_node")
+    return cut_lineage(both.mapInArrow(_verify(idf, size, similarity), schema("u long, v long")), "links")
+
+
+def _open_links(members: DataFrame, first: DataFrame, texts: DataFrame, idf: np.ndarray, size: int, similarity: float) -> DataFrame:
+    """Links between the components that still meet in a bucket, as a written table."""
+    named = members.select("band", "key", "node").join(first, "node")
+    sizes = named.groupBy("band", "key", "component").count()
+    mixed = sizes.groupBy("band", "key").agg(
+        F.count("*").alias("parts"), F.max(F.struct("count", "component")).alias("main"), F.sum("count").alias("n")) \
+        .filter("parts > 1").select(
+        "band", "key", F.col("main.component").alias("main"), F.ceil((F.col("n") - F.col("main.count")) / BLOCK).cast("int").alias("ni"),
+        F.ceil(F.col("n") / BLOCK).cast("int").alias("nj"))
+    rows = cut_lineage(named.join(mixed, ["band", "key"]), "open_buckets")
+    # open members lie in one block on each side, the others in one block of the second side
+    opened = F.col("component") != F.col("main")
+    place = lambda n: F.pmod(F.xxhash64("node", F.lit(n)), F.col(n)).cast("int")
+    as_member = rows.withColumn("j", place("nj")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("ni") - 1))) \
+        .select("band", "key", "i", "j", "node", "component", F.lit(0).alias("opened"), F.lit(1).alias("member"))
+    as_open = rows.filter(opened).withColumn("i", place("ni")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nj") - 1))) \
+        .select("band", "key", "i", "j", "node", "component", F.lit(1).alias("opened"), F.lit(0).alias("member"))
+    groups = as_member.unionByName(as_open).groupBy("band", "key", "i", "j", "node", "component").agg(
+        F.max("opened").alias("opened"), F.max("member").alias("member"))
+    dealt = groups.join(texts, "node").select("band", "key", "i", "j", "node", "component", "opened", "member", "text") \
+        .repartition("band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j")
+    return cut_lineage(dealt.mapInArrow(_cross(idf, size, similarity), schema("u long, v long")).distinct(), "open_links")
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

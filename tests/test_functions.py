@@ -94,12 +94,14 @@ def test_sequence_ratio_and_its_bound(spark):
 
 def test_search_keywords(spark):
     row = spark.createDataFrame([("The Café microscope, for A-b and x1", "Lab lab-tools")], "d string, c string").select(
-        *[text.search_keywords(F.col("d"), F.col("c"), v).alias(v) for v in ("capped", "full", "strict")]).first()
-    assert row.capped == ["café", "lab", "lab-tools", "microscope", "x1"]
+        *[text.search_keywords(F.col("d"), F.col("c"), v).alias(v) for v in ("short", "full", "strict")]).first()
+    assert row.short == ["café", "lab", "lab-tools", "microscope", "x1"]
     assert row.full == ["café", "lab", "lab-tools", "microscope"]
     assert row.strict == ["café", "lab", "microscope", "tools"]
     long = " ".join(f"w{i:02d}" + "x" * (i % 5) for i in range(30))
-    kept = spark.createDataFrame([(long,)], "d string").select(text.search_keywords(F.col("d")).alias("k")).first().k
+    df = spark.createDataFrame([(long,)], "d string")
+    assert df.select(text.search_keywords(F.col("d")).alias("k")).first().k == sorted(set(long.split()))
+    kept = df.select(text.search_keywords(F.col("d"), cap=20).alias("k")).first().k
     assert kept == sorted(set(long.split()), key=lambda w: (-len(w), w))[:20]
 
 

@@ -202,7 +202,7 @@ def test_number_rows_and_budget(spark):
     got = ranking.number_rows(df, "v").collect()
     assert all(r.number == r.v + 1 and r.total == 100 for r in got) and len(got) == 100
     parts = spark.createDataFrame([(1, 0, "aaaa"), (1, 1, ""), (1, 2, "bbbb"), (1, 3, "cccc"), (1, 6, "late")], "k int, p int, text string")
-    assert rows(ranking.text_budget(parts, "k", "p", max_chars=6)) == [(1, "aaaa bbbb")]
+    assert rows(ranking.text_budget(parts, "k", "p", max_parts=5, max_chars=6)) == [(1, "aaaa bbbb")]
 
 
 def test_links(spark):
