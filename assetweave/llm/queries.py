@@ -194,4 +194,4 @@ def op8_warc(spark, sf_dir):
 @query()
 def op9_minhash(spark, sf_dir):
     """Class of near-duplicates of every document."""
-    return minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "kept")
+    return minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")

@@ -20,14 +20,16 @@ class Words:
         chunks = text.lower().split()
         if len(self._code) > CACHE:
             self._code, self._hash = {}, np.zeros(1024, np.uint64)
-        new = sorted(set(chunks).difference(self._code))
-        if new:
+        codes = list(map(self._code.get, chunks))
+        if None in codes:
+            new = list({c for c, known in zip(chunks, codes, strict=True) if known is None})
             first = len(self._code)
             while first + len(new) > len(self._hash):
                 self._hash = np.concatenate([self._hash, np.zeros_like(self._hash)])
             self._hash[first:first + len(new)] = [_hash(c) for c in new]
             self._code.update(zip(new, range(first, first + len(new)), strict=True))
-        found = self._hash[np.fromiter(map(self._code.__getitem__, chunks), np.int32, len(chunks))]
+            codes = [self._code[c] if known is None else known for c, known in zip(chunks, codes, strict=True)]
+        found = self._hash[np.array(codes, np.int32)]
         return found[found != 0]
 
 
