@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assetweave.llm.common import schema
+from assetweave.session import cut_lineage
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -218,7 +219,8 @@ def _host():
 
 def extract(pages: DataFrame) -> DataFrame:
     """A row per page: page_id, url, text."""
-    winners = host_paths(pages)
+    # a row per host, written so that its size is known: small, it goes to the pages; large, AQE splits a host's pages
+    winners = cut_lineage(host_paths(pages), "host_paths")
     held = pages.select("page_id", "url", "html", _host().alias("_host")).join(
         winners.withColumnRenamed("host", "_winner"), F.col("_host") == F.col("_winner"), "left")
     id_type = pages.schema["page_id"].dataType.simpleString()
