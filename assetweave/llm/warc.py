@@ -162,6 +162,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, limit: int = A
     shared = pages.filter(F.octet_length("html") >= least).groupBy("_digest").agg(
         F.max("page_id").alias("_first"), F.count("*").alias("_n")).filter("_n > 1").select(
         F.col("_digest").alias("_shared"), "_first")
+    shared = cut_lineage(shared, "shared_payloads")  # its size is then known: small, it goes to the pages
     marked = pages.join(shared, pages["_digest"] == shared["_shared"], "left").select(
         "page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("_first")), F.col("_first")).alias("refers_to"))
     return cut_lineage(marked.mapInArrow(_write(folder, limit), schema("archive string, records long")), "manifest")
