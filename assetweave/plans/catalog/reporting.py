@@ -44,7 +44,7 @@ def runs(spark, sf_dir):
 
 
 FACTS = r"""l AS (""" + LOGS + r"""), facts AS (SELECT run, coalesce(nullif(regexp_extract(content, '(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})', 1), ''), '-') AS time,
- coalesce(left(trim(nullif(regexp_extract(content, '(?m)Input file:\s*(.+?)$', 1), '')), 30), '-') AS file,
+ coalesce(trim(nullif(regexp_extract(content, '(?m)Input file:\s*(.+?)$', 1), '')), '-') AS file,
  try_cast(nullif(regexp_extract(content, '(?i)finished in ([\d.]+) s', 1), '') AS DOUBLE) AS seconds,
  CASE WHEN contains(content, 'PIPELINE COMPLETE') AND NOT contains(content, 'FAILED') THEN 'success' ELSE 'failed' END AS status FROM l)"""
 
@@ -54,7 +54,7 @@ def run_log_facts(spark, sf_dir):
     return runs(spark, sf_dir)
 
 
-@query(f"""WITH {FACTS} SELECT run, time, file, CASE WHEN seconds IS NULL THEN '-' ELSE CAST(CAST(floor(seconds / 60) AS BIGINT) AS VARCHAR) || 'm' END AS duration, status
+@query(f"""WITH {FACTS} SELECT run, time, left(file, 30) AS file, CASE WHEN seconds IS NULL THEN '-' ELSE CAST(CAST(floor(seconds / 60) AS BIGINT) AS VARCHAR) || 'm' END AS duration, status
  FROM facts ORDER BY run DESC LIMIT 5""")
 def run_history(spark, sf_dir):
     return reports.run_history(runs(spark, sf_dir), 5)
