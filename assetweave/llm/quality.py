@@ -88,27 +88,33 @@ class Linear:
         return x @ self.weights + self.bias
 
 
-def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, steps: int = 12) -> Linear:
-    """Ridge logistic regression by Newton's method with conjugate gradients."""
+def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, steps: int = 8, inner: int = 20) -> Linear:
+    """Ridge logistic regression by Newton's method with conjugate gradients. Large products stay in single precision."""
     w = np.zeros(x.shape[1] + 1)
-    x1 = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     penalty = np.append(np.full(x.shape[1], ridge), 1e-6)
+
+    def times(v: np.ndarray) -> np.ndarray:
+        return (x @ v[:-1].astype(x.dtype)).astype(np.float64) + v[-1]
+
+    def back(v: np.ndarray) -> np.ndarray:
+        return np.append((v.astype(x.dtype) @ x).astype(np.float64), v.sum())
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
-        gradient = x1.T @ (weight * (p - y)) + penalty * w
+        p = 1 / (1 + np.exp(-np.clip(times(w), -30, 30)))
+        gradient = back(weight * (p - y)) + penalty * w
         curve = weight * np.maximum(p * (1 - p), 1e-6)
         step, r = np.zeros_like(w), -gradient
         d, old = r.copy(), r @ r
-        for _ in range(40):
-            if old < 1e-10:
+        least = max(1e-10, old * 1e-6)
+        for _ in range(inner):
+            if old < least:
                 break
-            hd = x1.T @ (curve * (x1 @ d)) + penalty * d
+            hd = back(curve * times(d)) + penalty * d
             a = old / (d @ hd)
             step, r = step + a * d, r - a * hd
             now = r @ r
             d, old = r + now / old * d, now
         w = w + step
-        if np.abs(step).max() < 1e-4:
+        if np.abs(step).max() < 1e-3:
             break
     return Linear(w[:-1], float(w[-1]))
 
