@@ -72,3 +72,39 @@ def test_repeated_rows_and_empty_table(spark):
     assert run(spark, [(1, one), (1, one), (2, one)]) == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False)]
     assert run(spark, []) == []
     assert run(spark, [(5, None)]) == [(5, 0, 5, True)]
+
+
+def hot_third(n, typical=0.92, size=64):
+    """A third of the vectors are one group with that cosine between two of them."""
+    made = np.random.default_rng(5)
+    x = made.standard_normal((n, size))
+    x[:n // 3] = np.sqrt(typical) * x[0] / np.linalg.norm(x[0]) + np.sqrt((1 - typical) / size) * x[:n // 3]
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("total", [50_000, 1_000_000])
+def test_recall_in_a_hot_group_holds_at_any_size(total):
+    x, made = hot_third(6000), np.random.default_rng(2)
+    margin = d.SPILL * np.sqrt(0.2 / 64)
+    a, b = made.integers(1, 2000, (2, 3000))
+    ok = (a != b) & ((x[a] * x[b]).sum(axis=1) >= 0.9)
+    a, b = a[ok], b[ok]
+    met = np.zeros(len(a), bool)
+    for i in range(d.trees_for(total, d.LEAF, d.TREES)):
+        tree = d.grow(x[made.choice(6000, 3000, replace=False)], total, d.LEAF, made, margin, 0.9)
+        left, right = ({*zip(*(v.tolist() for v in d.leaves_of(x[k], tree, i, margin)), strict=True)} for k in (a, b))
+        met[[r for r, _ in left & right]] = True
+    assert met.mean() >= 0.98
+
+
+def test_trees_follow_from_depth():
+    assert d.trees_for(1000, 256, 12) == d.trees_for(50_000, 256, 12) == 12
+    assert d.trees_for(10**9, 256, 12) > 12
+
+
+def test_members_of_dense_leaves_count_once(spark, monkeypatch):
+    monkeypatch.setattr(d, "BLOCK", 8)
+    rows = [(i, [float(np.float32(v)) for v in x]) for i, x in enumerate(hot_third(240, size=16))]
+    got, want = run(spark, rows, leaf=10), brute(rows)
+    assert all(a[1] <= b[1] for a, b in zip(got, want, strict=True))
+    assert sum(r[1] for r in got) >= 0.99 * sum(r[1] for r in want) > 0
