@@ -5,8 +5,9 @@ has a logistic classifier. In every round each view labels the unlabelled docume
 view learns from them. Then each view is calibrated on labelled documents that were held back, and a logistic combination of
 the two calibrated views, fitted on the same documents, scores every document. The target is quality 1 without toxicity.
 
-Learning uses at most `labelled` labelled and `unlabelled` unlabelled documents, those with the smallest hash of their id;
-scoring covers all documents and whole texts. Words that enter the model are those of the vocabulary of hashed features whose
+Learning uses at most `labelled` labelled documents, those with the smallest hash of their id, and all unlabelled ones:
+their features are written once, every round looks at all of them, and the views are fitted on sums over all that are sure
+(gradients for the text view, counts per set of metadata features for the other). Scoring covers all documents and whole texts. Words that enter the model are those of the vocabulary of hashed features whose
 rate differs between the classes by more than `least_z` standard errors.
 
 A null text is an empty one; null metadata are values of their own. Labels that are null, or of documents that don't exist,
@@ -14,6 +15,7 @@ are not used; a document with several label rows counts with each. Without both
 of good labels, or one half.
 """
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,11 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assetweave.llm.common import schema
+from assetweave.session import cut_lineage
 
-LABELLED, UNLABELLED, ROUNDS = 12_000, 3000, 3
+LABELLED, ROUNDS = 12_000, 3
 FEATURES, META = 1 << 18, 1 << 10
 LEAST_Z, MOST_WORDS = 4.0, 1000
 SURE = 0.97
+TAUGHT = 0.5  # weight of a document that the other view has labelled
 RIDGE = 0.2, 4.0  # of the text and of the metadata view
 STYLE = 8
 CACHE = 300_000
@@ -134,22 +138,51 @@ class Model:
         return np.clip(np.stack([a, b], axis=1), -12, 12)
 
 
-def matrix(words: list[np.ndarray], style: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
-    x = np.zeros((len(words), len(vocabulary) + style.shape[1]), np.float32)
-    for i, found in enumerate(words):
-        at = np.searchsorted(vocabulary, found)
-        at[at == len(vocabulary)] = 0
-        if len(vocabulary):
-            x[i, at[vocabulary[at] == found]] = 1
-    x[:, len(vocabulary):] = style
-    return x
+class Rows:
+    """Sparse rows of ones, with some dense columns behind them."""
 
+    __array_ufunc__ = None  # so that `vector @ rows` comes here
+    dtype = np.dtype(np.float64)
 
-def meta_matrix(found: list[list[int]]) -> np.ndarray:
-    x = np.zeros((len(found), META), np.float32)
-    for i, f in enumerate(found):
-        x[i, f] = 1
-    return x
+    def __init__(self, at: np.ndarray, lengths: np.ndarray, width: int, dense: np.ndarray | None = None):
+        self.at, self.lengths, self.width = at, lengths, width
+        self.dense = np.zeros((len(lengths), 0), np.float32) if dense is None else dense
+        self.of = np.repeat(np.arange(len(lengths)), lengths)
+        self.shape = len(lengths), width + self.dense.shape[1]
+
+    def __matmul__(self, v: np.ndarray) -> np.ndarray:
+        return np.bincount(self.of, v[self.at], len(self.lengths)) + self.dense @ v[self.width:]
+
+    def __rmatmul__(self, v: np.ndarray) -> np.ndarray:
+        return np.append(np.bincount(self.at, v[self.of], self.width), v @ self.dense)
+
+    def __getitem__(self, mask: np.ndarray) -> "Rows":
+        return Rows(self.at[mask[self.of]], self.lengths[mask], self.width, self.dense[mask])
+
+    def and_rows(self, more: "Rows") -> "Rows":
+        return Rows(*(np.concatenate([getattr(self, k), getattr(more, k)]) for k in ("at", "lengths")), self.width,
+                    np.concatenate([self.dense, more.dense]))
+
+
+def _ones(found: list, width: int, dense: np.ndarray | None = None) -> Rows:
+    return Rows(np.concatenate([np.zeros(0, np.int64), *found]).astype(np.int64), np.array([len(f) for f in found], np.int64), width, dense)
+
+
+def known_words(found: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
+    """Places in the vocabulary."""
+    if not len(vocabulary):
+        return np.zeros(0, np.int64)
+    at = np.searchsorted(vocabulary, found)
+    at[at == len(vocabulary)] = 0
+    return at[vocabulary[at] == found]
+
+
+def matrix(words: list[np.ndarray], style: np.ndarray, vocabulary: np.ndarray) -> Rows:
+    return _ones([known_words(w, vocabulary) for w in words], len(vocabulary), np.asarray(style, np.float32).reshape(-1, STYLE))
+
+
+def meta_matrix(found: list[list[int]]) -> Rows:
+    return _ones(found, META)
 
 
 def telling_words(words: list[np.ndarray], y: np.ndarray, least_z: float) -> np.ndarray:
@@ -188,7 +221,121 @@ def _drawn(docs: DataFrame, most: int):
     return words, style, meta_matrix(t["meta"].to_pylist()), t["good"].to_pylist()
 
 
-def learn(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED, rounds: int = ROUNDS,
+def _known_features(vocabulary: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _features(batches):
+            words = [known_words(w.values.to_numpy(), vocabulary) for w in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([batch.column(3), pa.array(words, pa.list_(pa.int32())), *batch.columns[1:3]],
+                                             ["doc_id", "words", "style", "meta"])
+    return run
+
+
+def _views(batch: pa.RecordBatch, size: int) -> tuple[Rows, Rows]:
+    words, style, meta = batch.columns[:3]
+    return (Rows(words.flatten().to_numpy(), words.value_lengths().to_numpy(), size, style.flatten().to_numpy().reshape(-1, STYLE)),
+            Rows(meta.flatten().to_numpy(), meta.value_lengths().to_numpy(), META))
+
+
+def _chance(logit: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+
+
+def _loss(logit: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.logaddexp(0, logit) - y * logit
+
+
+def _sums(text: Linear, mate: Linear, size: int, sure: float):
+    """Gradient of the text view over what the metadata view is sure of; behind it the loss and the number of documents."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size + STYLE + 3)
+        for batch in batches:
+            x, meta = _views(batch, size)
+            p = _chance(mate.logit(meta))
+            taught = (p >= sure) | (p <= 1 - sure)
+            x, y = x[taught], (p[taught] > 0.5).astype(float)
+            logit = text.logit(x)
+            away = _chance(logit) - y
+            total += np.concatenate([away @ x, [away.sum(), _loss(logit, y).sum(), len(y)]])
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["at", "total"])
+    return run
+
+
+def _taught(text: Linear, size: int, sure: float):
+    """Number of documents the text view is sure of, per set of metadata features and label."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        for batch in batches:
+            p = _chance(text.logit(_views(batch, size)[0]))
+            taught = np.flatnonzero((p >= sure) | (p <= 1 - sure))
+            counts.update(zip(map(tuple, batch.column(2).take(pa.array(taught)).to_pylist()), (p[taught] > 0.5).tolist(), strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.list_(pa.int32())), pa.array([int(k[1]) for k in counts], pa.int32()),
+                                          pa.array(list(counts.values()), pa.int64())], ["meta", "mark", "n"])
+    return run
+
+
+def fit_text(x: Rows, y: np.ndarray, ridge: float, start: Linear, mate: Linear, new: DataFrame, sure: float, steps: int = 8) -> Linear:
+    """Labelled rows and all documents that the other view is sure of: limited-memory quasi-Newton steps on sums over all of
+    them, from the curvature of the labelled rows."""
+    penalty = np.append(np.full(x.shape[1], ridge), 1e-6)
+    size = x.width
+
+    def at(w: np.ndarray) -> tuple[float, np.ndarray, float]:
+        model = Linear(w[:-1], float(w[-1]))
+        found = new.mapInArrow(_sums(model, mate, size, sure), schema("at int, total double")).groupBy("at").agg(
+            F.sum("total").alias("total")).toArrow()
+        far = np.zeros(len(w) + 2)
+        far[found["at"].to_numpy()] = found["total"].to_numpy()
+        logit = model.logit(x)
+        away = _chance(logit) - y
+        value = _loss(logit, y).sum() + TAUGHT * far[-2] + 0.5 * (penalty * w * w).sum()
+        return value, np.append(away @ x, away.sum()) + TAUGHT * far[:-2] + penalty * w, far[-1]
+    w = np.append(start.weights, start.bias)
+    value, gradient, many = at(w)
+    if not many:
+        return start
+    p = _chance(start.logit(x))
+    curve = np.maximum(p * (1 - p), 1e-6) * (1 + TAUGHT * many / len(y))
+
+    def solve(r: np.ndarray) -> np.ndarray:
+        out, d, old = np.zeros_like(r), r.copy(), r @ r
+        least = max(1e-20, old * 1e-6)
+        for _ in range(20):
+            if old < least:
+                break
+            v = curve * (x @ d[:-1] + d[-1])
+            hd = np.append(v @ x, v.sum()) + penalty * d
+            a = old / (d @ hd)
+            out, r = out + a * d, r - a * hd
+            now = r @ r
+            d, old = r + now / old * d, now
+        return out
+    past: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(steps):
+        q, held = gradient.copy(), []
+        for s, t in reversed(past):
+            held.append((s @ q) / (s @ t))
+            q -= held[-1] * t
+        step = solve(q)
+        for (s, t), a in zip(past, reversed(held), strict=True):
+            step += s * (a - (t @ step) / (s @ t))
+        step = -step if gradient @ step > 0 else -gradient / (1 + many)
+        while True:
+            v, g, _ = at(w + step)
+            if v <= value + 1e-4 * (gradient @ step) or np.abs(step).max() < 1e-3:
+                break
+            step = step / 3
+        if v > value:
+            break
+        if step @ (g - gradient) > 0:
+            past.append((step, g - gradient))
+        w, value, gradient = w + step, v, g
+        if np.abs(step).max() < 2e-2:
+            break
+    return Linear(w[:-1], float(w[-1]))
+
+
+def learn(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS,
           least_z: float = LEAST_Z, sure: float = SURE) -> Model:
     """A model from (doc_id, text, lang, source, n_chars) and (doc_id, quality, toxic)."""
     docs = docs.select("doc_id", "text", "lang", "source", "n_chars")
@@ -199,27 +346,24 @@ def learn(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabell
     if len(y) < 20 or len(set(good)) < 2:
         none = Linear(np.zeros(0), 0.0)
         return Model(np.zeros(0, np.int64), none, none, none, none, none, float(y.mean()) if len(y) else 0.5)
-    new = docs.join(told, F.col("doc_id") == F.col("_id"), "left_anti").withColumn("good", F.lit(None).cast("int"))
-    more_words, more_style, more_meta, _ = _drawn(new, unlabelled)
     back = np.arange(len(y)) % 5 == 4  # held back for calibration
     seen = ~back
     vocabulary = telling_words([w for w, s in zip(words, seen, strict=True) if s], y[seen], least_z)
-    x, more = matrix(words, style, vocabulary), matrix(more_words, more_style, vocabulary)
-    views = [[x[seen], more, RIDGE[0]], [meta[seen], more_meta, RIDGE[1]]]
-    added = [(np.zeros(0, int), np.zeros(0))] * 2  # what each view has learned from the other
-    fitted: list[Linear] = []
-    for step in range(rounds + 1):
-        fitted = []
-        for (own, other, ridge), (rows, marks) in zip(views, added, strict=True):
-            fitted.append(fit(np.vstack([own, other[rows]]), np.append(y[seen], marks),
-                              np.append(np.ones(seen.sum()), np.full(len(rows), 0.5)), ridge))
-        if step == rounds or not len(more):
-            break
-        p = [1 / (1 + np.exp(-np.clip(f.logit(v[1]), -30, 30))) for f, v in zip(fitted, views, strict=True)]
-        for me, mate in ((0, 1), (1, 0)):
-            rows = np.flatnonzero((p[mate] >= sure) | (p[mate] <= 1 - sure))
-            added[me] = (rows, (p[mate][rows] > 0.5).astype(float))
-    text, meta_model = fitted
+    x = matrix(words, style, vocabulary)
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    every = docs.select("text", "lang", "source", F.col("n_chars").cast("long"), "doc_id").mapInArrow(
+        _known_features(vocabulary), schema(f"doc_id {id_type}, words array<int>, style array<float>, meta array<int>"))
+    every = cut_lineage(every, "quality_features")
+    new = cut_lineage(every.join(told.select("_id").distinct(), F.col("doc_id") == F.col("_id"), "left_anti")
+                      .select("words", "style", "meta"), "quality_unlabelled")
+    ones = np.ones(seen.sum())
+    text, meta_model = (fit(v[seen], y[seen], ones, ridge) for v, ridge in zip((x, meta), RIDGE, strict=True))
+    for _ in range(rounds):
+        sets = new.mapInArrow(_taught(text, len(vocabulary), sure), schema("meta array<int>, mark int, n long")) \
+            .groupBy("meta", "mark").agg(F.sum("n").alias("n")).toArrow()
+        text = fit_text(x[seen], y[seen], RIDGE[0], text, meta_model, new, sure)
+        meta_model = fit(meta[seen].and_rows(meta_matrix(sets["meta"].to_pylist())), np.append(y[seen], sets["mark"].to_numpy()),
+                         np.append(ones, TAUGHT * sets["n"].to_numpy()), RIDGE[1])
     held = np.ones(back.sum())
     scales = [fit(f.logit(v[back])[:, None], y[back], held, 1e-3) for f, v in ((text, x), (meta_model, meta))]
     model = Model(vocabulary, text, meta_model, *scales, Linear(np.ones(2) / 2, 0.0))

@@ -67,3 +67,17 @@ def test_without_both_classes(spark, documents, labels, want):
     model = d.learn(docs, spark.createDataFrame(labels, LABELS))
     assert {r.score for r in d.score(docs, model).collect()} == {want}
     assert d.score(documents(), model).count() == 0
+
+
+def test_all_unlabelled_documents_teach(spark, documents):
+    """A rare source without labels gets its weight from the texts, wherever in the corpus its documents lie."""
+    from pyspark.sql import functions as F
+    made = random.Random(4)
+    rows = [(i, " ".join(made.choice((["down", "low"] if i % 2 == 0 or i > 8000 else ["up", "high"]) + ["the"]) for _ in range(20)), "en")
+            for i in range(8006)]
+    source = F.when(docs_id() > 8000, "rare").otherwise("s")
+    docs = documents(*rows).withColumn("source", source)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(120)], LABELS)
+    weights = d.learn(docs, labels).meta.weights
+    at = set(d.meta_features("en", "rare", 100)) - set(d.meta_features("en", "s", 100))
+    assert len(at) == 1 and weights[at.pop()] < -0.2
