@@ -81,3 +81,11 @@ def test_all_unlabelled_documents_teach(spark, documents):
     weights = d.learn(docs, labels).meta.weights
     at = set(d.meta_features("en", "rare", 100)) - set(d.meta_features("en", "s", 100))
     assert len(at) == 1 and weights[at.pop()] < -0.2
+
+
+def test_every_telling_word_is_kept():
+    import numpy as np
+    y = np.arange(200) % 10 != 0
+    common = [np.arange(1500) if good else np.zeros(0, int) for good in y]  # words of good documents
+    rare = [np.append(w, [2000] if i in (0, 10, 20) else []).astype(int) for i, w in enumerate(common)]
+    assert d.telling_words(rare, y.astype(float), 4.0).tolist() == [*range(1500), 2000]
