@@ -31,7 +31,6 @@ from assetweave.session import cut_lineage, task_count
 PER_LANGUAGE = 1000
 ROUNDS = 3
 UNKNOWN = 1e-7
-LONGEST = 48  # letters of a word that is scored with others at once; longer ones go singly
 CACHE = 300_000
 GROUP = 1_000_000  # characters whose new words are scored together
 LETTERS = regex.compile(r"\p{L}+")
@@ -219,11 +218,14 @@ def _expect(model: Model):
                 counts.setdefault(lang, {})[word] = n
             for lang, words in counts.items():
                 column = model.probability[:, where[lang]]
-                for n, group in by_length([w for w in words if len(w) <= LONGEST]).items():
-                    lattice = held.lattice(group)
-                    share = expected_counts(lattice, column) * np.array([words[w] for w in group])[:, None, None]
-                    real = lattice >= 0
-                    total[where[lang]] += np.bincount(lattice[real], share[real], total.shape[1])
+                for n, group in by_length(list(words)).items():
+                    step = max(1, 200_000 // (n * min(n, held.longest)))
+                    for i in range(0, len(group), step):
+                        part = group[i:i + step]
+                        lattice = held.lattice(part)
+                        share = expected_counts(lattice, column) * np.array([words[w] for w in part])[:, None, None]
+                        real = lattice >= 0
+                        total[where[lang]] += np.bincount(lattice[real], share[real], total.shape[1])
         at, piece = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(piece, pa.int32()), pa.array(total[at, piece])],
                                          ["language", "piece", "n"])

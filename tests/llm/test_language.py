@@ -104,3 +104,13 @@ def test_filter_keeps_columns_and_clean_texts(documents):
     docs = documents(*rows, (1000, None), (1001, "?!")).withColumn("score", docs_lit(1)).withColumn("lang_pred", docs_lit("q"))
     kept = d.drop_rejected(docs, PATH)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(range(60))
+
+
+def test_long_runs_are_learned(documents):
+    """A language without spaces, all of whose words are long."""
+    docs = documents(*[(i, "wasserstraße" * 9, "de") for i in range(9)], *[(100 + i, "the house", "en") for i in range(9)])
+    model = d.learn(d.training_rows(docs), PATH)
+    held = d.pieces(PATH).number
+    at = model.languages.index("de")
+    real = model.probability[:len(held), at]
+    assert real.max() > 100 * np.median(real)
