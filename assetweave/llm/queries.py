@@ -5,7 +5,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assetweave.llm import chat, decontaminate, embedding, html, language, line_dedup, minhash, packing, quality, warc
+from assetweave.llm import (
+    chat, decontaminate, embedding, fim, html, language, line_dedup, minhash, mixing, negatives, packing, quality, warc)
 from assetweave.llm.common import reach_workers
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -195,3 +196,73 @@ def op8_warc(spark, sf_dir):
 def op9_minhash(spark, sf_dir):
     """Class of near-duplicates of every document."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
+
+
+FIM_SQL = r"""
+WITH h AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+ d AS (SELECT doc_id, t, length(t) AS n, ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2,
+   ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4 FROM h),
+ c AS (SELECT doc_id, t, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+   CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+    WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+ p AS (SELECT *, substr(t, 1, a) AS pre, substr(t, a + 1, b - a) AS mid, substr(t, b + 1) AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+  ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
+
+
+@query(FIM_SQL)
+def op11_fim(spark, sf_dir):
+    """All documents rearranged for filling in the middle, and taken apart again."""
+    moved = fim.fill_in_middle(table(spark, sf_dir, "documents"))
+    return moved.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                        F.sha2(fim.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+MIXING_SQL = r"""
+WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+   ('0x' || substr(sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15))::BIGINT AS o FROM documents),
+ s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+ w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM s),
+ r AS (SELECT *, (SELECT sum(source_size) FROM s) - coalesce(sum(3 * source_size) OVER e, 0) AS words,
+   sum(w) OVER (ORDER BY source_size::DOUBLE / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weight
+   FROM w WINDOW e AS (ORDER BY source_size::DOUBLE / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ c AS (SELECT source, source_size, w, 3 * source_size * weight < w * words AS clamped FROM r),
+ l AS (SELECT (SELECT sum(source_size) FROM s) - coalesce(sum(CASE WHEN clamped THEN 3 * source_size END), 0) AS words,
+   sum(CASE WHEN clamped THEN 0 ELSE w END) AS weight FROM c),
+ t AS (SELECT source, source_size, CASE WHEN clamped THEN 3.0::DOUBLE * source_size ELSE (w * words)::DOUBLE / weight::DOUBLE END AS target FROM c, l),
+ g AS (SELECT *, CAST(least(round(target), 3 * source_size) AS BIGINT) AS goal FROM t),
+ p AS (SELECT d.doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN goal // source_size ELSE 0 END AS whole,
+   CASE WHEN source_size > 0 THEN goal % source_size ELSE 0 END AS rest,
+   coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY o, d.doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+   FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, source_size, target, CAST(whole * size + greatest(0, least(size, rest - before)) AS BIGINT) AS taken FROM p"""
+
+
+@query(MIXING_SQL)
+def op12_mixing(spark, sf_dir):
+    """All documents mixed by source, three times at most."""
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+NEGATIVES_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+   list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(256 * x)) AS e FROM embeddings
+   WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+   AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ p AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, CAST(list_dot_product(a.e, b.e) AS BIGINT) AS score
+   FROM v a, v b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+ pos AS (SELECT a, b, score FROM p WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5),
+ neg AS (SELECT pos.a, pos.b, pos.score AS ps, p.b AS n, p.score AS ns,
+   row_number() OVER (PARTITION BY pos.a, pos.b ORDER BY p.score DESC, p.b) AS k
+   FROM pos JOIN p ON p.a = pos.a AND NOT p.same AND 50 * pos.score <= 100 * p.score AND 100 * p.score <= 95 * pos.score)
+SELECT a AS anchor_id, b AS positive_id, CAST(k AS INTEGER) AS rank, n AS negative_id, ps AS positive_score, ns AS negative_score
+FROM neg WHERE k <= 3"""
+
+
+@query(NEGATIVES_SQL)
+def op13_negatives(spark, sf_dir):
+    """Hard negatives for every fiftieth vector; labels of every seventh are moved on."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(
+        F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"))
+    return negatives.hard_negatives(vectors, F.col("vec_id") % 50 == 0)
