@@ -30,10 +30,11 @@ from pyspark.sql import functions as F
 
 from assetweave.session import cut_lineage, task_count
 
-SPREAD = 2  # bits of the code per dimension
+SPREAD = 8  # bits of the code per dimension
 PLANES = 5  # bits to which a turned query is cut
 BLOCK = 32_768  # rows of a block
 LEAST = 2_048  # rows that are worth a block of their own
+SEEDS = 4  # times the rows wanted: best estimates that are scored for a threshold
 TILE = 1 << 19  # pairs that are looked at together
 CODED = ("vec_id long, label long, anchor boolean, block int, code binary, align double, direction double, rest double, norm double, "
          "ints array<long>")
@@ -118,14 +119,16 @@ def coded(vectors: DataFrame, anchors: Column, search: Search = Search()) -> tup
 
 # --- intervals --------------------------------------------------------------------------------
 
-def exact_products(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Integer inner products of all rows with all rows."""
-    size = float(np.sqrt((left.astype(np.float64)**2).sum(axis=1).max(initial=0) * (right.astype(np.float64)**2).sum(axis=1).max(initial=0)))
-    if size < 2.0**52:  # no partial sum exceeds the product of the lengths, so doubles are exact
-        return (left.astype(np.float64) @ right.T.astype(np.float64)).astype(np.int64)
+def exact_products(rows: np.ndarray, query: np.ndarray, size: float) -> np.ndarray:
+    """Integer inner products of rows with a query; `size` is the product of their largest lengths.
+
+    No partial sum exceeds it, so doubles are exact to 2^52 and 64-bit integers to 2^62.
+    """
+    if rows.dtype == np.float64:
+        return (rows @ query.astype(np.float64)).astype(np.int64)
     if size < 2.0**62:
-        return left @ right.T
-    whole = left.astype(object) @ right.T.astype(object)
+        return rows @ query
+    whole = rows.astype(object) @ query.astype(object)
     if any(not -2**63 <= x < 2**63 for x in whole.flat):
         raise ValueError("a score doesn't fit 64 bits")
     return whole.astype(np.int64)
@@ -140,7 +143,13 @@ class Block:
         self.ids, self.labels = rows["vec_id"].to_numpy(), rows["label"].to_numpy()
         self.codes = np.frombuffer(b"".join(rows["code"].to_pylist()), np.uint64).reshape(len(self.ids), -1)
         self.align, self.direction, self.rest, self.norm = (rows[c].to_numpy() for c in ("align", "direction", "rest", "norm"))
-        self.vectors = _matrix(rows["ints"].combine_chunks(), dims)
+        self.vectors, self.longest = _matrix(rows["ints"].combine_chunks(), dims), self.norm.max()
+        self.doubles = self.vectors.astype(np.float64)
+
+    def scores(self, query: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Exact scores of a query with some rows."""
+        size = float(np.linalg.norm(query.astype(np.float64)) * self.longest) * (1 + 1e-9)
+        return exact_products((self.doubles if size < 2.0**52 else self.vectors)[rows], query, size)
 
     def span(self, label: int) -> tuple[int, int]:
         """The rows of a label lie together."""
@@ -194,13 +203,13 @@ def _positives(block: Block, anchors: pa.Table, queries: np.ndarray, turn: np.nd
         mine, near = np.flatnonzero(labels == label), block.ids[a:b]
         for part in np.array_split(mine, -(-len(mine) * (b - a) // TILE)):
             guess, _, high = block.intervals(queries[part], turn, a, b)
+            itself = ids[part][:, None] == near
+            guess[itself], high[itself] = -np.inf, -np.inf
             for row, q in enumerate(part):
-                g = np.where(near == ids[q], -np.inf, guess[row])
-                first = _leading(g, k)
-                scores = exact_products(queries[q:q + 1], block.vectors[a:b][first])[0]
-                least = np.sort(scores)[-k] if len(scores) >= k else -np.inf
-                left = np.flatnonzero((high[row] >= least) & (near != ids[q]))
-                scores = exact_products(queries[q:q + 1], block.vectors[a:b][left])[0]
+                scores = block.scores(queries[q], a + _leading(guess[row], SEEDS * k))
+                least = np.sort(scores)[-k] if len(scores) >= k else np.finfo(float).min
+                left = np.flatnonzero(high[row] >= least)
+                scores = block.scores(queries[q], a + left)
                 out += [(int(ids[q]), int(near[left[i]]), int(scores[i])) for i in _best(scores, near[left], k)]
     return out
 
@@ -217,15 +226,14 @@ def _negatives(block: Block, anchors: pa.Table, queries: np.ndarray, turn: np.nd
             ranges, open_ = [], np.zeros(n, bool)
             for score in sorted({w["score"] for w in wanted[q] if w["score"] >= 0}):
                 floor, ceiling = -(-score * search.low // 100), score * search.high // 100
-                # whose upper bound lies below the ceiling surely lies there: the best of them give the threshold
-                first = _leading(np.where(high[row] <= ceiling, guess[row], -np.inf), k)
-                scores = exact_products(queries[q:q + 1], block.vectors[first])[0]
+                # rows with estimates below the ceiling are scored; those that lie in the range give the threshold
+                scores = block.scores(queries[q], _leading(np.where(guess[row] <= ceiling, guess[row], -np.inf), SEEDS * k))
+                scores = scores[(scores >= floor) & (scores <= ceiling)]
                 least = max(floor, int(np.sort(scores)[-k])) if len(scores) >= k else floor
                 open_ |= (high[row] >= least) & (low[row] <= ceiling)
                 ranges.append((score, floor, ceiling))
             left = np.flatnonzero(open_)
-            scores = exact_products(queries[q:q + 1], block.vectors[left])[0]
-            chosen = {}
+            scores, chosen = block.scores(queries[q], left), {}
             for score, floor, ceiling in ranges:
                 fit = np.flatnonzero((scores >= floor) & (scores <= ceiling))
                 chosen[score] = fit[_best(scores[fit], block.ids[left[fit]], k)]
