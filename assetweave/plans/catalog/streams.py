@@ -6,10 +6,10 @@ the batch answer over the whole table.
 
 from pyspark.sql import functions as F
 
-from assetweave.plans.catalog.labels import CANDIDATES, LABELLED, PURCHASED, dictionary
+from assetweave.plans.catalog.labels import _REASON, CANDIDATES, LABELLED, PURCHASED, SIGHTINGS, _weight_sql, dictionary
 from assetweave.plans.catalog.registry import bind, query, table
 from assetweave.session import shared_folder
-from assetweave.streaming import jobs
+from assetweave.streaming import jobs, runs, state
 
 ARRIVALS = 4
 
@@ -20,6 +20,15 @@ def _stream(spark, sf_dir, name):
     return jobs.watch_folder(spark, path, arriving.schema, files_per_batch=1)
 
 
+def _in_order(arriving, part, parts=ARRIVALS):
+    """A stream whose batches are the parts 0, 1, ... of a table, one file each."""
+    spark, path = arriving.sparkSession, shared_folder(arriving.sparkSession, "arriving")
+    numbered = arriving.withColumn("_arrives", part)
+    for k in range(parts):
+        numbered.filter(F.col("_arrives") == k).drop("_arrives").coalesce(1).write.mode("append").parquet(path)
+    return jobs.watch_folder(spark, path, arriving.schema, files_per_batch=1)
+
+
 def _purchased(spark, sf_dir):
     return bind(spark, PURCHASED, documents=_stream(spark, sf_dir, "documents"))
 
@@ -55,11 +64,49 @@ def last_seen_stream(spark, sf_dir):
 
 @query("""SELECT user_id || '/' || event_type AS path, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS mtime FROM events GROUP BY ALL""")
 def modified_files_stream(spark, sf_dir):
-    out, mark = shared_folder(spark, "stream"), shared_folder(spark, "marks")
+    log, mark = shared_folder(spark, "seen"), shared_folder(spark, "marks")
     changes = _stream(spark, sf_dir, "events").select(
-        F.concat_ws("/", F.col("user_id"), "event_type").alias("path"), F.date_trunc("hour", "ts").cast("timestamp").alias("mtime"))
-    _finish(jobs.to_folder(jobs.modified_files(changes, "path", "mtime"), out, mark, once=True))
-    return spark.read.schema("path string, mtime timestamp").parquet(out).withColumn("mtime", F.date_format("mtime", "yyyy-MM-dd HH:mm"))
+        F.concat_ws("/", F.col("user_id"), "event_type").alias("path"), F.date_trunc("hour", "ts").alias("mtime"))
+    _finish(jobs.to_changed_files(changes, "path", "mtime", log, mark, once=True))
+    return jobs.read_changed_files(spark, log).withColumn("mtime", F.date_format("mtime", "yyyy-MM-dd HH:mm"))
+
+
+# keywords that an earlier file has made heavy enough are known when the next one comes
+@query(f"""WITH {SIGHTINGS.replace("unnest(", "doc_id % 4 AS part, unnest(", 1)}, c AS (SELECT category, keyword, part, count(*) AS sightings,
+ sum({_weight_sql('technical')}) AS weight FROM s WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.category = s.category AND d.keyword = s.keyword)
+ GROUP BY category, keyword, part),
+ u AS (SELECT category, keyword, part, CAST(sum(sightings) OVER w AS BIGINT) AS sightings, round(sum(weight) OVER w, 6) AS weight FROM c
+  WINDOW w AS (PARTITION BY category, keyword ORDER BY part)),
+ v AS (SELECT *, CASE WHEN weight >= 5 AND {_REASON} IN ('Technical term', 'Valid keyword') THEN part END AS promoted_in FROM u),
+ f AS (SELECT category, keyword, min(promoted_in) AS first FROM v GROUP BY category, keyword)
+ SELECT category, keyword, sightings, weight, promoted_in FROM v JOIN f USING (category, keyword)
+ WHERE first IS NULL OR part <= first QUALIFY row_number() OVER (PARTITION BY category, keyword ORDER BY part DESC) = 1""")
+def learn_loop_stream(spark, sf_dir):
+    """Documents arrive in four files; promoted keywords count from the next file on."""
+    out, mark = shared_folder(spark, "learning"), shared_folder(spark, "marks")
+    arriving = _in_order(table(spark, sf_dir, "documents"), F.col("doc_id") % ARRIVALS)
+    _finish(jobs.learning_loop(bind(spark, PURCHASED, documents=arriving), "description", "vendor", dictionary(spark, sf_dir), out, mark, once=True))
+    return jobs.learned_keywords(spark, out)
+
+
+@query("""WITH e AS (SELECT DISTINCT user_id || '/' || event_type AS supplier, ts FROM events),
+ n AS (SELECT *, lead(ts) OVER (PARTITION BY supplier ORDER BY ts) AS later FROM e)
+ SELECT supplier, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS last_seen, strftime(ts + INTERVAL 7 DAY, '%Y-%m-%d %H:%M:%S.%f') AS due FROM n
+ WHERE (later IS NULL OR later > ts + INTERVAL 7 DAY) AND ts + INTERVAL 7 DAY < (SELECT max(ts) FROM events) - INTERVAL 1 DAY""")
+def due_stream(spark, sf_dir):
+    """Who is due again seven days after the last event; events arrive up to 16 hours out of order."""
+    out, mark = shared_folder(spark, "stream"), shared_folder(spark, "marks")
+    events = table(spark, sf_dir, "events").select(F.concat_ws("/", F.col("user_id"), "event_type").alias("supplier"), "ts", "event_id")
+    at = F.unix_micros(F.col("ts").cast("timestamp")) + (F.col("event_id") % 3) * F.lit(8 * 3600 * 1_000_000)
+    low, high = events.agg(F.min(at), F.max(at)).first()
+    parts = 2 * ARRIVALS
+    arriving = _in_order(events, F.floor((at - low) * parts / F.lit(high - low + 1)), parts)
+    with state.rocksdb(spark):
+        running = jobs.to_folder(state.due_again(arriving, "supplier", "ts"), out, mark, once=True)
+    _finish(running)
+    stamp = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+    return spark.read.schema("supplier string, last_seen timestamp, due timestamp").parquet(out).select(
+        "supplier", F.date_format("last_seen", stamp).alias("last_seen"), F.date_format("due", stamp).alias("due"))
 
 
 @query("SELECT max(o_orderpriority) AS file, count(*) AS logged, count(*) AS n_rows, true AS all_succeeded FROM orders")
@@ -76,3 +123,16 @@ def run_log_stream(spark, sf_dir):
     runs = spark.read.parquet(log).agg(F.max("file").alias("file"), F.sum("rows").alias("logged"),
                                        F.bool_and(F.col("status") == "success").alias("all_succeeded"), F.lit(1).alias("_one"))
     return runs.join(stored, "_one").drop("_one")
+
+
+@query("""SELECT CAST(4 AS BIGINT) AS batches, count(*) AS n_rows, 'success' AS status FROM orders UNION ALL
+ SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT), 'failed' FROM orders HAVING max(o_orderkey) IS NOT NULL""")
+def run_events_stream(spark, sf_dir):
+    """Runs as a listener sees them: one that stores all orders, and one that dies on its first."""
+    out, log = shared_folder(spark, "stream"), shared_folder(spark, "runs")
+    orders = _stream(spark, sf_dir, "orders").select("o_orderkey")
+    broken = orders.select(F.raise_error(F.concat(F.lit("order "), F.col("o_orderkey"))).cast("string").alias("o_orderkey"))
+    with runs.RunRecorder(spark, log) as recorder:
+        for name, stream in (("stored", orders), ("broken", broken)):
+            recorder.wait(jobs.to_folder(stream, f"{out}/{name}", shared_folder(spark, "marks"), once=True))
+    return runs.read_runs(spark, log).select("batches", F.col("rows").alias("n_rows"), "status")

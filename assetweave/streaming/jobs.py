@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from assetweave import rules
+from assetweave.functions import text
 from assetweave.operators import classify, learning
 
 POLL = "5 seconds"
@@ -41,14 +43,6 @@ def last_seen(events: DataFrame, key: str, ts: str) -> DataFrame:
     return events.groupBy(key).agg(F.max(ts).alias("last_seen"))
 
 
-def modified_files(events: DataFrame, path: str, mtime: str) -> DataFrame:
-    """File events once per (path, modification time), in whatever order they arrive.
-
-    There is no watermark, which would drop late events: the state holds what the result holds.
-    """
-    return events.dropDuplicates([path, mtime])
-
-
 def _start(writer, checkpoint: str, once: bool) -> StreamingQuery:
     writer = writer.option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=POLL)).start()
@@ -72,7 +66,10 @@ def to_changes(stream: DataFrame, path: str, checkpoint: str, once: bool = False
 
 def read_changes(spark: SparkSession, path: str, *keys: str) -> DataFrame:
     """The newest row of each key of a table of changes."""
-    changes = spark.read.parquet(path)
+    return _newest(spark.read.parquet(path), *keys)
+
+
+def _newest(changes: DataFrame, *keys: str) -> DataFrame:
     rest = [c for c in changes.columns if c not in (*keys, "batch")]
     newest = changes.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col("batch")).alias("_row"))
     return newest.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
@@ -83,6 +80,91 @@ def fold_changes(spark: SparkSession, path: str, target: str, *keys: str) -> Non
     read_changes(spark, path, *keys).write.mode("errorifexists").parquet(f"{target}/batch=-1")
 
 
+def _before(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
+    """The rows that earlier batches wrote; a batch that runs again doesn't see what its first attempt left."""
+    return spark.read.parquet(path).filter(F.col("batch") < batch_id)
+
+
+def _begin(rows: DataFrame, path: str) -> None:
+    """An empty first batch, so that the table has a schema from the start."""
+    rows.limit(0).write.mode("ignore").parquet(f"{path}/batch=-1")
+
+
+FILES = "path string, mtime timestamp"
+
+
+def to_changed_files(stream: DataFrame, path: str, mtime: str, log: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+    """File events once per (path, modification time), in whatever order and however late they arrive.
+
+    There is no state and no watermark, which would drop late events: every batch is compared with the log of what was
+    seen so far, of which only the days of its own modification times are read. A batch that runs again after a failure
+    replaces its own folder. `read_changed_files` reads the log.
+    """
+    def save(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        fresh = batch.select(F.col(path).cast("string").alias("path"), F.col(mtime).cast("timestamp").alias("mtime")).distinct()
+        fresh = fresh.withColumn("day", F.to_date("mtime")).persist()
+        days = [r[0] for r in fresh.select("day").distinct().collect()]  # calendar days: few, however many files
+        touched = F.col("day").isin([d for d in days if d is not None])
+        seen = _before(spark, log, batch_id).filter(touched | F.col("day").isNull() if None in days else touched)
+        seen = seen.select(*[F.col(c).alias(f"_{c}") for c in ("day", "path", "mtime")])
+        same = F.lit(True)
+        for c in ("day", "path", "mtime"):
+            same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+        fresh.join(seen, same, "left_anti").write.mode("overwrite").partitionBy("day").parquet(f"{log}/batch={batch_id}")
+        fresh.unpersist()
+
+    spark = stream.sparkSession
+    first = spark.createDataFrame([], FILES).withColumn("day", F.to_date("mtime"))
+    first.union(spark.sql("SELECT CAST(NULL AS string), CAST(NULL AS timestamp), date'1970-01-01'")).write.mode("ignore") \
+        .partitionBy("day").parquet(f"{log}/batch=-1")
+    return _start(stream.writeStream.foreachBatch(save), checkpoint, once)
+
+
+def read_changed_files(spark: SparkSession, log: str) -> DataFrame:
+    """(path, mtime) of all batches."""
+    return spark.read.schema(f"{FILES}, batch long, day date").parquet(log).filter("batch >= 0").select("path", "mtime")
+
+
+LEARNED = "category string, keyword string, sightings long, weight double, promoted_in long"
+
+
+def learning_loop(items: DataFrame, description: str, vendor: str | None, dictionary: DataFrame, path: str, checkpoint: str,
+                  min_occurrences: float = rules.MIN_OCCURRENCES, once: bool = False) -> StreamingQuery:
+    """Label arriving items, learn from them, and promote keywords, batch by batch.
+
+    Every batch is labelled and written to `path`/labelled. What it teaches is counted against the dictionary as it is by then,
+    which is `dictionary` and all that earlier batches promoted, and added to the candidates; those that have become heavy
+    enough and are valid are promoted, and the next batch already knows them. A promoted keyword keeps the weight that it had then.
+    `path`/learned is a table of changes: each batch adds the rows of the keywords that it touched, a batch that runs
+    again replaces them and changes nothing else. `learned_keywords` reads the newest.
+    """
+    def learn(batch: DataFrame, batch_id: int) -> None:
+        spark, mine = batch.sparkSession, f"{path}/labelled/batch={batch_id}"
+        classify.classify(batch, description, vendor).write.mode("overwrite").parquet(mine)
+        labelled = spark.read.schema(classified.schema).parquet(mine)
+        known = _newest(_before(spark, f"{path}/learned", batch_id), "category", "keyword")
+        promoted = known.filter("promoted_in IS NOT NULL").select("category", "keyword")
+        taught = learning.learn_candidates(labelled, description, "label", dictionary.select("category", "keyword").unionByName(promoted))
+        had = known.select("category", "keyword", F.col("sightings").alias("_sightings"), F.col("weight").alias("_weight"))
+        # weights are sums of a few decimals; rounding keeps them exact over any number of batches
+        total = taught.join(had, ["category", "keyword"], "left").select(
+            "category", "keyword", (F.col("sightings") + F.coalesce("_sightings", F.lit(0))).alias("sightings"),
+            F.round(F.col("weight") + F.coalesce("_weight", F.lit(0.0)), 6).alias("weight"))
+        ready = (F.col("weight") >= min_occurrences) & text.keyword_verdict(F.col("keyword"))["valid"]
+        total.withColumn("promoted_in", F.when(ready, F.lit(batch_id).cast("long"))) \
+            .write.mode("overwrite").parquet(f"{path}/learned/batch={batch_id}")
+
+    classified = classify.classify(items, description, vendor)
+    _begin(items.sparkSession.createDataFrame([], LEARNED), f"{path}/learned")
+    return _start(items.writeStream.foreachBatch(learn), checkpoint, once)
+
+
+def learned_keywords(spark: SparkSession, path: str) -> DataFrame:
+    """(category, keyword, sightings, weight, promoted_in) after the last batch; promoted_in is null for candidates."""
+    return _newest(spark.read.parquet(f"{path}/learned"), "category", "keyword")
+
+
 def with_run_log(stream: DataFrame, handle, log_path: str, checkpoint: str, file: Column | str = "file",
                  once: bool = False) -> StreamingQuery:
     """Run `handle(batch, batch_id)` per micro-batch and append its run to the log table.

@@ -95,9 +95,9 @@ def test_late_events_are_not_lost(spark, tmp_path):
     for day in ("2024-05-09", "2024-01-01", "2024-03-01", "2024-01-01"):
         df = spark.sql(f"select 'p' || (id % 5) path, timestamp'{day} 10:00:00' mtime from range(10)")
         df.coalesce(1).write.mode("append").parquet(source)
-    changes = jobs.modified_files(jobs.watch_folder(spark, source, schema, files_per_batch=1), "path", "mtime")
-    jobs.to_folder(changes, out, mark, once=True).awaitTermination()
-    assert spark.read.parquet(out).count() == 15
+    changes = jobs.watch_folder(spark, source, schema, files_per_batch=1)
+    jobs.to_changed_files(changes, "path", "mtime", out, mark, once=True).awaitTermination()
+    assert jobs.read_changed_files(spark, out).count() == 15
 
 
 def test_changes_grow_with_changed_keys_only(spark, tmp_path):
