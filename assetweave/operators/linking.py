@@ -3,16 +3,19 @@
 The score of a pair is driven by how many of the item's keywords occur in the document.
 Scoring every pair is quadratic, so candidates come from an exact prefix filter:
 
-1. An item can only reach the threshold if at least `need` of its `n` keywords hit, where
-   `need` follows from the largest value the other parts of the score can take.
-2. Then at least one of its `n - need + 1` rarest keywords hits.
+1. Documents fall into classes by length (bands of a factor of 1.4) and by the points that their name
+   gives or takes. An item can only reach the threshold in a class if at least `need` of its `n`
+   keywords hit, where `need` follows from the largest ratio that lengths of the band allow,
+   the points of the class, and the words of the item that occur in any file name at all.
+2. Then at least one of its `n - need + 1` rarest keywords hits. Where `need` is 0, all documents
+   of the class are candidates; a low threshold allows that in the bands next to the item's own length.
 3. A keyword can only hit where one word of the document contains the keyword's longest
    word, so hits are looked up on the distinct words of the library.
 
 Scores see whole texts, all keywords and all documents. Leading characters, a least text
 length and a number of keywords are fields of `Score` that a caller may set. Pairs that
-survive are verified on the text, pruned once more with a native upper bound, and only then
-sent to the similarity function. Intermediate tables are written while a link is built.
+survive are verified on the text, pruned with a native upper bound and with the longest common
+subsequence, and only then sent to the similarity function. Intermediate tables are written while a link is built.
 """
 
 from dataclasses import dataclass, replace
@@ -23,7 +26,7 @@ from pyspark.sql import functions as F
 from assetweave import rules
 from assetweave.functions import names, text
 from assetweave.functions.arrays import explode_computed
-from assetweave.functions.similarity import ratio_bound, sequence_ratio
+from assetweave.functions.similarity import ratio_bound, sequence_ratio, subsequence_bound
 from assetweave.operators.filters import include_types
 from assetweave.operators.ranking import dedup_matches
 from assetweave.operators.resolve import apply_aliases, resolve_entities
@@ -57,23 +60,36 @@ class Score:
     def ratio_text(self, low_text: Column) -> Column:
         return low_text if self.sample is None else F.substring(low_text, 1, self.sample)
 
-    def slack(self, low_description: Column) -> Column:
-        """Most a pair can score without any keyword hit."""
-        if self.kind == "four_signal":  # the phrase factor multiplies everything
-            return F.lit(0.0)
-        n = F.length(low_description).cast("double")
-        ratio = (F.when(n < self.min_text, F.try_divide(2 * n, n + self.min_text)).otherwise(1.0)
-                 if self.min_text else F.lit(1.0))
-        extra = {"named": 15.0 + 10.0, "plain": 0.0}[self.kind]
-        return self.ratio_weight * ratio + extra + (15.0 if self.name_boost else 0.0)
-
-    def needed_share(self, low_description: Column, threshold: float) -> Column:
-        """Smallest keyword coverage with which the threshold can still be reached."""
+    def needed_share(self, low_description: Column, threshold: float, longest_ratio: Column, gain: Column,
+                     name_share: Column) -> Column:
+        """Smallest keyword coverage with which a document of a class can still reach the threshold.
+
+        `longest_ratio` bounds the ratio in the class, `gain` is what the class adds, `name_share` bounds the share of
+        words that a name holds.
+        """
         if self.kind == "four_signal":
             # 1.3 * (weight * share + ratio + structure + words) >= threshold
-            rest = 100 - self.keyword_weight
-            return F.lit((threshold / 1.3 - rest) / self.keyword_weight)
-        return (threshold - self.slack(low_description)) / self.keyword_weight
+            return (threshold / 1.3 - 30.0 - self.ratio_weight * longest_ratio) / self.keyword_weight
+        named = 15.0 * name_share if self.kind == "named" else F.lit(0.0)
+        return (threshold - gain - named - self.ratio_weight * longest_ratio) / self.keyword_weight
+
+    def gain(self, file_name: Column, threshold: float) -> Column:
+        """Points that a file name adds to the score, or takes from it; 100 where they reach the threshold alone."""
+        plus, minus = F.lit(0.0), F.lit(0.0)
+        if self.kind == "named":
+            name = F.lower(file_name)
+            plus = F.when(text.contains_any(name, rules.TECHNICAL_NAME_PARTS), 10.0).otherwise(0.0)
+            minus = F.when(text.contains_any(name, rules.MARKETING_NAME_PARTS), 15.0).otherwise(0.0)
+        if self.name_boost:
+            plus = plus + self._name_points(file_name)
+        return F.coalesce(F.when(plus >= threshold, 100.0).otherwise(plus - minus), F.lit(100.0))
+
+    @staticmethod
+    def _name_points(file_name: Column) -> Column:
+        category, points = names.doc_category(file_name), F.lit(0)
+        for label, more in rules.PRIORITY_BOOST.items():
+            points = F.when(category == label, more).otherwise(points)
+        return points
 
     def floor(self) -> float:
         """Above this threshold every match has at least one keyword hit, whatever the pair."""
@@ -81,12 +97,6 @@ class Score:
             return 1.3 * (100 - self.keyword_weight)
         return (self.ratio_weight + (25 if self.kind == "named" else 0) + (15 if self.name_boost else 0))
 
-    def without_hits(self, low_description: Column, file_name: Column, ratio: Column) -> Column:
-        """Most a pair without any keyword hit can score, given a bound of its ratio."""
-        if self.kind == "four_signal":
-            return 1.3 * (ratio * self.ratio_weight + 30.0)
-        return self._combined(low_description, F.lit(""), F.lit(0.0), file_name, ratio)
-
     def total(self, low_description: Column, low_text: Column, share: Column, file_name: Column,
               ratio: Column) -> Column:
         score = self._combined(low_description, low_text, share, file_name, ratio)
@@ -113,11 +123,7 @@ class Score:
         else:
             score = F.least(share * self.keyword_weight + ratio * self.ratio_weight, F.lit(100.0))
         if self.name_boost:
-            category = names.doc_category(file_name)
-            boost = F.lit(0)
-            for label, points in rules.PRIORITY_BOOST.items():
-                boost = F.when(category == label, points).otherwise(boost)
-            score = F.least(score + boost, F.lit(100.0))
+            score = F.least(score + self._name_points(file_name), F.lit(100.0))
         return score
 
 
@@ -135,14 +141,14 @@ def _document_pieces(docs: DataFrame, by: list[str]) -> DataFrame:
 
 
 def candidate_pairs(items: DataFrame, docs: DataFrame, by: list[str]) -> DataFrame:
-    """(item_id, doc_id) pairs that can have at least `_need` keyword hits.
+    """(item_id, doc_id) pairs that can have as many keyword hits as the document's class asks for.
 
-    `items` carries item_id, `_keywords`, `_need` and the `by` columns; `docs` carries
-    doc_id, `_text` in lower case and the `by` columns. A need below 1 counts as 1.
+    `items` carries item_id, `_keywords`, the `by` columns and `_needs`, an array of (class, need); classes that it lacks are out
+    of reach. `docs` carries doc_id, `_text` in lower case, `_class` and the `by` columns.
     """
-    terms = explode_computed(items, F.col("_keywords"), "kw", "item_id", *by, "_need") \
+    terms = explode_computed(items, F.col("_keywords"), "kw", "item_id", *by, "_needs") \
         .withColumn("block", text.lookup_piece(F.col("kw")))
-    hay = _document_pieces(docs, by)
+    hay = _document_pieces(docs, [*by, "_class"])
     vocabulary = hay.groupBy("hay").agg(F.count("*").alias("n"))
     # which word holds which keyword: a vocabulary-sized table that is used twice
     pairs = cut_lineage(substring_pairs(
@@ -150,24 +156,41 @@ def candidate_pairs(items: DataFrame, docs: DataFrame, by: list[str]) -> DataFra
     # any fixed order of the keywords is exact; rare ones first keeps the candidates few
     weights = pairs.groupBy(F.col("needle").alias("block")).agg(F.sum("n").alias("weight"))
     ranked = (terms.join(weights, "block", "left")
-              .groupBy("item_id", *by, "_need").agg(F.array_sort(F.collect_list(F.struct(
+              .groupBy("item_id", *by).agg(F.any_value("_needs").alias("_needs"), F.array_sort(F.collect_list(F.struct(
                   F.coalesce("weight", F.lit(0)).alias("weight"), "kw", "block"))).alias("ks")))
-    prefix = F.slice("ks", 1, F.size("ks") - F.greatest(F.col("_need"), F.lit(1)) + 1)
-    looked_up = (ranked.select("item_id", *by, F.explode(prefix).alias("k"))
-                 .select("item_id", *by, F.col("k.block").alias("needle")).distinct())
+    asked = explode_computed(ranked, F.filter("_needs", lambda n: n["need"] > 0), "_n", "item_id", *by, "ks")
+    prefix = F.slice("ks", 1, F.size("ks") - F.col("_n.need") + 1)
+    looked_up = cut_lineage(asked.select("item_id", *by, F.col("_n.class").alias("_class"), F.explode(prefix).alias("k"))
+                            .select("item_id", *by, "_class", F.col("k.block").alias("needle")).distinct(), "prefixes")
     postings = (hay.join(pairs.select("needle", "hay").join(looked_up.select("needle").distinct(), "needle", "left_semi"),
-                         "hay").select("doc_id", *by, "needle").distinct())
-    return looked_up.join(postings, [*by, "needle"]).select("item_id", "doc_id").distinct()
+                         "hay").select("doc_id", *by, "_class", "needle").distinct())
+    found = looked_up.join(postings, [*by, "_class", "needle"]).select("item_id", "doc_id").distinct()
+    # classes in which a pair needs no hit: lengths and names alone allow the threshold
+    free = explode_computed(items, F.filter("_needs", lambda n: n["need"] <= 0), "_n", "item_id", *by)
+    free = free.select("item_id", *by, F.col("_n.class").alias("_class"))
+    return found.unionByName(free.join(docs.select("doc_id", *by, "_class"), [*by, "_class"]).select("item_id", "doc_id"))
+
 
+BANDS = 2.0  # bands of lengths per factor of two
 
-def _without_hits(items: DataFrame, docs: DataFrame, score: Score, threshold: float, by: list[str]) -> DataFrame:
-    """Pairs of a low threshold that could match on length and name alone."""
-    open_ = items.filter(F.col("_need") < 1).select("item_id", "_low", *by)
-    sized = docs.select("doc_id", "file_name", F.length(score.ratio_text(F.col("_text"))).alias("_n"), *by)
-    mine = F.length("_low")
-    ratio = F.coalesce(F.try_divide(2.0 * F.least(mine, F.col("_n")), (mine + F.col("_n")).cast("double")), F.lit(1.0))
-    possible = score.without_hits(F.col("_low"), F.col("file_name"), ratio) >= threshold - 1e-9
-    return open_.join(sized, by).filter(possible).select("item_id", "doc_id")
+
+def _band(n: Column) -> Column:
+    return F.floor(F.log2(n) * BANDS).cast("int")
+
+
+def _longest_ratio(n: Column, band: int) -> Column:
+    """The largest ratio that a text whose length lies in the band can reach with one of length n."""
+    low, high = 2.0 ** (band / BANDS) * (1 - 1e-9), 2.0 ** ((band + 1) / BANDS) * (1 + 1e-9)
+    return F.when(n < low, 2.0 * n / (n + low)).when(n > high, F.lit(2.0 * high) / (n + high)).otherwise(1.0)
+
+
+def _name_shares(items: DataFrame, docs: DataFrame) -> DataFrame:
+    """(item_id, _name_share): the share of an item's words that occur in some file name."""
+    said = explode_computed(items, text.words(F.col("_low")), "needle", "item_id", F.size(text.words(F.col("_low"))).alias("n"))
+    long_ = said.filter(F.length("needle") > 3)
+    parts = explode_computed(docs, text.words(F.lower("file_name")), "hay").distinct()
+    known = substring_pairs(long_.select("needle").distinct(), parts).select("needle").distinct()
+    return long_.join(known, "needle").groupBy("item_id").agg((F.count("*") / F.max("n")).alias("_name_share"))
 
 
 def _spread(pairs: DataFrame) -> DataFrame:
@@ -180,17 +203,24 @@ def _spread(pairs: DataFrame) -> DataFrame:
 
 # --- links --------------------------------------------------------------------------------
 
-def _prepared_items(items: DataFrame, score: Score, threshold: float) -> DataFrame:
-    described = items.filter(F.length(F.col("description")) > 0) \
+def _prepared_items(items: DataFrame, score: Score) -> DataFrame:
+    return items.filter(F.length(F.col("description")) > 0) \
         .withColumn("_low", F.lower("description")) \
         .withColumn("_keywords", text.search_keywords(
             F.col("description"), F.col("category") if "category" in items.columns else None,
             score.keywords, score.keyword_cap)) \
         .filter(F.size("_keywords") > 0)
-    share = score.needed_share(F.col("_low"), threshold)
-    need = F.ceil(share * F.size("_keywords") - 1e-9).cast("int")
-    # an item that would need more hits than it has keywords can't be linked at all
-    return described.withColumn("_need", F.greatest(need, F.lit(0))).filter(F.col("_need") <= F.size("_keywords"))
+
+
+def _with_needs(items: DataFrame, classes: list[tuple[int, float]], score: Score, threshold: float) -> DataFrame:
+    """Items with `_needs`, the hits that they need in each class of documents where the threshold is in reach."""
+    n, size = F.length("_low").cast("double"), F.size("_keywords")
+
+    def needed(i: int, band: int, gain: float) -> Column:
+        share = score.needed_share(F.col("_low"), threshold, _longest_ratio(n, band), F.lit(gain), F.col("_name_share"))
+        return F.struct(F.lit(i).alias("class"), F.greatest(F.ceil(share * size - 1e-9).cast("int"), F.lit(0)).alias("need"))
+    every = F.array(*[needed(i, band, gain) for i, (band, gain) in enumerate(classes)])
+    return items.withColumn("_needs", F.filter(every, lambda x: x["need"] <= size)).filter(F.size("_needs") > 0)
 
 
 def _bounded(items: DataFrame, docs: DataFrame, threshold: float, score: Score, by: str | None) -> DataFrame:
@@ -201,23 +231,32 @@ def _bounded(items: DataFrame, docs: DataFrame, threshold: float, score: Score,
         raise ValueError(f"threshold must exceed {score.floor()} when no join column is given: below "
                          "it pairs without any common keyword could match")
     keys = ["_by"] if by else []
-    left = _prepared_items(items, score, threshold)
+    left = _prepared_items(items, score)
     right = docs.withColumn("_text", F.lower("text")).filter(F.length("_text") > 0)
     if by:
         left = left.withColumn("_by", F.lower(text.strip(F.col(by)))).filter("_by is not null")
         right = right.withColumn("_by", F.lower(text.strip(F.col(by))))
         right = right.join(left.select("_by").distinct(), "_by", "left_semi")
-    left = left.select("item_id", "_low", "_keywords", "_need", *keys)
-    right = right.select("doc_id", "file_name", "_text", *keys)
     if score.min_text:  # such texts score 0
         right = right.filter(F.length(text.strip(F.col("_text"))) >= score.min_text)
+    left = left.select("item_id", "_low", "_keywords", *keys)
+    right = right.select("doc_id", "file_name", "_text", _band(F.length(score.ratio_text(F.col("_text")))).alias("_length"),
+                         score.gain(F.col("file_name"), threshold).alias("_gain"), *keys)
+    # bands of lengths and sums of a few points: some hundreds, whatever the number of documents
+    classes = sorted((r[0], r[1]) for r in right.select("_length", "_gain").distinct().collect())
+    if not classes:
+        classes = [(0, 0.0)]
+    number = F.create_map(*[F.lit(x) for i, (band, gain) in enumerate(classes) for x in (f"{band} {gain}", i)])
+    right = right.withColumn("_class", number[F.concat_ws(" ", F.col("_length").cast("string"), F.col("_gain").cast("string"))]).drop("_length", "_gain")
+    if score.kind == "named":
+        left = left.join(_name_shares(left, docs), "item_id", "left").withColumn("_name_share", F.coalesce("_name_share", F.lit(0.0)))
+    else:
+        left = left.withColumn("_name_share", F.lit(0.0))
+    left = cut_lineage(_with_needs(left, classes, score, threshold).drop("_name_share"), "items")
     pairs = candidate_pairs(left, right, keys)
-    if threshold <= score.floor():
-        pairs = pairs.unionByName(_without_hits(left, right, score, threshold, keys)).distinct()
     # the texts come last: each moves once, to the pairs, and no pair carries one through a shuffle
-    joined = _spread(pairs).join(left.drop(*keys), "item_id").join(right.drop(*keys), "doc_id") \
+    joined = _spread(pairs).join(left.drop("_needs", *keys), "item_id").join(right.drop("_class", *keys), "doc_id") \
         .withColumn("hits", text.keyword_hits(F.col("_keywords"), F.col("_text"))) \
-        .filter(F.col("hits") >= F.col("_need")) \
         .withColumn("coverage", F.col("hits") / F.size("_keywords"))
     bound = score.total(*_parts(), ratio_bound(F.col("_low"), score.ratio_text(F.col("_text"))))
     return joined.withColumn("bound", bound).filter(F.col("bound") >= threshold - 1e-9)
@@ -243,7 +282,8 @@ def link(items: DataFrame, docs: DataFrame, threshold: float = rules.LINK_THRESH
     meet every document. Returns item_id, doc_id, hits, coverage, ratio and score.
     """
     sample = score.ratio_text(F.col("_text"))
-    return (_bounded(items, docs, threshold, score, by)
+    bounded = _bounded(items, docs, threshold, score, by).withColumn("_most", subsequence_bound(F.col("_low"), sample))
+    return (bounded.filter(score.total(*_parts(), F.col("_most")) >= threshold - 1e-9)
             .withColumn("ratio", sequence_ratio(F.col("_low"), sample))
             .withColumn("score", score.total(*_parts(), F.col("ratio")))
             .filter(F.col("score") >= threshold)
@@ -258,10 +298,11 @@ def coverage_links(items: DataFrame, docs: DataFrame, min_coverage: float,
     left = items.withColumn("_keywords", text.search_keywords(
         F.col("description"), F.col("category") if "category" in items.columns else None, variant, cap)) \
         .filter(F.size("_keywords") > 0) \
-        .withColumn("_need", F.ceil(min_coverage * F.size("_keywords") - 1e-9).cast("int"))
-    right = docs.select("doc_id", F.lower("text").alias("_text"))
+        .withColumn("_need", F.ceil(min_coverage * F.size("_keywords") - 1e-9).cast("int")) \
+        .withColumn("_needs", F.array(F.struct(F.lit(0).alias("class"), F.greatest("_need", F.lit(1)).alias("need"))))
+    right = docs.select("doc_id", F.lower("text").alias("_text"), F.lit(0).alias("_class"))
     pairs = candidate_pairs(left, right, [])
-    return (_spread(pairs).join(left.select("item_id", "_keywords", "_need"), "item_id").join(right, "doc_id")
+    return (_spread(pairs).join(left.select("item_id", "_keywords", "_need"), "item_id").join(right.drop("_class"), "doc_id")
             .withColumn("hits", text.keyword_hits(F.col("_keywords"), F.col("_text")))
             .filter(F.col("hits") >= F.col("_need"))
             .select("item_id", "doc_id", "hits", F.size("_keywords").alias("n_keywords"),

@@ -4,9 +4,9 @@ from pyspark.sql import functions as F
 
 from assetweave.operators import filters, linking, ranking, reports
 from assetweave import rules
-from assetweave.plans.catalog.documents import FULL, SHORT, WIDE, _NORMAL, prioritized
+from assetweave.plans.catalog.documents import _CATEGORY_OF, _NORMAL, _model, _pieces, FULL, SHORT, WIDE, prioritized
 from assetweave.plans.catalog.registry import (
-    ITEMS_SQL, LIBRARY_SQL, WORD, any_of, items, library, query, role, table)
+    ITEMS_SQL, LIBRARY_SQL, WORD, any_of, items, library, query, role, table, trimmed)
 
 MIN_COVERAGE = 0.6
 
@@ -51,7 +51,7 @@ def coverage_links_full(spark, sf_dir):
 
 def _bounds(kw: str, score: str, threshold: int, where: str = "true") -> str:
     return f"""WITH {PLAIN_ITEMS_SQL}, {LIBRARY_SQL}, kws AS (SELECT item_id, supplier, lower(description) AS low, {kw} AS kw FROM items),
- p AS (SELECT item_id, doc_id, lower(file_name) AS name, low, len(kw) AS n, len([k FOR k IN kw IF contains(lower(text), k)]) AS hits,
+ p AS (SELECT item_id, doc_id, file_name, lower(file_name) AS name, low, lower(text) AS doc, len(kw) AS n, len([k FOR k IN kw IF contains(lower(text), k)]) AS hits,
   2.0::DOUBLE * least(length(low), length(lower(text))) / (length(low) + length(lower(text))) AS ratio
   FROM kws i, library l WHERE len(kw) > 0 AND length(text) > 0 AND {where}),
  b AS (SELECT item_id, doc_id, CAST(hits AS INTEGER) AS hits, hits::DOUBLE / n AS coverage, {score} AS bound FROM p)
@@ -79,6 +79,31 @@ def link_bounds_all_documents(spark, sf_dir):
     return _bound_rows(linking.link_bounds(plain_items(spark, sf_dir), library(spark, sf_dir), 60, linking.PLAIN, by=None))
 
 
+@query(_bounds(SHORT, _NAMED_BOUND, 40, "i.supplier = l.supplier"))
+def link_bounds_below_floor(spark, sf_dir):
+    """A threshold that lengths and names reach without any keyword."""
+    return _bound_rows(linking.link_bounds(plain_items(spark, sf_dir), library(spark, sf_dir), 40))
+
+
+_POINTS = "CASE " + " ".join(f"WHEN {_CATEGORY_OF} = '{label}' THEN {points}" for label, points in rules.PRIORITY_BOOST.items()) + " ELSE 0 END"
+
+
+@query(_bounds(SHORT, f"least(100, least(100, hits * 70.0::DOUBLE / n + 30 * ratio) + {_POINTS})", 60))
+def link_bounds_boosted(spark, sf_dir):
+    return _bound_rows(linking.link_bounds(plain_items(spark, sf_dir), library(spark, sf_dir), 60, linking.BOOSTED, by=None))
+
+
+_SIGNALS = f"""hits * 40.0::DOUBLE / n + 30 * ratio
+ + 20.0::DOUBLE * coalesce(len(list_intersect(list_distinct({_model('low')}), {_model('doc')}))::DOUBLE / nullif(len({_model('low')}), 0), 0)
+ + 10.0::DOUBLE * coalesce(len(list_intersect({_pieces('low')}, {_pieces('doc')}))::DOUBLE / nullif(len({_pieces('low')}), 0), 0)"""
+_PHRASE = f"len([p FOR p IN string_split(low, ',') IF length({trimmed('p')}) > 5 AND contains(doc, {trimmed('p')})]) > 0"
+
+
+@query(_bounds(FULL, f"least(({_SIGNALS}) * CASE WHEN {_PHRASE} THEN 1.3::DOUBLE ELSE 1 END, 100)", 85))
+def link_bounds_four_signal(spark, sf_dir):
+    return _bound_rows(linking.link_bounds(plain_items(spark, sf_dir), library(spark, sf_dir), 85, linking.FOUR_SIGNAL, by=None))
+
+
 @query(_bounds(WIDE, "least(hits * 50.0::DOUBLE / n + 50 * ratio, 100)", 55))
 def link_bounds_even(spark, sf_dir):
     return _bound_rows(linking.link_bounds(plain_items(spark, sf_dir), library(spark, sf_dir), 55, linking.EVEN, by=None))
@@ -118,14 +143,14 @@ def _rounded(links):
 
 @query()
 def link_by_supplier(spark, sf_dir):
-    return _rounded(linking.link(plain_items(spark, sf_dir), library(spark, sf_dir), 51))
+    return _rounded(linking.link(plain_items(spark, sf_dir), library(spark, sf_dir), 40))
 
 
 @query()
 def link_prioritized(spark, sf_dir):
     chosen = prioritized(spark, sf_dir).select("doc_id")
     docs = library(spark, sf_dir).join(chosen, "doc_id", "left_semi")
-    return _rounded(linking.link(plain_items(spark, sf_dir), docs, 51))
+    return _rounded(linking.link(plain_items(spark, sf_dir), docs, 30))
 
 
 @query()

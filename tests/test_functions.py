@@ -1,11 +1,13 @@
+import random
 from difflib import SequenceMatcher
 from urllib.parse import urljoin
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from assetweave.functions import names, text, urls
-from assetweave.functions.similarity import ratio_bound, sequence_ratio
+from assetweave.functions import names, similarity, text, urls
+from assetweave.functions.similarity import COMPARABLE, ratio_bound, sequence_ratio, subsequence_bound
 
 
 def test_clean_name(one):
@@ -113,3 +115,36 @@ def test_keyword_rules(one):
         (False, "Common stopword"), (True, "Technical term"), (True, "Valid keyword"), (False, "Failed validation")]
     weights = one(["system", "spectrometer", "abc", "x" * 21], lambda c: text.keyword_weight(c, F.lit(True)))
     assert weights == pytest.approx([0.75, 1.95, 1.05, 1.2])
+
+
+def test_subsequence_bound_holds_the_ratio(spark):
+    made = random.Random(9)
+    word = lambda most: "".join(made.choice("abcdé 😀") for _ in range(made.randrange(most)))
+    pairs = [(word(40), word(most)) for _ in range(300) for most in (8, 60, 500)] + [("", ""), ("", "a"), ("a", ""), ("same", "same"), (None, "a"), ("a", None)]
+    got = spark.createDataFrame(pairs, "a string, b string").select(
+        "a", "b", subsequence_bound(F.col("a"), F.col("b")).alias("u"), ratio_bound(F.col("a"), F.col("b")).alias("l")).collect()
+
+    def longest(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            before = row[:]
+            for j, y in enumerate(b):
+                row[j + 1] = before[j] + 1 if x == y else max(before[j + 1], row[j])
+        return row[-1]
+    for r in got:
+        if r.a is None or r.b is None:
+            continue
+        size = len(r.a) + len(r.b)
+        most = 1.0 if not size else r.l if len(r.b) > COMPARABLE * len(r.a) else 2 * longest(r.a, r.b) / size
+        assert r.u == pytest.approx(most) and r.u <= r.l
+        assert SequenceMatcher(None, r.a, r.b).ratio() <= r.u + 1e-9
+
+
+def test_a_text_is_indexed_once_per_batch(monkeypatch):
+    built = []
+    monkeypatch.setattr(SequenceMatcher, "set_seq2", (lambda old: lambda self, b: (built.append(b), old(self, b))[1])(SequenceMatcher.set_seq2))
+    left, right = pd.Series(["ab", "b", "ab", "xyz"] * 3), pd.Series(["abc", "bcd"] * 6)
+    want = [SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right, strict=True)]
+    built.clear()
+    assert similarity._make_ratio().func(left, right).tolist() == want
+    assert [b for b in built if b] == ["abc", "bcd"]

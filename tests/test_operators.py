@@ -159,6 +159,7 @@ def _score(rule, description, doc, file_name, keywords):
 @pytest.mark.parametrize("rule, threshold, by", [
     (linking.NAMED, 20, "supplier"), (linking.NAMED, 55, None), (linking.PLAIN, 35, None), (linking.BOOSTED, 50, None),
     (linking.FOUR_SIGNAL, 80, None), (linking.FOUR_SIGNAL, 30, "supplier"), (linking.EVEN, 55, None), (linking.PLAIN, 5, "supplier"),
+    (linking.NAMED, 40, "supplier"), (linking.NAMED, 30, "supplier"), (linking.BOOSTED, 12, "supplier"), (linking.EVEN, 45, "supplier"),
     (linking.NAMED.limited(sample=2000, min_text=800), 20, "supplier"), (linking.PLAIN.limited(sample=30, keyword_cap=3), 40, None)])
 def test_link_equals_brute_force(spark, rule, threshold, by):
     rng = random.Random(11)
