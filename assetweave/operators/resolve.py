@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from assetweave import rules
 from assetweave.functions import names, text, urls
 from assetweave.functions.arrays import explode_computed
-from assetweave.functions.similarity import ratio_bound, sequence_ratio
+from assetweave.functions.similarity import sequence_ratio
+from assetweave.operators import similar
 from assetweave.operators.substring import substring_pairs
 from assetweave.session import cut_lineage
 
@@ -176,37 +177,18 @@ def _cleaned(todo: DataFrame, goal: DataFrame) -> DataFrame:
 def suggest_similar(suppliers: DataFrame, targets: DataFrame, cutoff: float = 0.6, k: int = 1) -> DataFrame:
     """(name, rank, target, ratio): the k most similar targets with ratio >= cutoff.
 
-    The ratio never exceeds the Dice overlap of the two character bags, so pairs come from
-    an exact prefix filter on (character, occurrence) elements and lengths that fit.
+    Names in lower case are compared, each spelling once. Pairs come from an exact filter (see `similar`).
     """
     if not 0 < cutoff <= 1:
         raise ValueError("cutoff must be in (0, 1]")
 
-    def bag(df: DataFrame, c: str) -> DataFrame:
-        low = F.lower(c)
-        chars = F.array_sort(F.filter(F.split(low, ""), lambda x: x != ""))
-        seen = F.transform(chars, lambda x, i: F.concat(x, (i - F.array_position(chars, x) + 1).cast("string")))
-        return df.filter(F.length(c) > 0).select(c, low.alias(c + "_low"), seen.alias(c + "_bag")).distinct()
-
-    mine, theirs = cut_lineage(bag(suppliers, "name")), cut_lineage(bag(targets, "target"))
-    order = (explode_computed(mine, F.col("name_bag"), "e").unionAll(explode_computed(theirs, F.col("target_bag"), "e"))
-             .groupBy("e").agg(F.count("*").alias("n")))
-
-    def prefix(df: DataFrame, c: str) -> DataFrame:
-        n = F.size(c + "_bag")
-        keep = n - F.ceil(n * cutoff / (2 - cutoff) - 1e-9).cast("int") + 1
-        ranked = (explode_computed(df, F.col(c + "_bag"), "e", c, n.alias(c + "_n"), keep.alias("keep")).join(order, "e")
-                  .groupBy(c, c + "_n", "keep").agg(F.array_sort(F.collect_list(F.struct("n", "e"))).alias("r")))
-        return ranked.select(c, c + "_n", F.explode(F.slice("r", 1, F.col("keep"))).alias("p")) \
-            .select(c, c + "_n", F.col("p.e").alias("e"))
-
-    fits = (2.0 * F.least("name_n", "target_n")) >= cutoff * (F.col("name_n") + F.col("target_n")) - 1e-9
-    pairs = prefix(mine, "name").join(prefix(theirs, "target"), "e").filter(fits).select("name", "target").distinct()
-    dice = (2.0 * F.size(F.array_intersect("name_bag", "target_bag"))) / (F.size("name_bag") + F.size("target_bag"))
-    scored = (pairs.join(mine, "name").join(theirs, "target")
-              .filter((dice >= cutoff - 1e-9) & (ratio_bound(F.col("name_low"), F.col("target_low")) >= cutoff - 1e-9))
-              .withColumn("ratio", sequence_ratio(F.col("name_low"), F.col("target_low")))
-              .filter(F.col("ratio") >= cutoff))
+    def folded(df: DataFrame, c: str, low: str) -> DataFrame:
+        return cut_lineage(df.filter(F.length(c) > 0).select(c, F.lower(c).alias(low)).distinct())
+
+    mine, theirs = folded(suppliers, "name", "a"), folded(targets, "target", "b")
+    pairs = similar.likely_pairs(mine.select(F.col("a").alias("low")).distinct(), theirs.select(F.col("b").alias("low")).distinct(), cutoff)
+    close = pairs.withColumn("ratio", sequence_ratio(F.col("a"), F.col("b"))).filter(F.col("ratio") >= cutoff)
+    scored = close.join(mine, "a").join(theirs, "b")
     window = Window.partitionBy("name").orderBy(F.desc("ratio"), "target")
     return scored.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k) \
         .select("name", "rank", "target", "ratio")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from assetweave import rules
 from assetweave.functions import text
 from assetweave.operators import (classify, cleaning, columns, filters, learning, linking, ranking, reports, resolve,
-                                  substring, web)
+                                  similar, substring, web)
 
 
 def rows(df):
@@ -96,18 +96,40 @@ def test_resolve_entities_equals_brute_force(spark):
     assert rows(got) == sorted(filter(None, (_reference_entity(n, targets) for n in names)))
 
 
-def test_suggest_similar_equals_brute_force(spark):
+def _words_like(rng, letters, lengths, n):
+    made = ["".join(rng.choice(letters) for _ in range(rng.choice(lengths))) for _ in range(n)]
+    for word in made[:n // 3]:  # and some with a few changes
+        at = rng.randrange(len(word))
+        made += [word[:at] + rng.choice(letters) + word[at + 1:], word[:at] + word[at + 1:] or "a", word[at:] + word[:at]]
+    return sorted(set(made))
+
+
+@pytest.mark.parametrize("letters, lengths, cutoff", [
+    ("abcdefg", range(3, 10), 0.5), ("abcdefghijklmnop", range(1, 15), 0.6), ("abcdé😀 ", range(2, 60, 7), 0.7), ("ab", range(1, 30), 0.9),
+    ("abcdefghij", range(2, 9), 1.0), ("abcdef", [2, 3, 50], 0.1)])
+def test_suggest_similar_equals_brute_force(spark, letters, lengths, cutoff):
     rng = random.Random(7)
-    def word():
-        return "".join(rng.choice("abcdefg") for _ in range(rng.randint(3, 9)))
-    names, targets = sorted({word() for _ in range(60)}), sorted({word() for _ in range(80)})
-    got = resolve.suggest_similar(spark.createDataFrame([(n,) for n in names], "name string"),
-                                  spark.createDataFrame([(t,) for t in targets], "target string"), 0.5, 2)
+    names, targets = _words_like(rng, letters, lengths, 40), _words_like(rng, letters, lengths, 50)
+    got = resolve.suggest_similar(spark.createDataFrame([(n,) for n in [*names, "", None]], "name string"),
+                                  spark.createDataFrame([(t,) for t in [*targets, "", None]], "target string"), cutoff, 2)
     expected = []
     for n in names:
         scored = sorted(((-SequenceMatcher(None, n, t).ratio(), t) for t in targets))
-        expected += [(n, i + 1, t, pytest.approx(-s)) for i, (s, t) in enumerate(scored[:2]) if -s >= 0.5]
-    assert rows(got) == sorted(expected, key=lambda r: r[:3])
+        expected += [(n, i + 1, t, pytest.approx(-s)) for i, (s, t) in enumerate(scored[:2]) if -s >= cutoff]
+    assert rows(got) == sorted(expected, key=lambda r: r[:3]) and expected
+
+
+def test_suggest_similar_folds_case_and_takes_empty_tables(spark):
+    names, targets = spark.createDataFrame([("ACME Labs",)], "name string"), spark.createDataFrame([("acme labs",), ("Acme LABS",)], "target string")
+    assert rows(resolve.suggest_similar(names, targets, 1.0, 5)) == [("ACME Labs", 1, "Acme LABS", 1.0), ("ACME Labs", 2, "acme labs", 1.0)]
+    assert rows(resolve.suggest_similar(names.limit(0), targets)) == rows(resolve.suggest_similar(names, targets.limit(0))) == []
+
+
+def test_signatures_leave_few_candidates(spark):
+    rng = random.Random(3)
+    made = [["".join(rng.choice("abcdefghijklmnopqrst") for _ in range(rng.randint(6, 12))) for _ in range(400)] for _ in range(2)]
+    left, right = (spark.createDataFrame([(x,) for x in sorted(set(m))], "low string") for m in made)
+    assert similar.candidate_pairs(left, right, 0.8).count() < 400 * 400 / 200
 
 
 def test_url_routing(spark):
