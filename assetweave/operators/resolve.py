@@ -8,8 +8,7 @@ from assetweave.functions import names, text, urls
 from assetweave.functions.arrays import explode_computed
 from assetweave.functions.similarity import sequence_ratio
 from assetweave.operators import similar
-from assetweave.operators.substring import substring_pairs
-from assetweave.session import cut_lineage
+from assetweave.session import cut_lineage, task_count
 
 
 def _key(c: str) -> Column:
@@ -131,16 +130,36 @@ def _exact(todo: DataFrame, goal: DataFrame) -> DataFrame:
     return todo.join(first, "low").select("name", "target")
 
 
+def _substrings(df: DataFrame, c: str, lengths: list[int], *keep: str) -> DataFrame:
+    """A row per distinct substring `sub` of one of these lengths: at most characters times lengths."""
+    n = F.length(c)
+    of = F.filter(F.array(*[F.lit(x) for x in lengths]), lambda x: x <= n)
+    parts = F.flatten(F.transform(of, lambda x: F.transform(F.sequence(F.lit(1), n - x + 1), lambda i: F.substring(F.col(c), i, x))))
+    return explode_computed(df.repartition(task_count(df.sparkSession), c), F.array_distinct(parts), "sub", *keep)
+
+
+def _lengths(df: DataFrame, c: str) -> list[int]:
+    """The lengths that occur: as many as the longest name has characters, at most."""
+    return sorted(r[0] for r in df.select(F.length(c)).distinct().collect())
+
+
 def _containment(todo: DataFrame, goal: DataFrame) -> DataFrame:
+    """The smallest target inside a name or around it.
+
+    A dictionary of the targets' substrings, of the lengths that names have, keeps the smallest target of each; names look
+    themselves up in it. Names look up their own substrings, of the lengths that targets have, among the targets. So no pair of
+    a name and a target exists before the minimum is taken, however many contain each other.
+    """
     mine = todo.select("low").distinct()
-    # smallest target per spelling, so that equal spellings do not multiply the pairs
-    spelled = goal.groupBy("tlow").agg(F.min("target").alias("target"))
-    inside = substring_pairs(mine.select(F.col("low").alias("needle")), spelled.select(F.col("tlow").alias("hay"))) \
-        .select(F.col("needle").alias("low"), F.col("hay").alias("tlow"))
-    around = substring_pairs(spelled.select(F.col("tlow").alias("needle")), mine.select(F.col("low").alias("hay"))) \
-        .select(F.col("hay").alias("low"), F.col("needle").alias("tlow"))
-    best = inside.unionByName(around).join(spelled, "tlow").groupBy("low").agg(F.min("target").alias("target"))
-    return todo.join(best, "low").select("name", "target")
+    # smallest target per spelling
+    spelled = cut_lineage(goal.groupBy("tlow").agg(F.min("target").alias("target")), "spelled")
+    sizes, theirs = _lengths(mine, "low"), _lengths(spelled, "tlow")
+    if not sizes or not theirs:
+        return todo.select("name", F.lit("").alias("target")).limit(0)
+    around = _substrings(spelled, "tlow", sizes, "target").groupBy("sub").agg(F.min("target").alias("target"))
+    inside = _substrings(mine, "low", theirs, "low").join(spelled, F.col("sub") == F.col("tlow"))
+    both = mine.join(around, F.col("low") == F.col("sub")).select("low", "target").unionByName(inside.select("low", "target"))
+    return todo.join(both.groupBy("low").agg(F.min("target").alias("target")), "low").select("name", "target")
 
 
 def _word_overlap(todo: DataFrame, goal: DataFrame) -> DataFrame:

@@ -1,7 +1,5 @@
 """Reading items, dictionaries, libraries and logs."""
 
-import csv
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,40 +8,54 @@ from assetweave.functions.text import strip
 from assetweave.session import cut_lineage
 
 
-def read_items(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
+def read_items(spark: SparkSession, path: str, fmt: str | None = None, columns: list[str] | None = None) -> DataFrame:
     """Items from Parquet or from CSV files whose header is on the second line.
 
-    All columns are read as text. Files may have different headers: one job over the lines
-    finds each file's own, files are read per distinct header, and columns that a header
-    lacks are null. The driver sees the distinct headers, not the files.
+    All columns are read as text. Files may have different headers, and any number of them: one scan finds each file's own, a
+    second one reads all rows by position and takes every column from where the row's file has it. Columns that a file
+    lacks are null, rows that repeat the header go. `columns` names what to read; without it, it is every name that occurs, which
+    the driver then has to know, by place and name.
     """
     fmt = fmt or ("csv" if path.rstrip("/").lower().endswith(".csv") else
                   "parquet" if path.rstrip("/").lower().endswith(".parquet") else None)
     if fmt == "parquet":
-        return spark.read.parquet(path)
+        found = spark.read.parquet(path)
+        return found.select(*columns) if columns else found
     if fmt != "csv":
         raise ValueError(f"unsupported item file format: {path}")
-    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("_file"), F.split(
-        F.substring_index("value", "\n", 2), "\r?\n").alias("_head"))
-    heads = cut_lineage(text.select("_file", F.get("_head", F.lit(1)).alias("header")), "headers")
-    known = [r[0] for r in heads.select("header").distinct().orderBy("header").collect() if r[0] is not None]
-    if not known:
+    heads = cut_lineage(_headers(spark, path), "headers")
+    width = heads.agg(F.max(F.size("_names"))).first()[0]
+    if not width:
         raise ValueError(f"no item file at {path}")
-    out = None
-    for line in known:
-        names_ = next(csv.reader([line]))
-        rows = spark.read.csv(path, header=True, enforceSchema=True, mode="PERMISSIVE",
-                              schema=", ".join(f"`{c}` string" for c in names_))
-        if len(known) > 1:
-            mine = heads.filter(F.col("header") == line).select(F.col("_file").alias("_mine"))
-            rows = rows.withColumn("_file", F.col("_metadata.file_path"))
-            rows = rows.join(mine, F.col("_file") == F.col("_mine"), "left_semi").drop("_file")
-        is_header = F.lit(True)
-        for c in names_:
-            is_header = is_header & F.col(f"`{c}`").eqNullSafe(F.lit(c))
-        rows = rows.filter(~is_header)
-        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
-    return out
+    if columns is None:
+        named = heads.select(F.posexplode("_names").alias("at", "name")).filter("name <> ''")
+        columns = [r[0] for r in named.groupBy("name").agg(F.min("at").alias("at")).orderBy("at", "name").collect()]
+    places = [f"_c{i}" for i in range(width)]
+    rows = spark.read.csv(path, header=True, enforceSchema=True, mode="PERMISSIVE", escape='"', schema=", ".join(f"{c} string" for c in places))
+    rows = rows.select(F.col("_metadata.file_path").alias("_path"), F.array(*places).alias("_values"))
+    rows = rows.join(heads, F.col("_path") == F.col("_file"))
+    said = F.transform(F.slice("_values", 1, F.size("_names")), lambda v: F.coalesce(v, F.lit("")))
+    return rows.filter(said != F.col("_names")).select(*[
+        F.get("_values", F.array_position("_names", F.lit(c)) - 1).alias(c) for c in columns])
+
+
+CELL = r'("(?:[^"]|"")*"|[^",]*)(?:,|$)'
+
+
+def _headers(spark: SparkSession, path: str) -> DataFrame:
+    """(_file, _names): the cells of the second line of each text file, one row per file.
+
+    Line numbers of a task rise by one, so the first two lines of a file are the smallest even and the smallest odd one.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("start"),
+                                         F.monotonically_increasing_id().alias("at"), F.struct("value").alias("line"))
+    first = lines.filter("start = 0").groupBy("_file", (F.col("at") % 2).alias("odd")).agg(F.min(F.struct("at", "line")).alias("l"))
+    second = first.groupBy("_file").agg(F.max("l").alias("l"), F.count("*").alias("n")).filter("n = 2").select("_file", "l.line.value")
+    # the last match is the empty one behind the line's end
+    cells = F.regexp_extract_all(F.regexp_replace("value", "\r$", ""), F.lit(CELL), F.lit(1))
+    cells = F.when(F.regexp_replace("value", "\r$", "").endswith(","), cells).otherwise(F.slice(cells, 1, F.greatest(F.size(cells) - 1, F.lit(0))))
+    bare = F.transform(cells, lambda c: F.when(c.startswith('"'), F.regexp_replace(F.regexp_replace(c, '^"|"$', ""), '""', '"')).otherwise(c))
+    return second.select("_file", bare.alias("_names"))
 
 
 def list_inputs(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (".csv", ".parquet")) -> DataFrame:

@@ -144,3 +144,27 @@ def test_harvest_is_part_of_the_flow(spark):
     assert sorted(r.url for r in got["found"].collect()) == ["https://newlabs.com/a.pdf", "https://newlabs.com/b.pdf"]
     assert [r.file_name for r in got["downloads"].collect()] == ["a.pdf"]
     assert [(r.item_id, r.doc_id) for r in got["links_scored"].collect()] == [(1, 1)]
+
+
+def test_any_number_of_headers_takes_one_scan_of_the_rows(spark, tmp_path):
+    import csv
+    want = []
+    for i in range(30):
+        names = ["code", f"extra {i}", "description"] if i % 2 else ["description", "code", f'say "{i}", or not']
+        with open(tmp_path / f"f{i}.csv", "w", newline="") as f:
+            f.write("" if i % 5 == 4 else f"Export {i},,")
+            f.write("\r\n")
+            out = csv.writer(f)
+            for row in [names, *[[f"{n[:3]} {i}-{j}" for n in names] for j in range(3)], names]:
+                out.writerow(row)
+        want += [{n: f"{n[:3]} {i}-{j}" for n in names} for j in range(3)]
+    (tmp_path / "short.csv").write_text("only a title\n")
+    (tmp_path / "bare.csv").write_text("title\ncode,description,\nc,d,\n")
+    want.append({"code": "c", "description": "d"})
+    df = readers.read_items(spark, str(tmp_path), "csv")
+    assert df.columns[:2] == ["code", "description"] and len(df.columns) == 32
+    got = [{k: v for k, v in r.asDict().items() if v is not None} for r in df.collect()]
+    assert sorted(got, key=lambda r: sorted(r.items())) == sorted(want, key=lambda r: sorted(r.items()))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan csv") == 1
+    assert readers.read_items(spark, str(tmp_path), "csv", ["description", "nowhere"]).columns == ["description", "nowhere"]

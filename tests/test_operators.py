@@ -96,6 +96,17 @@ def test_resolve_entities_equals_brute_force(spark):
     assert rows(got) == sorted(filter(None, (_reference_entity(n, targets) for n in names)))
 
 
+def test_containment_of_names_that_many_share(spark):
+    names = [f"acme {i}" for i in range(400)] + ["zen", "q", "ACME"]
+    targets = [f"zen {i}" for i in range(400)] + ["acme", "Acme 3", "zz"]
+    got = resolve.resolve_entities(spark.createDataFrame([(n,) for n in names], "name string"),
+                                   spark.createDataFrame([(t,) for t in targets], "target string"), ("exact", "containment"))
+    assert rows(got) == sorted(filter(None, (_reference_entity(n, targets) for n in names)))
+    plan = resolve._containment(spark.createDataFrame([(n, n.lower()) for n in names], "name string, low string"),
+                                spark.createDataFrame([(t, t.lower()) for t in targets], "target string, tlow string"))
+    assert plan.count() == 402
+
+
 def _words_like(rng, letters, lengths, n):
     made = ["".join(rng.choice(letters) for _ in range(rng.choice(lengths))) for _ in range(n)]
     for word in made[:n // 3]:  # and some with a few changes
