@@ -165,6 +165,6 @@ def test_any_number_of_headers_takes_one_scan_of_the_rows(spark, tmp_path):
     assert df.columns[:2] == ["code", "description"] and len(df.columns) == 32
     got = [{k: v for k, v in r.asDict().items() if v is not None} for r in df.collect()]
     assert sorted(got, key=lambda r: sorted(r.items())) == sorted(want, key=lambda r: sorted(r.items()))
-    plan = df._jdf.queryExecution().executedPlan().toString()
+    plan = df._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("FileScan csv") == 1
     assert readers.read_items(spark, str(tmp_path), "csv", ["description", "nowhere"]).columns == ["description", "nowhere"]
