@@ -120,10 +120,11 @@ def filter_stats(docs: DataFrame, kept: DataFrame) -> DataFrame:
         "removed_pct", (F.col("before") - F.col("after")) / F.col("before") * 100)
 
 
-def run_history(runs: DataFrame, k: int = 5, name_chars: int = 30) -> DataFrame:
-    """The k latest runs, newest first, with the duration in whole minutes and the start of the file name, for display."""
+def run_history(runs: DataFrame, k: int = 5, name_chars: int | None = None) -> DataFrame:
+    """The k latest runs, newest first, with the duration in whole minutes; `name_chars` shortens file names for display."""
+    file = F.col("file") if name_chars is None else F.substring("file", 1, name_chars)
     return (runs.orderBy(F.desc("run")).limit(k)
-            .select("run", "time", F.substring("file", 1, name_chars).alias("file"), F.coalesce(F.concat(F.floor(F.col("seconds") / 60), F.lit("m")), F.lit("-")).alias("duration"),
+            .select("run", "time", file.alias("file"), F.coalesce(F.concat(F.floor(F.col("seconds") / 60), F.lit("m")), F.lit("-")).alias("duration"),
                     "status"))
 
 

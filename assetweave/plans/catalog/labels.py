@@ -217,6 +217,11 @@ def top_candidates(spark, sf_dir):
     return learning.top_candidates(_rounded(spark, sf_dir), 10)
 
 
+@query(f"WITH {CANDIDATES} SELECT category, keyword, round(weight, 6) AS weight FROM c WHERE round(weight, 6) >= 5")
+def ready_candidates(spark, sf_dir):
+    return learning.ready_candidates(_rounded(spark, sf_dir))
+
+
 # --- curation -------------------------------------------------------------------------------
 
 STOCK = """SELECT doc_id, ' ' || CASE WHEN doc_id % 5 = 0 THEN 'Dup-' || source ELSE 'Doc-' ||

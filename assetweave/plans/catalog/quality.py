@@ -58,6 +58,20 @@ def clean_stats(spark, sf_dir):
     return cleaning.clean_stats(dirty(spark, sf_dir), "name", "source")
 
 
+# files of a cleaning run: those with rows, one of which reported an error, and some from which nothing was read
+LISTED = """SELECT source, CASE WHEN source = 'BUILDING' THEN 'damaged sheet' END AS error FROM (SELECT c_mktsegment AS source FROM customer
+ UNION SELECT n_name FROM nation) """
+
+
+@query(f"""{_WITH}, f AS ({LISTED}), s AS (SELECT source, count(*) AS rows_total, count(*) FILTER (WHERE bare <> cleaned) AS rows_cleaned FROM c GROUP BY source)
+ SELECT source, coalesce(rows_total, 0) AS rows_total, coalesce(rows_cleaned, 0) AS rows_cleaned, CASE WHEN error IS NOT NULL OR rows_total IS NULL
+ THEN 'failed' WHEN rows_cleaned > 0 THEN 'cleaned' ELSE 'unchanged' END AS status, error FROM f LEFT JOIN s USING (source)""")
+def clean_status(spark, sf_dir):
+    """What became of every file of a cleaning run."""
+    stats = cleaning.clean_stats(dirty(spark, sf_dir), "name", "source")
+    return cleaning.clean_status(role(spark, sf_dir, LISTED, "customer", "nation"), stats, "source")
+
+
 COMPANY = """SELECT c_custkey AS row_id, CASE c_custkey % 6 WHEN 0 THEN 'The ' || c_name || ' Inc'
   WHEN 1 THEN c_name || ' Corporation' WHEN 2 THEN c_name || ' Company' WHEN 3 THEN c_name || ' Co'
   WHEN 4 THEN 'Usable Medical ' || c_mktsegment || ' Limited' ELSE c_name || ' Technologies GmbH' END AS name

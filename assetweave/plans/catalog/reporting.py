@@ -57,7 +57,7 @@ def run_log_facts(spark, sf_dir):
 @query(f"""WITH {FACTS} SELECT run, time, left(file, 30) AS file, CASE WHEN seconds IS NULL THEN '-' ELSE CAST(CAST(floor(seconds / 60) AS BIGINT) AS VARCHAR) || 'm' END AS duration, status
  FROM facts ORDER BY run DESC LIMIT 5""")
 def run_history(spark, sf_dir):
-    return reports.run_history(runs(spark, sf_dir), 5)
+    return reports.run_history(runs(spark, sf_dir), 5, 30)
 
 
 @query(r"""WITH f AS (SELECT 'sheet' || o_orderkey || CASE WHEN o_orderkey % 5 = 0 THEN '_labeled' ELSE '' END || '.xlsx' AS file_name, o_orderdate AS modified FROM orders)
