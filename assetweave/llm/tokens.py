@@ -9,8 +9,10 @@ import json
 
 import numpy as np
 
+from assetweave.llm.held import held
+
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHE = 300_000  # chunks kept per worker; the cache then starts anew
+CACHE = 200_000  # chunks kept per worker; the cache then starts anew
 
 
 def _byte_of() -> dict[str, int]:
@@ -73,11 +75,6 @@ class Encoder:
         return np.concatenate([head, self._flat[at]])
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """One encoder per worker process."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return held(("encoder", path), lambda: Encoder(path))

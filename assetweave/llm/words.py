@@ -6,7 +6,9 @@ A word is a chunk in lower case without anything but letters and digits; chunks
 import numpy as np
 import xxhash
 
-CACHE = 400_000
+from assetweave.llm.held import held
+
+CACHE = 300_000
 
 
 class Words:
@@ -38,8 +40,5 @@ def _hash(chunk: str) -> int:
     return xxhash.xxh64_intdigest(word) | 1 if word else 0
 
 
-_WORDS = Words()
-
-
 def word_hashes(text: str) -> np.ndarray:
-    return _WORDS.hashes(text)
+    return held("words", Words).hashes(text)
