@@ -10,13 +10,16 @@ scored once per worker process. Letters that no piece holds have the same small
 
 At most `per_language` labelled texts of each language are learned from (those with the smallest hash of id and text);
 everything is scored. Texts that are null or hold no letter are `und` with score 0; so is everything if no labelled text
-holds a letter. Equal scores go to the language first in order. The score is the language's share of the probability.
+holds a letter. Equal scores go to the language first in order. The score is the language's share of the probability. Rows
+that repeat get equal results; texts of any length are scored whole, in memory that is linear in the longest of a batch.
+An empty table gives an empty table. Of the columns only text, lang and doc_id are read, whatever others are called;
+`drop_rejected` carries all of them in one struct.
 """
 
-from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +29,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assetweave.llm.common import schema
+from assetweave.llm.held import held
 from assetweave.session import cut_lineage, task_count
 
 PER_LANGUAGE = 1000
 ROUNDS = 3
 UNKNOWN = 1e-7
-CACHE = 300_000
+CACHE = 200_000  # words, and chunks, that a worker keeps
+UNSCALED = 32  # letters of a word: probabilities of its pieces can't multiply to less than a double holds
 GROUP = 1_000_000  # characters whose new words are scored together
 LETTERS = regex.compile(r"\p{L}+")
 UNDETERMINED = "und"
@@ -45,36 +50,44 @@ class Pieces:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         told = (model.id_to_piece(i) for i in range(model.get_piece_size())
                 if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)))
-        held = sorted({p for p in told if p == p.lower() and all(c == "▁" or c.isalpha() for c in p) and "▁" not in p[1:]})
-        self.number = {p: i for i, p in enumerate(held)}
-        self.longest = max(map(len, held))
-        # also the beginnings of pieces, so that a search can end where no piece goes on
-        self._known = {p[:k]: -1 for p in held for k in range(1, len(p))} | self.number
+        kept = sorted({p for p in told if p == p.lower() and all(c == "▁" or c.isalpha() for c in p) and "▁" not in p[1:]})
+        self.number = {p: i for i, p in enumerate(kept)}
+        self.longest = max(map(len, kept))
+        # a trie as sorted numbers (node, letter) -> node, so that all words take a step together
+        nodes, steps, piece = {"": 0}, {}, [-1]
+        for p in kept:
+            for i in range(1, len(p) + 1):
+                if p[:i] not in nodes:
+                    nodes[p[:i]] = len(nodes)
+                    steps[nodes[p[:i - 1]] << 21 | ord(p[i - 1])] = nodes[p[:i]]
+                    piece.append(-1)
+            piece[nodes[p]] = self.number[p]
+        self._steps = np.array(sorted(steps), np.int64)
+        self._next = np.array([steps[x] for x in self._steps.tolist()], np.int64)
+        self._piece = np.array(piece, np.int32)
 
     def lattice(self, words: list[str]) -> np.ndarray:
         """Piece numbers [word, begin, length - 1] of words of one length; -1 where there is none, -2 for an unknown letter."""
         n, k = len(words[0]), min(self.longest, len(words[0]))
-        flat, get, base = array("i", [-1]) * (len(words) * n * k), self._known.get, 0
-        for word in words:
-            for i in range(n):
-                for j in range(1, min(k, n - i) + 1):
-                    found = get(word[i:i + j])
-                    if found is None:
-                        break
-                    flat[base + j - 1] = found
-                if flat[base] < 0:
-                    flat[base] = -2
-                base += k
-        return np.frombuffer(flat, np.int32).reshape(len(words), n, k)
-
-
-_PIECES: dict[str, Pieces] = {}
+        letters = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), n).astype(np.int64)
+        out = np.full((len(words), n, k), -1, np.int32)
+        for begin in range(n):
+            rows, node = np.arange(len(words)), np.zeros(len(words), np.int64)
+            for size in range(min(k, n - begin)):
+                step = node << 21 | letters[rows, begin + size]
+                at = np.minimum(np.searchsorted(self._steps, step), len(self._steps) - 1)
+                on = self._steps[at] == step
+                rows, node = rows[on], self._next[at[on]]
+                if not len(rows):
+                    break
+                out[rows, begin, size] = self._piece[node]
+            first = out[:, begin, 0]
+            first[first < 0] = -2
+        return out
 
 
 def pieces(path: str) -> Pieces:
-    if path not in _PIECES:
-        _PIECES[path] = Pieces(path)
-    return _PIECES[path]
+    return held(("pieces", path), lambda: Pieces(path))
 
 
 def forward(lattice: np.ndarray, probability: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,8 +103,8 @@ def forward(lattice: np.ndarray, probability: np.ndarray) -> tuple[np.ndarray, n
         for size in range(1, min(k, end) + 1):
             begin = end - size
             # what lies before `begin` is brought to the scale of the end
-            held = alpha[:, begin] * probability[lattice[:, begin, size - 1]]
-            alpha[:, end] += held * np.exp(scale[:, begin] - scale[:, end - 1])
+            ahead = alpha[:, begin] * probability[lattice[:, begin, size - 1]]
+            alpha[:, end] += ahead * np.exp(scale[:, begin] - scale[:, end - 1])
         total = alpha[:, end].copy()
         total[total == 0] = 1e-300
         alpha[:, end] /= total
@@ -99,6 +112,22 @@ def forward(lattice: np.ndarray, probability: np.ndarray) -> tuple[np.ndarray, n
     return alpha, scale
 
 
+def word_logs(lattice: np.ndarray, probability: np.ndarray) -> np.ndarray:
+    """Log-probabilities [word, language]: the forward pass without scales where no number can get too small for it."""
+    n, k = lattice.shape[1:]
+    if n > UNSCALED:
+        return forward(lattice, probability)[1][:, n]
+    alpha = np.zeros((n + 1, len(lattice), probability.shape[1]))
+    alpha[0] = 1
+    for begin in range(n):
+        for size in range(1, min(k, n - begin) + 1):
+            piece = lattice[:, begin, size - 1]
+            rows = np.flatnonzero(piece != -1)
+            if len(rows):
+                alpha[begin + size][rows] += alpha[begin][rows] * probability[piece[rows]]
+    return np.log(alpha[n])
+
+
 def expected_counts(lattice: np.ndarray, probability: np.ndarray) -> np.ndarray:
     """Posterior probability [word, begin, length - 1] of each piece under one language."""
     n, k = lattice.shape[1:]
@@ -136,10 +165,12 @@ def by_length(words: list[str]) -> dict[int, list[str]]:
 
 
 class Scorer:
-    """Log-probabilities of texts, with the scores of chunks kept per worker."""
+    """Log-probabilities of texts, with the scores of words kept per worker, and those of chunks, which are made of words."""
 
     def __init__(self, model: Model):
         self.model, self.pieces = model, pieces(model.vocabulary)
+        self._word: dict[str, int] = {}
+        self._logs = np.zeros((1024, len(model.languages)))
         self._clear()
 
     def _clear(self) -> None:
@@ -147,28 +178,38 @@ class Scorer:
         self._score = np.zeros((1024, len(self.model.languages)))
         self._letters = np.zeros(1024, bool)
 
-    def _words(self, words: list[str]) -> np.ndarray:
-        """Log-probabilities [word, language]."""
-        out, number = np.zeros((len(words), len(self.model.languages))), {w: i for i, w in enumerate(words)}
+    def _forget_words(self) -> None:
+        """The older half of the words goes."""
+        kept = list(self._word)[len(self._word) // 2:]
+        self._logs = np.concatenate([self._logs[[self._word[w] for w in kept]], np.zeros((1024, self._logs.shape[1]))])
+        self._word = dict(zip(kept, range(len(kept)), strict=True))
+
+    def _learn_words(self, words: list[str]) -> None:
+        first = len(self._word)
+        while first + len(words) > len(self._logs):
+            self._logs = np.concatenate([self._logs, np.zeros_like(self._logs)])
+        self._word.update(zip(words, range(first, first + len(words)), strict=True))
         for n, group in by_length(words).items():
             step = max(1, 200_000 // (n * min(n, self.pieces.longest)))
             for i in range(0, len(group), step):
                 part = group[i:i + step]
-                out[[number[w] for w in part]] = forward(self.pieces.lattice(part), self.model.probability)[1][:, n]
-        return out
+                self._logs[[self._word[w] for w in part]] = word_logs(self.pieces.lattice(part), self.model.probability)
 
     def _add(self, chunks: list[str]) -> None:
         runs = [["▁" + r for r in LETTERS.findall(c)] for c in chunks]
-        words = sorted({r for x in runs for r in x})
-        number = {w: i for i, w in enumerate(words)}
+        if len(self._word) > CACHE:
+            self._forget_words()
+        new = sorted({r for x in runs for r in x}.difference(self._word))
+        if new:
+            self._learn_words(new)
         first = len(self._code)
         while first + len(chunks) > len(self._score):
             self._score, self._letters = (np.concatenate([a, np.zeros_like(a)]) for a in (self._score, self._letters))
         self._score[first:first + len(chunks)] = 0
         self._letters[first:first + len(chunks)] = [bool(x) for x in runs]
         owner = np.repeat(np.arange(first, first + len(chunks)), [len(x) for x in runs])
-        if words:
-            np.add.at(self._score, owner, self._words(words)[[number[r] for x in runs for r in x]])
+        if len(owner):
+            np.add.at(self._score, owner, self._logs[[self._word[r] for x in runs for r in x]])
         self._code.update(zip(chunks, range(first, first + len(chunks)), strict=True))
 
     def learn_chunks(self, texts: list[str | None]) -> None:
@@ -210,8 +251,8 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _expect(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, where = pieces(model.vocabulary), {x: i for i, x in enumerate(model.languages)}
-        total = np.zeros((len(where), len(held.number)))
+        known, where = pieces(model.vocabulary), {x: i for i, x in enumerate(model.languages)}
+        total = np.zeros((len(where), len(known.number)))
         for batch in batches:
             counts: dict[str, dict[str, int]] = {}
             for lang, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -219,10 +260,10 @@ def _expect(model: Model):
             for lang, words in counts.items():
                 column = model.probability[:, where[lang]]
                 for n, group in by_length(list(words)).items():
-                    step = max(1, 200_000 // (n * min(n, held.longest)))
+                    step = max(1, 200_000 // (n * min(n, known.longest)))
                     for i in range(0, len(group), step):
                         part = group[i:i + step]
-                        lattice = held.lattice(part)
+                        lattice = known.lattice(part)
                         share = expected_counts(lattice, column) * np.array([words[w] for w in part])[:, None, None]
                         real = lattice >= 0
                         total[where[lang]] += np.bincount(lattice[real], share[real], total.shape[1])
@@ -266,18 +307,12 @@ def _with_rows(languages: tuple[str, ...], probability: np.ndarray, vocabulary:
     return Model(languages, np.vstack([probability, np.full((1, n), UNKNOWN), np.zeros((1, n))]), vocabulary)
 
 
-_SCORERS: dict[bytes, Scorer] = {}
-
-
 def _predict(model: Model, kept: bool):
     """`kept`: the rows are one struct column; otherwise the text is the last column and the others go on."""
-    mark = model.probability.tobytes()[:4096] + repr(model.languages).encode()
+    mark = blake2b(model.probability.tobytes() + repr((model.languages, model.vocabulary)).encode()).digest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if mark not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[mark] = Scorer(model)
-        scorer = _SCORERS[mark]
+        scorer = held(("scorer", mark), lambda: Scorer(model))
         for batch in batches:
             names, shares = [], []
             texts = batch.column(0).field("text") if kept else batch.column(batch.num_columns - 1)

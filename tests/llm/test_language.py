@@ -114,3 +114,36 @@ def test_long_runs_are_learned(documents):
     at = model.languages.index("de")
     real = model.probability[:len(held), at]
     assert real.max() > 100 * np.median(real)
+
+
+def test_words_without_scales_equal_the_forward_pass():
+    pieces = d.pieces(PATH)
+    made = np.random.default_rng(3)
+    full = np.concatenate([made.random((len(pieces.number), 3)) * 1e-7 + 1e-9, [[d.UNKNOWN] * 3, [0.0] * 3]])
+    for n in (1, 5, d.UNSCALED, d.UNSCALED + 1):
+        words = ["".join(made.choice(list("▁aeinrst日ß"), n)) for _ in range(20)]
+        lattice = pieces.lattice(words)
+        assert np.allclose(d.word_logs(lattice, full), d.forward(lattice, full)[1][:, n], rtol=1e-9)
+
+
+def test_forgotten_words_and_chunks_change_no_score(monkeypatch):
+    made = random.Random(4)
+    pieces = d.pieces(PATH)
+    model = d._with_rows(("a", "b"), np.random.default_rng(2).random((len(pieces.number), 2)) * 0.01, PATH)
+    some = [" ".join("".join(made.choice("abcdef.") for _ in range(made.randrange(1, 6))) for _ in range(40)) for _ in range(60)]
+    want = np.array(list(d.Scorer(model).scores(some)))
+    monkeypatch.setattr(d, "CACHE", 50)
+    monkeypatch.setattr(d, "GROUP", 100)
+    scorer = d.Scorer(model)
+    assert np.allclose(np.array(list(scorer.scores(some))), want)
+    assert len(scorer._word) < 400
+
+
+def test_a_worker_keeps_one_thing_at_a_time():
+    from assetweave.llm import held, tokens, words
+    words.word_hashes("some words")
+    assert held._KEPT[0] == "words"
+    first = tokens.encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert tokens.encoder(public_tokenizers.path("byte_bpe_50k.json")) is first
+    d.pieces(PATH)
+    assert held._KEPT[0] == ("pieces", PATH)
