@@ -8,7 +8,8 @@ equal the window.
 
 Words are runs of ASCII digits and letters and of all characters beyond ASCII, with A-Z in lower case. Null texts have
 no words. An item with a null id marks words but is not counted or listed. Rows with equal id and text are separate
-rows with equal results; benchmark rows that repeat count once per item id.
+rows with equal results; benchmark rows that repeat count once per item id. Shingles that are equally rare go by their place.
+Texts of any length are searched whole. An empty benchmark hits nothing, an empty table gives an empty table.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -134,8 +135,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW_WORD
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW_WORDS) -> DataFrame:
-    """The documents without any window of the benchmark, with their columns."""
-    bad = decontaminate(docs, benchmark, size).filter("contaminated").select(
+    """The documents without any window of the benchmark, with their columns, whatever these are called."""
+    bad = decontaminate(docs.select("doc_id", "text"), benchmark.select("item_id", "text"), size).filter("contaminated").select(
         F.col(KEY[0]).alias("_bad_a"), F.col(KEY[1]).alias("_bad_b")).distinct()
-    a, b = row_key()
-    return docs.join(bad, (a == F.col("_bad_a")) & (b == F.col("_bad_b")), "left_anti")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *row_key())
+    return rows.join(bad, (F.col(KEY[0]) == F.col("_bad_a")) & (F.col(KEY[1]) == F.col("_bad_b")), "left_anti").select("_row.*")

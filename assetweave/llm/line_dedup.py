@@ -6,7 +6,8 @@ window under a 128-bit hash. Windows that occur more than once are found by one
 that lie in the first occurrence itself, which may overlap it. Covered lines are removed, all others stay as they are.
 
 Texts with fewer than three lines hold no window. Null texts stay null. Rows with equal id and text are one document: they
-don't repeat each other and get equal results.
+don't repeat each other and get equal results. Lines and texts of any length count whole; a text's lines are held together.
+An empty table gives an empty table. Of the columns only doc_id and text are read; others go along, whatever they are called.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -57,20 +58,31 @@ def covered(docs: DataFrame) -> DataFrame:
     return spans.groupBy(*KEY).agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("begin", "end")))).alias("gone"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """All columns of `docs`, the text without repeated passages, and _lines and _removed as counts of filled lines."""
-    gone = covered(docs).select(F.col(KEY[0]).alias("_ga"), F.col(KEY[1]).alias("_gb"), F.col("gone").alias("_gone"))
-    a, b = row_key()
-    held = docs.join(gone, (a == F.col("_ga")) & (b == F.col("_gb")), "left").drop("_ga", "_gb")
-    lines, numbers = _lines(F.col("text")), _filled(_lines(F.col("text")))
+def _cleaned(docs: DataFrame) -> DataFrame:
+    """_row (all columns of `docs` as one, whatever they are called), _new (the text that is left), _removed, _lines."""
+    gone = covered(docs.select("doc_id", "text")).select(F.col(KEY[0]).alias("_ga"), F.col(KEY[1]).alias("_gb"), F.col("gone").alias("_gone"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *row_key())
+    held = rows.join(gone, (F.col(KEY[0]) == F.col("_ga")) & (F.col(KEY[1]) == F.col("_gb")), "left")
+    before = F.col("_row.text")
+    lines, numbers = _lines(before), _filled(_lines(before))
     places = F.transform("_gone", lambda g: F.get(numbers, g))
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), places)
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
-    out = held.withColumns({"_new": text, "_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"),
-                            "_lines": F.coalesce(F.size(numbers), F.lit(0)).cast("long")})
-    return out.select(*[F.col("_new").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], "_lines", "_removed")
+    text = F.when(F.col("_gone").isNull(), before).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
+    return held.select("_row", text.alias("_new"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("_removed"),
+                       F.coalesce(F.size(numbers), F.lit(0)).cast("long").alias("_lines"))
+
+
+def _columns(docs: DataFrame) -> list[Column]:
+    return [F.col("_new").alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns]
+
+
+def dedup_lines(docs: DataFrame) -> DataFrame:
+    """All columns of `docs`, the text without repeated passages, and _lines and _removed as counts of filled lines, in
+    place of columns of these names."""
+    told = [F.col(c) for c in ("_lines", "_removed")]
+    return _cleaned(docs).select(*_columns(docs.drop("_lines", "_removed")), *told)
 
 
 def drop_repeated(docs: DataFrame) -> DataFrame:
     """The documents with their columns and without repeated passages; a document that loses all of its lines goes."""
-    return dedup_lines(docs).filter((F.col("_removed") == 0) | (F.col("_removed") < F.col("_lines"))).drop("_lines", "_removed")
+    return _cleaned(docs).filter((F.col("_removed") == 0) | (F.col("_removed") < F.col("_lines"))).select(*_columns(docs))

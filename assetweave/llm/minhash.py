@@ -13,7 +13,8 @@ link is kept. So no link between different components is left out, and no group'
 the weighted Jaccard similarity of whole texts.
 
 Texts without words (null and empty ones too) link with nothing. Rows with equal text are one node; its document is the
-smallest doc_id, nulls last. A class is named by its smallest doc_id.
+smallest doc_id, nulls last. A class is named by its smallest doc_id. Texts of any length take part whole; what a task holds
+follows from the longest ones of a block. An empty table gives an empty table. Only doc_id and text are read.
 """
 
 from collections.abc import Iterator
@@ -289,12 +290,21 @@ def _open_links(members: DataFrame, first: DataFrame, texts: DataFrame, idf: np.
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """One document of each class, with its columns."""
-    found = near_duplicates(docs, similarity).filter("kept").select(
-        F.col("doc_id").alias("_id"), *[F.col(c).alias(f"_{c}") for c in TEXT]).distinct()
-    a, b = _text_key()
-    kept = docs.withColumns({TEXT[0]: a, TEXT[1]: b})
-    kept = kept.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col(TEXT[0]) == F.col("_" + TEXT[0]))
-                     & (F.col(TEXT[1]) == F.col("_" + TEXT[1])), "left_semi")
-    repeated = docs.groupBy("doc_id", *_text_key()).count().filter("count > 1").isEmpty()
-    return (kept if repeated else kept.dropDuplicates(["doc_id", *TEXT])).drop(*TEXT)
+    """One document of each class, with its columns, whatever these are called; of rows with equal id and text one stays."""
+    plain = docs.select("doc_id", "text")
+    found = near_duplicates(plain, similarity).filter("kept").select("doc_id", *TEXT).distinct()
+    rows = docs.select("doc_id", *_text_key(), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    same = ["doc_id", *TEXT]
+
+    def meet(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+        other = right.select(*[F.col(c).alias(f"_{c}") for c in same])
+        on = F.lit(True)
+        for c in same:
+            on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
+        return left.join(other, on, how)
+    kept = meet(rows, found, "left_semi")
+    # only rows that do repeat are brought together
+    repeats = cut_lineage(plain.groupBy("doc_id", *_text_key()).count().filter("count > 1"), "repeats")
+    if not repeats.isEmpty():
+        kept = meet(kept, repeats, "left_anti").unionByName(meet(kept, repeats, "left_semi").dropDuplicates(same))
+    return kept.select("_row.*")
