@@ -25,13 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assetweave.llm.common import connected, schema, sorted_groups
-from assetweave.llm.words import word_hashes
+from assetweave.llm.words import text_hashes, word_hashes
 from assetweave.session import cut_lineage
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 10, 3
 FEATURES = 1 << 18
 DAMPING = 0.25
+STEP = 512  # shingles that are sampled at once
 BLOCK = 500  # texts on each side of a group that is compared at once
 TEXT = ["_text_a", "_text_b"]
 
@@ -56,7 +57,10 @@ def _gamma_quantiles() -> np.ndarray:
 
 def shingles(text: str, idf: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes in order, and their weights."""
-    words = word_hashes(text)
+    return shingles_of(word_hashes(text), idf, size)
+
+
+def shingles_of(words: np.ndarray, idf: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     if not len(words):
         return words, np.zeros(0)
     size = min(size, len(words))
@@ -94,16 +98,21 @@ class Sampler:
         self.r = _gamma_quantiles()
         self.log_c = np.log(self.r).astype(np.float32)
         self.r = self.r.astype(np.float32)
+        self.steps = ((np.arange(1 << 16) + 0.5) / (1 << 16)).astype(np.float32)
 
     def band_keys(self, mark: np.ndarray, weight: np.ndarray) -> np.ndarray:
         log_w = np.log(weight).astype(np.float32)
         best, at, level = None, None, None
-        for begin in range(0, len(mark), 4096):  # bounds memory; every shingle takes part
-            z = _mix(mark[None, begin:begin + 4096] ^ self.seeds)
-            r = self.r[(z & np.uint64(0xFFFF)).astype(np.int32)]
-            beta = (z >> np.uint64(40)).astype(np.float32) * np.float32(2.0 ** -24)
-            t = np.floor(log_w[None, begin:begin + 4096] / r + beta)
-            a = self.log_c[((z >> np.uint64(16)) & np.uint64(0xFFFF)).astype(np.int32)] - r * (t - beta) - r
+        for begin in range(0, len(mark), STEP):  # stays in the cache; every shingle takes part
+            z = (mark[None, begin:begin + STEP] ^ self.seeds) * np.uint64(0x9E3779B97F4A7C15)
+            z ^= z >> np.uint64(32)
+            z *= np.uint64(0xD1B54A32D192ED03)
+            # three independent numbers of 16 bits: for r, for beta and for c
+            parts = z.view(np.uint16).reshape(*z.shape, 4)
+            r = self.r[parts[..., 3]]
+            beta = self.steps[parts[..., 1]]
+            t = np.floor(log_w[None, begin:begin + STEP] / r + beta)
+            a = self.log_c[parts[..., 2]] - r * (t - beta + np.float32(1))
             low = a.argmin(axis=1)
             rows = np.arange(len(low))
             here, mine, lift = a[rows, low], mark[begin + low], t[rows, low]
@@ -123,10 +132,8 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents per hashed word, of one task."""
     counts = np.zeros(FEATURES, np.int64)
     for batch in batches:
-        for text in batch.column(0):
-            if text.is_valid:
-                held = (word_hashes(text.as_py()) >> np.uint64(20)) & np.uint64(FEATURES - 1)
-                counts[np.unique(held).astype(np.int64)] += 1
+        for words in text_hashes(batch.column(0)):
+            counts[np.unique((words >> np.uint64(20)) & np.uint64(FEATURES - 1)).astype(np.int64)] += 1
     held = np.flatnonzero(counts)
     yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array(counts[held], pa.int64())], ["feature", "n"])
 
@@ -145,8 +152,8 @@ def _sign(idf: np.ndarray, size: int, bands: int, rows: int):
         sampler = Sampler(bands, rows)
         for batch in batches:
             at, keys, total = [], [], []
-            for i, text in enumerate(batch.column(3)):
-                mark, weight = shingles(text.as_py() or "", idf, size)
+            for i, words in enumerate(text_hashes(batch.column(3))):
+                mark, weight = shingles_of(words, idf, size)
                 if len(mark):
                     at.append(i)
                     keys.append(sampler.band_keys(mark, weight))
@@ -164,10 +171,10 @@ def _verify(idf: np.ndarray, size: int, similarity: float):
         last, kept = None, None
         for batch in batches:
             u, v = [], []
-            for a, b, x, y in zip(*(batch.column(k) for k in range(4)), strict=True):
+            for a, b, x, y in zip(*(batch.column(k) for k in range(3)), text_hashes(batch.column(3)), strict=True):
                 if a.as_py() != last:
                     last, kept = a.as_py(), shingles(x.as_py(), idf, size)
-                if weighted_jaccard(kept, shingles(y.as_py(), idf, size)) >= similarity:
+                if weighted_jaccard(kept, shingles_of(y, idf, size)) >= similarity:
                     u.append(last), v.append(b.as_py())
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
     return run
@@ -181,7 +188,7 @@ def _cross(idf: np.ndarray, size: int, similarity: float):
             rows = np.flatnonzero(opened == 1)
             others = np.flatnonzero(member == 1)
             if len(rows) and len(others):
-                u, v = _cross_links(rows, others, component, [shingles(x.as_py(), idf, size) for x in t["text"]], similarity)
+                u, v = _cross_links(rows, others, component, [shingles_of(x, idf, size) for x in text_hashes(t["text"].combine_chunks())], similarity)
                 yield pa.RecordBatch.from_arrays([pa.array(node[u], pa.int64()), pa.array(node[v], pa.int64())], ["u", "v"])
     return run
 
