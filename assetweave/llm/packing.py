@@ -9,7 +9,8 @@
 5. The last open sequence of a partition is cut into lengths that are powers of two, which need no padding.
 
 Null texts are empty and give the single id 0. Rows that repeat are packed as often as they come. Ids are stored in 16
-bits between the steps; the vocabulary must have at most 65,536 ids.
+bits between the steps; the vocabulary must have at most 65,536 ids. Equal scores go to the tail that comes first. An empty table
+gives an empty table; only doc_id and text are read, whatever other columns are called.
 """
 
 from collections.abc import Iterator
@@ -39,7 +40,7 @@ def _cut(path: str, length: int):
     """Rows of text to rows of pieces."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
-        encode, mixed = encoder(path).encode, _permutations()
+        encode, mixed = encoder(path).encode_all, _permutations()
         number = TaskContext.get().partitionId() << 34
         for batch in batches:
             at, total, start, size, ids, sequence, keys = ([] for _ in range(7))
@@ -51,8 +52,8 @@ def _cut(path: str, length: int):
                      pa.array(size, pa.int64()), pa.array(ids, pa.binary()), pa.array(sequence, pa.int64()),
                      *[pa.array([k[i] for k in keys], pa.int32()) for i in range(3)]],
                     ["doc_id", "doc_tokens", "start", "length", "ids", "sequence_id", "k0", "k1", "k2"])
-            for i, text in enumerate(batch.column(1)):
-                found = np.append(encode(text.as_py() or ""), np.uint16(0))
+            for i, found in enumerate(encode(batch.column(1))):
+                found = np.append(found, np.uint16(0))
                 for begin in range(0, len(found), length):
                     piece = found[begin:begin + length]
                     full = len(piece) == length
@@ -139,15 +140,17 @@ def _pack(idf: np.ndarray, mean: float, length: int, block: int):
             return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)],
                                               ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
         items: list[tuple] = []
+        held = 0  # ids; fewer than a sequence fill none, however many texts they are
         for batch in batches:
             doc_type = batch.schema.field(0).type
             for doc, total, start, ids in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 items.append((doc, total, start, np.frombuffer(ids, np.uint16)))
-                if len(items) >= block:
+                held += len(items[-1][3])
+                if len(items) >= block and held >= length:
                     full, items = _fill(items, idf, mean, length)
-                    if full:
-                        yield emit(full)
-        while sum(len(x[3]) for x in items) >= length:
+                    held = sum(len(x[3]) for x in items)
+                    yield emit(full)
+        if held >= length:
             full, items = _fill(items, idf, mean, length)
             yield emit(full)
         if items:

@@ -1,18 +1,22 @@
-"""Token ids of the public byte-level BPE, and word codes, both behind a bounded cache of space-separated chunks.
+"""Token ids of the public byte-level BPE, encoded once per distinct space-separated chunk.
 
-Texts repeat their words, so a chunk is encoded once per worker process and texts are put together from arrays. The
+Texts repeat their words, so a chunk's ids are kept in a bounded table per worker and texts are put together from arrays. The
 merges run in the rank engine of tiktoken over the vocabulary of the tokenizer file; the ids are those that `tokenizers`
 gives for the same file, which the tests compare.
 """
 
 import json
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 
 from assetweave.llm.held import held
+from assetweave.llm.words import coded, slices
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHE = 200_000  # chunks kept per worker; the cache then starts anew
+CACHE = 400_000  # chunks kept per worker; the cache then starts anew
 
 
 def _byte_of() -> dict[str, int]:
@@ -43,7 +47,7 @@ class Encoder:
         """New chunks, each behind a space."""
         ids = [self._whole(" " + c) for c in chunks]
         first, sizes = len(self._code), np.fromiter(map(len, ids), np.int32, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.uint16, int(sizes.sum()))
+        flat = np.fromiter(chain.from_iterable(ids), np.uint16, int(sizes.sum()))
         while first + len(ids) > len(self._size):
             self._size, self._begin = (np.concatenate([a, np.zeros_like(a)]) for a in (self._size, self._begin))
         while self._used + len(flat) > len(self._flat):
@@ -54,25 +58,33 @@ class Encoder:
         self._used += len(flat)
         self._code.update(zip(chunks, range(first, first + len(ids)), strict=True))
 
+    def encode_all(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Ids of each text. Between two chunks the pattern always cuts, unless white space follows the space; such texts go whole."""
+        for begin, end in slices(texts):
+            part = texts.slice(begin, end - begin)
+            chunks, codes, offsets = coded(part, blank=True)
+            if len(self._code) > CACHE:
+                self._clear()
+            new = [c for c in chunks if c not in self._code and c and not c[0].isspace()]
+            if new:
+                self._add(new)
+            known = np.fromiter((self._code.get(c, -1) for c in chunks), np.int32, len(chunks))[codes]
+            for i, (a, b) in enumerate(zip(offsets, offsets[1:], strict=False)):
+                rest = known[a + 1:b]
+                if (rest < 0).any():
+                    yield np.array(self._whole(part[i].as_py()), np.uint16)
+                    continue
+                head = np.array(self._whole(chunks[codes[a]]), np.uint16)
+                if not len(rest):
+                    yield head
+                    continue
+                sizes = self._size[rest].astype(np.int64)
+                ends = np.cumsum(sizes)
+                at = np.repeat(self._begin[rest] - (ends - sizes), sizes) + np.arange(ends[-1])
+                yield np.concatenate([head, self._flat[at]])
+
     def encode(self, text: str) -> np.ndarray:
-        """Between two chunks the pattern always cuts, unless white space follows the space; such texts go whole."""
-        chunks = text.split(" ")
-        rest = chunks[1:]
-        if len(self._code) > CACHE:
-            self._clear()
-        new = set(rest).difference(self._code)
-        if any(not c or c[0].isspace() for c in new):
-            return np.array(self._whole(text), np.uint16)
-        if new:
-            self._add(sorted(new))
-        head = np.array(self._whole(chunks[0]), np.uint16)
-        if not rest:
-            return head
-        codes = np.fromiter(map(self._code.__getitem__, rest), np.int32, len(rest))
-        sizes = self._size[codes].astype(np.int64)
-        ends = np.cumsum(sizes)
-        at = np.repeat(self._begin[codes] - (ends - sizes), sizes) + np.arange(ends[-1])
-        return np.concatenate([head, self._flat[at]])
+        return next(self.encode_all(pa.array([text], pa.string())))
 
 
 def encoder(path: str) -> Encoder:
