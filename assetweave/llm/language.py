@@ -30,14 +30,14 @@ from pyspark.sql import types as T
 
 from assetweave.llm.common import schema
 from assetweave.llm.held import held
+from assetweave.llm.words import coded, slices
 from assetweave.session import cut_lineage, task_count
 
 PER_LANGUAGE = 1000
 ROUNDS = 3
 UNKNOWN = 1e-7
-CACHE = 200_000  # words, and chunks, that a worker keeps
+CACHE = 300_000  # words that a worker keeps
 UNSCALED = 32  # letters of a word: probabilities of its pieces can't multiply to less than a double holds
-GROUP = 1_000_000  # characters whose new words are scored together
 LETTERS = regex.compile(r"\p{L}+")
 UNDETERMINED = "und"
 
@@ -165,18 +165,12 @@ def by_length(words: list[str]) -> dict[int, list[str]]:
 
 
 class Scorer:
-    """Log-probabilities of texts, with the scores of words kept per worker, and those of chunks, which are made of words."""
+    """Log-probabilities of texts, with the scores of words kept per worker."""
 
     def __init__(self, model: Model):
         self.model, self.pieces = model, pieces(model.vocabulary)
         self._word: dict[str, int] = {}
         self._logs = np.zeros((1024, len(model.languages)))
-        self._clear()
-
-    def _clear(self) -> None:
-        self._code: dict[str, int] = {}
-        self._score = np.zeros((1024, len(self.model.languages)))
-        self._letters = np.zeros(1024, bool)
 
     def _forget_words(self) -> None:
         """The older half of the words goes."""
@@ -195,48 +189,26 @@ class Scorer:
                 part = group[i:i + step]
                 self._logs[[self._word[w] for w in part]] = word_logs(self.pieces.lattice(part), self.model.probability)
 
-    def _add(self, chunks: list[str]) -> None:
-        runs = [["▁" + r for r in LETTERS.findall(c)] for c in chunks]
+    def _chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Log-probabilities of chunks, and which of them hold letters."""
+        runs = [["▁" + r for r in LETTERS.findall(c.lower())] for c in chunks]
         if len(self._word) > CACHE:
             self._forget_words()
         new = sorted({r for x in runs for r in x}.difference(self._word))
         if new:
             self._learn_words(new)
-        first = len(self._code)
-        while first + len(chunks) > len(self._score):
-            self._score, self._letters = (np.concatenate([a, np.zeros_like(a)]) for a in (self._score, self._letters))
-        self._score[first:first + len(chunks)] = 0
-        self._letters[first:first + len(chunks)] = [bool(x) for x in runs]
-        owner = np.repeat(np.arange(first, first + len(chunks)), [len(x) for x in runs])
-        if len(owner):
-            np.add.at(self._score, owner, self._logs[[self._word[r] for x in runs for r in x]])
-        self._code.update(zip(chunks, range(first, first + len(chunks)), strict=True))
-
-    def learn_chunks(self, texts: list[str | None]) -> None:
-        """Scores the chunks of some texts that aren't known yet, together."""
-        if len(self._code) > CACHE:
-            self._clear()
-        new = {c for t in texts for c in (t or "").lower().split()}.difference(self._code)
-        if new:
-            self._add(sorted(new))
-
-    def score(self, text: str | None) -> np.ndarray | None:
-        """Log-probability per language, None without letters. The text's chunks must be known."""
-        chunks = (text or "").lower().split()
-        codes = np.fromiter(map(self._code.__getitem__, chunks), np.int32, len(chunks))
-        return self._score[codes].sum(axis=0) if self._letters[codes].any() else None
-
-    def scores(self, texts: list[str | None]) -> Iterator[np.ndarray | None]:
-        """One after the other, learned in groups of bounded size."""
-        begin = 0
-        while begin < len(texts):
-            end, size = begin, 0
-            while end < len(texts) and size < GROUP:
-                size += len(texts[end] or "")
-                end += 1
-            self.learn_chunks(texts[begin:end])
-            yield from map(self.score, texts[begin:end])
-            begin = end
+        out, sizes = np.zeros((len(chunks), self._logs.shape[1])), np.fromiter(map(len, runs), np.int64, len(runs))
+        if sizes.any():
+            np.add.at(out, np.repeat(np.arange(len(chunks)), sizes), self._logs[[self._word[r] for x in runs for r in x]])
+        return out, sizes > 0
+
+    def scores(self, texts: pa.Array) -> Iterator[np.ndarray | None]:
+        """Log-probability per language of each text, None without letters."""
+        for begin, end in slices(texts):
+            chunks, codes, offsets = coded(texts.slice(begin, end - begin))
+            logs, letters = self._chunks(chunks)
+            for a, b in zip(offsets, offsets[1:], strict=False):
+                yield logs[codes[a:b]].sum(axis=0) if letters[codes[a:b]].any() else None
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,7 +289,6 @@ def _predict(model: Model, kept: bool):
             names, shares = [], []
             texts = batch.column(0).field("text") if kept else batch.column(batch.num_columns - 1)
             carried = batch.columns[:1] if kept else batch.columns[:-1]
-            texts = texts.to_pylist()
             for logs in scorer.scores(texts) if model.languages else [None] * len(texts):
                 if logs is None:
                     names.append(UNDETERMINED), shares.append(0.0)

@@ -11,7 +11,8 @@ their features are written once, every round looks at all of them, and the views
 rate differs between the classes by more than `least_z` standard errors.
 
 A null text is an empty one; null metadata are values of their own. Labels that are null, or of documents that don't exist,
-are not used; a document with several label rows counts with each. Without both classes among the labels every score is the share
+are not used; a document with several label rows counts with each, and all of them teach or all calibrate. Documents that
+repeat count as often as they come; an empty table gives an empty table, and other columns play no part. Without both classes among the labels every score is the share
 of good labels, or one half.
 """
 
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assetweave.llm.common import schema
+from assetweave.llm.words import coded, slices
 from assetweave.session import cut_lineage
 
 LABELLED, ROUNDS = 12_000, 3
@@ -35,47 +37,39 @@ SURE = 0.97
 TAUGHT = 0.5  # weight of a document that the other view has labelled
 RIDGE = 0.2, 4.0  # of the text and of the metadata view
 STYLE = 8
-CACHE = 300_000
 
 
-class Chunks:
-    """Hashed word and style of each space-separated chunk, kept per worker process."""
-
-    def __init__(self):
-        self._clear()
-
-    def _clear(self) -> None:
-        self._code: dict[str, int] = {}
-        self._word, self._style = np.zeros(1024, np.int32), np.zeros((1024, STYLE - 2), np.float32)
-
-    def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct hashed words, and the style of the text."""
-        chunks = text.split()
-        if len(self._code) > CACHE:
-            self._clear()
-        codes = list(map(self._code.get, chunks))
-        new = sorted({c for c, known in zip(chunks, codes, strict=True) if known is None}) if None in codes else []
-        first = len(self._code)
-        while first + len(new) > len(self._word):
-            self._word, self._style = (np.concatenate([a, np.zeros_like(a)]) for a in (self._word, self._style))
-        for i, c in enumerate(new, first):
-            self._word[i], self._style[i] = _look(c)
-        self._code.update(zip(new, range(first, first + len(new)), strict=True))
-        codes = np.array([self._code[c] for c in chunks] if new else codes, np.int32)
-        words = np.unique(self._word[codes])
-        share = self._style[codes].mean(axis=0) if len(codes) else np.zeros(STYLE - 2, np.float32)
-        return words[words >= 0], np.append(share, [len(words) / max(1, len(codes)), np.log1p(len(codes)) / 10]).astype(np.float32)
-
-
-def _look(chunk: str) -> tuple[int, list[float]]:
-    word = "".join(c for c in chunk if c.isalnum())
-    mark = xxhash.xxh64_intdigest(word.lower()) % FEATURES if word else -1
-    letters = sum(c.isalpha() for c in chunk)
-    return mark, [float(len(word) > 1 and word.isupper()), float(not word), float(len(chunk) - len(word) > 1),
-                  float(any(c.isdigit() for c in chunk)), min(letters, 20) / 10, float(len(chunk) - len(word)) / max(1, len(chunk))]
-
-
-_CHUNKS = Chunks()
+def _look(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed word (-1 without) and style of each chunk."""
+    n = len(chunks)
+    words = [c if c.isalnum() else "".join(filter(str.isalnum, c)) for c in chunks]
+    marks = np.fromiter((xxhash.xxh64_intdigest(w.lower()) % FEATURES if w else -1 for w in words), np.int32, n)
+    points = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32)
+    sizes = np.fromiter(map(len, chunks), np.int64, n)
+    # what a character is, once per distinct one
+    seen, at = np.unique(points, return_inverse=True)
+    kinds = np.array([[c.isalnum(), c.isalpha(), c.isdigit(), c.isupper(), c.islower() or c.istitle() and not c.isupper()]
+                      for c in map(chr, seen.tolist())], np.float32).reshape(-1, 5)
+    total = np.concatenate([np.zeros((1, 5)), np.cumsum(kinds[at], axis=0, dtype=np.float64)])
+    ends = np.cumsum(sizes)
+    word, letters, digits, upper, lower = (total[ends] - total[ends - sizes]).T
+    rest = sizes - word
+    style = np.column_stack([(word > 1) & (upper > 0) & (lower == 0), word == 0, rest > 1, digits > 0, np.minimum(letters, 20) / 10,
+                             rest / np.maximum(1, sizes)]).astype(np.float32)
+    return marks, style
+
+
+def text_features(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Distinct hashed words and style of each text."""
+    for begin, end in slices(texts):
+        chunks, codes, offsets = coded(texts.slice(begin, end - begin))
+        marks, looks = _look(chunks)
+        filled = np.array([bool(c) for c in chunks], bool)
+        for a, b in zip(offsets, offsets[1:], strict=False):
+            held = codes[a:b][filled[codes[a:b]]]
+            words = np.unique(marks[held])
+            share = looks[held].mean(axis=0) if len(held) else np.zeros(STYLE - 2, np.float32)
+            yield words[words >= 0], np.append(share, [len(words) / max(1, len(held)), np.log1p(len(held)) / 10]).astype(np.float32)
 
 
 def meta_features(lang, source, n_chars) -> list[int]:
@@ -197,34 +191,40 @@ def telling_words(words: list[np.ndarray], y: np.ndarray, least_z: float) -> np.
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Features of (text, lang, source, n_chars, ...); the other columns go along."""
     for batch in batches:
         words, style, meta = [], [], []
-        for text, lang, source, n in zip(*(batch.column(i) for i in range(4)), strict=True):
-            w, s = _CHUNKS.of(text.as_py() or "")
+        rows = zip(text_features(batch.column(0)), *(batch.column(i) for i in (1, 2, 3)), strict=True)
+        for (w, s), lang, source, n in rows:
             words.append(w), style.append(s), meta.append(meta_features(lang.as_py(), source.as_py(), n.as_py()))
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.int32())), pa.array(style, pa.list_(pa.float32())),
-                                          pa.array(meta, pa.list_(pa.int32())), batch.column(4)], ["words", "style", "meta", "good"])
+                                          pa.array(meta, pa.list_(pa.int32())), *batch.columns[4:]],
+                                         ["words", "style", "meta", *batch.schema.names[4:]])
 
 
 def _drawn(docs: DataFrame, most: int):
-    """At most `most` rows as arrays on the driver."""
+    """Features of at most `most` rows as arrays on the driver, and a number that rows of one id share."""
     total = docs.count()
     share = min(1.0, 2 * most / max(1, total))
     few = docs.withColumn("_order", F.xxhash64("doc_id")).filter(F.pmod("_order", F.lit(1 << 30)) <= int(share * (1 << 30)))
-    few = few.orderBy("_order", "doc_id").limit(most).select("text", "lang", "source", F.col("n_chars").cast("long"), "good")
-    t = few.mapInArrow(_features, schema("words array<int>, style array<float>, meta array<int>, good int")).toArrow()
+    # features first, as they are smaller than texts: one task gets them to put them in order
+    found = few.select("text", "lang", "source", F.col("n_chars").cast("long"), "_order", "good").mapInArrow(
+        _features, schema("words array<int>, style array<float>, meta array<int>, _order long, good int"))
+    t = found.orderBy("_order", "good", "meta", "style").limit(most).toArrow()
     held = t["words"].combine_chunks()
     words = [x.values.to_numpy() for x in held]
     style = t["style"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, STYLE)
-    return words, style, meta_matrix(t["meta"].to_pylist()), t["good"].to_pylist()
+    return words, style, meta_matrix(t["meta"].to_pylist()), t["good"].to_pylist(), t["_order"].to_numpy()
 
 
 def _known_features(vocabulary: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Features with the words of the vocabulary; the id comes at place `at`."""
+    def run(batches: Iterator[pa.RecordBatch], at: int = 0) -> Iterator[pa.RecordBatch]:
         for batch in _features(batches):
             words = [known_words(w.values.to_numpy(), vocabulary) for w in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([batch.column(3), pa.array(words, pa.list_(pa.int32())), *batch.columns[1:3]],
-                                             ["doc_id", "words", "style", "meta"])
+            named = [("words", pa.array(words, pa.list_(pa.int32()))), ("style", batch.column(1)), ("meta", batch.column(2))]
+            named.insert(at, ("doc_id", batch.column(3)))
+            yield pa.RecordBatch.from_arrays([x for _, x in named], [x for x, _ in named])
     return run
 
 
@@ -336,15 +336,31 @@ def fit_text(x: Rows, y: np.ndarray, ridge: float, start: Linear, mate: Linear,
 def learn(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS,
           least_z: float = LEAST_Z, sure: float = SURE) -> Model:
     """A model from (doc_id, text, lang, source, n_chars) and (doc_id, quality, toxic)."""
+    return _learn(docs, labels, labelled, rounds, least_z, sure)[0]
+
+
+def learn_and_score(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS,
+                    least_z: float = LEAST_Z, sure: float = SURE, least: float = 0.5) -> DataFrame:
+    """What `score` gives for the documents that teach: their features are read once."""
+    model, every = _learn(docs, labels, labelled, rounds, least_z, sure)
+    if every is None:
+        return score(docs, model, least)
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    return every.select("words", "style", "meta", "doc_id").mapInArrow(_score_features(model), schema(f"doc_id {id_type}, {SCORES}")) \
+        .withColumn("kept", F.col("score") >= least)
+
+
+def _learn(docs: DataFrame, labels: DataFrame, labelled: int, rounds: int, least_z: float, sure: float) -> tuple[Model, DataFrame | None]:
+    """The model, and the features of all documents where there are any."""
     docs = docs.select("doc_id", "text", "lang", "source", "n_chars")
     told = labels.filter("quality IS NOT NULL").select(
         F.col("doc_id").alias("_id"), ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("int").alias("good"))
-    words, style, meta, good = _drawn(docs.join(told, F.col("doc_id") == F.col("_id")), labelled)
+    words, style, meta, good, order = _drawn(docs.join(told, F.col("doc_id") == F.col("_id")), labelled)
     y = np.array(good, np.float64)
     if len(y) < 20 or len(set(good)) < 2:
         none = Linear(np.zeros(0), 0.0)
-        return Model(np.zeros(0, np.int64), none, none, none, none, none, float(y.mean()) if len(y) else 0.5)
-    back = np.arange(len(y)) % 5 == 4  # held back for calibration
+        return Model(np.zeros(0, np.int64), none, none, none, none, none, float(y.mean()) if len(y) else 0.5), None
+    back = (order >> 32) % 5 == 4  # held back for calibration, all labels of a document together
     seen = ~back
     vocabulary = telling_words([w for w, s in zip(words, seen, strict=True) if s], y[seen], least_z)
     x = matrix(words, style, vocabulary)
@@ -366,32 +382,41 @@ def learn(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds:
     scales = [fit(f.logit(v[back])[:, None], y[back], held, 1e-3) for f, v in ((text, x), (meta_model, meta))]
     model = Model(vocabulary, text, meta_model, *scales, Linear(np.ones(2) / 2, 0.0))
     both = fit(model.view_logits(x[back], meta[back]), y[back], held, 1.0)
-    return Model(vocabulary, text, meta_model, *scales, both)
+    return Model(vocabulary, text, meta_model, *scales, both), every
+
+
+SCORES = "score double, text_score double, meta_score double"
+
+
+def _scored(doc_id: pa.Array, logits: np.ndarray, model: Model) -> pa.RecordBatch:
+    out = _chance(np.column_stack([model.both.logit(logits), logits]))
+    return pa.RecordBatch.from_arrays([doc_id, *[pa.array(out[:, i].copy()) for i in range(3)]], ["doc_id", "score", "text_score", "meta_score"])
+
+
+def _score_features(model: Model):
+    """Scores of (words, style, meta, doc_id)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield _scored(batch.column(3), model.view_logits(*_views(batch, len(model.words))), model)
+    return run
 
 
 def _score(model: Model):
+    """Scores of (text, lang, source, n_chars, doc_id)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if model.constant is None:
+            yield from _score_features(model)(_known_features(model.words)(batches, 3))
+            return
         for batch in batches:
-            out = np.zeros((batch.num_rows, 3))
-            for begin in range(0, batch.num_rows, 512):
-                part = batch.slice(begin, 512)
-                words, style, meta = [], [], []
-                for text, lang, source, n in zip(*(part.column(i) for i in range(1, 5)), strict=True):
-                    w, s = _CHUNKS.of(text.as_py() or "")
-                    words.append(w), style.append(s), meta.append(meta_features(lang.as_py(), source.as_py(), n.as_py()))
-                if model.constant is not None:
-                    out[begin:begin + 512] = model.constant
-                    continue
-                logits = model.view_logits(matrix(words, np.array(style), model.words), meta_matrix(meta))
-                out[begin:begin + 512] = 1 / (1 + np.exp(-np.column_stack([model.both.logit(logits), logits])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(out[:, i].copy()) for i in range(3)]],
-                                             ["doc_id", "score", "text_score", "meta_score"])
+            same = pa.array(np.full(batch.num_rows, model.constant))
+            yield pa.RecordBatch.from_arrays([batch.column(4), same, same, same], ["doc_id", "score", "text_score", "meta_score"])
     return run
 
 
 def score(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """A row per document: doc_id, score, text_score, meta_score, kept (score of at least `least`)."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text", "lang", "source", F.col("n_chars").cast("long"))
-    return rows.mapInArrow(_score(model), schema(f"doc_id {id_type}, score double, text_score double, meta_score double")) \
+    rows = docs.select("text", "lang", "source", F.col("n_chars").cast("long"), "doc_id")
+    return rows.mapInArrow(_score(model), schema(f"doc_id {id_type}, {SCORES}")) \
         .withColumn("kept", F.col("score") >= least)

@@ -148,8 +148,7 @@ def op10_chat(spark, sf_dir):
 @query()
 def op5_quality(spark, sf_dir):
     """Quality score of every document from two views that have taught each other."""
-    docs = table(spark, sf_dir, "documents")
-    return quality.score(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
+    return quality.learn_and_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 @query()

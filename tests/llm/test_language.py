@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 
 from assetweave.llm import language as d
 
@@ -57,7 +58,7 @@ def test_scores_of_texts_are_sums_over_words():
     p = made.random((len(pieces.number), 2)) * 0.01
     model = d._with_rows(("a", "b"), p, PATH)
     text = "The house, ÉTÉ the! 123"
-    got = next(iter(d.Scorer(model).scores([text])))
+    got = next(iter(d.Scorer(model).scores(pa.array([text]))))
     for k in range(2):
         want = sum(math.log(brute_word("▁" + w, p[:, k], pieces)) for w in ["the", "house", "été", "the"])
         assert math.isclose(got[k], want, rel_tol=1e-9)
@@ -126,23 +127,34 @@ def test_words_without_scales_equal_the_forward_pass():
         assert np.allclose(d.word_logs(lattice, full), d.forward(lattice, full)[1][:, n], rtol=1e-9)
 
 
-def test_forgotten_words_and_chunks_change_no_score(monkeypatch):
+def test_forgotten_words_change_no_score(monkeypatch):
+    from assetweave.llm import words
     made = random.Random(4)
     pieces = d.pieces(PATH)
     model = d._with_rows(("a", "b"), np.random.default_rng(2).random((len(pieces.number), 2)) * 0.01, PATH)
-    some = [" ".join("".join(made.choice("abcdef.") for _ in range(made.randrange(1, 6))) for _ in range(40)) for _ in range(60)]
+    some = pa.array([" ".join("".join(made.choice("abcdef.") for _ in range(made.randrange(1, 6))) for _ in range(40)) for _ in range(60)])
     want = np.array(list(d.Scorer(model).scores(some)))
     monkeypatch.setattr(d, "CACHE", 50)
-    monkeypatch.setattr(d, "GROUP", 100)
+    monkeypatch.setattr(words.slices, "__defaults__", (100,))
     scorer = d.Scorer(model)
     assert np.allclose(np.array(list(scorer.scores(some))), want)
     assert len(scorer._word) < 400
 
 
+def test_texts_in_slices_equal_one_by_one(monkeypatch):
+    from assetweave.llm import words
+    texts = ["a B  c", None, "", " \t\n\u3000", "x\x1cy\u2028z", "Éé!? --", "word " * 50, "😀 ok"] * 3
+    column = pa.array(["skipped", *texts]).slice(1)
+    for size in (1, 30, 10**6):
+        monkeypatch.setattr(words.slices, "__defaults__", (size,))
+        assert [r for a, b in words.slices(column) for r in range(a, b)] == list(range(len(texts)))
+        got = list(words.text_hashes(column))
+        want = [[h for c in (t or "").split() if (h := words._hash(c))] for t in texts]
+        assert [g.tolist() for g in got] == want
+
+
 def test_a_worker_keeps_one_thing_at_a_time():
-    from assetweave.llm import held, tokens, words
-    words.word_hashes("some words")
-    assert held._KEPT[0] == "words"
+    from assetweave.llm import held, tokens
     first = tokens.encoder(public_tokenizers.path("byte_bpe_50k.json"))
     assert tokens.encoder(public_tokenizers.path("byte_bpe_50k.json")) is first
     d.pieces(PATH)

@@ -89,3 +89,35 @@ def test_every_telling_word_is_kept():
     common = [np.arange(1500) if good else np.zeros(0, int) for good in y]  # words of good documents
     rare = [np.append(w, [2000] if i in (0, 10, 20) else []).astype(int) for i, w in enumerate(common)]
     assert d.telling_words(rare, y.astype(float), 4.0).tolist() == [*range(1500), 2000]
+
+
+def test_features_equal_their_definition(monkeypatch):
+    """Style and words of texts, computed chunk by chunk with string methods."""
+    import numpy as np
+    import pyarrow as pa
+    import xxhash
+
+    from assetweave.llm import words
+    made = random.Random(2)
+    texts = [None, "", "  ", "ABC abc Abc a1 !! x-y-z É É1 ǅ ǅA 日本 ١٢ ²", *[" ".join("".join(made.choice("aB1-É ß") for _ in range(made.randrange(1, 9)))
+                                                                     for _ in range(made.randrange(30))) for _ in range(40)]]
+    for size in (20, 10**6):
+        monkeypatch.setattr(words.slices, "__defaults__", (size,))
+        for text, (found, style) in zip(texts, d.text_features(pa.array(texts)), strict=True):
+            chunks = (text or "").split()
+            bare = ["".join(c for c in x if c.isalnum()) for x in chunks]
+            marks = {xxhash.xxh64_intdigest(w.lower()) % d.FEATURES for w in bare if w}
+            assert found.tolist() == sorted(marks)
+            looks = [[len(w) > 1 and w.isupper(), not w, len(c) - len(w) > 1, any(map(str.isdigit, c)), min(sum(map(str.isalpha, c)), 20) / 10,
+                      (len(c) - len(w)) / len(c)] for c, w in zip(chunks, bare, strict=True)]
+            want = [*(np.mean(looks, axis=0) if looks else [0] * 6), len(marks | ({-1} if "" in bare else set())) / max(1, len(chunks)), np.log1p(len(chunks)) / 10]
+            assert np.allclose(style, want, atol=1e-5)
+
+
+def test_scores_from_kept_features_equal_a_second_reading(spark, documents):
+    docs, labels, _ = corpus(documents, spark, 300)
+    docs = docs.unionByName(documents((7, "alpha beta"), (None, None), (7, "alpha beta")))
+    def told(df):
+        return sorted((str(r.doc_id), round(r.score, 9), round(r.text_score, 9), r.kept) for r in df.collect())
+    assert told(d.learn_and_score(docs, labels)) == told(d.score(docs, d.learn(docs, labels)))
+    assert told(d.learn_and_score(docs, labels.limit(0))) == told(d.score(docs, d.learn(docs, labels.limit(0))))
