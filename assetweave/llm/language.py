@@ -36,7 +36,7 @@ from assetweave.session import cut_lineage, task_count
 PER_LANGUAGE = 1000
 ROUNDS = 3
 UNKNOWN = 1e-7
-CACHE = 300_000  # words that a worker keeps
+CACHE = 200_000  # words that a worker keeps
 UNSCALED = 32  # letters of a word: probabilities of its pieces can't multiply to less than a double holds
 LETTERS = regex.compile(r"\p{L}+")
 UNDETERMINED = "und"

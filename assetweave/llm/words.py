@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-SLICE = 8 << 20  # bytes of text
+SLICE = 4 << 20  # bytes of text
 
 
 def slices(texts: pa.Array, size: int = SLICE) -> Iterator[tuple[int, int]]:
@@ -22,6 +22,7 @@ def slices(texts: pa.Array, size: int = SLICE) -> Iterator[tuple[int, int]]:
         before = int(ends[begin - 1]) if begin else 0
         end = max(begin + 1, int(np.searchsorted(ends, before + size, "right")))
         yield begin, end
+        pa.default_memory_pool().release_unused()  # workers live on; what a slice took shouldn't stay with them
         begin = end
 
 
