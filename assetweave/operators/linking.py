@@ -1,16 +1,16 @@
 """Linking items to documents by a text score.
 
 The score of a pair is driven by how many of the item's keywords occur in the document.
-Scoring every pair is quadratic, so candidates come from an exact prefix filter:
+Reading the texts of every pair is quadratic, so hits are counted first, exactly:
 
 1. Documents fall into classes by length (bands of a factor of 1.4) and by the points that their name
    gives or takes. An item can only reach the threshold in a class if at least `need` of its `n`
    keywords hit, where `need` follows from the largest ratio that lengths of the band allow,
    the points of the class, and the words of the item that occur in any file name at all.
-2. Then at least one of its `n - need + 1` rarest keywords hits. Where `need` is 0, all documents
+2. A keyword can only hit where one word of the document contains the keyword's longest
+   word. So the substrings of the library's distinct words, of the lengths that keywords have, are looked up among
+   the keywords, and hits are counted per item and document without reading a text again. Where `need` is 0, all documents
    of the class are candidates; a low threshold allows that in the bands next to the item's own length.
-3. A keyword can only hit where one word of the document contains the keyword's longest
-   word, so hits are looked up on the distinct words of the library.
 
 Scores see whole texts, all keywords and all documents. Leading characters, a least text
 length and a number of keywords are fields of `Score` that a caller may set. Pairs that
@@ -136,39 +136,62 @@ EVEN = Score("plain", 50, 50, keywords="strict")
 
 # --- candidates -------------------------------------------------------------------------
 
-def _document_pieces(docs: DataFrame, by: list[str]) -> DataFrame:
-    return explode_computed(docs, F.array_distinct(text.pieces(F.col("_text"))), "hay", "doc_id", *by)
+LONG = 256  # words of more characters are cut into overlapping parts, so that no row holds all their substrings
+BLANKS = r"[ \t\n\r]+"  # in no lookup piece
+NO_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x5E\x60\x7B-\x7F]+"  # ASCII that no word holds
+
+
+def _rows(df: DataFrame, name: str, label: str) -> DataFrame:
+    """The written table with a number per row, as ids may repeat."""
+    return cut_lineage(df.withColumn(name, F.monotonically_increasing_id()), label)
+
+
+def _is_whole(keyword: Column) -> Column:
+    """The keyword is its own lookup piece: it occurs in a text where some word of the text holds that piece."""
+    return F.size(text.pieces(keyword)) == 1
+
+
+def _substrings(word: Column, lengths: list[int]) -> Column:
+    """All substrings of a word that have one of these lengths."""
+    n = F.length(word)
+    of = F.filter(F.array(*[F.lit(x) for x in lengths]), lambda x: x <= n)
+    return F.flatten(F.transform(of, lambda x: F.transform(F.sequence(F.lit(1), n - x + 1), lambda i: F.substring(word, i, x))))
 
 
 def candidate_pairs(items: DataFrame, docs: DataFrame, by: list[str]) -> DataFrame:
-    """(item_id, doc_id) pairs that can have as many keyword hits as the document's class asks for.
+    """(_item, _doc, hits): pairs that have as many keyword hits as the document's class asks for.
 
-    `items` carries item_id, `_keywords`, the `by` columns and `_needs`, an array of (class, need); classes that it lacks are out
-    of reach. `docs` carries doc_id, `_text` in lower case, `_class` and the `by` columns.
+    `items` carries _item, `_keywords`, the `by` columns and `_needs`, an array of (class, need); classes that it lacks are out
+    of reach. `docs` carries _doc, `_text` in lower case, `_class` and the `by` columns. `hits` counts whole keywords; the others
+    count towards the need where their lookup piece occurs, and are left to the caller. It is null where no hit is needed.
     """
-    terms = explode_computed(items, F.col("_keywords"), "kw", "item_id", *by, "_needs") \
-        .withColumn("block", text.lookup_piece(F.col("kw")))
-    hay = _document_pieces(docs, [*by, "_class"])
-    vocabulary = hay.groupBy("hay").agg(F.count("*").alias("n"))
-    # which word holds which keyword: a vocabulary-sized table that is used twice
-    pairs = cut_lineage(substring_pairs(
-        terms.select(F.col("block").alias("needle")).distinct(), vocabulary), "words")
-    # any fixed order of the keywords is exact; rare ones first keeps the candidates few
-    weights = pairs.groupBy(F.col("needle").alias("block")).agg(F.sum("n").alias("weight"))
-    ranked = (terms.join(weights, "block", "left")
-              .groupBy("item_id", *by).agg(F.any_value("_needs").alias("_needs"), F.array_sort(F.collect_list(F.struct(
-                  F.coalesce("weight", F.lit(0)).alias("weight"), "kw", "block"))).alias("ks")))
-    asked = explode_computed(ranked, F.filter("_needs", lambda n: n["need"] > 0), "_n", "item_id", *by, "ks")
-    prefix = F.slice("ks", 1, F.size("ks") - F.col("_n.need") + 1)
-    looked_up = cut_lineage(asked.select("item_id", *by, F.col("_n.class").alias("_class"), F.explode(prefix).alias("k"))
-                            .select("item_id", *by, "_class", F.col("k.block").alias("needle")).distinct(), "prefixes")
-    postings = (hay.join(pairs.select("needle", "hay").join(looked_up.select("needle").distinct(), "needle", "left_semi"),
-                         "hay").select("doc_id", *by, "_class", "needle").distinct())
-    found = looked_up.join(postings, [*by, "_class", "needle"]).select("item_id", "doc_id").distinct()
+    terms = explode_computed(items, F.col("_keywords"), "kw", "_item", *by).select(
+        "_item", *by, text.lookup_piece(F.col("kw")).alias("needle"), _is_whole(F.col("kw")).alias("whole")).filter("needle IS NOT NULL")
+    needles = _rows(terms.select("needle").distinct(), "_needle", "needles")
+    # lengths of words: some dozens, whatever the number of items
+    lengths, odd = needles.agg(F.collect_set(F.length("needle")), F.max(F.col("needle").rlike(NO_WORD))).first()
+    lengths = sorted(lengths)
+    words = F.array_distinct(F.split("_text", BLANKS if odd else NO_WORD))
+    parts = F.flatten(F.transform(words, lambda w: F.when(F.length(w) <= LONG, F.array(w)).otherwise(F.transform(
+        F.sequence(F.lit(1), F.length(w), F.lit(LONG)), lambda i: F.substring(w, i, F.lit(LONG + max(lengths, default=1) - 1))))))
+    spoken, n = cut_lineage(docs.select("_doc", *by, "_class", parts.alias("_words")), "spoken"), task_count(docs.sparkSession)
+    said = explode_computed(spoken, F.col("_words"), "word", "_doc", *by, "_class")
+    # which word holds which keyword: a table of the size of the vocabulary, which grows more slowly than the library
+    vocabulary = said.select("word").distinct().repartition(n, "word")
+    subs = explode_computed(vocabulary, _substrings(F.col("word"), lengths or [1]), "needle", "word")
+    holds = cut_lineage(subs.join(needles, "needle").groupBy("word").agg(F.collect_set("_needle").alias("_needles")), "words")
+    dealt = said.join(holds, "word").select("_doc", *by, "_class", "_needles").repartition(n, "_doc")
+    every = dealt.groupBy("_doc", *by, "_class").agg(F.array_distinct(F.flatten(F.collect_list("_needles"))).alias("_needles"))
+    held = explode_computed(every, F.col("_needles"), "_needle", "_doc", *by, "_class")
+    asking = terms.join(needles, "needle").select("_needle", "_item", *by, "whole")
+    counts = held.join(cut_lineage(asking, "terms"), [*by, "_needle"]).groupBy("_doc", "_class", "_item") \
+        .agg(F.count("*").alias("n"), F.count_if("whole").cast("int").alias("hits"))
+    needs = cut_lineage(explode_computed(items, F.col("_needs"), "_n", "_item", *by)
+                        .select("_item", *by, F.col("_n.class").alias("_class"), F.col("_n.need").alias("need")), "needs")
+    found = counts.join(needs.filter("need > 0").drop(*by), ["_item", "_class"]).filter("n >= need").select("_item", "_doc", "hits")
     # classes in which a pair needs no hit: lengths and names alone allow the threshold
-    free = explode_computed(items, F.filter("_needs", lambda n: n["need"] <= 0), "_n", "item_id", *by)
-    free = free.select("item_id", *by, F.col("_n.class").alias("_class"))
-    return found.unionByName(free.join(docs.select("doc_id", *by, "_class"), [*by, "_class"]).select("item_id", "doc_id"))
+    free = needs.filter("need <= 0").join(docs.select("_doc", *by, "_class"), [*by, "_class"])
+    return found.unionByName(free.select("_item", "_doc", F.lit(None).cast("int").alias("hits")))
 
 
 BANDS = 2.0  # bands of lengths per factor of two
@@ -193,12 +216,10 @@ def _name_shares(items: DataFrame, docs: DataFrame) -> DataFrame:
     return long_.join(known, "needle").groupBy("item_id").agg((F.count("*") / F.max("n")).alias("_name_share"))
 
 
-def _spread(pairs: DataFrame) -> DataFrame:
-    """Pairs are a few bytes each but costly to verify, so their number of tasks is set here.
-
-    The hash of both ids also spreads a document that many items may match.
-    """
-    return pairs.repartition(task_count(pairs.sparkSession), F.xxhash64("item_id", "doc_id"))
+def _with_texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs are a few bytes each but costly to verify, so their number of tasks is set here; each text moves once."""
+    n = task_count(pairs.sparkSession)
+    return pairs.repartition(n, "_doc").join(docs.repartition(n, "_doc"), "_doc")
 
 
 # --- links --------------------------------------------------------------------------------
@@ -239,9 +260,10 @@ def _bounded(items: DataFrame, docs: DataFrame, threshold: float, score: Score,
         right = right.join(left.select("_by").distinct(), "_by", "left_semi")
     if score.min_text:  # such texts score 0
         right = right.filter(F.length(text.strip(F.col("_text"))) >= score.min_text)
-    left = left.select("item_id", "_low", "_keywords", *keys)
-    right = right.select("doc_id", "file_name", "_text", _band(F.length(score.ratio_text(F.col("_text")))).alias("_length"),
+    left = left.filter("item_id IS NOT NULL").select("item_id", "_low", "_keywords", *keys)
+    right = right.filter("doc_id IS NOT NULL").select("doc_id", "file_name", "_text", _band(F.length(score.ratio_text(F.col("_text")))).alias("_length"),
                          score.gain(F.col("file_name"), threshold).alias("_gain"), *keys)
+    right = _rows(right, "_doc", "texts")
     # bands of lengths and sums of a few points: some hundreds, whatever the number of documents
     classes = sorted((r[0], r[1]) for r in right.select("_length", "_gain").distinct().collect())
     if not classes:
@@ -252,10 +274,10 @@ def _bounded(items: DataFrame, docs: DataFrame, threshold: float, score: Score,
         left = left.join(_name_shares(left, docs), "item_id", "left").withColumn("_name_share", F.coalesce("_name_share", F.lit(0.0)))
     else:
         left = left.withColumn("_name_share", F.lit(0.0))
-    left = cut_lineage(_with_needs(left, classes, score, threshold).drop("_name_share"), "items")
-    pairs = candidate_pairs(left, right, keys)
+    left = _rows(_with_needs(left, classes, score, threshold).drop("_name_share"), "_item", "items")
+    pairs = cut_lineage(candidate_pairs(left, right, keys).drop("hits"), "pairs")
     # the texts come last: each moves once, to the pairs, and no pair carries one through a shuffle
-    joined = _spread(pairs).join(left.drop("_needs", *keys), "item_id").join(right.drop("_class", *keys), "doc_id") \
+    joined = _with_texts(pairs, right.drop("_class", *keys)).join(left.drop("_needs", *keys), "_item") \
         .withColumn("hits", text.keyword_hits(F.col("_keywords"), F.col("_text"))) \
         .withColumn("coverage", F.col("hits") / F.size("_keywords"))
     bound = score.total(*_parts(), ratio_bound(F.col("_low"), score.ratio_text(F.col("_text"))))
@@ -300,13 +322,18 @@ def coverage_links(items: DataFrame, docs: DataFrame, min_coverage: float,
         .filter(F.size("_keywords") > 0) \
         .withColumn("_need", F.ceil(min_coverage * F.size("_keywords") - 1e-9).cast("int")) \
         .withColumn("_needs", F.array(F.struct(F.lit(0).alias("class"), F.greatest("_need", F.lit(1)).alias("need"))))
-    right = docs.select("doc_id", F.lower("text").alias("_text"), F.lit(0).alias("_class"))
-    pairs = candidate_pairs(left, right, [])
-    return (_spread(pairs).join(left.select("item_id", "_keywords", "_need"), "item_id").join(right.drop("_class"), "doc_id")
-            .withColumn("hits", text.keyword_hits(F.col("_keywords"), F.col("_text")))
-            .filter(F.col("hits") >= F.col("_need"))
-            .select("item_id", "doc_id", "hits", F.size("_keywords").alias("n_keywords"),
-                    (F.col("hits") / F.size("_keywords")).alias("coverage")))
+    left = _rows(left.filter("item_id IS NOT NULL").select("item_id", "_keywords", "_need", "_needs", F.filter(
+        "_keywords", lambda k: ~_is_whole(k)).alias("_compound")), "_item", "items")
+    right = _rows(docs.filter("doc_id IS NOT NULL").select("doc_id", F.lower("text").alias("_text"), F.lit(0).alias("_class")), "_doc", "texts")
+    pairs = cut_lineage(candidate_pairs(left, right, []), "pairs")
+    known = pairs.join(left.filter(F.size("_compound") == 0), "_item").join(right.select("_doc", "doc_id"), "_doc")
+    compound = left.filter(F.size("_compound") > 0)
+    if not compound.isEmpty():  # keywords of several pieces are looked for in the texts
+        read = _with_texts(pairs.join(compound, "_item"), right.drop("_class")) \
+            .withColumn("hits", F.col("hits") + text.keyword_hits(F.col("_compound"), F.col("_text")))
+        known = known.unionByName(read.filter(F.col("hits") >= F.col("_need")).drop("_text"))
+    return known.select("item_id", "doc_id", "hits", F.size("_keywords").alias("n_keywords"),
+                        (F.col("hits") / F.size("_keywords")).alias("coverage"))
 
 
 def best_link(links: DataFrame, score: str = "coverage") -> DataFrame:

@@ -324,3 +324,24 @@ def test_clean_status_and_ready_keywords(spark):
     assert got == {"a": (1, "cleaned"), "b": (1, "unchanged"), "c": (0, "failed"), "d": (0, "failed")}
     candidates = spark.createDataFrame([("hw", "pump", 6.0), ("hw", "valve", 4.0)], "category string, keyword string, weight double")
     assert rows(learning.ready_candidates(candidates)) == [("hw", "pump", 6.0)]
+
+
+def test_hits_are_counted_without_reading_texts_of_hopeless_pairs(spark):
+    """Compound and rare keywords, words longer than a part, repeated and null ids."""
+    items = spark.createDataFrame([(1, "alpha beta gamma delta", "x-ray"), (2, "omega", ""), (2, "omega", ""), (3, "beta tail", ""), (None, "omega", "")],
+                                  "item_id int, description string, category string")
+    far = "q" * 254 + "omega" + "z" * 700 + "tail"
+    texts = [(1, "Alphabet, beta\ngammas."), (2, "delta"), (3, "x-ray alpha (beta)"), (4, "xx ray alpha beta"), (5, far), (5, far), (6, None), (None, "omega"), (7, "x ray beta-tail")]
+    docs = spark.createDataFrame(texts, "doc_id int, text string")
+    want = []
+    for i in items.collect():
+        kw = set(i.description.split()) | set(i.category.split())
+        for d in docs.collect():
+            hits = sum(k in (d.text or "").lower() for k in kw)
+            if None not in (i.item_id, d.doc_id) and hits >= 0.6 * len(kw) - 1e-9:
+                want.append((i.item_id, d.doc_id, hits))
+    got = linking.coverage_links(items, docs, 0.6).select("item_id", "doc_id", "hits")
+    assert rows(got) == sorted(want) and (2, 5, 1) in want and (1, 3, 3) in want and (1, 4, 3) not in want
+    numbered = spark.createDataFrame([(0, ["alpha", "beta", "delta"], [(0, 2)])], "_item int, _keywords array<string>, _needs array<struct<class int, need int>>")
+    hopeless = spark.createDataFrame([(0, "delta", 0), (1, "alpha delta", 0)], "_doc int, _text string, _class int")
+    assert rows(linking.candidate_pairs(numbered, hopeless, [])) == [(0, 1, 2)]
