@@ -168,3 +168,14 @@ def test_any_number_of_headers_takes_one_scan_of_the_rows(spark, tmp_path):
     plan = df._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("FileScan csv") == 1
     assert readers.read_items(spark, str(tmp_path), "csv", ["description", "nowhere"]).columns == ["description", "nowhere"]
+
+
+def test_library_files_are_written_by_many_tasks(spark, tmp_path):
+    from assetweave.plans.catalog import storage
+
+    rows = [(i, f"text {i}", "ab"[i % 2]) for i in range(24)] + [(99, None, "a")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = storage.scan_library(spark, str(tmp_path))
+    assert sorted((r.supplier, r.n, r.bytes) for r in got.collect()) == [("a", 12, 12 * 7 + 7), ("b", 12, 12 * 7 + 7)]
+    tasks = {os.path.basename(f)[:10] for f in got.inputFiles()}
+    assert len(tasks) > 1
