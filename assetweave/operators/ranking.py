@@ -54,11 +54,11 @@ def text_budget(parts: DataFrame, key: str, position: str, column: str = "text",
 def number_rows(df: DataFrame, *order: Column | str) -> DataFrame:
     """Add `number` (from 1, in the given order) and `total` without a one-task window.
 
-    Rows are range-sorted and materialised; each partition then only needs the number of
+    Rows are written before the sort, which reads them twice, then range-sorted and materialised; each partition then only needs the number of
     rows before it, a table with one row per partition.
     """
     low_bits = (1 << 33) - 1
-    placed = cut_lineage(df.orderBy(*order).withColumn("_part", F.spark_partition_id())
+    placed = cut_lineage(cut_lineage(df).orderBy(*order).withColumn("_part", F.spark_partition_id())
                          .withColumn("_pos", F.monotonically_increasing_id().bitwiseAND(low_bits)))
     # one row per partition, so these two windows stay tiny whatever the data size
     sizes = placed.groupBy("_part").agg(F.count("*").alias("n"))

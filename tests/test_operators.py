@@ -345,3 +345,14 @@ def test_hits_are_counted_without_reading_texts_of_hopeless_pairs(spark):
     numbered = spark.createDataFrame([(0, ["alpha", "beta", "delta"], [(0, 2)])], "_item int, _keywords array<string>, _needs array<struct<class int, need int>>")
     hopeless = spark.createDataFrame([(0, "delta", 0), (1, "alpha delta", 0)], "_doc int, _text string, _class int")
     assert rows(linking.candidate_pairs(numbered, hopeless, [])) == [(0, 1, 2)]
+
+
+def test_numbering_computes_its_input_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(row):
+        seen.add(1)
+        return row
+    df = spark.createDataFrame(spark.range(200, numPartitions=4).rdd.map(look), "id long")
+    assert [r.number for r in ranking.number_rows(df, F.desc("id")).orderBy("id").collect()] == list(range(200, 0, -1))
+    assert seen.value == 200
