@@ -29,6 +29,16 @@ def _in_order(arriving, part, parts=ARRIVALS):
     return jobs.watch_folder(spark, path, arriving.schema, files_per_batch=1)
 
 
+def _deliveries(arriving, part, parts=ARRIVALS):
+    """A stream per part 0, 1, ... of a table, to be run to its end before the next is asked for. Each finds the files of its part as
+    new, however many tasks wrote them, and takes them as one batch."""
+    spark, path = arriving.sparkSession, shared_folder(arriving.sparkSession, "arriving")
+    numbered = arriving.withColumn("_arrives", part)
+    for k in range(parts):
+        numbered.filter(F.col("_arrives") == k).drop("_arrives").write.mode("append").parquet(path)
+        yield jobs.watch_folder(spark, path, arriving.schema)
+
+
 def _purchased(spark, sf_dir):
     return bind(spark, PURCHASED, documents=_stream(spark, sf_dir, "documents"))
 
@@ -82,10 +92,10 @@ def modified_files_stream(spark, sf_dir):
  SELECT category, keyword, sightings, weight, promoted_in FROM v JOIN f USING (category, keyword)
  WHERE first IS NULL OR part <= first QUALIFY row_number() OVER (PARTITION BY category, keyword ORDER BY part DESC) = 1""")
 def learn_loop_stream(spark, sf_dir):
-    """Documents arrive in four files; promoted keywords count from the next file on."""
+    """Documents arrive in four deliveries; promoted keywords count from the next delivery on."""
     out, mark = shared_folder(spark, "learning"), shared_folder(spark, "marks")
-    arriving = _in_order(table(spark, sf_dir, "documents"), F.col("doc_id") % ARRIVALS)
-    _finish(jobs.learning_loop(bind(spark, PURCHASED, documents=arriving), "description", "vendor", dictionary(spark, sf_dir), out, mark, once=True))
+    for arriving in _deliveries(table(spark, sf_dir, "documents"), F.col("doc_id") % ARRIVALS):
+        _finish(jobs.learning_loop(bind(spark, PURCHASED, documents=arriving), "description", "vendor", dictionary(spark, sf_dir), out, mark, once=True))
     return jobs.learned_keywords(spark, out)
 
 

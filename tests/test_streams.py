@@ -220,3 +220,17 @@ def test_a_run_without_an_end_is_open(spark, tmp_path):
     assert (row.status, row.ended, row.batches) == ("open", None, 0)
     with pytest.raises(TimeoutError):
         recorder.wait(type("Query", (), {"awaitTermination": lambda self: None, "runId": "other"})(), 0.1)
+
+
+def test_a_delivery_is_one_batch_whatever_number_of_tasks_wrote_it(spark, tmp_path):
+    from assetweave.plans.catalog import streams
+
+    rows, out, read = spark.range(40, numPartitions=4), str(tmp_path / "out"), []
+
+    def save(batch, batch_id):
+        read.append(batch.select(F.input_file_name()).distinct().count())
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+    for arriving in streams._deliveries(rows, F.col("id") % 3, 3):
+        jobs._start(arriving.writeStream.foreachBatch(save), str(tmp_path / "marks"), True).awaitTermination()
+    assert {(r.batch, r.id) for r in spark.read.parquet(out).collect()} == {(i % 3, i) for i in range(40)}
+    assert read == [4, 4, 4]
