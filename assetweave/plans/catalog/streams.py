@@ -20,15 +20,6 @@ def _stream(spark, sf_dir, name):
     return jobs.watch_folder(spark, path, arriving.schema, files_per_batch=1)
 
 
-def _in_order(arriving, part, parts=ARRIVALS):
-    """A stream whose batches are the parts 0, 1, ... of a table, one file each."""
-    spark, path = arriving.sparkSession, shared_folder(arriving.sparkSession, "arriving")
-    numbered = arriving.withColumn("_arrives", part)
-    for k in range(parts):
-        numbered.filter(F.col("_arrives") == k).drop("_arrives").coalesce(1).write.mode("append").parquet(path)
-    return jobs.watch_folder(spark, path, arriving.schema, files_per_batch=1)
-
-
 def _deliveries(arriving, part, parts=ARRIVALS):
     """A stream per part 0, 1, ... of a table, to be run to its end before the next is asked for. Each finds the files of its part as
     new, however many tasks wrote them, and takes them as one batch."""
@@ -110,10 +101,9 @@ def due_stream(spark, sf_dir):
     at = F.unix_micros(F.col("ts").cast("timestamp")) + (F.col("event_id") % 3) * F.lit(8 * 3600 * 1_000_000)
     low, high = events.agg(F.min(at), F.max(at)).first()
     parts = 2 * ARRIVALS
-    arriving = _in_order(events, F.floor((at - low) * parts / F.lit(high - low + 1)), parts)
     with state.rocksdb(spark):
-        running = jobs.to_folder(state.due_again(arriving, "supplier", "ts"), out, mark, once=True)
-    _finish(running)
+        for arriving in _deliveries(events, F.floor((at - low) * parts / F.lit(high - low + 1)), parts):
+            _finish(jobs.to_folder(state.due_again(arriving, "supplier", "ts"), out, mark, once=True))
     stamp = "yyyy-MM-dd HH:mm:ss.SSSSSS"
     return spark.read.schema("supplier string, last_seen timestamp, due timestamp").parquet(out).select(
         "supplier", F.date_format("last_seen", stamp).alias("last_seen"), F.date_format("due", stamp).alias("due"))

@@ -1,4 +1,4 @@
-"""Keyed state with timers: keys that have been quiet for a while.
+"""Keys that have been quiet for a while, from the state of session windows.
 
 The state lives in the RocksDB store, so that it may outgrow memory; `rocksdb` sets it for the queries started within.
 """
@@ -6,7 +6,6 @@ The state lives in the RocksDB store, so that it may outgrow memory; `rocksdb` s
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +13,6 @@ from assetweave import rules
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-DAY = 24 * 3600 * 1_000_000  # microseconds
 
 
 @contextmanager
@@ -28,62 +26,20 @@ def rocksdb(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
 
 
-def _quiet(period: int, out: tuple[str, str, str]):
-    # nested, so that it ships by value and workers need not import this package
-    from pyspark.sql.streaming import StatefulProcessor
-
-    class Quiet(StatefulProcessor):
-        """Holds the event times of a key after which, as far as is known, nothing came within the period.
-
-        Usually that is the last one. A timer stands at the end of each period; when it rings, the watermark has passed
-        and no earlier event can come any more, so the key is due. More than one is held while events arrive out of order.
-        """
-
-        def init(self, handle):
-            self._handle, self._open = handle, handle.getListState("open", "at long")
-
-        def handleInputRows(self, key, rows, timerValues):
-            held = {r[0] for r in self._open.get()} if self._open.exists() else set()
-            times = sorted(held.union(*(batch["at_micros"].tolist() for batch in rows)))
-            kept = [t for t, later in zip(times, [*times[1:], None]) if later is None or later > t + period]
-            for t in held.difference(kept):
-                self._handle.deleteTimer(self._rings(t))
-            for t in set(kept) - held:
-                self._handle.registerTimer(self._rings(t))
-            self._open.put([(t,) for t in kept])
-            yield from ()
-
-        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-            rung = expiredTimerInfo.getExpiryTimeInMs()
-            held = [r[0] for r in self._open.get()]
-            for t in held:
-                if self._rings(t) == rung:
-                    yield pd.DataFrame({out[0]: [key[0]], out[1]: [t], out[2]: [t + period]})
-            left = [(t,) for t in held if self._rings(t) != rung]
-            self._open.put(left) if left else self._open.clear()
-
-        def close(self):
-            pass
-
-        @staticmethod
-        def _rings(t):
-            return -(-(t + period) // 1000)
-
-    return Quiet()
-
-
 def due_again(events: DataFrame, key: str, ts: str, days: int = rules.RESCAN_DAYS, lateness: str = "1 day") -> DataFrame:
     """(key, last_seen, due) of a stream: a key becomes due `days` after its last event, and again only after a new one.
 
     Times are those of the events. A row appears when the watermark, which stays `lateness` behind the newest event,
     has passed the due time; earlier events are then known, so the rows are those that a batch over all events gives. Events
-    that come later than `lateness` are left out, and so are rows without key or time. The state holds
-    a time per key, seldom more; it goes when the key becomes due. Start it within `rocksdb`.
+    that come later than `lateness` are left out, and so are rows without key or time. Events of a key that follow each other within
+    the period are one session, whose end is the due time; the state holds a row per open session, and the events of the last
+    `lateness`, among which each counts once. All of it runs in the JVM: a keyed state in Python costs calls per key and batch.
+    Start it within `rocksdb`.
     """
-    # no leading underscores: the names of rows become fields of named tuples
-    timed = (events.filter(F.col(key).isNotNull() & F.col(ts).isNotNull()).select(key, F.col(ts).cast("timestamp").alias("at"))
-             .withWatermark("at", lateness).withColumn("at_micros", F.unix_micros("at")))
-    kind = events.schema[key].dataType.simpleString()
-    found = timed.groupBy(key).transformWithStateInPandas(
-        _quiet(days * DAY, (key, "last_seen", "due")), f"`{key}` {kind}, last_seen long, due long", "Append", "EventTime")
-    return found.select(key, F.timestamp_micros("last_seen").alias("last_seen"), F.timestamp_micros("due").alias("due"))
+    timed = (events.filter(F.col(key).isNotNull() & F.col(ts).isNotNull()).select(key, F.col(ts).cast("timestamp").alias("_at"))
+             .withWatermark("_at", lateness).dropDuplicates([key, "_at"]))
+    # a session window would take a late event whose session is still open; the removal of repeated ones drops it before
+    # hours, as a day of the session's time zone may have 23 or 25
+    gap = F.session_window("_at", f"{days * 24} hours")
+    found = timed.groupBy(F.col(key), gap.alias("_open")).agg(F.max("_at").alias("last_seen"))
+    return found.select(key, "last_seen", (F.col("last_seen") + F.expr(f"INTERVAL {days * 24} HOURS")).alias("due"))

@@ -94,6 +94,27 @@ def test_due_equals_the_batch_when_events_are_out_of_order(spark, folders):
     assert len(want) > 20 and run_due(spark, source, out, mark, days=5, lateness="2 days") == want
 
 
+def test_due_takes_an_event_at_the_end_of_the_period_and_leaves_late_ones_out(spark, folders):
+    """An event exactly a period later belongs to the same visit; one that comes later than `lateness` does not count, though its key is still open."""
+    source, out, mark = folders
+    micro = timedelta(microseconds=1)
+    add(spark, [("a", at(0)), ("a", at(5)), ("b", at(0)), ("b", at(5) + micro), ("c", at(4)), ("e", at(2)), ("z", at(8))], EVENTS, source)
+    first = [("b", at(0), at(5)), ("e", at(2), at(7))]  # the watermark is day 7
+    assert run_due(spark, source, out, mark, days=5) == first
+    add(spark, [("c", at(6)), ("z", at(9))], EVENTS, source)  # the first is late
+    run_due(spark, source, out, mark, days=5)
+    add(spark, [("z", at(40))], EVENTS, source)
+    assert run_due(spark, source, out, mark, days=5) == [
+        ("a", at(5), at(10)), first[0], ("b", at(5) + micro, at(10) + micro), ("c", at(4), at(9)), first[1], ("z", at(9), at(14))]
+
+
+def test_due_keeps_its_state_without_python(spark, folders):
+    source, *_ = folders
+    add(spark, [("a", at(0))], EVENTS, source)
+    plan = state.due_again(jobs.watch_folder(spark, source, EVENTS), "supplier", "ts")._jdf.queryExecution().logical().toString()
+    assert "Pandas" not in plan and "Python" not in plan and "PySpark" not in plan
+
+
 def test_provider_of_the_session_comes_back(spark):
     before = spark.conf.get(state.PROVIDER, None)
     with pytest.raises(KeyError), state.rocksdb(spark):
