@@ -7,14 +7,14 @@ Reading the texts of every pair is quadratic, so hits are counted first, exactly
    gives or takes. An item can only reach the threshold in a class if at least `need` of its `n`
    keywords hit, where `need` follows from the largest ratio that lengths of the band allow,
    the points of the class, and the words of the item that occur in any file name at all.
-2. A keyword can only hit where one word of the document contains the keyword's longest
-   word. So the substrings of the library's distinct words, of the lengths that keywords have, are looked up among
-   the keywords, and hits are counted per item and document without reading a text again. Where `need` is 0, all documents
-   of the class are candidates; a low threshold allows that in the bands next to the item's own length.
+2. A text moves once, to a task that also gets the keywords of a block of items. A keyword can only hit where one word of the
+   document contains the keyword's longest word, so the substrings of each distinct word are looked up among the block's keywords, and hits
+   are counted per item with a list of items per keyword. Keywords of several pieces are then looked for in the text. Where `need` is 0, all
+   documents of the class are candidates; a low threshold allows that in the bands next to the item's own length.
 
 Scores see whole texts, all keywords and all documents. Leading characters, a least text
 length and a number of keywords are fields of `Score` that a caller may set. Pairs that
-survive are verified on the text, pruned with a native upper bound and with the longest common
+survive are pruned with a native upper bound and with the longest common
 subsequence, and only then sent to the similarity function. Intermediate tables are written while a link is built.
 """
 
@@ -136,9 +136,8 @@ EVEN = Score("plain", 50, 50, keywords="strict")
 
 # --- candidates -------------------------------------------------------------------------
 
-LONG = 256  # words of more characters are cut into overlapping parts, so that no row holds all their substrings
-BLANKS = r"[ \t\n\r]+"  # in no lookup piece
-NO_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x5E\x60\x7B-\x7F]+"  # ASCII that no word holds
+BLOCK = 1 << 14  # items whose keywords one task holds at a time
+BUCKET = 2000  # documents of a group that are worth a task, and its share of the keywords
 
 
 def _rows(df: DataFrame, name: str, label: str) -> DataFrame:
@@ -146,52 +145,137 @@ def _rows(df: DataFrame, name: str, label: str) -> DataFrame:
     return cut_lineage(df.withColumn(name, F.monotonically_increasing_id()), label)
 
 
-def _is_whole(keyword: Column) -> Column:
-    """The keyword is its own lookup piece: it occurs in a text where some word of the text holds that piece."""
-    return F.size(text.pieces(keyword)) == 1
+def _make_matcher(kept: list[str]):
+    # nested, so that it ships by value and workers need not import this package
+    def finder(rows):
+        """A function that counts the hits of a block of items in a text: (items, hits) of those that reach the need of its class."""
+        import re
+
+        import numpy as np
+
+        plain, compound, needs = {}, {}, {}
+        for i, (_, keywords, pieces, asked) in enumerate(rows):
+            for keyword, piece in zip(keywords, pieces, strict=True):
+                if piece == keyword:
+                    plain.setdefault(piece, []).append(i)
+                elif piece is not None:
+                    compound.setdefault(piece, {}).setdefault(keyword, []).append(i)
+            for x in asked:
+                needs.setdefault(x["class"], np.full(len(rows), np.iinfo(np.int32).max, np.int32))[i] = x["need"]
+        ids, none = np.array([r[0] for r in rows], np.int64), np.zeros(0, np.int32)
+        number = {k: i for i, k in enumerate({**plain, **compound})}
+        asking = [np.array(plain.get(k, ()), np.int32) for k in number]
+        compound = {number[k]: [(w, np.array(x, np.int32)) for w, x in of.items()] for k, of in compound.items()}
+        short, starts = sorted({len(k) for k in number if len(k) < 3}), {}
+        for k in number:
+            if len(k) >= 3:
+                starts.setdefault(k[:3], set()).add(len(k))
+        no_word = r"\x00-\x2F\x3A-\x40\x5B-\x5E\x60\x7B-\x7F"  # ASCII that no word holds; other pieces may, but no blanks
+        odd = any(re.search(f"[{no_word}]", k) for k in number)
+        split, known = re.compile(r"[^ \t\n\r]+" if odd else f"[^{no_word}]+").findall, {}
+
+        def look_up(word):
+            held = set()
+            for j in range(len(word)):
+                for n in starts.get(word[j:j + 3], ()):
+                    held.add(number.get(word[j:j + n]))
+                for n in short:
+                    held.add(number.get(word[j:j + n]))
+            held.discard(None)
+            held = tuple(held)
+            if len(word) <= 64:
+                known[word] = held
+            return held
+
+        def find(text, kind):
+            need = needs.get(kind)
+            if need is None:
+                return None
+            if len(known) >= 500_000:
+                known.clear()
+            held = {k for word in set(split(text)) for k in (known[word] if word in known else look_up(word))}
+            hit = [asking[k] for k in held]
+            hit += [items for k in compound.keys() & held for keyword, items in compound[k] if keyword in text]
+            counts = np.bincount(np.concatenate(hit) if hit else none, minlength=len(rows))
+            at = np.flatnonzero(counts >= need)
+            return (ids[at], counts[at]) if len(at) else None
+
+        return find
+
+    def match(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def out(batch, places, found):
+            sizes = np.cumsum([0, *(len(ids) for ids, _ in found)])
+            pairs = pa.StructArray.from_arrays([pa.array(np.concatenate([f[0] for f in found]), pa.int64()),
+                                                pa.array(np.concatenate([f[1] for f in found]), pa.int32())], ["_item", "hits"])
+            rows = batch.select(kept).take(pa.array(places))
+            return pa.RecordBatch.from_arrays([*rows.columns, pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pairs)], [*kept, "_found"])
+
+        group, rows, find = None, [], None
+        for batch in batches:
+            at = {c: batch.column(c) for c in batch.schema.names}
+            places, found, n = [], [], 0
+            for i, key in enumerate(zip(at["_group"].to_pylist(), at["_block"].to_pylist(), strict=True)):
+                if key != group:  # a group's items come before its documents
+                    group, rows, find = key, [], None
+                if at["_kind"][i].as_py() == 0:
+                    rows.append(tuple(at[c][i].as_py() for c in ("_item", "_keywords", "_pieces", "_needs")))
+                    continue
+                find = find or finder(rows)
+                got = find(at["_text"][i].as_py() or "", at["_class"][i].as_py())
+                if got is not None:
+                    places.append(i)
+                    found.append(got)
+                    n += len(got[0])
+                    if n > 1 << 16:
+                        yield out(batch, places, found)
+                        places, found, n = [], [], 0
+            if places:
+                yield out(batch, places, found)
+
+    return match
+
+
+def matched_docs(items: DataFrame, docs: DataFrame, by: list[str], keep: list[str]) -> DataFrame:
+    """The `keep` columns of the documents with `_found`, an array of (_item, hits): the items with as many keyword hits as the
+    document's class asks for.
 
-
-def _substrings(word: Column, lengths: list[int]) -> Column:
-    """All substrings of a word that have one of these lengths."""
-    n = F.length(word)
-    of = F.filter(F.array(*[F.lit(x) for x in lengths]), lambda x: x <= n)
-    return F.flatten(F.transform(of, lambda x: F.transform(F.sequence(F.lit(1), n - x + 1), lambda i: F.substring(word, i, x))))
+    `items` carries _item, `_keywords`, the `by` columns and `_needs`, an array of (class, need); classes that it lacks are out
+    of reach. `docs` carries `_text` in lower case, `_class`, the `by` and the `keep` columns. Documents are dealt to tasks, each text moves
+    once for every BLOCK items; with them go the items of their `by` group.
+    """
+    n, group = task_count(docs.sparkSession), F.to_json(F.struct(*by)) if by else F.lit("")
+    left = items.select(group.alias("_group"), F.col("_item").cast("long").alias("_item"), "_keywords",
+                        F.transform("_keywords", text.lookup_piece).alias("_pieces"), "_needs", *by)
+    right = docs.select(group.alias("_group"), *dict.fromkeys([*keep, "_text", "_class", *by]))
+    if by:
+        sizes = left.dropna(subset=by).groupBy("_group").agg(F.count("*").alias("n")) \
+            .join(right.dropna(subset=by).groupBy("_group").agg(F.count("*").alias("m")), "_group")
+        sizes = cut_lineage(sizes.select("_group", F.ceil(F.col("n") / BLOCK).cast("int").alias("_blocks"),
+                                         F.least(F.ceil(F.col("m") / BUCKET), F.lit(n)).cast("int").alias("_buckets")), "groups")
+        left, right = left.join(sizes, "_group"), right.join(sizes, "_group")
+    else:
+        blocks = max(1, -(-items.count() // BLOCK))
+        left, right = [x.withColumns({"_blocks": F.lit(blocks), "_buckets": F.lit(n)}) for x in (left, right)]
+    first = F.col("_group"), F.col("_block")
+    left = left.withColumn("_block", F.pmod(F.xxhash64("_item"), "_blocks").cast("int")) \
+        .withColumn("_bucket", F.explode(F.sequence(F.lit(0), F.col("_buckets") - 1))).withColumn("_kind", F.lit(0))
+    right = right.withColumn("_bucket", F.pmod(F.xxhash64(*keep, "_text"), "_buckets").cast("int")) \
+        .withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).withColumn("_kind", F.lit(1))
+    both = right.drop("_blocks", "_buckets", *[c for c in by if c not in keep]) \
+        .unionByName(left.drop("_blocks", "_buckets", *by), allowMissingColumns=True)
+    # the buckets of a group go to different tasks
+    dealt = both.repartitionById(n, F.pmod(F.xxhash64(*first) + F.col("_bucket"), F.lit(n)).cast("int")) \
+        .drop("_bucket").sortWithinPartitions(*first, "_kind")
+    schema = docs.select(*keep, F.expr("CAST(array() AS array<struct<_item: bigint, hits: int>>)").alias("_found")).schema
+    return dealt.mapInArrow(_make_matcher(keep), schema)
 
 
 def candidate_pairs(items: DataFrame, docs: DataFrame, by: list[str]) -> DataFrame:
-    """(_item, _doc, hits): pairs that have as many keyword hits as the document's class asks for.
-
-    `items` carries _item, `_keywords`, the `by` columns and `_needs`, an array of (class, need); classes that it lacks are out
-    of reach. `docs` carries _doc, `_text` in lower case, `_class` and the `by` columns. `hits` counts whole keywords; the others
-    count towards the need where their lookup piece occurs, and are left to the caller. It is null where no hit is needed.
-    """
-    terms = explode_computed(items, F.col("_keywords"), "kw", "_item", *by).select(
-        "_item", *by, text.lookup_piece(F.col("kw")).alias("needle"), _is_whole(F.col("kw")).alias("whole")).filter("needle IS NOT NULL")
-    needles = _rows(terms.select("needle").distinct(), "_needle", "needles")
-    # lengths of words: some dozens, whatever the number of items
-    lengths, odd = needles.agg(F.collect_set(F.length("needle")), F.max(F.col("needle").rlike(NO_WORD))).first()
-    lengths = sorted(lengths)
-    words = F.array_distinct(F.split("_text", BLANKS if odd else NO_WORD))
-    parts = F.flatten(F.transform(words, lambda w: F.when(F.length(w) <= LONG, F.array(w)).otherwise(F.transform(
-        F.sequence(F.lit(1), F.length(w), F.lit(LONG)), lambda i: F.substring(w, i, F.lit(LONG + max(lengths, default=1) - 1))))))
-    spoken, n = cut_lineage(docs.select("_doc", *by, "_class", parts.alias("_words")), "spoken"), task_count(docs.sparkSession)
-    said = explode_computed(spoken, F.col("_words"), "word", "_doc", *by, "_class")
-    # which word holds which keyword: a table of the size of the vocabulary, which grows more slowly than the library
-    vocabulary = said.select("word").distinct().repartition(n, "word")
-    subs = explode_computed(vocabulary, _substrings(F.col("word"), lengths or [1]), "needle", "word")
-    holds = cut_lineage(subs.join(needles, "needle").groupBy("word").agg(F.collect_set("_needle").alias("_needles")), "words")
-    dealt = said.join(holds, "word").select("_doc", *by, "_class", "_needles").repartition(n, "_doc")
-    every = dealt.groupBy("_doc", *by, "_class").agg(F.array_distinct(F.flatten(F.collect_list("_needles"))).alias("_needles"))
-    held = explode_computed(every, F.col("_needles"), "_needle", "_doc", *by, "_class")
-    asking = terms.join(needles, "needle").select("_needle", "_item", *by, "whole")
-    counts = held.join(cut_lineage(asking, "terms"), [*by, "_needle"]).groupBy("_doc", "_class", "_item") \
-        .agg(F.count("*").alias("n"), F.count_if("whole").cast("int").alias("hits"))
-    needs = cut_lineage(explode_computed(items, F.col("_needs"), "_n", "_item", *by)
-                        .select("_item", *by, F.col("_n.class").alias("_class"), F.col("_n.need").alias("need")), "needs")
-    found = counts.join(needs.filter("need > 0").drop(*by), ["_item", "_class"]).filter("n >= need").select("_item", "_doc", "hits")
-    # classes in which a pair needs no hit: lengths and names alone allow the threshold
-    free = needs.filter("need <= 0").join(docs.select("_doc", *by, "_class"), [*by, "_class"])
-    return found.unionByName(free.select("_item", "_doc", F.lit(None).cast("int").alias("hits")))
+    """(_item, _doc, hits): pairs that have as many keyword hits as the document's class asks for, of tables as `matched_docs` takes them."""
+    return matched_docs(items, docs, by, ["_doc"]).select("_doc", F.inline("_found")).select("_item", "_doc", "hits")
 
 
 BANDS = 2.0  # bands of lengths per factor of two
@@ -216,12 +300,6 @@ def _name_shares(items: DataFrame, docs: DataFrame) -> DataFrame:
     return long_.join(known, "needle").groupBy("item_id").agg((F.count("*") / F.max("n")).alias("_name_share"))
 
 
-def _with_texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs are a few bytes each but costly to verify, so their number of tasks is set here; each text moves once."""
-    n = task_count(pairs.sparkSession)
-    return pairs.repartition(n, "_doc").join(docs.repartition(n, "_doc"), "_doc")
-
-
 # --- links --------------------------------------------------------------------------------
 
 def _prepared_items(items: DataFrame, score: Score) -> DataFrame:
@@ -263,7 +341,7 @@ def _bounded(items: DataFrame, docs: DataFrame, threshold: float, score: Score,
     left = left.filter("item_id IS NOT NULL").select("item_id", "_low", "_keywords", *keys)
     right = right.filter("doc_id IS NOT NULL").select("doc_id", "file_name", "_text", _band(F.length(score.ratio_text(F.col("_text")))).alias("_length"),
                          score.gain(F.col("file_name"), threshold).alias("_gain"), *keys)
-    right = _rows(right, "_doc", "texts")
+    right = cut_lineage(right, "texts")
     # bands of lengths and sums of a few points: some hundreds, whatever the number of documents
     classes = sorted((r[0], r[1]) for r in right.select("_length", "_gain").distinct().collect())
     if not classes:
@@ -275,11 +353,8 @@ def _bounded(items: DataFrame, docs: DataFrame, threshold: float, score: Score,
     else:
         left = left.withColumn("_name_share", F.lit(0.0))
     left = _rows(_with_needs(left, classes, score, threshold).drop("_name_share"), "_item", "items")
-    pairs = cut_lineage(candidate_pairs(left, right, keys).drop("hits"), "pairs")
-    # the texts come last: each moves once, to the pairs, and no pair carries one through a shuffle
-    joined = _with_texts(pairs, right.drop("_class", *keys)).join(left.drop("_needs", *keys), "_item") \
-        .withColumn("hits", text.keyword_hits(F.col("_keywords"), F.col("_text"))) \
-        .withColumn("coverage", F.col("hits") / F.size("_keywords"))
+    joined = matched_docs(left, right, keys, ["doc_id", "file_name", "_text"]).select("doc_id", "file_name", "_text", F.inline("_found")) \
+        .join(left.drop("_needs", *keys), "_item").withColumn("coverage", F.col("hits") / F.size("_keywords"))
     bound = score.total(*_parts(), ratio_bound(F.col("_low"), score.ratio_text(F.col("_text"))))
     return joined.withColumn("bound", bound).filter(F.col("bound") >= threshold - 1e-9)
 
@@ -320,20 +395,13 @@ def coverage_links(items: DataFrame, docs: DataFrame, min_coverage: float,
     left = items.withColumn("_keywords", text.search_keywords(
         F.col("description"), F.col("category") if "category" in items.columns else None, variant, cap)) \
         .filter(F.size("_keywords") > 0) \
-        .withColumn("_need", F.ceil(min_coverage * F.size("_keywords") - 1e-9).cast("int")) \
-        .withColumn("_needs", F.array(F.struct(F.lit(0).alias("class"), F.greatest("_need", F.lit(1)).alias("need"))))
-    left = _rows(left.filter("item_id IS NOT NULL").select("item_id", "_keywords", "_need", "_needs", F.filter(
-        "_keywords", lambda k: ~_is_whole(k)).alias("_compound")), "_item", "items")
-    right = _rows(docs.filter("doc_id IS NOT NULL").select("doc_id", F.lower("text").alias("_text"), F.lit(0).alias("_class")), "_doc", "texts")
-    pairs = cut_lineage(candidate_pairs(left, right, []), "pairs")
-    known = pairs.join(left.filter(F.size("_compound") == 0), "_item").join(right.select("_doc", "doc_id"), "_doc")
-    compound = left.filter(F.size("_compound") > 0)
-    if not compound.isEmpty():  # keywords of several pieces are looked for in the texts
-        read = _with_texts(pairs.join(compound, "_item"), right.drop("_class")) \
-            .withColumn("hits", F.col("hits") + text.keyword_hits(F.col("_compound"), F.col("_text")))
-        known = known.unionByName(read.filter(F.col("hits") >= F.col("_need")).drop("_text"))
-    return known.select("item_id", "doc_id", "hits", F.size("_keywords").alias("n_keywords"),
-                        (F.col("hits") / F.size("_keywords")).alias("coverage"))
+        .withColumn("_need", F.greatest(F.ceil(min_coverage * F.size("_keywords") - 1e-9).cast("int"), F.lit(1)))
+    left = _rows(left.filter("item_id IS NOT NULL").select("item_id", "_keywords", F.array(F.struct(F.lit(0).alias("class"), F.col(
+        "_need").alias("need"))).alias("_needs")), "_item", "items")
+    right = docs.filter("doc_id IS NOT NULL").select("doc_id", F.lower("text").alias("_text"), F.lit(0).alias("_class"))
+    pairs = matched_docs(left, right, [], ["doc_id"]).select("doc_id", F.inline("_found"))
+    return pairs.join(left.select("_item", "item_id", F.size("_keywords").alias("n_keywords")), "_item").select(
+        "item_id", "doc_id", "hits", "n_keywords", (F.col("hits") / F.col("n_keywords")).alias("coverage"))
 
 
 def best_link(links: DataFrame, score: str = "coverage") -> DataFrame:

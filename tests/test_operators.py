@@ -1,3 +1,4 @@
+import os
 import random
 from difflib import SequenceMatcher
 
@@ -347,6 +348,32 @@ def test_hits_are_counted_without_reading_texts_of_hopeless_pairs(spark):
     assert rows(linking.candidate_pairs(numbered, hopeless, [])) == [(0, 1, 2)]
 
 
+def test_texts_move_once_whatever_the_blocks(spark, monkeypatch):
+    """Blocks of two items and a task per document give the same hits; besides the items, and the texts of a scored link, no table is written."""
+    monkeypatch.setattr(linking, "BLOCK", 2)
+    monkeypatch.setattr(linking, "BUCKET", 1)
+    made, syllables = random.Random(4), ["on", "tion", "pump", "x200", "é", "flow", "a1"]
+    said = lambda n: " ".join("".join(made.choice(syllables) for _ in range(made.randrange(1, 4))) for _ in range(n))
+    items = [(i, said(5), made.choice(["", "Lab-on", "the-tion", "&&"]), f"s{i % 3}") for i in range(9)] + [(9, "pump", "", None)]
+    docs = [(d, made.choice([said(12), said(3).upper() + ",", said(200), "lab-on && " + said(4)]), f"{d}.pdf", f"S{d % 4}") for d in range(25)] \
+        + [(25, None, "n.pdf", "s0"), (26, "", "e.pdf", None)]
+    left = spark.createDataFrame(items, "item_id int, description string, category string, supplier string")
+    right = spark.createDataFrame(docs, "doc_id int, text string, file_name string, supplier string")
+    kws = {r.item_id: r.k for r in left.select("item_id", text.search_keywords(F.col("description"), F.col("category")).alias("k")).collect()}
+    folder = f"{spark.conf.get('spark.checkpoint.dir')}/assetweave/{spark.sparkContext.applicationId}"
+    written = lambda: {x for x in os.listdir(folder)} if os.path.isdir(folder) else set()
+    hits = {(i, d): sum(k in (body or "").lower() for k in kws[i]) for i, *_ in items for d, body, *_ in docs}
+    before = written()
+    got = linking.coverage_links(left, right, 0.5).select("item_id", "doc_id", "hits")
+    assert rows(got) == sorted((*k, n) for k, n in hits.items() if kws[k[0]] and n >= 0.5 * len(kws[k[0]]) - 1e-9) and got.count() > 20
+    assert {x.split("-")[0] for x in written() - before} == {"items"}
+    before = written()
+    free = linking.link_bounds(left, right, 20, linking.NAMED).select("item_id", "doc_id", "hits")  # lengths alone can reach that
+    assert {(r.item_id, r.doc_id): r.hits for r in free.collect()}.items() <= hits.items() and free.count() > 5
+    assert {x.split("-")[0] for x in written() - before} <= {"items", "texts", "groups", "grams"}
+    assert sum(x.startswith("texts") for x in written() - before) == 1
+
+
 def test_numbering_computes_its_input_once(spark):
     seen = spark.sparkContext.accumulator(0)
 
