@@ -137,7 +137,7 @@ EVEN = Score("plain", 50, 50, keywords="strict")
 # --- candidates -------------------------------------------------------------------------
 
 BLOCK = 1 << 14  # items whose keywords one task holds at a time
-BUCKET = 2000  # documents of a group that are worth a task, and its share of the keywords
+BUCKET = 500  # documents of a group that are worth a task, and its share of the keywords
 
 
 def _rows(df: DataFrame, name: str, label: str) -> DataFrame:
