@@ -8,7 +8,7 @@ from assetweave.plans.catalog.labels import CANDIDATES, LABELLED, dictionary, la
 from assetweave.plans.catalog.links import MATCHES, SUMMARY, matches, plain_items
 from assetweave.plans.catalog.registry import query, table, trimmed
 from assetweave.plans.catalog.suppliers import MASTER, master
-from assetweave.session import cut_lineage, shared_folder, task_count
+from assetweave.session import cut_lineage, shared_folder
 from assetweave.sources import readers, writers
 
 SHEET_ROWS = 1000
@@ -43,10 +43,7 @@ def scan_library(spark, sf_dir):
     """A folder per supplier and a file per document; number and size of the files come from the scan alone, which
     never reads contents."""
     docs, path = table(spark, sf_dir, "documents").filter("text is not null"), shared_folder(spark, "library")
-    # a file costs some 20 ms wherever it is written, so texts are dealt to all tasks, however few splits the table has
-    docs = docs.repartition(task_count(spark), "doc_id")
-    docs.select(F.regexp_replace("text", r"[\r\n]", " ").alias("value"), F.col("source").alias("folder")) \
-        .write.partitionBy("folder").option("maxRecordsPerFile", 1).text(path)
+    writers.write_files(docs.withColumn("text", F.regexp_replace("text", r"[\r\n]", " ")), "doc_id", "source", "text", path)
     files = readers.scan_library(spark, path, "*.txt").withColumn("supplier", F.regexp_replace("supplier", "^folder=", ""))
     return files.groupBy("supplier").agg(F.count("*").alias("n"), F.sum("size_bytes").alias("bytes"))
 

@@ -57,6 +57,13 @@ def cut_lineage(df: DataFrame, label: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def local_path(spark: SparkSession, path: str) -> str | None:
+    """The path as the operating system knows it, None where another file system holds it."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    uri = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop).toUri()
+    return uri.getPath() if uri.getScheme() == "file" else None
+
+
 def task_count(spark: SparkSession) -> int:
     """Tasks for small but expensive inputs, which size-based coalescing would starve."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

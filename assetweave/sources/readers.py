@@ -1,11 +1,14 @@
 """Reading items, dictionaries, libraries and logs."""
 
+import os
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assetweave.functions import names
 from assetweave.functions.text import strip
-from assetweave.session import cut_lineage
+from assetweave.session import cut_lineage, local_path, task_count
 
 
 def read_items(spark: SparkSession, path: str, fmt: str | None = None, columns: list[str] | None = None) -> DataFrame:
@@ -75,10 +78,77 @@ def load_dictionary(spark: SparkSession, path: str, category: str) -> DataFrame:
     return parse_dictionary(spark.read.text(path)).select(F.lit(category).alias("category"), "keyword")
 
 
+def _make_lister():
+    # nested, so that it ships by value and workers need not import this package
+    def lister(batches):
+        """What lies directly in each folder, as Spark's readers see it: no hidden, unfinished or empty files."""
+        import os
+
+        import pyarrow as pa
+
+        def entries(folder):
+            with os.scandir(folder) as found:
+                for x in found:
+                    name, at = x.name, os.path.join(folder, x.name)
+                    hidden = name.startswith(".") or name.startswith("_") and "=" not in name
+                    try:
+                        if x.is_dir():
+                            if name.startswith(("_metadata", "_common_metadata")) or not (hidden or name.endswith("._COPYING_")):
+                                yield at, None, None
+                            continue
+                        if hidden or name.endswith("._COPYING_"):
+                            continue
+                        status = x.stat()
+                    except FileNotFoundError:  # gone meanwhile, or a link to nowhere
+                        continue
+                    if status.st_size:
+                        yield os.fsencode(at).decode("utf-8", "replace"), status.st_size, status.st_mtime_ns // 1_000_000
+
+        def out(rows):
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64()))], ["path", "length", "ms"])
+
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                rows = []
+                for row in entries(folder):
+                    rows.append(row)
+                    if len(rows) == 10_000:
+                        yield out(rows)
+                        rows = []
+                if rows:
+                    yield out(rows)
+
+    return lister
+
+
+def _local_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, length, modificationTime) of the files below a local folder, one level of folders after the other.
+
+    Tasks list, a folder each; neither files nor folders are held by the driver.
+    """
+    level, found = spark.createDataFrame([(folder,)], "path string"), None
+    while True:
+        listed = cut_lineage(level.repartition(task_count(spark)).mapInArrow(_make_lister(), "path string, length long, ms long"), "listing")
+        files = listed.filter("length IS NOT NULL")
+        found = files if found is None else found.unionByName(files)
+        level = listed.filter("length IS NULL").select("path")
+        if level.isEmpty():
+            return found.select(F.concat(F.lit("file:"), "path").alias("path"), "length", F.timestamp_millis("ms").alias("modificationTime"))
+
+
 def scan_library(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFrame:
-    """Document files below supplier folders, with size and time; contents are not read."""
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
-             .option("pathGlobFilter", pattern).load(path).drop("content"))
+    """Document files below supplier folders, with size and time; contents are not read.
+
+    Spark's own reader keeps every file in the driver and plans a task for some thirty of them. So the tasks list local folders themselves;
+    other file systems and paths with wildcards are left to it.
+    """
+    folder = local_path(spark, path)
+    if folder and os.path.isdir(folder) and not re.search(r"[{}\[\]*?\\]", path):
+        name = spark._jvm.org.apache.hadoop.fs.GlobPattern(pattern).compiled().pattern()
+        files = _local_files(spark, folder).filter(F.regexp_extract("path", r"(?s)([^/]*)$", 1).rlike(f"(?s)^(?:{name})\\z"))
+    else:
+        files = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
+                 .option("pathGlobFilter", pattern).load(path).drop("content"))
     return files.select("path", F.regexp_extract("path", r"([^/]+)/[^/]*$", 1).alias("supplier"),
                         F.regexp_extract("path", r"([^/]*)$", 1).alias("file_name"),
                         F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"))

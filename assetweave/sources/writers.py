@@ -1,9 +1,12 @@
 """Writing results. Every write goes to a new folder or appends; nothing is edited in place."""
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assetweave.operators.resolve import append_if_absent
+from assetweave.session import local_path, task_count
 
 
 def write_labeled(df: DataFrame, label: str, source: str, path: str, suffix: str = "_labeled") -> None:
@@ -66,3 +69,54 @@ def write_match_report(detail: DataFrame, summary: DataFrame, vendors: DataFrame
     detail.write.mode("errorifexists").parquet(f"{path}/detail")
     vendors.write.mode("errorifexists").parquet(f"{path}/vendors")
     summary.write.mode("errorifexists").json(f"{path}/summary")
+
+
+def _make_file_writer(path: str):
+    # nested, so that it ships by value and workers need not import this package
+    def write(batches):
+        import hashlib
+        import os
+        from collections import Counter
+
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        task = TaskContext.get()
+        part, attempt = f"part-{task.partitionId():05d}", task.taskAttemptId()
+        folders, seen, n = {}, Counter(), 0
+        odd = {c: f"%{ord(c):02X}" for c in map(chr, range(1, 0x80)) if c < " " or c in "\"#%'*/:=?\\\x7f{[]^"}
+        for batch in batches:
+            keys, names, values = (batch.column(i).to_pylist() for i in range(3))
+            for key, name, value in zip(keys, names, values, strict=True):
+                if name not in folders:
+                    folders[name] = f"{path}/folder={''.join(odd.get(c, c) for c in name) if name else '__HIVE_DEFAULT_PARTITION__'}"
+                    os.makedirs(folders[name], exist_ok=True)
+                line = f"{value or ''}\n".encode()
+                row = repr((key, name)).encode("utf-8", "surrogatepass") + line
+                digest = hashlib.blake2b(row, digest_size=16).hexdigest()
+                # a task that runs again gives a row the same name, in whatever order rows come, and puts whole files in place
+                file = f"{part}-{digest}-{seen[digest]}.txt"
+                seen[digest] += 1
+                with open(unfinished := f"{folders[name]}/.{file}.{attempt}", "wb") as f:
+                    f.write(line)
+                os.replace(unfinished, f"{folders[name]}/{file}")
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    return write
+
+
+def write_files(df: DataFrame, key: str, folder: str, value: str, path: str) -> None:
+    """A text file per row, with `value` as its only line, in the folder `folder=<name>` below the new folder `path`.
+
+    Texts are dealt to all tasks by `key` and value. Spark's writer starts two processes for each file on a local disk, to set its rights and
+    those of its checksum; so tasks write there themselves. Other file systems are left to it.
+    """
+    spark, target = df.sparkSession, local_path(df.sparkSession, path)
+    rows = df.select(F.col(key).cast("string").alias("key"), F.col(folder).cast("string").alias("folder"), F.col(value).alias("value")) \
+        .repartition(task_count(spark), "key", "value")
+    if target is None:
+        rows.select("value", "folder").write.mode("errorifexists").partitionBy("folder").option("maxRecordsPerFile", 1).text(path)
+        return
+    os.makedirs(target)
+    rows.mapInArrow(_make_file_writer(target), "n long").agg(F.sum("n")).collect()

@@ -179,3 +179,36 @@ def test_library_files_are_written_by_many_tasks(spark, tmp_path):
     assert sorted((r.supplier, r.n, r.bytes) for r in got.collect()) == [("a", 12, 12 * 7 + 7), ("b", 12, 12 * 7 + 7)]
     tasks = {os.path.basename(f)[:10] for f in got.inputFiles()}
     assert len(tasks) > 1
+
+
+def test_library_scan_lists_what_the_reader_lists_in_few_tasks(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    for name in ("Zeiss/a.pdf", "Zeiss/deep/er/b.pdf", "Zeiss/none.pdf", "Zeiss/.hid.pdf", "_x/c.pdf", "_x=1/d.pdf", "_metadata.d/e.pdf", "o d%20é/_f.pdf",
+                 "o d%20é/_f=.pdf", "o d%20é/g.pdf._COPYING_", "o d%20é/h.PDF", "top.pdf", "o d%20é/i[1].pdf", *(f"many/{i}.pdf" for i in range(900))):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("" if "none" in name else name)
+    (tmp_path / "Zeiss" / "nowhere.pdf").symlink_to(tmp_path / "absent")
+    (tmp_path / "Zeiss" / "linked.pdf").symlink_to(tmp_path / "top.pdf")
+    for pattern in ("[a-f]*.{pdf,PDF}", "?.*", "*.pdf"):
+        got = readers.scan_library(spark, str(tmp_path), pattern)
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(str(tmp_path))
+        want = files.select("path", F.element_at(F.split("path", "/"), -2), F.element_at(F.split("path", "/"), -1), "length", "modificationTime")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
+    assert readers.scan_library(spark, str(tmp_path)).rdd.getNumPartitions() < files.rdd.getNumPartitions()
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        readers.scan_library(spark, str(tmp_path / "absent"))
+
+
+def test_a_file_per_row_without_checksums_and_with_lasting_names(spark, tmp_path):
+    rows = [(1, "a/b", "same"), (1, "a/b", "same"), (1, "a/b", "öther"), (2, "", "x"), (None, None, "y"), (None, "q=%ä", ""), *((i, "z", f"t {i}") for i in range(9, 40))]
+    df = spark.createDataFrame(rows, "k long, folder string, value string")
+    df.select("folder", "value").write.partitionBy("folder").option("maxRecordsPerFile", 1).text(str(tmp_path / "spark"))
+    held = {}
+    for run, order in (("one", "value"), ("two", "folder")):
+        writers.write_files(df.orderBy(order), "k", "folder", "value", str(tmp_path / run))
+        assert not [f for f in (tmp_path / run).rglob(".*")]
+        held[run] = {str(f.relative_to(tmp_path / run)): f.read_bytes() for f in (tmp_path / run).rglob("*.txt")}
+    spark_files = [(f.parent.name, f.read_bytes()) for f in (tmp_path / "spark").rglob("*.txt")]
+    assert held["one"] == held["two"] and sorted((os.path.dirname(k), v) for k, v in held["one"].items()) == sorted(spark_files)
+    assert len({os.path.basename(f)[:10] for f in held["one"]}) > 1
