@@ -95,14 +95,23 @@ def run_totals(per_supplier: DataFrame) -> DataFrame:
 
 
 def match_detail(items: DataFrame, matches: DataFrame) -> DataFrame:
-    """A line per match and a `No matches` line per item without any; sort with sort_matches."""
+    """A line per match and a `No matches` line per item without any; sort with sort_matches.
+
+    `matches` carries `text`, or its `text_preview` where whole texts need not move with every match.
+    """
+    shown = F.col("text_preview") if "text_preview" in matches.columns else detail_preview(F.col("text"))
     joined = items.select("item_id", "description").join(
-        matches.select("item_id", F.col("supplier").alias("_s"), "file_name", "score", "text"), "item_id", "left")
+        matches.select("item_id", F.col("supplier").alias("_s"), "file_name", "score", shown.alias("_shown")), "item_id", "left")
     return joined.select(
         "item_id", "description", F.coalesce("_s", F.lit("No matches")).alias("supplier"),
         F.coalesce("file_name", F.lit("")).alias("file_name"),
         F.coalesce(F.bround("score", 1), F.lit(0.0)).alias("score"),
-        F.coalesce(preview(F.col("text"), 200), F.lit("")).alias("text_preview"))
+        F.coalesce("_shown", F.lit("")).alias("text_preview"))
+
+
+def detail_preview(text: Column) -> Column:
+    """What a line of match_detail shows of a document."""
+    return preview(text, 200)
 
 
 def cleanup_preview(docs: DataFrame, now: Column, days: int) -> DataFrame:

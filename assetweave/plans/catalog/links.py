@@ -192,6 +192,11 @@ def matches(spark, sf_dir, *extra):
     return covered(spark, sf_dir).select("item_id", "doc_id", F.round(F.col("coverage") * 100, 6).alias("score")).join(docs, "doc_id")
 
 
+def previewed_matches(spark, sf_dir):
+    """Matches with `text_preview`, made where documents are read, so that no text moves with a match."""
+    return matches(spark, sf_dir, reports.detail_preview(F.col("text")).alias("text_preview"))
+
+
 SUMMARY = """summary AS (SELECT count(*) AS items, count(n) AS with_match, count(*) - count(n) AS without_match,
  CAST(coalesce(sum(n), 0) AS BIGINT) AS matches, coalesce(sum(n), 0)::DOUBLE / count(*) AS avg_per_item, count(n) * 100.0::DOUBLE / count(*) AS match_rate
  FROM items LEFT JOIN (SELECT item_id, count(*) AS n FROM matches GROUP BY item_id) USING (item_id))"""

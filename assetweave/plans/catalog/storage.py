@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from assetweave.functions.arrays import explode_computed
 from assetweave.operators import reports
 from assetweave.plans.catalog.labels import CANDIDATES, LABELLED, dictionary, labelled, learn_candidates
-from assetweave.plans.catalog.links import MATCHES, SUMMARY, matches, plain_items
+from assetweave.plans.catalog.links import MATCHES, SUMMARY, plain_items, previewed_matches
 from assetweave.plans.catalog.registry import query, table, trimmed
 from assetweave.plans.catalog.suppliers import MASTER, master
 from assetweave.session import cut_lineage, shared_folder
@@ -99,7 +99,7 @@ def snapshot(spark, sf_dir):
  USING (item_id)) AS detail_rows, (SELECT count(DISTINCT supplier) FROM matches) AS vendors FROM summary""")
 def match_report(spark, sf_dir):
     """Detail and vendor tables and a JSON summary, read back and counted."""
-    found, wanted = cut_lineage(matches(spark, sf_dir, "text"), "matches"), plain_items(spark, sf_dir)
+    found, wanted = cut_lineage(previewed_matches(spark, sf_dir), "matches"), plain_items(spark, sf_dir)
     path = shared_folder(spark, "report")
     writers.write_match_report(reports.match_detail(wanted, found), reports.match_summary(wanted, found),
                                reports.vendor_match_stats(found), path)

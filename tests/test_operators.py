@@ -383,3 +383,33 @@ def test_numbering_computes_its_input_once(spark):
     df = spark.createDataFrame(spark.range(200, numPartitions=4).rdd.map(look), "id long")
     assert [r.number for r in ranking.number_rows(df, F.desc("id")).orderBy("id").collect()] == list(range(200, 0, -1))
     assert seen.value == 200
+
+
+@pytest.fixture
+def long_library(spark, tmp_path):
+    """Tables with texts round the length of a preview and far beyond it, repeated ids, and items with and without a match."""
+    texts = ["red pump " + "x" * n for n in (0, 190, 191, 192, 5000)] + ["red pump", "red pump \U0001f600" * 60, None, "blue " * 3000]
+    docs = [(None if i == 5 else i // 2, t, "en", f"src{i % 3}", len(t or "")) for i, t in enumerate(texts * 2)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "red pump"), (1, "red"), (2, "green hose"), (3, None), (4, "blue")], "item_id long, text string").write.parquet(
+        str(tmp_path / "benchmark.parquet"))
+    return str(tmp_path)
+
+
+def test_match_report_moves_previews_only(spark, long_library):
+    import glob
+
+    from assetweave.plans.catalog import links, storage
+    from assetweave.session import shared_folder
+
+    found = links.matches(spark, long_library, "text")
+    n = links.plain_items(spark, long_library).select("item_id").join(found.select("item_id"), "item_id", "left").count()
+    before = set(glob.glob(os.path.dirname(shared_folder(spark, "x")) + "/*"))
+    got = storage.match_report(spark, long_library).collect()
+    assert [(r.items, r.detail_rows, r.vendors) for r in got] == [(5, n, 3)]
+    new = {os.path.basename(f).split("-")[0]: f for f in set(glob.glob(os.path.dirname(shared_folder(spark, "x")) + "/*")) - before}
+    assert spark.read.parquet(new["matches"]).agg(F.max(F.length("text_preview"))).first()[0] == 203
+    assert "text" not in spark.read.parquet(new["matches"]).columns
+    detail = reports.match_detail(links.plain_items(spark, long_library), found)
+    written = spark.read.parquet(new["report"] + "/detail").select(detail.columns)
+    assert sorted(map(repr, written.collect())) == sorted(map(repr, detail.collect()))
