@@ -242,7 +242,7 @@ def recommendations(spark, sf_dir):
  coalesce(CASE WHEN length(text) > 200 THEN left(text, 200) || '...' ELSE text END, '') AS text_preview FROM items LEFT JOIN matches USING (item_id)"""
        .replace("matches.item_id IS NULL", "matches.doc_id IS NULL"))
 def match_detail(spark, sf_dir):
-    detail = reports.match_detail(plain_items(spark, sf_dir), matches(spark, sf_dir, "text"))
+    detail = reports.match_detail(plain_items(spark, sf_dir), previewed_matches(spark, sf_dir))
     return ranking.sort_matches(detail, "item_id", "file_name").drop("description")
 
 

@@ -413,3 +413,14 @@ def test_match_report_moves_previews_only(spark, long_library):
     detail = reports.match_detail(links.plain_items(spark, long_library), found)
     written = spark.read.parquet(new["report"] + "/detail").select(detail.columns)
     assert sorted(map(repr, written.collect())) == sorted(map(repr, detail.collect()))
+
+
+def test_match_detail_joins_previews_only(spark, long_library):
+    from assetweave.plans.catalog import links
+
+    got = links.match_detail(spark, long_library)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan[plan.index("length(text"):]
+    whole = reports.match_detail(links.plain_items(spark, long_library), links.matches(spark, long_library, "text")).drop("description")
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, whole.collect()))
+    assert {len(r.text_preview) for r in got.collect()} == {0, 8, 9, 199, 200, 203}
