@@ -7,6 +7,7 @@ from assetweave.functions import names, text
 from assetweave.operators import linking, ranking, reports
 from assetweave.plans.catalog.registry import (
     ITEMS_SQL, LIBRARY_SQL, SPACE, WORD, any_of, in_list, items, library, query, stem, table, trimmed)
+from assetweave.session import task_count
 
 # --- keywords and signals ---------------------------------------------------------------------
 
@@ -70,11 +71,20 @@ def text_signals(spark, sf_dir):
     pairs = linking.coverage_links(items(spark, sf_dir), library(spark, sf_dir), 0.5, "full").select("item_id", "doc_id")
     wanted = items(spark, sf_dir).select("item_id", F.lower("description").alias("low"), text.search_keywords(
         F.col("description"), F.col("category"), "full").alias("kw"))
+    # the items of a document, a block at a time, meet its text in one row: its tokens are found, and terms are searched, once for all of them
+    n, blocks = task_count(spark), max(1, -(-wanted.count() // linking.BLOCK))
+    held = pairs.join(wanted, "item_id").repartition(n, "doc_id").groupBy("doc_id", F.pmod(F.xxhash64("item_id"), F.lit(blocks)).alias("block")) \
+        .agg(F.collect_list(F.struct("item_id", "low", "kw")).alias("held"))
     low, doc = F.col("low"), F.col("doc")
-    return pairs.join(wanted, "item_id").join(docs, "doc_id").select(
-        "item_id", "doc_id", F.round(text.coverage(F.col("kw"), doc), 6).alias("coverage"),
-        F.round(text.structural_overlap(low, doc), 6).alias("structural"),
-        F.round(text.word_overlap(low, doc), 6).alias("words"), text.exact_phrase(low, doc).alias("phrase"))
+    phrases = F.transform("held.low", lambda x: F.coalesce(text.phrases(x), text.literal_array([])))
+    terms = F.array_distinct(F.concat(F.flatten("held.kw"), F.flatten(phrases)))
+    read = held.join(docs.repartition(n, "doc_id"), "doc_id").select(
+        "doc_id", "doc", "held", text.found_terms(terms, doc).alias("found"),
+        F.array_distinct(text.model_tokens(doc)).alias("models"), F.array_distinct(text.split_words(doc)).alias("said"))
+    return read.select("doc_id", "doc", "found", "models", "said", F.inline("held")).select(
+        "item_id", "doc_id", F.round(text.coverage(F.col("kw"), doc, F.col("found")), 6).alias("coverage"),
+        F.round(text.structural_overlap(low, doc, F.col("models")), 6).alias("structural"),
+        F.round(text.word_overlap(low, doc, theirs=F.col("said")), 6).alias("words"), text.exact_phrase(low, doc, F.col("found")).alias("phrase"))
 
 
 @query("""SELECT doc_id, CASE WHEN length(text) > 200 THEN left(text, 200) || '...' ELSE text END AS long_,

@@ -424,3 +424,28 @@ def test_match_detail_joins_previews_only(spark, long_library):
     whole = reports.match_detail(links.plain_items(spark, long_library), links.matches(spark, long_library, "text")).drop("description")
     assert sorted(map(repr, got.collect())) == sorted(map(repr, whole.collect()))
     assert {len(r.text_preview) for r in got.collect()} == {0, 8, 9, 199, 200, 203}
+
+
+@pytest.mark.parametrize("block", [1 << 14, 2])
+def test_text_signals_split_a_text_once_for_all_its_pairs(spark, tmp_path, monkeypatch, block):
+    from assetweave.plans.catalog import documents
+    from assetweave.plans.catalog.registry import items as catalog_items, library
+
+    monkeypatch.setattr(linking, "BLOCK", block)
+    texts = ["Lab tools: red pump PX-200, steel hose, ölpumpe straße STRASSE", "lab tools red pump", None, "RED PUMP steel hose for labs ab1 Ab1 ABC", "a\tred\npump", ""]
+    spark.createDataFrame([(i // 2 if i != 3 else None, t, "en", "s", 1) for i, t in enumerate(texts * 2)], "doc_id long, text string, lang string, source string, n_chars long") \
+        .write.parquet(str(tmp_path / "documents.parquet"))
+    found = [None, "red pump, steel hose", "Red pump PX-200, straße", "lab", "steel, hose", "red, ABC ab1", "red pump", "ölpumpe"]
+    spark.createDataFrame([(i if i < 6 else 4, t) for i, t in enumerate(found)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = documents.text_signals(spark, str(tmp_path))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate inline(held") < plan.index("upper(doc")
+    docs = library(spark, str(tmp_path)).select("doc_id", F.lower("text").alias("doc"))
+    pairs = linking.coverage_links(catalog_items(spark, str(tmp_path)), library(spark, str(tmp_path)), 0.5, "full").select("item_id", "doc_id")
+    wanted = catalog_items(spark, str(tmp_path)).select("item_id", F.lower("description").alias("low"), text.search_keywords(F.col("description"), F.col("category"), "full").alias("kw"))
+    low, doc = F.col("low"), F.col("doc")
+    want = pairs.join(wanted, "item_id").join(docs, "doc_id").select(
+        "item_id", "doc_id", F.round(text.coverage(F.col("kw"), doc), 6), F.round(text.structural_overlap(low, doc), 6), F.round(text.word_overlap(low, doc), 6),
+        F.exists(F.split(low, ","), lambda p: (F.length(text.strip(p)) > 5) & F.contains(doc, text.strip(p))))
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, map(tuple, want.collect())))
+    assert {r.phrase for r in got.collect()} == {True, False, None} and got.count() > 20
