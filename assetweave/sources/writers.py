@@ -109,12 +109,13 @@ def _make_file_writer(path: str):
 def write_files(df: DataFrame, key: str, folder: str, value: str, path: str) -> None:
     """A text file per row, with `value` as its only line, in the folder `folder=<name>` below the new folder `path`.
 
-    Texts are dealt to all tasks by `key` and value. Spark's writer starts two processes for each file on a local disk, to set its rights and
-    those of its checksum; so tasks write there themselves. Other file systems are left to it.
+    Texts in too few splits to keep all cores busy are dealt to all tasks by `key` and value. Spark's writer starts two processes for each file
+    on a local disk, to set its rights and those of its checksum; so tasks write there themselves. Other file systems are left to it.
     """
     spark, target = df.sparkSession, local_path(df.sparkSession, path)
-    rows = df.select(F.col(key).cast("string").alias("key"), F.col(folder).cast("string").alias("folder"), F.col(value).alias("value")) \
-        .repartition(task_count(spark), "key", "value")
+    rows = df.select(F.col(key).cast("string").alias("key"), F.col(folder).cast("string").alias("folder"), F.col(value).alias("value"))
+    if rows.rdd.getNumPartitions() < 2 * spark.sparkContext.defaultParallelism:
+        rows = rows.repartition(task_count(spark), "key", "value")
     if target is None:
         rows.select("value", "folder").write.mode("errorifexists").partitionBy("folder").option("maxRecordsPerFile", 1).text(path)
         return
