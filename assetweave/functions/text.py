@@ -134,13 +134,13 @@ def model_tokens(c: Column) -> Column:
 
 
 def structural_overlap(description: Column, text: Column, theirs: Column | None = None) -> Column:
-    """Share of the description's model tokens in the text; `theirs` are the text's own, where they are known."""
+    """Share of the description's model tokens in the text; `theirs` are the text's own, or those of them that count, where they are known."""
     mine = model_tokens(description)
     return 100 * ratio_or_zero(F.size(F.array_intersect(model_tokens(text) if theirs is None else theirs, mine)), F.size(mine))
 
 
 def word_overlap(low_description: Column, low_text: Column, sample: int | None = None, theirs: Column | None = None) -> Column:
-    """Share of the description's words in the text, or in its first `sample` characters; `theirs` are the text's own, where they are known."""
+    """Share of the description's words in the text, or in its first `sample` characters; `theirs` are the text's own, or those of them that count, where they are known."""
     mine = F.array_distinct(split_words(low_description))
     if theirs is None:
         theirs = split_words(low_text if sample is None else F.substring(low_text, 1, sample))

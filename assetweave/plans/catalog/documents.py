@@ -75,16 +75,19 @@ def text_signals(spark, sf_dir):
     n, blocks = task_count(spark), max(1, -(-wanted.count() // linking.BLOCK))
     held = pairs.join(wanted, "item_id").repartition(n, "doc_id").groupBy("doc_id", F.pmod(F.xxhash64("item_id"), F.lit(blocks)).alias("block")) \
         .agg(F.collect_list(F.struct("item_id", "low", "kw")).alias("held"))
-    low, doc = F.col("low"), F.col("doc")
-    phrases = F.transform("held.low", lambda x: F.coalesce(text.phrases(x), text.literal_array([])))
-    terms = F.array_distinct(F.concat(F.flatten("held.kw"), F.flatten(phrases)))
+    low, doc, found = F.col("low"), F.col("doc"), F.col("found")
+
+    def asked(parts):
+        """What the descriptions of a document's items hold together."""
+        return F.flatten(F.transform("held.low", lambda x: F.coalesce(parts(x), text.literal_array([]))))
     read = held.join(docs.repartition(n, "doc_id"), "doc_id").select(
-        "doc_id", "doc", "held", text.found_terms(terms, doc).alias("found"),
-        F.array_distinct(text.model_tokens(doc)).alias("models"), F.array_distinct(text.split_words(doc)).alias("said"))
+        "doc_id", "doc", "held", text.found_terms(F.array_distinct(F.concat(F.flatten("held.kw"), asked(text.phrases))), doc).alias("found"),
+        F.array_intersect(text.model_tokens(doc), asked(text.model_tokens)).alias("models"),
+        F.array_intersect(text.split_words(doc), asked(text.split_words)).alias("said"))
     return read.select("doc_id", "doc", "found", "models", "said", F.inline("held")).select(
-        "item_id", "doc_id", F.round(text.coverage(F.col("kw"), doc, F.col("found")), 6).alias("coverage"),
+        "item_id", "doc_id", F.round(text.coverage(F.col("kw"), doc, found), 6).alias("coverage"),
         F.round(text.structural_overlap(low, doc, F.col("models")), 6).alias("structural"),
-        F.round(text.word_overlap(low, doc, theirs=F.col("said")), 6).alias("words"), text.exact_phrase(low, doc, F.col("found")).alias("phrase"))
+        F.round(text.word_overlap(low, doc, theirs=F.col("said")), 6).alias("words"), text.exact_phrase(low, doc, found).alias("phrase"))
 
 
 @query("""SELECT doc_id, CASE WHEN length(text) > 200 THEN left(text, 200) || '...' ELSE text END AS long_,
